@@ -12,6 +12,12 @@ TS_TOKEN = r"^([0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2})(?:[.,]([0-
 _NS_PER_S = 1_000_000_000
 
 
+def floor_div(c: Column, n: int) -> Column:
+    """Exact integer floor division of a BIGINT (no detour through DOUBLE,
+    which cannot hold nanosecond times exactly)."""
+    return F.call_function("div", c - F.pmod(c, F.lit(n)), F.lit(n))
+
+
 def token_ns(tok: Column) -> Column:
     """Nanoseconds of an RFC3339 token, NULL when it is not a valid instant."""
     dt = F.regexp_extract(tok, TS_TOKEN, 1)
@@ -48,7 +54,7 @@ def split_timestamp(line: Column | str, ingest_ns: Column | int) -> Column:
 def ns_to_ts(ts_ns: Column | str) -> Column:
     """BIGINT nanoseconds -> TIMESTAMP (microsecond precision)."""
     ts_ns = F.col(ts_ns) if isinstance(ts_ns, str) else ts_ns
-    return F.timestamp_micros(F.floor(ts_ns / F.lit(1000)).cast("long"))
+    return F.timestamp_micros(floor_div(ts_ns, 1000))
 
 
 def ns_to_date(ts_ns: Column | str) -> Column:
@@ -68,7 +74,7 @@ def format_ts(ts_ns: Column | str) -> Column:
 def rfc3339_ns(ts_ns: Column | str) -> Column:
     """RFC3339 text with nine fraction digits, UTC."""
     ts_ns = F.col(ts_ns) if isinstance(ts_ns, str) else ts_ns
-    secs = F.floor(ts_ns / F.lit(_NS_PER_S)).cast("long")
+    secs = floor_div(ts_ns, _NS_PER_S)
     frac = (ts_ns - secs * F.lit(_NS_PER_S)).cast("string")
     return F.concat(F.date_format(F.timestamp_seconds(secs), "yyyy-MM-dd'T'HH:mm:ss"),
                     F.lit("."), F.lpad(frac, 9, "0"), F.lit("Z"))
