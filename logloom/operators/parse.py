@@ -28,6 +28,42 @@ def _c(name: str) -> Column:
     return F.col(_P + name)
 
 
+def _stages(src: Column, ingest: Column) -> list[dict[str, Column]]:
+    """The parse as ordered projection stages (name -> expression)."""
+    body = _c("body")
+    return [
+        {_P + "ns": prefix_ns(src)},
+        {_P + "ts": F.coalesce(_c("ns"), ingest.cast("long")), _P + "body": message_after_prefix(src, _c("ns"))},
+        # JSON: parse once, keep the last of duplicate keys, type the values
+        {_P + "pj": parse_object(body)},
+        {_P + "jm": object_members(_c("pj"))},
+        {_P + "ju": last_wins(_c("jm"))},
+        {_P + "jt": typed_members(_c("ju"))},
+        {_P + "jsev": severity_from_fields(json_string_fields(_c("jt"))),
+         _P + "jent": F.when(_c("jt").isNotNull(), normalize_entries(json_value_entries(_c("jt"))))},
+        {_P + "jhit": F.coalesce((_c("jsev") > 0) | (F.size(_c("jent")) > 0), F.lit(False))},
+        # logfmt, only where JSON gave nothing
+        {_P + "lp": F.when(~_c("jhit") & is_logfmt_candidate(body), logfmt_pairs(body))},
+        {_P + "lf": last_wins(_c("lp"))},
+        {_P + "lsev": F.when(F.size(_c("lf")) > 0, severity_from_fields(F.map_from_entries(_c("lf")))),
+         _P + "lent": F.when(F.size(_c("lf")) > 0, normalize_entries(F.filter(_c("lf"), lambda x: x["value"] != "")))},
+        {_P + "lhit": ~_c("jhit") & F.coalesce((_c("lsev") > 0) | (F.size(_c("lent")) > 0), F.lit(False))},
+        {_P + "sev": F.when(_c("jhit"), _c("jsev")).when(_c("lhit"), _c("lsev"))
+         .otherwise(severity_from_pattern(body)).cast("int"),
+         _P + "ent": F.when(_c("jhit"), _c("jent")).when(_c("lhit"), _c("lent"))
+         .otherwise(F.lit(None).cast(_NO_ENTRIES))},
+        {"ts_ns": _c("ts"),
+         "severity": _c("sev"),
+         "message": F.coalesce(F.try_element_at(F.filter(_c("ent"), lambda x: x["key"] == "msg"), F.lit(1))["value"],
+                               body),
+         "attributes": entries_to_map(F.filter(_c("ent"), lambda x: x["key"] != "msg"))},
+    ]
+
+
+# Built expressions are unresolved and reusable across frames: build once.
+_STAGE_CACHE: dict[tuple, list[dict[str, Column]]] = {}
+
+
 def parse_lines(df: DataFrame, ingest_ns: Column | int | str = "ingest_ns", line: str = "line",
                 keep_line: bool = False) -> DataFrame:
     """Add ``ts_ns``, ``severity``, ``message``, ``attributes`` parsed from ``line``.
@@ -35,43 +71,17 @@ def parse_lines(df: DataFrame, ingest_ns: Column | int | str = "ingest_ns", line
     ``ingest_ns`` is the time given to lines without a valid timestamp prefix:
     a column name, a column, or a fixed number (never a clock read).
     """
-    ingest = F.col(ingest_ns) if isinstance(ingest_ns, str) else (
-        ingest_ns if isinstance(ingest_ns, Column) else F.lit(int(ingest_ns)))
-    src = F.col(line)
+    if isinstance(ingest_ns, Column):
+        stages = _stages(F.col(line), ingest_ns)
+    else:
+        key = (line, ingest_ns)
+        stages = _STAGE_CACHE.get(key)
+        if stages is None:
+            ingest = F.col(ingest_ns) if isinstance(ingest_ns, str) else F.lit(int(ingest_ns))
+            stages = _STAGE_CACHE[key] = _stages(F.col(line), ingest)
     out = df.drop(*[c for c in ("ts_ns", "severity", "message", "attributes") if c in df.columns])
-    out = out.withColumn(_P + "ns", prefix_ns(src))
-    out = out.withColumns({_P + "ts": F.coalesce(_c("ns"), ingest.cast("long")),
-                           _P + "body": message_after_prefix(src, _c("ns"))})
-    body = _c("body")
-    # JSON: parse once, keep the last of duplicate keys, type the values
-    out = out.withColumn(_P + "pj", parse_object(body))
-    out = out.withColumn(_P + "jm", object_members(_c("pj")))
-    out = out.withColumn(_P + "ju", last_wins(_c("jm")))
-    out = out.withColumn(_P + "jt", typed_members(_c("ju")))
-    out = out.withColumns({_P + "jsev": severity_from_fields(json_string_fields(_c("jt"))),
-                           _P + "jent": normalize_entries(json_value_entries(_c("jt")))})
-    out = out.withColumn(_P + "jhit", F.coalesce((_c("jsev") > 0) | (F.size(_c("jent")) > 0), F.lit(False)))
-    # logfmt, only where JSON gave nothing
-    out = out.withColumn(_P + "lp", F.when(~_c("jhit") & is_logfmt_candidate(body), logfmt_pairs(body)))
-    out = out.withColumn(_P + "lf", last_wins(_c("lp")))
-    out = out.withColumns({
-        _P + "lsev": F.when(F.size(_c("lf")) > 0, severity_from_fields(F.map_from_entries(_c("lf")))),
-        _P + "lent": F.when(F.size(_c("lf")) > 0, normalize_entries(F.filter(_c("lf"), lambda x: x["value"] != ""))),
-    })
-    out = out.withColumn(_P + "lhit", ~_c("jhit") & F.coalesce((_c("lsev") > 0) | (F.size(_c("lent")) > 0),
-                                                               F.lit(False)))
-    out = out.withColumns({
-        _P + "sev": F.when(_c("jhit"), _c("jsev")).when(_c("lhit"), _c("lsev"))
-        .otherwise(severity_from_pattern(body)).cast("int"),
-        _P + "ent": F.when(_c("jhit"), _c("jent")).when(_c("lhit"), _c("lent")).otherwise(F.lit(None).cast(_NO_ENTRIES)),
-    })
-    msg = F.try_element_at(F.filter(_c("ent"), lambda x: x["key"] == "msg"), F.lit(1))["value"]
-    out = out.withColumns({
-        "ts_ns": _c("ts"),
-        "severity": _c("sev"),
-        "message": F.coalesce(msg, body),
-        "attributes": entries_to_map(F.filter(_c("ent"), lambda x: x["key"] != "msg")),
-    })
+    for stage in stages:
+        out = out.withColumns(stage)
     drop = [c for c in out.columns if c.startswith(_P)]
     if not keep_line:
         drop.append(line)
