@@ -280,3 +280,18 @@ ORACLE["idle_containers"] = _with(LV) + (
     "SELECT namespace, pod, container, max(ts_ns) AS last_ts_ns FROM lv GROUP BY ALL "
     f"HAVING max(ts_ns) < {P.IDLE_NOW_NS - P.IDLE_TIMEOUT_NS}")
 ORACLE["resume_cursors"] = _with(LV) + "SELECT namespace, pod, container, max(ts_ns) + 1 AS resume_ns FROM lv GROUP BY ALL"
+
+# ------------------------------------------------------------------ streaming
+ORACLE["tail_stream"] = _filtered("severity >= 5")
+ORACLE["tail_resume"] = _filtered(f"id > {P.CURSOR_ID}", "ORDER BY id ASC LIMIT 100")
+ORACLE["tail_dedup"] = _with(LV) + f"SELECT {OUT_COLS} FROM lv"
+ORACLE["tail_window"] = _filtered("true", "ORDER BY id DESC LIMIT 1000")
+ORACLE["ingest_stream"] = _with(LV, RAWX) + (
+    "SELECT row_number() OVER (ORDER BY arrival) AS id, ts_ns, namespace, pod, container, severity, message, "
+    "CASE WHEN attrs = '' THEN 'pod_uid=' || pod_uid "
+    "ELSE replace(attrs, ';user_id=', ';pod_uid=' || pod_uid || ';user_id=') END AS attrs FROM "
+    "(SELECT * FROM (SELECT * FROM rawx UNION ALL SELECT arrival + 10000000, namespace, pod, pod_uid, container, ts_ns, "
+    "severity, message, attrs, event_id, user_id, k, value, true_severity, true_message FROM rawx WHERE (arrival - 1) % 10 = 0) "
+    "QUALIFY row_number() OVER (PARTITION BY ts_ns, namespace, pod, container, message ORDER BY arrival) = 1)")
+ORACLE["stream_dedup"] = _with(LV, DV) + "SELECT DISTINCT ts_ns, namespace, pod, container, message FROM dv"
+ORACLE["container_events_stream"] = ORACLE["container_events"]

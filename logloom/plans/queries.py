@@ -29,8 +29,13 @@ from logloom.operators.query import LogQuery, apply_query
 from logloom.plans import derived, params as P
 from logloom.sinks.retention import retention_counts, retention_keep, retention_stats
 from logloom.sinks.table import assign_ids, new_rows
+from logloom.session import scratch_path
+from logloom.sinks.table import write_log_table
 from logloom.sources import logs as src
-from logloom.sources.views import (INGEST_NS, doc_log_view, dup_view, logs_from_events, raw_view, read_table,
+from logloom.sources.logs import read_logs
+from logloom.streaming import ingest, tail
+from logloom.streaming import lifecycle as stream_lifecycle
+from logloom.sources.views import (DUP_ID_OFFSET, INGEST_NS, doc_log_view, dup_view, logs_from_events, raw_view, read_table,
                                    spread, status_view)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -548,3 +553,89 @@ def q_idle_containers(spark, d):
 @register("resume_cursors")
 def q_resume_cursors(spark, d):
     return lifecycle.resume_cursors(_logs(spark, d))
+
+
+# ---------------------------------------------------------------- streaming
+
+def _scratch(spark, name: str) -> str:
+    return scratch_path(spark, name)
+
+
+def _stored_table(spark, d, root: str) -> str:
+    """The log rows written as the Parquet log table (the tail's source)."""
+    path = f"{root}/logs"
+    write_log_table(_logs(spark, d), path)
+    return path
+
+
+@register("tail_stream")
+def q_tail_stream(spark, d):
+    """Live tail with a severity filter (alerts feed), run over all files."""
+    root = _scratch(spark, "tail")
+    table = _stored_table(spark, d, root)
+    s = tail.tail_stream(spark, table, LogQuery(min_severity=5)).drop("terms")
+    ingest.run_available(s, f"{root}/out", f"{root}/ckpt")
+    return _out(spark.read.parquet(f"{root}/out"))
+
+
+@register("tail_resume")
+def q_tail_resume(spark, d):
+    return _out(tail.tail_resume(_logs(spark, d), P.CURSOR_ID))
+
+
+@register("tail_dedup")
+def q_tail_dedup(spark, d):
+    """Overlapping polls deliver every third row twice; the viewer shows each id once."""
+    root = _scratch(spark, "tdedup")
+    lv = _logs(spark, d)
+    lv.unionByName(lv.where(F.col("id") % 3 == 0)).write.parquet(f"{root}/in")
+    s = spark.readStream.schema(lv.schema).parquet(f"{root}/in")
+    ingest.run_available(tail.tail_dedup(s), f"{root}/out", f"{root}/ckpt")
+    return _out(spark.read.parquet(f"{root}/out"))
+
+
+@register("tail_window")
+def q_tail_window(spark, d):
+    """The bounded live view: newest 1000 rows after the stream ran."""
+    root = _scratch(spark, "twin")
+    table = _stored_table(spark, d, root)
+    s = tail.tail_source(spark, table, max_files=2).drop("terms")
+    q = (s.writeStream.foreachBatch(tail.tail_window_sink(spark, f"{root}/view"))
+         .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return _out(tail.read_window(spark, f"{root}/view"))
+
+
+@register("ingest_stream")
+def q_ingest_stream(spark, d):
+    """Raw lines (every 10th delivered twice) -> parse -> dedup -> table."""
+    root = _scratch(spark, "ingest")
+    rv = raw_view(spark, d)
+    again = rv.where((F.col("arrival") - 1) % 10 == 0).withColumn("arrival", F.col("arrival") + DUP_ID_OFFSET)
+    rv.unionByName(again).write.parquet(f"{root}/raw")
+    q = ingest.ingest_stream(spark, ingest.stream_raw_lines(spark, f"{root}/raw"), f"{root}/logs",
+                             f"{root}/ckpt", trigger={"availableNow": True})
+    q.awaitTermination()
+    return read_logs(spark, f"{root}/logs").select(
+        "id", "ts_ns", "namespace", "pod", "container", "severity", "message", attrs_text("attributes").alias("attrs"))
+
+
+@register("stream_dedup")
+def q_stream_dedup(spark, d):
+    root = _scratch(spark, "sdedup")
+    dv = dup_view(spark, d)
+    dv.write.parquet(f"{root}/in")
+    s = spark.readStream.schema(dv.schema).parquet(f"{root}/in")
+    out = ingest.stream_dedup(s).select("ts_ns", "namespace", "pod", "container", "message")
+    ingest.run_available(out, f"{root}/out", f"{root}/ckpt")
+    return spark.read.parquet(f"{root}/out")
+
+
+@register("container_events_stream")
+def q_container_events_stream(spark, d):
+    root = _scratch(spark, "lifecycle")
+    sv = status_view(spark, d)
+    sv.write.parquet(f"{root}/in")
+    s = spark.readStream.schema(sv.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    ingest.run_available(stream_lifecycle.container_events_stream(s), f"{root}/out", f"{root}/ckpt")
+    return spark.read.parquet(f"{root}/out")

@@ -8,12 +8,12 @@ the job never reads and overwrites the same files.
 from __future__ import annotations
 
 import datetime as _dt
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from logloom.sinks import fs
 from logloom.sources.logs import TABLE_SCHEMA
 
 NS_PER_DAY = 86_400 * 1_000_000_000
@@ -42,12 +42,6 @@ def retention_counts(df: DataFrame, cutoff_ns: int) -> DataFrame:
                   F.sum(F.when(old, 0).otherwise(1)).cast("long").alias("kept"))
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
 def apply_retention(spark: SparkSession, path: str, cutoff_ns: int, stage_root: str) -> int:
     """Delete rows with ts_ns < cutoff from the table at ``path``; returns the
     number of deleted rows."""
@@ -56,27 +50,15 @@ def apply_retention(spark: SparkSession, path: str, cutoff_ns: int, stage_root:
     deleted = table.where(F.col("log_date") <= F.lit(cutoff_day)).where(F.col("ts_ns") < F.lit(cutoff_ns)).count()
     if deleted == 0:
         return 0
-    fs, root = _fs(spark, path)
-    jvm = spark.sparkContext._jvm
     # the boundary day: keep its newer rows, staged elsewhere first
     boundary = table.where(F.col("log_date") == F.lit(cutoff_day)).where(F.col("ts_ns") >= F.lit(cutoff_ns))
-    stage = os.path.join(stage_root, f"retention-{uuid.uuid4().hex[:12]}")
+    stage = f"{stage_root.rstrip('/')}/retention-{uuid.uuid4().hex[:12]}"
     boundary.drop("log_date").write.mode("overwrite").parquet(stage)
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        if not name.startswith("log_date="):
-            continue
-        day = _dt.date.fromisoformat(name.split("=", 1)[1])
-        if day <= cutoff_day:
-            fs.delete(status.getPath(), True)
-    staged = spark.read.parquet(stage)
-    if staged.limit(1).count():
-        target = jvm.org.apache.hadoop.fs.Path(root, f"log_date={cutoff_day.isoformat()}")
-        sfs, spath = _fs(spark, stage)
-        fs.mkdirs(target)
-        for st in sfs.listStatus(spath):
-            if st.getPath().getName().endswith(".parquet"):
-                fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(target, st.getPath().getName()))
+    for name, full in fs.list_dirs(spark, path):
+        if name.startswith("log_date=") and _dt.date.fromisoformat(name.split("=", 1)[1]) <= cutoff_day:
+            fs.delete(spark, full)
+    fs.move_files(spark, stage, f"{path.rstrip('/')}/log_date={cutoff_day.isoformat()}")
+    fs.delete(spark, stage)
     return int(deleted)
 
 

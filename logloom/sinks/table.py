@@ -7,11 +7,10 @@ One writer per table (ids come from the current maximum).
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from logloom.functions.stem import terms
+from logloom.sinks import fs
 from logloom.functions.timestamps import ns_to_date
 from logloom.operators.dedup import dedup_first
 from logloom.schema import DEDUP_KEY, LOG_COLUMNS
@@ -26,10 +25,7 @@ def with_index_columns(df: DataFrame) -> DataFrame:
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
+    return fs.exists(spark, path)
 
 
 def write_log_table(df: DataFrame, path: str, mode: str = "append", partitions: int | None = None) -> None:
@@ -90,7 +86,7 @@ def append_new(spark: SparkSession, batch: DataFrame, path: str, stage_dir: str,
     existing = spark.read.schema(TABLE_SCHEMA).parquet(path) if table_exists(spark, path) else None
     fresh = new_rows(batch, existing, order=order)
     # stage: makes the id assignment deterministic and cuts lineage
-    staged_path = os.path.join(stage_dir, "batch")
+    staged_path = stage_dir.rstrip("/") + "/batch"
     fresh.write.mode("overwrite").parquet(staged_path)
     staged = spark.read.parquet(staged_path)
     inserted = staged.count()
