@@ -13,6 +13,7 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
 from logloom.functions.porter import stem
+from logloom.session import ship_package
 from logloom.functions.tokenize import tokenize, tokenize_py
 
 _MEMO: dict[str, str] = {}
@@ -40,9 +41,16 @@ def stem_token(tokens: pd.Series) -> pd.Series:
 
 def terms(text: Column | str) -> Column:
     """Text -> stemmed token array, in text order (the search index column)."""
+    ship_package()
     return stem_array(tokenize(text))
 
 
+def stem_column(token: Column | str) -> Column:
+    """Stem of a single-token column (vocabulary building)."""
+    ship_package()
+    return stem_token(F.col(token) if isinstance(token, str) else token)
+
+
 def query_terms(word: str) -> list[str]:
     """Stemmed tokens of a query word, computed on the driver (tiny input)."""
     return [stem(t) for t in tokenize_py(word)]

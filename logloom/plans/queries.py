@@ -18,7 +18,7 @@ from logloom.functions.attrs import entries_to_map
 from logloom.functions.logfmt import logfmt_fields
 from logloom.functions.severity import (severity_from_fields, severity_from_pattern, severity_label,
                                         severity_of)
-from logloom.functions.stem import stem_token, terms
+from logloom.functions.stem import stem_column, terms
 from logloom.functions.text import strip_ansi, truncate_value
 from logloom.functions.timestamps import floor_div, format_ts, ns_to_date, split_timestamp
 from logloom.functions.tokenize import tokenize
@@ -293,7 +293,7 @@ def q_build_vocabulary(spark, d):
     docs = spread(read_table(spark, d, "documents"))
     vocab = docs.select(F.explode(tokenize("text")).alias("token")).groupBy("token").agg(
         F.count("*").cast("long").alias("n"))
-    return vocab.select("token", stem_token(F.col("token")).alias("stem"), "n")
+    return vocab.select("token", stem_column("token").alias("stem"), "n")
 
 
 @register("search_term")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from logloom.functions.stem import terms
+from logloom.session import checkpoint_root
 from logloom.sinks import fs
 from logloom.functions.timestamps import ns_to_date
 from logloom.operators.dedup import dedup_first
@@ -49,20 +50,27 @@ def max_id(spark: SparkSession, path: str) -> int:
 
 def assign_ids(df: DataFrame, start_after: int, order: str = "arrival") -> DataFrame:
     """Dense ids ``start_after + 1 ..`` in ``order``, without a global sort in
-    one task: rows are range-partitioned on ``order``, each partition counts
-    its rows (a tiny aggregate), and a partition's offset is the sum of the
-    counts before it.  The input must be deterministic (stage it first)."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    ranged = df.repartitionByRange(n, order).sortWithinPartitions(order)
-    # position inside the partition: the generated id is (partition << 33) + row index
-    ranged = ranged.withColumn("__mono", F.monotonically_increasing_id())
+    one task: rows are range-partitioned on ``order`` and numbered inside
+    their partition; a partition's offset is the sum of the row counts of
+    the partitions before it (a tiny aggregate, one row per partition).
+
+    The numbered rows are checkpointed (reliably, under the shared folder),
+    so counts and numbers come from one and the same partitioning even if a
+    stage is retried or AQE would plan the two uses differently."""
+    spark = df.sparkSession
+    checkpoint_root(spark)
+    n = spark.sparkContext.defaultParallelism
+    ranged = (df.repartitionByRange(n, order).sortWithinPartitions(order)
+              .withColumn("__mono", F.monotonically_increasing_id())  # (partition << 33) + row index
+              .checkpoint(eager=True))
     ranged = ranged.withColumns({"__pid": F.shiftright(F.col("__mono"), 33),
                                  "__pos": F.col("__mono") - F.shiftleft(F.shiftright(F.col("__mono"), 33), 33) + 1})
     counts = ranged.groupBy("__pid").agg(F.count("*").alias("__n"))
     offsets = counts.select("__pid", (F.sum("__n").over(Window.orderBy("__pid")) - F.col("__n")).alias("__off"))
     # one row per partition: bounded by the partition count, safe to broadcast
     out = ranged.join(F.broadcast(offsets), "__pid")
-    return out.withColumn("id", F.lit(start_after) + F.col("__off") + F.col("__pos")).drop("__pid", "__pos", "__off", "__mono")
+    return out.withColumn("id", F.lit(start_after) + F.col("__off") + F.col("__pos")).drop(
+        "__pid", "__pos", "__off", "__mono")
 
 
 def new_rows(batch: DataFrame, existing: DataFrame | None, order: str = "arrival") -> DataFrame:
@@ -82,15 +90,19 @@ def new_rows(batch: DataFrame, existing: DataFrame | None, order: str = "arrival
 
 def append_new(spark: SparkSession, batch: DataFrame, path: str, stage_dir: str, order: str = "arrival") -> dict:
     """Append a batch of parsed rows (no ids) to the table; a re-delivered
-    batch adds nothing.  Returns offered / inserted counts."""
+    batch adds nothing.  Returns offered / inserted counts.
+
+    The batch is staged first: that cuts the (large) parse expressions out of
+    the join's plan and makes the id assignment deterministic on retry."""
+    stage = stage_dir.rstrip("/")
+    cols = [c for c in batch.columns if c in LOG_COLUMNS or c == order]
+    batch.select(*cols).write.mode("overwrite").parquet(stage + "/in")
+    staged_in = spark.read.parquet(stage + "/in")
     existing = spark.read.schema(TABLE_SCHEMA).parquet(path) if table_exists(spark, path) else None
-    fresh = new_rows(batch, existing, order=order)
-    # stage: makes the id assignment deterministic and cuts lineage
-    staged_path = stage_dir.rstrip("/") + "/batch"
-    fresh.write.mode("overwrite").parquet(staged_path)
-    staged = spark.read.parquet(staged_path)
+    new_rows(staged_in, existing, order=order).write.mode("overwrite").parquet(stage + "/batch")
+    staged = spark.read.parquet(stage + "/batch")
     inserted = staged.count()
-    offered = batch.count()
+    offered = staged_in.count()
     if inserted:
         with_ids = assign_ids(staged, max_id(spark, path), order=order)
         write_log_table(with_ids.select(*LOG_COLUMNS), path)

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from logloom.schema import CONTAINER_KEY
+from logloom.session import ship_package
 
 EVENT_SCHEMA = T.StructType([
     T.StructField("namespace", T.StringType()), T.StructField("pod", T.StringType()),
@@ -60,6 +61,7 @@ class ContainerStateMachine(StatefulProcessor):
 
 def container_events_stream(status_stream: DataFrame) -> DataFrame:
     """Status snapshot stream -> START/STOP event stream (append mode)."""
+    ship_package(status_stream.sparkSession)
     return status_stream.groupBy(*CONTAINER_KEY).transformWithStateInPandas(
         statefulProcessor=ContainerStateMachine(), outputStructType=EVENT_SCHEMA,
         outputMode="Append", timeMode="None")
