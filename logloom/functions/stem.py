@@ -29,16 +29,21 @@ def _stem_cached(tok: str) -> str:
     return s
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stem_array(tokens: pd.Series) -> pd.Series:
+def _stem_arrays(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda arr: None if arr is None else [_stem_cached(t) for t in arr])
 
 
-@F.pandas_udf(T.StringType())
-def stem_token(tokens: pd.Series) -> pd.Series:
+def _stem_tokens(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda t: None if t is None else _stem_cached(t))
 
 
+# Declared non-deterministic only to pin them in the plan: Catalyst would
+# otherwise push a search filter (and with it the UDF) below a repartition
+# that exists to spread this very work over all cores.
+stem_array = F.pandas_udf(_stem_arrays, T.ArrayType(T.StringType())).asNondeterministic()
+stem_token = F.pandas_udf(_stem_tokens, T.StringType()).asNondeterministic()
+
+
 def terms(text: Column | str) -> Column:
     """Text -> stemmed token array, in text order (the search index column)."""
     ship_package()

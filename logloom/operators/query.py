@@ -14,7 +14,7 @@ from typing import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logloom.functions.attrs import attr_equals
-from logloom.operators.search import Match, all_words
+from logloom.operators.search import Match, all_words, search
 
 NS_PER_S = 1_000_000_000
 DEFAULT_LIMIT = 100
@@ -104,7 +104,8 @@ class LogQuery:
         return self.search
 
     def condition(self, has_log_date: bool = False, with_cursor: bool = True) -> Column:
-        """The conjunction of all set filters (TRUE when none is set)."""
+        """The conjunction of all set filters but full text (TRUE when none
+        is set); see :func:`apply_query` for the full-text part."""
         conds: list[Column] = []
         if self.start_ns is not None:
             conds.append(F.col("ts_ns") >= F.lit(self.start_ns))
@@ -122,9 +123,6 @@ class LogQuery:
             conds.append(F.col("severity") >= F.lit(self.min_severity))
         for k in sorted(self.attributes):
             conds.append(attr_equals("attributes", k, self.attributes[k]))
-        match = self.search_match()
-        if match is not None:
-            conds.append(match.column(F.col("terms")))
         if with_cursor:
             if self.after_id:
                 conds.append(F.col("id") > F.lit(self.after_id))
@@ -137,5 +135,7 @@ class LogQuery:
 
 
 def apply_query(df: DataFrame, q: LogQuery, with_cursor: bool = True) -> DataFrame:
-    """All filters of ``q`` (no order, no limit)."""
-    return df.where(q.condition(has_log_date="log_date" in df.columns, with_cursor=with_cursor))
+    """All filters of ``q`` (no order, no limit).  Scan-pushable filters come
+    first; full text last, on the rows that are left."""
+    plain = df.where(q.condition(has_log_date="log_date" in df.columns, with_cursor=with_cursor))
+    return search(plain, q.search_match())

@@ -166,10 +166,25 @@ def all_words(text: str) -> Match | None:
     return out
 
 
+def with_terms(df):
+    """Add the ``terms`` column where the frame has none (a stored log table
+    has it).  Small inputs are spread over all cores first."""
+    if TERMS in df.columns:
+        return df
+    from logloom.functions.stem import terms
+    from logloom.sources.views import spread
+
+    base = df if df.isStreaming else spread(df)
+    return base.withColumn(TERMS, terms(F.col("message")))
+
+
 def search(df, match: Match | str | None, terms_col: str = TERMS):
-    """Filter a frame that has a ``terms`` column."""
+    """Keep rows whose message matches.  Apply other filters before this one:
+    the stems are then computed only for the rows that survive them."""
     if isinstance(match, str):
         match = all_words(match)
     if match is None:
         return df
+    if terms_col == TERMS:
+        df = with_terms(df)
     return df.where(match.column(F.col(terms_col)))

@@ -100,7 +100,7 @@ EV = """ev AS (
         FROM sv WINDOW w AS (PARTITION BY namespace, pod, pod_uid, container ORDER BY seq)))"""
 
 
-def _with(*ctes: str) -> str:
+def _with(*ctes: str) -> str:  # noqa: D103
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
@@ -295,3 +295,21 @@ ORACLE["ingest_stream"] = _with(LV, RAWX) + (
     "QUALIFY row_number() OVER (PARTITION BY ts_ns, namespace, pod, container, message ORDER BY arrival) = 1)")
 ORACLE["stream_dedup"] = _with(LV, DV) + "SELECT DISTINCT ts_ns, namespace, pod, container, message FROM dv"
 ORACLE["container_events_stream"] = ORACLE["container_events"]
+
+# Porter stems of the words of the log-message templates
+# (numbers stay, a trailing "ms" loses its "s").
+TEMPLATE_STEMS = [
+    ("connection", "connect"), ("established", "establish"), ("successfully", "successfulli"), ("page", "page"),
+    ("rendered", "render"), ("in", "in"), ("user", "user"), ("clicked", "click"), ("checkout", "checkout"),
+    ("search", "search"), ("login", "login"), ("button", "button"), ("request", "request"),
+    ("completed", "complet"), ("signup", "signup"), ("rate", "rate"), ("limit", "limit"),
+    ("approaching", "approach"), ("for", "for"), ("refused", "refus"), ("by", "by"), ("server", "server"),
+    ("database", "databas"), ("failed", "fail"),
+]
+_STEMS = ", ".join(f"('{w}', '{s}')" for w, s in TEMPLATE_STEMS)
+ORACLE["build_postings"] = _with(LV) + (
+    f", stems(word, stem) AS (VALUES {_STEMS}), "
+    "toks AS (SELECT id, unnest(regexp_split_to_array(lower(message), '[^a-z0-9]+')) AS tok, "
+    "unnest(range(0, len(regexp_split_to_array(lower(message), '[^a-z0-9]+')))) AS pos FROM lv) "
+    "SELECT coalesce(s.stem, CASE WHEN regexp_matches(tok, '^[0-9]+ms$') THEN left(tok, length(tok) - 1) ELSE tok END) "
+    "AS term, id, pos FROM toks LEFT JOIN stems s ON s.word = toks.tok")

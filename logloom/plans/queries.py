@@ -62,7 +62,7 @@ def _logs(spark, d) -> DataFrame:
 
 
 def _logs_terms(spark, d) -> DataFrame:
-    return spread(_logs(spark, d)).withColumn("terms", terms("message"))
+    return search.with_terms(_logs(spark, d))
 
 
 def _parsed(spark, d) -> DataFrame:
@@ -210,9 +210,8 @@ def q_truncate_value(spark, d):
 
 # ---------------------------------------------------------------- filters
 
-def _filtered(spark, d, q: LogQuery, with_terms: bool = False) -> DataFrame:
-    base = _logs_terms(spark, d) if with_terms else _logs(spark, d)
-    return _out(apply_query(base, q))
+def _filtered(spark, d, q: LogQuery) -> DataFrame:
+    return _out(apply_query(_logs(spark, d), q))
 
 
 @register("query_time_range")
@@ -247,14 +246,14 @@ def q_attributes(spark, d):
 
 @register("query_search")
 def q_search(spark, d):
-    return _filtered(spark, d, LogQuery(search="refused connections"), with_terms=True)
+    return _filtered(spark, d, LogQuery(search="refused connections"))
 
 
 @register("query_combined")
 def q_combined(spark, d):
     q = LogQuery(namespace=P.NAMESPACE, min_severity=5, search="database",
                  start_ns=P.RANGE_START_NS, limit=P.PAGE_LIMIT)
-    return _out(paging.page(_logs_terms(spark, d), q))
+    return _out(paging.page(_logs(spark, d), q))
 
 
 @register("query_logs")
@@ -275,7 +274,7 @@ def q_last_minutes(spark, d):
 # ---------------------------------------------------------------- full text
 
 def _searched(spark, d, match) -> DataFrame:
-    return search.search(_logs_terms(spark, d), match).select("id", "message")
+    return search.search(_logs(spark, d), match).select("id", "message")
 
 
 @register("tokenize")
@@ -344,7 +343,7 @@ def q_search_initial(spark, d):
 @register("search_documents")
 def q_search_documents(spark, d):
     """Full text over the documents as log messages (English namespace)."""
-    docs = spread(doc_log_view(spark, d)).where(F.col("namespace") == "en").withColumn("terms", terms("message"))
+    docs = doc_log_view(spark, d).where(F.col("namespace") == "en")
     match = search.term("worthless") | (search.prefix("therea") & search.term("ing"))
     return search.search(docs, match).select("id", "namespace", "pod")
 
