@@ -52,14 +52,22 @@ def _stages(src: Column, ingest: Column) -> list[dict[str, Column]]:
          .otherwise(severity_from_pattern(body)).cast("int"),
          _P + "ent": F.when(_c("jhit"), _c("jent")).when(_c("lhit"), _c("lent"))
          .otherwise(F.lit(None).cast(_NO_ENTRIES))},
-        {"ts_ns": _c("ts"),
-         "severity": _c("sev"),
-         "message": F.coalesce(F.try_element_at(F.filter(_c("ent"), lambda x: x["key"] == "msg"), F.lit(1))["value"],
-                               body),
-         "attributes": entries_to_map(F.filter(_c("ent"), lambda x: x["key"] != "msg"))},
+        {"ts_ns": _barrier(_c("ts")),
+         "severity": _barrier(_c("sev")),
+         "message": _barrier(F.coalesce(
+             F.try_element_at(F.filter(_c("ent"), lambda x: x["key"] == "msg"), F.lit(1))["value"], body)),
+         "attributes": _barrier(entries_to_map(F.filter(_c("ent"), lambda x: x["key"] != "msg")))},
     ]
 
 
+def _barrier(c: Column) -> Column:
+    """Identity that Catalyst treats as non-deterministic (a partition id is
+    never negative).  Filters on parsed columns then stay above the parse:
+    pushed below, they would re-run the parse inside the filter and inline
+    every shared stage into one ever-growing expression."""
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 # Built expressions are unresolved and reusable across frames: build once.
 _STAGE_CACHE: dict[tuple, list[dict[str, Column]]] = {}
 

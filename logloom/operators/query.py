@@ -139,3 +139,15 @@ def apply_query(df: DataFrame, q: LogQuery, with_cursor: bool = True) -> DataFra
     first; full text last, on the rows that are left."""
     plain = df.where(q.condition(has_log_date="log_date" in df.columns, with_cursor=with_cursor))
     return search(plain, q.search_match())
+
+
+def project_entry(df: DataFrame) -> DataFrame:
+    """Entry -> one JSON document per row, the shape the store serves:
+    id, timestamp (Unix ns), namespace, pod, container, severity, message,
+    attrs (keys sorted; omitted when there are none).  Characters are not
+    HTML-escaped."""
+    attrs = F.when(F.size(F.col("attributes")) > 0,
+                   F.map_from_entries(F.array_sort(F.map_entries(F.col("attributes")))))
+    doc = F.struct(F.col("id").alias("id"), F.col("ts_ns").alias("timestamp"), "namespace", "pod", "container",
+                   F.col("severity").cast("int").alias("severity"), "message", attrs.alias("attrs"))
+    return df.select("id", F.to_json(doc).alias("json"))

@@ -125,6 +125,10 @@ ORACLE["read_raw_lines"] = _with(LV, RAWLINES) + "SELECT arrival, namespace, pod
 ORACLE["split_oversize"] = (f"SELECT doc_id AS arrival, octet_length(encode(text)) <= {P.DOC_LINE_MAX_BYTES} AS accepted "
                             "FROM documents")
 ORACLE["since"] = _with(LV, RAWX) + f"SELECT arrival, ts_ns, severity, message, attrs FROM rawx WHERE ts_ns >= {P.SINCE_NS}"
+ORACLE["project_entry"] = _with(LV) + (
+    "SELECT id, CAST(json_object('id', id, 'timestamp', ts_ns, 'namespace', namespace, 'pod', pod, "
+    "'container', container, 'severity', severity, 'message', message, "
+    "'attrs', json_object('k', k, 'user_id', CAST(user_id AS VARCHAR))) AS VARCHAR) AS json FROM lv")
 ORACLE["collect_gate"] = _filtered("namespace <> 'kube-system'")
 ORACLE["collect_gate_include"] = _filtered("namespace IN ('production', 'staging') AND namespace NOT IN ('kube-system', 'staging')")
 ORACLE["read_structured"] = _with(LV, RAWX) + (

@@ -25,7 +25,7 @@ from logloom.functions.tokenize import tokenize
 from logloom.operators import lifecycle, paging, search, stats
 from logloom.operators.dedup import backfill_key, dedup_existing, dedup_first, dedup_key
 from logloom.operators.parse import parse_lines, to_log_entry
-from logloom.operators.query import LogQuery, apply_query
+from logloom.operators.query import LogQuery, apply_query, project_entry
 from logloom.plans import derived, params as P
 from logloom.sinks.retention import retention_counts, retention_keep, retention_stats
 from logloom.sinks.table import assign_ids, new_rows
@@ -103,6 +103,11 @@ def q_since(spark, d):
     return _parsed_out(src.since(_parsed(spark, d), P.SINCE_NS))
 
 
+@register("project_entry")
+def q_project_entry(spark, d):
+    return project_entry(_logs(spark, d))
+
+
 @register("collect_gate")
 def q_collect_gate(spark, d):
     return _out(src.collect_gate(_logs(spark, d), include=(), exclude=("kube-system",)))

@@ -22,7 +22,10 @@ EVENT_SCHEMA = T.StructType([
     T.StructField("pod_uid", T.StringType()), T.StructField("container", T.StringType()),
     T.StructField("seq", T.LongType()), T.StructField("event", T.StringType()),
 ])
-_STATE = T.StructType([T.StructField("running", T.BooleanType()), T.StructField("container_id", T.StringType())])
+# running NULL = unseen (or forgotten after a pod deletion); last_seq drops
+# replayed or stale snapshots.
+_STATE = T.StructType([T.StructField("running", T.BooleanType()), T.StructField("container_id", T.StringType()),
+                       T.StructField("last_seq", T.LongType())])
 
 
 class ContainerStateMachine(StatefulProcessor):
@@ -31,9 +34,15 @@ class ContainerStateMachine(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("seq")
-        prev = self.state.get() if self.state.exists() else None
+        prev, last_seq = None, None
+        if self.state.exists():
+            running, cid, last_seq = self.state.get()
+            prev = None if running is None else (running, cid)
         out = []
         for r in batch.itertuples(index=False):
+            if last_seq is not None and r.seq <= last_seq:
+                continue
+            last_seq = r.seq
             if r.kind == "deleted":
                 out.append((r.seq, "STOP"))
                 prev = None
@@ -46,21 +55,25 @@ class ContainerStateMachine(StatefulProcessor):
                 if prev is not None and prev[0]:
                     out.append((r.seq, "STOP"))
                 prev = (False, r.container_id) if (prev is None or prev[0]) else prev
-        if prev is None:
-            self.state.clear()
-        else:
-            self.state.update(prev)
+        self.state.update((None, None, last_seq) if prev is None else (prev[0], prev[1], last_seq))
+        if not out:
+            return
         ns, pod, uid, cont = key
-        yield pd.DataFrame({"namespace": ns, "pod": pod, "pod_uid": uid, "container": cont,
-                            "seq": [s for s, _ in out], "event": [e for _, e in out]},
-                           columns=[f.name for f in EVENT_SCHEMA.fields])
+        n = len(out)
+        yield pd.DataFrame({"namespace": [ns] * n, "pod": [pod] * n, "pod_uid": [uid] * n, "container": [cont] * n,
+                            "seq": pd.array([s for s, _ in out], dtype="int64"),
+                            "event": [e for _, e in out]})
 
     def close(self) -> None:
         pass
 
 
 def container_events_stream(status_stream: DataFrame) -> DataFrame:
-    """Status snapshot stream -> START/STOP event stream (append mode)."""
+    """Status snapshot stream -> START/STOP event stream (append mode).
+
+    Snapshots of one container must arrive in ``seq`` order across
+    micro-batches (a source keyed by container keeps that order); inside a
+    micro-batch they are sorted; replayed or older snapshots are ignored."""
     ship_package(status_stream.sparkSession)
     return status_stream.groupBy(*CONTAINER_KEY).transformWithStateInPandas(
         statefulProcessor=ContainerStateMachine(), outputStructType=EVENT_SCHEMA,
