@@ -44,20 +44,33 @@ def retention_counts(df: DataFrame, cutoff_ns: int) -> DataFrame:
 
 def apply_retention(spark: SparkSession, path: str, cutoff_ns: int, stage_root: str) -> int:
     """Delete rows with ts_ns < cutoff from the table at ``path``; returns the
-    number of deleted rows."""
+    number of deleted rows.
+
+    Restartable after a lost driver: the kept rows of the boundary day are
+    staged under a name fixed by the cutoff; staged files are moved into the
+    boundary partition (renamed with a cutoff prefix) before its old files
+    are deleted, and a rerun finishes whatever step was interrupted."""
     table = spark.read.schema(TABLE_SCHEMA).parquet(path)
     cutoff_day = _dt.datetime.fromtimestamp(cutoff_ns // 1_000_000_000, _dt.timezone.utc).date()
-    deleted = table.where(F.col("log_date") <= F.lit(cutoff_day)).where(F.col("ts_ns") < F.lit(cutoff_ns)).count()
-    if deleted == 0:
+    stage = f"{stage_root.rstrip('/')}/retention-{cutoff_ns}"
+    boundary_dir = f"{path.rstrip('/')}/log_date={cutoff_day.isoformat()}"
+    prefix = f"ret-{cutoff_ns}-"
+    resuming = fs.exists(spark, stage + "/_SUCCESS")
+    deleted = 0 if resuming else table.where(F.col("log_date") <= F.lit(cutoff_day)) \
+        .where(F.col("ts_ns") < F.lit(cutoff_ns)).count()
+    if deleted == 0 and not resuming:
         return 0
-    # the boundary day: keep its newer rows, staged elsewhere first
-    boundary = table.where(F.col("log_date") == F.lit(cutoff_day)).where(F.col("ts_ns") >= F.lit(cutoff_ns))
-    stage = f"{stage_root.rstrip('/')}/retention-{uuid.uuid4().hex[:12]}"
-    boundary.drop("log_date").write.mode("overwrite").parquet(stage)
+    if not resuming:
+        keep = table.where(F.col("log_date") == F.lit(cutoff_day)).where(F.col("ts_ns") >= F.lit(cutoff_ns))
+        keep.drop("log_date").write.mode("overwrite").parquet(stage)
     for name, full in fs.list_dirs(spark, path):
-        if name.startswith("log_date=") and _dt.date.fromisoformat(name.split("=", 1)[1]) <= cutoff_day:
+        if name.startswith("log_date=") and _dt.date.fromisoformat(name.split("=", 1)[1]) < cutoff_day:
             fs.delete(spark, full)
-    fs.move_files(spark, stage, f"{path.rstrip('/')}/log_date={cutoff_day.isoformat()}")
+    old = [full for name, full in fs.list_dirs(spark, boundary_dir)
+           if name.endswith(".parquet") and not name.startswith(prefix)]
+    fs.move_files(spark, stage, boundary_dir, rename_prefix=prefix)
+    for full in old:
+        fs.delete(spark, full)
     fs.delete(spark, stage)
     return int(deleted)
 

@@ -18,6 +18,21 @@ from logloom.schema import DEDUP_KEY, LOG_COLUMNS
 from logloom.sources.logs import TABLE_SCHEMA
 
 ROWS_PER_FILE = 5_000_000
+BYTES_PER_PARTITION = 256 << 20
+MAX_PARTITIONS = 200_000
+
+
+def target_partitions(df: DataFrame, bytes_per_partition: int = BYTES_PER_PARTITION) -> int:
+    """Partition count for a shuffle that feeds a write: the optimizer's size
+    estimate of the frame / ``bytes_per_partition``, at least one per core."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - estimate unavailable (e.g. streaming)
+        size = 0
+    if size >= 1 << 60:  # the optimizer's "unknown" (e.g. an RDD-backed frame)
+        return cores
+    return int(min(max(cores, -(-size // bytes_per_partition)), MAX_PARTITIONS))
 
 
 def with_index_columns(df: DataFrame) -> DataFrame:
@@ -35,7 +50,7 @@ def write_log_table(df: DataFrame, path: str, mode: str = "append", partitions:
     many writers, and every file covers a narrow id range."""
     rows = df if "terms" in df.columns else with_index_columns(df)
     rows = rows.select(*[f.name for f in TABLE_SCHEMA.fields])
-    n = partitions or rows.sparkSession.sparkContext.defaultParallelism
+    n = partitions or target_partitions(rows)
     (rows.repartitionByRange(n, "log_date", "id").sortWithinPartitions("log_date", "id")
      .write.mode(mode).option("maxRecordsPerFile", ROWS_PER_FILE)
      .partitionBy("log_date").parquet(path))
@@ -59,7 +74,7 @@ def assign_ids(df: DataFrame, start_after: int, order: str = "arrival") -> DataF
     stage is retried or AQE would plan the two uses differently."""
     spark = df.sparkSession
     checkpoint_root(spark)
-    n = spark.sparkContext.defaultParallelism
+    n = target_partitions(df)
     ranged = (df.repartitionByRange(n, order).sortWithinPartitions(order)
               .withColumn("__mono", F.monotonically_increasing_id())  # (partition << 33) + row index
               .checkpoint(eager=True))

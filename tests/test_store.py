@@ -122,3 +122,22 @@ def test_append_dedup_and_ids(spark, tmp_dir):
     assert sorted(v[0] for v in got.values()) == [1, 2, 3, 4]
     r3 = append_new(spark, batch([(9, T0 + 5 * H, "ns", 2, "later")]), path, stage)
     assert r3["inserted"] == 1 and ids(read_logs(spark, path)) == [1, 2, 3, 4, 5]
+
+
+def test_retention_resumes_after_interruption(spark, tmp_dir):
+    now = T0 + 48 * H
+    path = os.path.join(tmp_dir, "logs")
+    write_log_table(rows(spark, [(1, now - 48 * H, "ns", 3, "old", None), (2, now - H, "ns", 3, "new", None),
+                                 (3, now - 24 * H - 1, "ns", 3, "boundary-old", None),
+                                 (4, now - 24 * H + 1, "ns", 3, "boundary-new", None)]), path)
+    cutoff = now - 24 * H
+    # a first run that died right after staging the boundary day
+    from logloom.sinks import retention as R
+    t = read_logs(spark, path)
+    day = __import__("datetime").datetime.fromtimestamp(cutoff // 10**9, __import__("datetime").timezone.utc).date()
+    t.where(F.col("log_date") == F.lit(day)).where(F.col("ts_ns") >= cutoff).drop("log_date") \
+        .write.mode("overwrite").parquet(f"{tmp_dir}/retention-{cutoff}")
+    R.apply_retention(spark, path, cutoff, tmp_dir)
+    assert sorted(r.message for r in read_logs(spark, path).collect()) == ["boundary-new", "new"]
+    R.apply_retention(spark, path, cutoff, tmp_dir)       # idempotent
+    assert sorted(r.message for r in read_logs(spark, path).collect()) == ["boundary-new", "new"]
