@@ -17,12 +17,38 @@ from logloom.functions.stem import query_terms
 TERMS = "terms"
 
 
+# The stemmer only rewrites a word's ending, and at most the last two
+# characters of a stem differ from the word it came from (step 2 can turn
+# "-biliti" into "-ble"; later steps only cut).  So a message can only hold
+# a token with stem ``s`` if its folded text contains ``s[:-2]``: a cheap,
+# exact-safe JVM pre-filter before any stemming.
+STEM_DRIFT = 2
+
+
+def _root(stem: str) -> str:
+    return stem[: max(0, len(stem) - STEM_DRIFT)]
+
+
+def _all(cols):
+    cols = [c for c in cols if c is not None]
+    if not cols:
+        return None
+    out = cols[0]
+    for c in cols[1:]:
+        out = out & c
+    return out
+
+
 class Match:
     """A search predicate; ``column(terms)`` gives the boolean Column."""
 
     def column(self, terms: Column) -> Column:  # pragma: no cover - abstract
         raise NotImplementedError
 
+    def candidates(self, folded: Column) -> Column | None:
+        """A superset test on the folded message text (None: no restriction)."""
+        return None
+
     def __and__(self, other: "Match") -> "Match":
         return _And(self, other)
 
@@ -47,6 +73,11 @@ class _And(Match):
             return self.a.column(terms) & ~b.inner.column(terms)
         return self.a.column(terms) & b.column(terms)
 
+    def candidates(self, folded):
+        if isinstance(self.b, _Negated):
+            return self.a.candidates(folded)
+        return _all([self.a.candidates(folded), self.b.candidates(folded)])
+
 
 @dataclass(frozen=True)
 class _Or(Match):
@@ -56,6 +87,10 @@ class _Or(Match):
     def column(self, terms):
         return self.a.column(terms) | self.b.column(terms)
 
+    def candidates(self, folded):
+        ca, cb = self.a.candidates(folded), self.b.candidates(folded)
+        return None if ca is None or cb is None else ca | cb
+
 
 @dataclass(frozen=True)
 class _Not(Match):
@@ -65,6 +100,9 @@ class _Not(Match):
     def column(self, terms):
         return self.a.column(terms) & ~self.b.column(terms)
 
+    def candidates(self, folded):
+        return self.a.candidates(folded)
+
 
 @dataclass(frozen=True)
 class _Negated(Match):
@@ -103,6 +141,9 @@ class Phrase(Match):
         head = " " + " ".join(self.stems[:-1]) + " " + self.stems[-1]
         return F.contains(_joined(terms), F.lit(head))
 
+    def candidates(self, folded):
+        return _all([F.contains(folded, F.lit(_root(s))) if _root(s) else None for s in self.stems])
+
 
 @dataclass(frozen=True)
 class Initial(Match):
@@ -112,6 +153,9 @@ class Initial(Match):
     def column(self, terms):
         return F.coalesce(F.try_element_at(terms, F.lit(1)) == F.lit(self.stem), F.lit(False))
 
+    def candidates(self, folded):
+        return F.contains(folded, F.lit(_root(self.stem))) if _root(self.stem) else None
+
 
 @dataclass(frozen=True)
 class Near(Match):
@@ -124,6 +168,9 @@ class Near(Match):
         pa, pb = _positions(terms, self.a), _positions(terms, self.b)
         return F.exists(pa, lambda i: F.exists(pb, lambda j: (F.abs(i - j) - 1 <= self.n) & (i != j)))
 
+    def candidates(self, folded):
+        return _all([F.contains(folded, F.lit(_root(x))) if _root(x) else None for x in (self.a, self.b)])
+
 
 def term(word: str) -> Match:
     """One word; several tokens in it make a phrase."""
@@ -185,6 +232,11 @@ def search(df, match: Match | str | None, terms_col: str = TERMS):
         match = all_words(match)
     if match is None:
         return df
-    if terms_col == TERMS:
+    if terms_col == TERMS and TERMS not in df.columns:
+        from logloom.functions.tokenize import fold
+
+        pre = match.candidates(fold(F.col("message")))
+        if pre is not None:
+            df = df.where(pre)
         df = with_terms(df)
     return df.where(match.column(F.col(terms_col)))

@@ -88,7 +88,8 @@ SV = f"""sv AS (
     'uid-' || CAST(user_id AS VARCHAR) AS pod_uid, 'main' AS container, event_id AS seq,
     CASE WHEN event_type = 'signup' AND value > 200 THEN 'deleted' ELSE 'status' END AS kind,
     event_type <> 'error' AS running, CAST(floor(event_id / 5000) AS INTEGER) AS restart_count,
-    CAST(user_id AS VARCHAR) || '-' || CAST(CAST(floor(event_id / 5000) AS BIGINT) AS VARCHAR) AS container_id
+    CAST(user_id AS VARCHAR) || '-' || CAST(CAST(floor(event_id / 5000) AS BIGINT) AS VARCHAR) AS container_id,
+    'node-' || CAST(user_id % 3 AS VARCHAR) AS node
   FROM events)"""
 
 EV = """ev AS (
@@ -273,6 +274,8 @@ ORACLE["entry_neighbours"] = _with(LV) + (
 # ------------------------------------------------------------------ lifecycle
 ORACLE["container_events"] = _with(SV, EV) + (
     "SELECT namespace, pod, pod_uid, container, seq, event FROM ev WHERE event IS NOT NULL")
+ORACLE["container_events_node"] = _with(SV, EV.replace("FROM sv WINDOW", f"FROM sv WHERE node = '{P.NODE}' WINDOW")) + (
+    "SELECT namespace, pod, pod_uid, container, seq, event FROM ev WHERE event IS NOT NULL")
 ORACLE["container_restarts"] = _with(SV, EV) + (
     "SELECT namespace, pod, pod_uid, container, max(restart_count) AS max_restart_count, "
     "CAST(greatest(coalesce(sum(CASE WHEN event = 'START' THEN 1 ELSE 0 END), 0) - 1, 0) AS BIGINT) AS restarts "

@@ -20,3 +20,4 @@ CURSOR_ID = 5000
 DOC_LINE_MAX_BYTES = 16384
 NEAR_DISTANCE = 2
 ASSIGN_START = 30_000_000          # highest stored id before the batch
+NODE = "node-1"

@@ -22,7 +22,7 @@ from logloom.functions.stem import stem_column, terms
 from logloom.functions.text import strip_ansi, truncate_value
 from logloom.functions.timestamps import floor_div, format_ts, ns_to_date, split_timestamp
 from logloom.functions.tokenize import tokenize
-from logloom.operators import lifecycle, paging, search, stats
+from logloom.operators import lifecycle, paging, postings, search, stats
 from logloom.operators.dedup import backfill_key, dedup_existing, dedup_first, dedup_key
 from logloom.operators.parse import parse_lines, to_log_entry
 from logloom.operators.query import LogQuery, apply_query, project_entry
@@ -356,18 +356,14 @@ def q_search_documents(spark, d):
 @register("build_postings")
 def q_build_postings(spark, d):
     """Posting list (term, id, position) of the log messages."""
-    lt = _logs_terms(spark, d)
-    return lt.select("id", F.posexplode("terms").alias("pos", "term")).select("term", "id", F.col("pos").cast("long"))
+    return postings.build_postings(_logs(spark, d))
 
 
 @register("query_search_postings")
 def q_search_postings(spark, d):
     """Term search answered from the posting list (semi-join on id)."""
-    lt = _logs_terms(spark, d)
-    stem = search.query_terms("connection")[0]
-    postings = lt.select("id", F.explode("terms").alias("term"))
-    hits = postings.where(F.col("term") == stem).select("id")
-    return _logs(spark, d).join(hits, "id", "left_semi").select("id", "message")
+    lv = _logs(spark, d)
+    return postings.search_postings(lv, postings.build_postings(lv), search.term("connection")).select("id", "message")
 
 
 # ---------------------------------------------------------------- dedup, writes
@@ -539,6 +535,12 @@ def q_container_events(spark, d):
     return lifecycle.container_events(status_view(spark, d)).drop("restart_count")
 
 
+@register("container_events_node")
+def q_container_events_node(spark, d):
+    """Only the pods of one node (discovery watches its own node)."""
+    return lifecycle.container_events(status_view(spark, d), node=P.NODE).drop("restart_count")
+
+
 @register("container_restarts")
 def q_container_restarts(spark, d):
     return lifecycle.container_restarts(status_view(spark, d))

@@ -81,3 +81,11 @@ def test_document_hits_match_fts5(spark, docs, query, build):
     want = sorted(r[0] for r in con.execute("select rowid from f where f match ?", (query,)))
     df = spark.createDataFrame(docs, "id long, message string").withColumn("terms", terms("message"))
     assert hits(df, build()) == want
+
+
+def test_stem_drift_bound(docs):
+    """The pre-filter relies on every token starting with its stem minus the
+    last STEM_DRIFT characters."""
+    vocab = {t for _, text in docs for t in tokenize_py(text)}
+    vocab |= {"sensibility", "relational", "hopefulness", "vietnamization", "probability", "happy", "possibly"}
+    assert all(t.startswith(S._root(stem(t))) for t in vocab)
