@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from logloom.functions.bind import pinned
 from logloom.functions.attrs import entries_to_map, last_wins, normalize_entries, with_pod_uid
 from logloom.functions.jsonattrs import (json_string_fields, json_value_entries, object_members,
                                          parse_object, typed_members)
@@ -61,11 +62,10 @@ def _stages(src: Column, ingest: Column) -> list[dict[str, Column]]:
 
 
 def _barrier(c: Column) -> Column:
-    """Identity that Catalyst treats as non-deterministic (a partition id is
-    never negative).  Filters on parsed columns then stay above the parse:
-    pushed below, they would re-run the parse inside the filter and inline
-    every shared stage into one ever-growing expression."""
-    return F.when(F.spark_partition_id() >= 0, c)
+    """Filters on parsed columns stay above the parse: pushed below, they
+    would re-run the parse inside the filter and inline every shared stage
+    into one ever-growing expression."""
+    return pinned(c)
 
 
 # Built expressions are unresolved and reusable across frames: build once.

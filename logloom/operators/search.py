@@ -213,15 +213,19 @@ def all_words(text: str) -> Match | None:
     return out
 
 
-def with_terms(df):
+def with_terms(df, pre_filter: Column | None = None):
     """Add the ``terms`` column where the frame has none (a stored log table
-    has it).  Small inputs are spread over all cores first."""
+    has it).  Small inputs are spread over all cores first; ``pre_filter``
+    (pinned after the spread) drops rows before they are stemmed."""
     if TERMS in df.columns:
         return df
+    from logloom.functions.bind import pinned
     from logloom.functions.stem import terms
     from logloom.sources.views import spread
 
     base = df if df.isStreaming else spread(df)
+    if pre_filter is not None:
+        base = base.where(pinned(pre_filter))
     return base.withColumn(TERMS, terms(F.col("message")))
 
 
@@ -235,8 +239,5 @@ def search(df, match: Match | str | None, terms_col: str = TERMS):
     if terms_col == TERMS and TERMS not in df.columns:
         from logloom.functions.tokenize import fold
 
-        pre = match.candidates(fold(F.col("message")))
-        if pre is not None:
-            df = df.where(pre)
-        df = with_terms(df)
+        df = with_terms(df, pre_filter=match.candidates(fold(F.col("message"))))
     return df.where(match.column(F.col(terms_col)))

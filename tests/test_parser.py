@@ -1,6 +1,7 @@
 """Parser cases (line -> time, severity, message, attributes)."""
 
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from logloom.functions.attrs import attrs_text
@@ -107,3 +108,31 @@ def test_logfmt_tokens(spark):
     got = {r.i: {e.key: e.value for e in r.f} for r in df.select("i", logfmt_fields(F.col("s")).alias("f")).collect()}
     for i, (_, want) in enumerate(LOGFMT):
         assert got[i] == want, LOGFMT[i][0]
+
+
+def test_parser_is_total_on_real_text(spark):
+    """Every line of the documents, pages and conversations (junk, markup,
+    secrets, four languages) parses without error, keeps its text when it
+    is not structured, and never yields more than 20 attributes."""
+    from conftest import SF_SMALL
+
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select(F.explode(F.split("text", "\n")).alias("line"))
+    pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet").select(F.explode(F.split("html", "\n")).alias("line"))
+    conv = spark.read.parquet(f"{SF_SMALL}/conversations.parquet").select(F.col("text").alias("line"))
+    lines = docs.unionByName(pages).unionByName(conv).where(F.col("line").isNotNull())
+    lines = lines.withColumn("pfx", F.when(F.rand(7) < 0.5, F.lit(TS)).otherwise(F.lit(""))) \
+        .withColumn("line", F.concat("pfx", "line")).drop("pfx")
+    out = parse_lines(lines, ingest_ns=INGEST, keep_line=True)
+    r = out.agg(F.count("*").alias("n"), F.max(F.size("attributes")).alias("max_attrs"),
+                F.sum(F.when(F.col("message").isNull() | F.col("ts_ns").isNull(), 1).otherwise(0)).alias("nulls"),
+                F.sum(F.when((F.col("attributes").isNull()) & (F.col("ts_ns") == INGEST) & (F.col("message") != F.col("line")), 1)
+                      .otherwise(0)).alias("lost")).first()
+    assert r.n > 100 and r.nulls == 0 and r.lost == 0 and (r.max_attrs or 0) <= 20
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.text(alphabet=st.characters(blacklist_categories=("Cs",)), max_size=80), min_size=1, max_size=20))
+def test_parser_total_on_random_text(spark, texts):
+    df = spark.createDataFrame([(TS + t,) for t in texts] + [(t,) for t in texts], "line string")
+    rows = parse_lines(df, ingest_ns=INGEST).collect()
+    assert len(rows) == 2 * len(texts) and all(r.message is not None for r in rows)
