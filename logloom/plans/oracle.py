@@ -320,3 +320,6 @@ ORACLE["build_postings"] = _with(LV) + (
     "unnest(range(0, len(regexp_split_to_array(lower(message), '[^a-z0-9]+')))) AS pos FROM lv) "
     "SELECT coalesce(s.stem, CASE WHEN regexp_matches(tok, '^[0-9]+ms$') THEN left(tok, length(tok) - 1) ELSE tok END) "
     "AS term, id, pos FROM toks LEFT JOIN stems s ON s.word = toks.tok")
+ORACLE["idle_containers_stream"] = _with(LV) + (
+    "SELECT namespace, pod, container, max(ts_ns) AS last_ts_ns FROM lv GROUP BY ALL "
+    f"HAVING max(ts_ns) // 1000000 + {P.IDLE_TIMEOUT_NS // 1000000} <= (SELECT max(ts_ns) // 1000000 FROM lv)")

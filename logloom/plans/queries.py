@@ -34,6 +34,7 @@ from logloom.sinks.table import write_log_table
 from logloom.sources import logs as src
 from logloom.sources.logs import read_logs
 from logloom.streaming import ingest, tail
+from logloom.streaming import idle as stream_idle
 from logloom.streaming import lifecycle as stream_lifecycle
 from logloom.sources.views import (DUP_ID_OFFSET, INGEST_NS, doc_log_view, dup_view, logs_from_events, raw_view, read_table,
                                    spread, status_view)
@@ -645,3 +646,14 @@ def q_container_events_stream(spark, d):
     s = spark.readStream.schema(sv.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     ingest.run_available(stream_lifecycle.container_events_stream(s), f"{root}/out", f"{root}/ckpt")
     return spark.read.parquet(f"{root}/out")
+
+
+@register("idle_containers_stream")
+def q_idle_containers_stream(spark, d):
+    """Idle detection over the log stream with event-time timers."""
+    root = _scratch(spark, "idle")
+    lv = _logs(spark, d)
+    lv.write.parquet(f"{root}/in")
+    s = spark.readStream.schema(lv.schema).parquet(f"{root}/in")
+    ingest.run_available(stream_idle.idle_containers_stream(s, P.IDLE_TIMEOUT_NS), f"{root}/out", f"{root}/ckpt")
+    return spark.read.parquet(f"{root}/out")

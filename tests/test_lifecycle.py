@@ -65,3 +65,24 @@ def test_stream_equals_batch(spark, tmp_dir):
     stream = spark.readStream.schema(STATUS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(os.path.join(tmp_dir, "in"))
     run_available(container_events_stream(stream), os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck"))
     assert got(spark.read.parquet(os.path.join(tmp_dir, "out"))) == WANT
+
+
+def test_idle_stream_reports_each_idle_period_once(spark, tmp_dir):
+    import time
+
+    from logloom.schema import LOG_SCHEMA
+    from logloom.streaming.idle import idle_containers_stream
+
+    H = 3600 * 10**9
+    T0 = 1704110400 * 10**9
+    src = os.path.join(tmp_dir, "in")
+    for part in ([("a", T0), ("b", T0)], [("b", T0 + 2 * H)], [("a", T0 + 5 * H), ("b", T0 + 6 * H)],
+                 [("b", T0 + 10 * H)]):
+        spark.createDataFrame([(i, ts, "ns", pod, "main", 3, "m", None) for i, (pod, ts) in enumerate(part)],
+                              LOG_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)
+    s = spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+    run_available(idle_containers_stream(s, 3 * H), os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck"))
+    got = sorted((r.pod, (r.last_ts_ns - T0) // H) for r in spark.read.parquet(os.path.join(tmp_dir, "out")).collect())
+    # the watermark reaches 10 h only with the last file: a (last line 5 h) is idle, b is not
+    assert got == [("a", 5)]
