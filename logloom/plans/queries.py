@@ -67,7 +67,7 @@ def _logs_terms(spark, d) -> DataFrame:
 
 
 def _parsed(spark, d) -> DataFrame:
-    return parse_lines(spread(raw_view(spark, d)))
+    return parse_lines(raw_view(spark, d, spread_input=True))
 
 
 def _parsed_out(df: DataFrame) -> DataFrame:
