@@ -57,9 +57,28 @@ def ns_to_ts(ts_ns: Column | str) -> Column:
     return F.timestamp_micros(floor_div(ts_ns, 1000))
 
 
+_EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def utc_wallclock(ts_ns: Column | str) -> Column:
+    """BIGINT ns -> TIMESTAMP_NTZ holding the UTC wall clock (microseconds):
+    formatting and dates built on it do not depend on the session time zone."""
+    ts_ns = F.col(ts_ns) if isinstance(ts_ns, str) else ts_ns
+    secs = floor_div(ts_ns, _NS_PER_S)
+    micros = floor_div(F.pmod(ts_ns, F.lit(_NS_PER_S)), 1000)
+    return F.timestamp_add("MICROSECOND", micros.cast("int"),
+                           F.timestamp_add("SECOND", secs.cast("int"), F.expr(_EPOCH_NTZ)))
+
+
+def ntz_micros(ts_ntz: Column | str) -> Column:
+    """TIMESTAMP_NTZ (a UTC wall clock) -> Unix microseconds, zone-free."""
+    ts_ntz = F.col(ts_ntz) if isinstance(ts_ntz, str) else ts_ntz
+    return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH_NTZ), ts_ntz)
+
+
 def ns_to_date(ts_ns: Column | str) -> Column:
     """UTC day of a nanosecond time, the partition column of the log table."""
-    return F.to_date(ns_to_ts(ts_ns))
+    return F.to_date(utc_wallclock(ts_ns))
 
 
 def day_start_ns(date_col: Column) -> Column:
@@ -68,7 +87,7 @@ def day_start_ns(date_col: Column) -> Column:
 
 def format_ts(ts_ns: Column | str) -> Column:
     """Display form ``yyyy-MM-dd HH:mm:ss.SSS`` (UTC session)."""
-    return F.date_format(ns_to_ts(ts_ns), "yyyy-MM-dd HH:mm:ss.SSS")
+    return F.date_format(utc_wallclock(ts_ns), "yyyy-MM-dd HH:mm:ss.SSS")
 
 
 def rfc3339_ns(ts_ns: Column | str) -> Column:
@@ -76,5 +95,5 @@ def rfc3339_ns(ts_ns: Column | str) -> Column:
     ts_ns = F.col(ts_ns) if isinstance(ts_ns, str) else ts_ns
     secs = floor_div(ts_ns, _NS_PER_S)
     frac = (ts_ns - secs * F.lit(_NS_PER_S)).cast("string")
-    return F.concat(F.date_format(F.timestamp_seconds(secs), "yyyy-MM-dd'T'HH:mm:ss"),
+    return F.concat(F.date_format(utc_wallclock(secs * F.lit(_NS_PER_S)), "yyyy-MM-dd'T'HH:mm:ss"),
                     F.lit("."), F.lpad(frac, 9, "0"), F.lit("Z"))

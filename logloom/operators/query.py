@@ -21,6 +21,12 @@ DEFAULT_LIMIT = 100
 HTTP_MAX_LIMIT = 1000
 
 
+def _utc_day(ns: int):
+    from datetime import timezone
+
+    return datetime.fromtimestamp(ns // NS_PER_S, timezone.utc).date()
+
+
 def _parse_rfc3339(text: str) -> int | None:
     """RFC3339 (whole seconds or fraction) -> ns; None when malformed."""
     try:
@@ -110,11 +116,11 @@ class LogQuery:
         if self.start_ns is not None:
             conds.append(F.col("ts_ns") >= F.lit(self.start_ns))
             if has_log_date:
-                conds.append(F.col("log_date") >= F.to_date(F.timestamp_seconds(F.lit(self.start_ns // NS_PER_S))))
+                conds.append(F.col("log_date") >= F.lit(_utc_day(self.start_ns)))
         if self.end_ns is not None:
             conds.append(F.col("ts_ns") < F.lit(self.end_ns))
             if has_log_date:
-                conds.append(F.col("log_date") <= F.to_date(F.timestamp_seconds(F.lit(self.end_ns // NS_PER_S))))
+                conds.append(F.col("log_date") <= F.lit(_utc_day(self.end_ns)))
         for name in ("namespace", "pod", "container"):
             v = getattr(self, name)
             if v:
