@@ -94,3 +94,27 @@ def ship_package(spark: SparkSession | None = None) -> None:
                     zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
     sc.addPyFile(out)
     _SHIPPED.add(id(sc))
+
+
+def pickle_by_value(module) -> None:
+    """Serialise a module's classes and functions with their code: Python
+    processes that Spark starts without the added files (the runner that
+    initialises a stateful processor) can then load them without importing
+    the package."""
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(module)
+
+
+_STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def ensure_rocksdb_state(spark: SparkSession) -> None:
+    """transformWithState needs the RocksDB state store (several column
+    families per operator).  Switch a session still on the default
+    HDFS-backed provider; queries restarted from a checkpoint keep the
+    provider recorded in it."""
+    current = spark.conf.get(_STATE_PROVIDER, None) or ""
+    if "RocksDB" not in current:
+        spark.conf.set(_STATE_PROVIDER, _ROCKSDB)

@@ -17,7 +17,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from logloom.functions.timestamps import ns_to_ts
-from logloom.session import ship_package
+import sys
+
+from logloom.session import ensure_rocksdb_state, pickle_by_value, ship_package
 
 IDLE_KEY = ["namespace", "pod", "container"]
 IDLE_SCHEMA = T.StructType([
@@ -63,6 +65,8 @@ class IdleDetector(StatefulProcessor):
 def idle_containers_stream(logs: DataFrame, timeout_ns: int, lateness: str = "0 seconds") -> DataFrame:
     """Log-row stream -> one row per idle period (container, last line time)."""
     ship_package(logs.sparkSession)
+    ensure_rocksdb_state(logs.sparkSession)
+    pickle_by_value(sys.modules[__name__])
     timed = logs.select(*IDLE_KEY, "ts_ns").withColumn("event_ts", ns_to_ts(F.col("ts_ns"))) \
         .withWatermark("event_ts", lateness)
     return timed.groupBy(*IDLE_KEY).transformWithStateInPandas(

@@ -15,7 +15,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from logloom.schema import CONTAINER_KEY
-from logloom.session import ship_package
+import sys
+
+from logloom.session import ensure_rocksdb_state, pickle_by_value, ship_package
 
 EVENT_SCHEMA = T.StructType([
     T.StructField("namespace", T.StringType()), T.StructField("pod", T.StringType()),
@@ -75,6 +77,8 @@ def container_events_stream(status_stream: DataFrame) -> DataFrame:
     micro-batches (a source keyed by container keeps that order); inside a
     micro-batch they are sorted; replayed or older snapshots are ignored."""
     ship_package(status_stream.sparkSession)
+    ensure_rocksdb_state(status_stream.sparkSession)
+    pickle_by_value(sys.modules[__name__])
     return status_stream.groupBy(*CONTAINER_KEY).transformWithStateInPandas(
         statefulProcessor=ContainerStateMachine(), outputStructType=EVENT_SCHEMA,
         outputMode="Append", timeMode="None")
