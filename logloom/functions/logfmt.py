@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from logloom.functions.attrs import last_wins
-from logloom.functions.bind import let
 
 # Key characters [A-Za-z0-9_.-]; only space and tab separate tokens; a quoted
 # value may end without its closing quote; a closing quote may be followed

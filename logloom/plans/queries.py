@@ -18,7 +18,7 @@ from logloom.functions.attrs import entries_to_map
 from logloom.functions.logfmt import logfmt_fields
 from logloom.functions.severity import (severity_from_fields, severity_from_pattern, severity_label,
                                         severity_of)
-from logloom.functions.stem import stem_column, terms
+from logloom.functions.stem import stem_column
 from logloom.functions.text import strip_ansi, truncate_value
 from logloom.functions.timestamps import floor_div, format_ts, ns_to_date, split_timestamp
 from logloom.functions.tokenize import tokenize

@@ -8,7 +8,6 @@ the job never reads and overwrites the same files.
 from __future__ import annotations
 
 import datetime as _dt
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T

@@ -55,7 +55,3 @@ def run_available(df: DataFrame, out_path: str, checkpoint: str, fmt: str = "par
     q = (df.writeStream.format(fmt).option("path", out_path).option("checkpointLocation", checkpoint)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
-
-
-def watermark_column(df: DataFrame) -> DataFrame:
-    return df.withColumn("ts", ns_to_ts(F.col("ts_ns")))

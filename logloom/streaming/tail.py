@@ -62,7 +62,3 @@ def read_window(spark: SparkSession, view_dir: str, n: int = VIEW_SIZE) -> DataF
     parts = [spark.read.parquet(f"{view_dir}/v{i}") for i in (0, 1) if fs.exists(spark, f"{view_dir}/v{i}/_SUCCESS")]
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return rows.dropDuplicates(["id"]).orderBy(F.col("id").desc()).limit(n)
-
-
-def with_event_time(df: DataFrame) -> DataFrame:
-    return df.withColumn("ts", ns_to_ts("ts_ns"))
