@@ -90,19 +90,26 @@ def assign_ids(df: DataFrame, start_after: int, order: str = "arrival") -> DataF
 
 def new_rows(batch: DataFrame, existing: DataFrame | None, order: str = "arrival") -> DataFrame:
     """First write wins inside the batch, then against stored rows.  Only the
-    stored ``log_date`` partitions the batch touches are read (the join key
-    includes ``log_date``, so the scan of the table is pruned)."""
+    stored ``log_date`` partitions the batch touches are read (the bounds
+    come from a min/max over the batch itself, one row, no shuffle; the join
+    key includes ``log_date`` as well)."""
     first = dedup_first(batch, order=order)
     if existing is None:
         return first
+    lo, hi = batch.agg(F.min("ts_ns"), F.max("ts_ns")).first()
+    if lo is None:
+        return first
     first = first.withColumn("log_date", ns_to_date("ts_ns"))
-    lo_hi = first.agg(F.min("log_date"), F.max("log_date")).first()
-    if lo_hi[0] is None:
-        return first.drop("log_date")
-    stored = existing.where(F.col("log_date").between(lo_hi[0], lo_hi[1])).select(*DEDUP_KEY, "log_date")
+    stored = existing.where(F.col("log_date").between(_utc_day(lo), _utc_day(hi))).select(*DEDUP_KEY, "log_date")
     return first.join(stored, on=[*DEDUP_KEY, "log_date"], how="left_anti").drop("log_date")
 
 
+def _utc_day(ns: int):
+    import datetime as _dt
+
+    return _dt.datetime.fromtimestamp(ns // 1_000_000_000, _dt.timezone.utc).date()
+
+
 def append_new(spark: SparkSession, batch: DataFrame, path: str, stage_dir: str, order: str = "arrival") -> dict:
     """Append a batch of parsed rows (no ids) to the table; a re-delivered
     batch adds nothing.  Returns offered / inserted counts.
