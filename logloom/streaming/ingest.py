@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql import types as T
@@ -19,6 +20,7 @@ from logloom.functions.timestamps import ns_to_ts
 from logloom.operators.parse import parse_lines, to_log_entry
 from logloom.schema import DEDUP_KEY, RAW_SCHEMA
 from logloom.sinks.table import append_new
+from logloom.sources.logs import MAX_LINE_BYTES, split_oversize
 
 RAW_STREAM_SCHEMA = T.StructType(RAW_SCHEMA.fields + [T.StructField("ingest_ns", T.LongType(), False)])
 
@@ -29,16 +31,28 @@ def stream_raw_lines(spark: SparkSession, path: str, max_files: int = 100) -> Da
 
 
 def ingest_stream(spark: SparkSession, raw: DataFrame, table_path: str, checkpoint: str,
-                  trigger: dict | None = None) -> StreamingQuery:
+                  trigger: dict | None = None, max_line_bytes: int = MAX_LINE_BYTES,
+                  rejects_path: str | None = None) -> StreamingQuery:
     """Start the ingest pipeline; ``trigger`` e.g. ``{"processingTime": "5 seconds"}``
-    (default) or ``{"availableNow": True}``."""
-    parsed = to_log_entry(parse_lines(raw))
+    (default) or ``{"availableNow": True}``.  Lines longer than
+    ``max_line_bytes`` go to ``rejects_path`` (default: beside the checkpoint)
+    instead of breaking the stream."""
     stage_root = os.path.join(checkpoint, "stage")
+    rejects = rejects_path or os.path.join(checkpoint, "rejected")
 
     def write_batch(batch: DataFrame, epoch: int) -> None:
-        append_new(spark, batch, table_path, os.path.join(stage_root, f"epoch-{epoch}"))
-
-    w = parsed.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+        # read twice (rejects, rows): keep the micro-batch, spilling if needed
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            ok, bad = split_oversize(batch, max_line_bytes)
+            if bad.limit(1).count():
+                bad.withColumn("epoch", F.lit(epoch)).write.mode("append").partitionBy("epoch").parquet(rejects)
+            parsed = to_log_entry(parse_lines(ok))
+            append_new(spark, parsed, table_path, os.path.join(stage_root, f"epoch-{epoch}"))
+        finally:
+            batch.unpersist()
+
+    w = raw.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"processingTime": "5 seconds"}))
     return w.start()
 

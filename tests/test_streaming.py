@@ -45,3 +45,21 @@ def test_read_structured_round_trip(spark, tmp_dir):
     assert [(f.name, f.dataType) for f in back.schema] == [(f.name, f.dataType) for f in LOG_SCHEMA]
     assert back.count() == 5
     assert read_logs(spark, path).where(F.col("id") == 3).count() == 1
+
+
+def test_ingest_rejects_oversize_and_ignores_replays(spark, tmp_dir):
+    from logloom.streaming.ingest import RAW_STREAM_SCHEMA, ingest_stream, stream_raw_lines
+
+    src = os.path.join(tmp_dir, "raw")
+    lines = [(1, "ns", "p", "u1", "c", "2024-01-15T10:30:00Z level=info msg=hello", 0),
+             (2, "ns", "p", "u1", "c", "2024-01-15T10:30:01Z [ERROR] boom", 0),
+             (3, "ns", "p", "u1", "c", "2024-01-15T10:30:02Z " + "x" * 5000, 0),
+             (4, "ns", "p", "u1", "c", "2024-01-15T10:30:01Z [ERROR] boom", 0)]   # re-delivered line
+    spark.createDataFrame(lines, RAW_STREAM_SCHEMA).coalesce(1).write.parquet(src)
+    table, ck = os.path.join(tmp_dir, "logs"), os.path.join(tmp_dir, "ck")
+    q = ingest_stream(spark, stream_raw_lines(spark, src), table, ck, trigger={"availableNow": True},
+                      max_line_bytes=1000)
+    q.awaitTermination()
+    got = sorted((r.id, r.severity, r.message, r.attributes["pod_uid"]) for r in read_logs(spark, table).collect())
+    assert got == [(1, 3, "hello", "u1"), (2, 5, "[ERROR] boom", "u1")]
+    assert spark.read.parquet(os.path.join(ck, "rejected")).count() == 1
