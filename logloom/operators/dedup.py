@@ -6,6 +6,9 @@ severity and attributes of its first arrival.  The winner is chosen with an
 aggregate (``min_by`` on the arrival order), which combines map-side before
 the shuffle: a key repeated in a third of all rows is reduced to one row per
 map task before it moves, unlike a window that would pull it into one task.
+The plan shows a sort-based partial and final aggregate (the buffer holds a
+struct, which hash aggregation cannot keep): one shuffle of the rows, with
+external sorting that spills instead of failing.
 """
 
 from __future__ import annotations
