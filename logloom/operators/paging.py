@@ -15,14 +15,20 @@ def _order(q: LogQuery):
     return F.col("id").asc() if q.order == "asc" else F.col("id").desc()
 
 
+def _rows(df: DataFrame, q: LogQuery) -> DataFrame:
+    # the search index column never leaves the store (and is not read at all
+    # when no search is asked for)
+    return apply_query(df, q).drop("terms")
+
+
 def fetch(df: DataFrame, q: LogQuery) -> DataFrame:
     """The filtered rows in page order, one more than the page size."""
-    return apply_query(df, q).orderBy(_order(q)).limit(q.page_size + 1)
+    return _rows(df, q).orderBy(_order(q)).limit(q.page_size + 1)
 
 
 def page(df: DataFrame, q: LogQuery) -> DataFrame:
     """The page rows, in page order."""
-    return apply_query(df, q).orderBy(_order(q)).limit(q.page_size)
+    return _rows(df, q).orderBy(_order(q)).limit(q.page_size)
 
 
 def page_info(df: DataFrame, q: LogQuery) -> DataFrame:
@@ -51,7 +57,7 @@ def next_page_query(q: LogQuery, resume_id: int) -> LogQuery:
 
 def tail_initial(df: DataFrame, q: LogQuery, n: int = 50) -> DataFrame:
     """Newest ``n`` matching rows, shown oldest first."""
-    newest = apply_query(df, q.with_(end_ns=None)).orderBy(F.col("id").desc()).limit(n)
+    newest = _rows(df, q.with_(end_ns=None)).orderBy(F.col("id").desc()).limit(n)
     return newest.orderBy(F.col("id").asc())
 
 
