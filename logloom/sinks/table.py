@@ -129,3 +129,15 @@ def append_new(spark: SparkSession, batch: DataFrame, path: str, stage_dir: str,
         with_ids = assign_ids(staged, max_id(spark, path), order=order)
         write_log_table(with_ids.select(*LOG_COLUMNS), path)
     return {"offered": offered, "inserted": inserted}
+
+
+def write_postings(logs: DataFrame, path: str, mode: str = "append") -> None:
+    """Posting lists of stored rows (``logs`` must carry ``terms`` and
+    ``log_date``), written beside the table and partitioned the same way.
+    Files are sorted by term so a term lookup skips row groups."""
+    from logloom.operators.postings import build_postings
+
+    post = build_postings(logs)
+    n = target_partitions(post)
+    (post.repartitionByRange(n, "log_date", "term").sortWithinPartitions("log_date", "term", "id")
+     .write.mode(mode).option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("log_date").parquet(path))

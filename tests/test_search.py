@@ -89,3 +89,25 @@ def test_stem_drift_bound(docs):
     vocab = {t for _, text in docs for t in tokenize_py(text)}
     vocab |= {"sensibility", "relational", "hopefulness", "vietnamization", "probability", "happy", "possibly"}
     assert all(t.startswith(S._root(stem(t))) for t in vocab)
+
+
+def test_search_from_stored_postings(spark, tmp_dir):
+    import os
+
+    from logloom.operators.postings import search_postings
+    from logloom.sinks.table import write_log_table, write_postings
+    from logloom.sources.logs import read_logs
+    from logloom.sources.views import logs_from_events
+    from conftest import SF_SMALL
+
+    table, post = os.path.join(tmp_dir, "logs"), os.path.join(tmp_dir, "postings")
+    write_log_table(logs_from_events(spark, SF_SMALL), table)
+    logs = read_logs(spark, table)
+    write_postings(logs, post)
+    stored = spark.read.parquet(post)
+    for m in (S.term("connection"), S.prefix("complet"), S.term("database")):
+        via_postings = sorted(r.id for r in search_postings(logs, stored, m).select("id").collect())
+        direct = sorted(r.id for r in S.search(logs, m).select("id").collect())
+        assert via_postings == direct and direct
+    plan = search_postings(logs, stored, S.term("connection"))._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term,connect)" in plan
