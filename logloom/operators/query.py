@@ -90,6 +90,16 @@ class LogQuery:
             kw["attributes"] = attrs
         return cls(**kw)
 
+    @classmethod
+    def from_tail_params(cls, params: Mapping[str, str]) -> tuple["LogQuery", int | None]:
+        """Live-tail request: the same filters but no end time, page size,
+        order or cursors; ``lastId`` (a positive integer) resumes a viewer."""
+        keep = {k: v for k, v in params.items()
+                if k in ("namespace", "pod", "container", "search", "minSeverity", "startTime") or k.startswith("attr.")}
+        last = params.get("lastId", "")
+        last_id = int(last) if last.lstrip("+").isdigit() and int(last) > 0 else None
+        return cls.from_params(keep), last_id
+
     @classmethod
     def last(cls, minutes: int, now_ns: int, **kw) -> "LogQuery":
         """Relative span: the last ``minutes`` before ``now_ns`` (0 = all time)."""

@@ -36,6 +36,18 @@ def tail_resume(df: DataFrame, last_id: int, q: LogQuery | None = None, limit: i
     return apply_query(df, q).orderBy("id").limit(limit)
 
 
+def tail_open(df: DataFrame, params: dict, initial: int = 50, batch: int = 100) -> DataFrame:
+    """What a viewer receives on connecting: the newest ``initial`` matching
+    rows oldest first, or, when it reconnects with ``lastId``, the next
+    ``batch`` rows after it."""
+    from logloom.operators.paging import tail_initial
+
+    q, last_id = LogQuery.from_tail_params(params)
+    if last_id:
+        return tail_resume(df, last_id, q, limit=batch)
+    return tail_initial(df, q, n=initial)
+
+
 def tail_dedup(stream: DataFrame, horizon: str = "15 minutes") -> DataFrame:
     """Each id once; state is bounded by the event-time horizon."""
     return (stream.withColumn("__ts", ns_to_ts("ts_ns")).withWatermark("__ts", horizon)

@@ -63,3 +63,14 @@ def test_ingest_rejects_oversize_and_ignores_replays(spark, tmp_dir):
     got = sorted((r.id, r.severity, r.message, r.attributes["pod_uid"]) for r in read_logs(spark, table).collect())
     assert got == [(1, 3, "hello", "u1"), (2, 5, "[ERROR] boom", "u1")]
     assert spark.read.parquet(os.path.join(ck, "rejected")).count() == 1
+
+
+def test_tail_open(spark):
+    df = rows(spark, 1, 300)
+    first = [r.id for r in tail.tail_open(df, {"minSeverity": "4", "endTime": "2024-01-01T00:00:00Z",
+                                               "limit": "7", "order": "asc"}).collect()]
+    assert first == [i for i in range(201, 301) if i % 2]     # newest 50, oldest first; no end time
+    again = [r.id for r in tail.tail_open(df, {"minSeverity": "4", "lastId": "250"}).collect()]
+    assert again == [i for i in range(251, 301) if i % 2]
+    bad = [r.id for r in tail.tail_open(df, {"lastId": "-3"}).collect()]
+    assert len(bad) == 50 and bad[-1] == 300
