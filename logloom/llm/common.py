@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,8 +26,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch],
-              schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
     """``mapInArrow`` of a function of one (bounded) record batch."""
     ship_package(df.sparkSession)
     return df.mapInArrow(_each(fn), schema)
@@ -110,7 +108,3 @@ def sample_by_hash(df: DataFrame, key: str, rows: int) -> DataFrame:
 def hex64(col: str) -> Column:
     """A 64-bit value as 16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(F.col(col)), 16, "0"))
-
-
-def env_path(name: str, default: str) -> str:
-    return os.environ.get(name, default)
