@@ -14,8 +14,7 @@ import pyarrow as pa
 
 from logloom.llm.common import raw_bytes
 
-_BLANKS = bytes(32 if c <= 32 else c for c in range(256))
-_FOLD = bytes(32 if c <= 32 else c + 32 if 65 <= c <= 90 else c for c in range(256))
+BLANKS = bytes(32 if c <= 32 else c for c in range(256))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -59,12 +58,13 @@ class Laid:
         return mix(total[b] - total[a])
 
 
-def lay_out(col: pa.Array, fold_case: bool = False) -> Laid:
+def lay_out(col: pa.Array, table: bytes = BLANKS) -> Laid:
+    """``table``: what each byte is read as; a null text is empty."""
     data, off = raw_bytes(col)
     whole = data.tobytes()
     buf = b" " + b" ".join([whole[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist())]) + b"      "
     shift = np.arange(len(off) - 1) + 1
-    return Laid(np.frombuffer(buf.translate(_FOLD if fold_case else _BLANKS), np.uint8), off[:-1] + shift,
+    return Laid(np.frombuffer(buf.translate(table), np.uint8), off[:-1] + shift,
                 off[1:] + shift)
 
 

@@ -6,15 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import nbsvm, simhash
+from logloom.llm import containment, lines, mixing, nbsvm, simhash
 from logloom.llm.common import crc_mod, hex64, table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.remove_repeated_lines(table(spark, sf_dir, "documents"), window=3, counts=True)
+    return found.select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
     return found.select("doc_id", hex64("fingerprint").alias("fingerprint"), "component_id")
 
 
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = nbsvm.train(docs, labels.where(crc_mod("doc_id", 5) != 0), "quality")
@@ -23,9 +32,21 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
+                                  threshold=0.8, shingle=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_mix_sources": op5_mix_sources,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_decontamination": op8_decontamination,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_line_dedup": lines.ORACLE,
+    "op5_mix_sources": mixing.ORACLE,
+    "op8_decontamination": containment.ORACLE,
+}
