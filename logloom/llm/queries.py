@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import containment, lines, mixing, nbsvm, simhash
+from logloom.llm import containment, lines, mixing, nbsvm, simhash, toxicity
 from logloom.llm.common import crc_mod, hex64, table
 
 
@@ -37,12 +37,21 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   threshold=0.8, shingle=5)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    lexicon = toxicity.train(docs, labels.where(crc_mod("doc_id", 4) != 2), "toxic")
+    return toxicity.score(docs, lexicon).select(
+        "doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_decontamination": op8_decontamination,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {
