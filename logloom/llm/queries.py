@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import containment, lines, mixing, nbsvm, simhash, toxicity
+from logloom.llm import containment, langid, lines, mixing, nbsvm, simhash, toxicity
 from logloom.llm.common import crc_mod, hex64, table
 
 
@@ -24,6 +24,13 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(crc_mod("doc_id", 3) != 1))
+    return langid.detect(docs, model).select(
+        "doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = nbsvm.train(docs, labels.where(crc_mod("doc_id", 5) != 0), "quality")
@@ -49,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_mix_sources": op5_mix_sources,
+    "op6_language_id": op6_language_id,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_decontamination": op8_decontamination,
     "op10_toxicity": op10_toxicity,
