@@ -160,9 +160,9 @@ def fingerprint_components(prints: DataFrame, max_bits: int = MAX_BITS) -> DataF
     another one.
 
     First every key's bucket is sorted and neighbours are compared, which
-    ties dense groups together with one row per member.  Then buckets that
-    still hold several components are joined in full, only between different
-    components, so a group of near copies is never expanded into its pairs.
+    ties dense groups together with one row per member.  Then the buckets are
+    joined in full, but only links between different components come out, so
+    a group of near copies is never expanded into its pairs.
     """
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError(f"the segment keys are complete up to {MAX_BITS} bits")
@@ -174,8 +174,6 @@ def fingerprint_components(prints: DataFrame, max_bits: int = MAX_BITS) -> DataF
 
     tied = keyed.join(first.withColumnRenamed("node", "fp"), "fp", "left").select(
         "key", "fp", F.coalesce("component", "fp").alias("comp"))
-    mixed = tied.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    tied = cut(tied.join(mixed.select("key"), "key", "left_semi"))
     left, right = tied.toDF("key", "fp", "comp"), tied.toDF("key", "fp2", "comp2")
     between = left.join(right, "key").where((F.col("comp") < F.col("comp2")) & (_apart("fp", "fp2") <= max_bits))
     second = connected_components(between.select(F.col("comp").alias("a"), F.col("comp2").alias("b")))
