@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import containment, langid, lines, mixing, nbsvm, simhash, toxicity
+from logloom.llm import containment, langid, lines, minhash, mixing, nbsvm, simhash, toxicity
 from logloom.llm.common import crc_mod, hex64, table
 
 
@@ -44,6 +44,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   threshold=0.8, shingle=5)
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.with_edited(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     lexicon = toxicity.train(docs, labels.where(crc_mod("doc_id", 4) != 2), "toxic")
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_decontamination": op8_decontamination,
+    "op9_fingerprints": op9_fingerprints,
     "op10_toxicity": op10_toxicity,
 }
 
