@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import containment, langid, lines, minhash, mixing, nbsvm, simhash, toxicity
+from logloom.llm import chat, containment, langid, lines, minhash, mixing, nbsvm, simhash, toxicity
 from logloom.llm.common import crc_mod, hex64, table
 
 
@@ -15,6 +15,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame(chat.PROBE, "conv_id bigint, turn bigint, role string, text string")
+    return chat.read_back(chat.format_chats(turns.unionByName(probe)))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
     return found.select("doc_id", hex64("fingerprint").alias("fingerprint"), "component_id")
@@ -58,6 +64,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_chat_format": op2_chat_format,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op6_language_id": op6_language_id,
@@ -69,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op1_line_dedup": lines.ORACLE,
+    "op2_chat_format": chat.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
     "op8_decontamination": containment.ORACLE,
 }
