@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import chat, containment, langid, lines, minhash, mixing, nbsvm, simhash, toxicity
+from logloom.llm import chat, containment, langid, lines, minhash, mixing, nbsvm, simhash, toxicity, warc
 from logloom.llm.common import crc_mod, hex64, table
+from logloom.session import scratch_path
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,14 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(turns.unionByName(probe)))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    root = scratch_path(spark, "warc")
+    warc.write_archives(pages, root)
+    found = warc.lookup(spark, root, pages.select("url", "page_id").distinct(), payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
     return found.select("doc_id", hex64("fingerprint").alias("fingerprint"), "component_id")
@@ -65,6 +74,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_chat_format": op2_chat_format,
+    "op3_warc": op3_warc,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op6_language_id": op6_language_id,
@@ -77,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op1_line_dedup": lines.ORACLE,
     "op2_chat_format": chat.ORACLE,
+    "op3_warc": warc.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
     "op8_decontamination": containment.ORACLE,
 }
