@@ -47,7 +47,8 @@ def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.Recor
         yield batch
         return
     size = np.zeros(n, np.int64)
-    for col in batch.columns:
+    cols = [c for col in batch.columns for c in (col.flatten() if pa.types.is_struct(col.type) else [col])]
+    for col in cols:
         if pa.types.is_string(col.type) or pa.types.is_binary(col.type):
             size += np.diff(offsets(col))
     total = np.cumsum(size + 16)

@@ -62,19 +62,17 @@ def remove_repeated_lines(docs: DataFrame, window: int = WINDOW, drop_emptied: b
     """
     starts = repeated_positions(docs, window)
     names = [c for c in docs.columns if not (counts and c in ("n_lines", "n_removed"))]
-    left = docs.select(*names, F.xxhash64("text").alias("__mark"))
-    found = starts.toDF("__id", "__found", "__starts")
-    joined = left.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__found")),
-                       "left").select(*names, "__starts")
-    text_at, starts_at = names.index("text"), len(names)
+    rows = docs.select(F.struct(*names).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_mark"))
+    joined = rows.join(starts, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_mark") == F.col("mark")),
+                       "left").select("row", "starts")
+    text_at = names.index("text")
     chars_at = names.index("n_chars") if "n_chars" in names else -1
     schema = docs.select(*names).schema
     if counts:
         schema = schema.add("n_lines", "long").add("n_removed", "long")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols = list(batch.columns[:starts_at])
-        marked = batch.column(starts_at)
+        cols, marked = batch.column(0).flatten(), batch.column(1)
         texts, sizes = cols[text_at], cols[chars_at] if chars_at >= 0 else None
         stays = [True] * batch.num_rows
         n_lines, n_removed = [0] * batch.num_rows, [0] * batch.num_rows

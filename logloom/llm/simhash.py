@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import AtomicType
 
 from logloom.llm.common import LOWER, arrow_map, cut
 from logloom.llm.components import connected_components
@@ -207,11 +208,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS,
 
 def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS) -> DataFrame:
     """Rows of ``docs`` without near duplicates: of each component the row
-    with the smallest doc_id (of rows that share it, that whose text hashes
+    with the smallest doc_id (of rows that share it, that whose columns hash
     lowest) stays.  A component whose ids are all null keeps one row too."""
-    mark = F.xxhash64("text", "source", "lang")
-    groups = docs.select("doc_id", "text", mark.alias("row_mark"))
-    prints = cut(_marked_prints(groups, shingle))
+    plain = [f.name for f in docs.schema if isinstance(f.dataType, AtomicType) and f.name != "text"]
+    mark = F.xxhash64("text", *plain)
+    prints = cut(_marked_prints(docs.select("doc_id", "text", mark.alias("row_mark")), shingle))
     comps = fingerprint_components(prints, max_bits)
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("row_mark").alias("m"))
     least = prints.groupBy("fingerprint").agg(F.min(rank).alias("least"))
@@ -219,11 +220,11 @@ def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS) -> Dat
         F.coalesce("component", "fingerprint").alias("component"), "least")
     keep = of.groupBy("component").agg(F.min("least").alias("least")).select(
         F.col("least.d").alias("keep_id"), F.col("least.m").alias("keep_mark"))
-    marked = docs.withColumn("row_mark", mark)
-    kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row_mark") == F.col("keep_mark")),
-                       "left_semi")
-    same = Window.partitionBy("row_mark", "doc_id").orderBy("row_mark")
-    return kept.withColumn("row_no", F.row_number().over(same)).where("row_no = 1").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), mark.alias("row_mark"))
+    kept = rows.join(keep, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("row_mark") == F.col("keep_mark")),
+                     "left_semi")
+    same = Window.partitionBy("id", "row_mark").orderBy("row_mark")  # rows alike in all columns
+    return kept.withColumn("nth", F.row_number().over(same)).where("nth = 1").select("row.*")
 
 
 def _marked_prints(rows: DataFrame, shingle: int) -> DataFrame:

@@ -1,0 +1,37 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from samples import CLASHES, DOCS, ODD, SF  # noqa: E402
+
+
+@pytest.fixture()
+def odd(spark):
+    """Nulls, empty and long texts, ties, repeated rows."""
+    return spark.createDataFrame(ODD, DOCS)
+
+
+@pytest.fixture()
+def clashing(odd):
+    """With further columns, named like the operators' own."""
+    from pyspark.sql import functions as F
+
+    return odd.select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHES)])
+
+
+@pytest.fixture()
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture()
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture()
+def labels(spark):
+    return spark.read.parquet(f"{SF}/labels.parquet")
