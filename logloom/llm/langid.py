@@ -104,7 +104,7 @@ def viterbi(scores: np.ndarray, ranges: np.ndarray, switch: float) -> np.ndarray
     sizes = np.diff(ranges)
     order = np.argsort(-sizes, kind="stable")
     order = order[sizes[order] > 0]
-    if len(order) == 0:
+    if len(order) == 0 or n_langs == 0:
         return path
     first, size = ranges[order], sizes[order]
     longest = int(size[0])
@@ -153,7 +153,8 @@ def _label(texts: pa.Array, model: Model):
     letters = np.where(kind > 0, laid.words[1] - laid.words[0], 0)
     text_of = np.repeat(np.arange(len(texts)), np.diff(laid.word_range))
     share = np.zeros((len(texts), len(model.langs)))
-    np.add.at(share, (text_of, path), letters)
+    if model.langs:
+        np.add.at(share, (text_of, path), letters)
     return laid, path, kind, share
 
 
@@ -186,7 +187,7 @@ def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         out = []
         for i in range(batch.num_rows):
             words = np.arange(laid.word_range[i], laid.word_range[i + 1])
-            words = words[kind[words] > 0]
+            words = words[kind[words] > 0] if model.langs else words[:0]
             cuts = np.flatnonzero(np.diff(path[words])) + 1 if len(words) else []
             out.append([{"start": int(laid.words[0][w[0]] - laid.starts[i]),
                          "end": int(laid.words[1][w[-1]] - laid.starts[i]), "lang": model.langs[path[w[0]]]}
