@@ -1,10 +1,12 @@
 """JSON object lines -> scalar attributes, with Go-compatible number text.
 
 The whole message must be one JSON object starting at its first character.
-It is parsed wrapped in ``[ ]``: a bare ``from_json`` accepts trailing text
-after the object, the wrapped form does not.  Values are read as VARIANT so
-their JSON type can be tested: strings and booleans become text, numbers
-follow the number rule, arrays, objects, nulls and empty strings are dropped.
+A bare ``from_json`` accepts trailing text after the object, so the message
+is parsed wrapped in ``[ ]`` and in ``{"v": }``: text that closes one wrap
+does not close the other.  Values are read as VARIANT so their JSON type can
+be tested: strings and booleans become text, numbers follow the number rule,
+arrays, objects, nulls and empty strings are dropped.  A number beyond the
+range of a double is no JSON.
 """
 
 from __future__ import annotations
@@ -18,17 +20,40 @@ _BIG = 1 << 30
 _INT64_BOUND = 9.223372036854775808e18
 
 
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
 def parse_object(message: Column) -> Column:
     """Message -> array<map<string,variant>> (one element when the message is
     exactly one JSON object); NULL unless it starts with ``{``."""
-    return F.when(message.startswith("{"), F.from_json(
-        F.concat(F.lit("["), message, F.lit("]")), "array<map<string,variant>>",
-        {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}))
+    listed = F.concat(F.lit("["), message, F.lit("]"))
+    held = F.from_json(F.concat(F.lit('{"v":'), message, F.lit("}")), "map<string,map<string,string>>", _STRICT)
+    one = (F.size(held) == 1) & (F.element_at(F.map_keys(held), 1) == "v") & F.element_at(F.map_values(held), 1).isNotNull()
+    # VARIANT refuses an object inside that repeats a key: such lines are read
+    # as text and their values typed by their look
+    typed = F.from_json(listed, "array<map<string,variant>>", _STRICT)
+    plain = F.from_json(listed, "array<map<string,string>>", _STRICT)
+    looks = F.transform(plain, lambda m: F.map_from_arrays(
+        F.transform(F.array_distinct(F.map_keys(m)), lambda k: k),
+        F.transform(F.array_distinct(F.map_keys(m)), lambda k: _by_look(F.element_at(
+            F.filter(F.map_entries(m), lambda e: e["key"] == k), -1)["value"]))))
+    return F.when(message.startswith("{") & one, F.coalesce(typed, looks))
+
+
+def _by_look(text: Column) -> Column:
+    as_is = text.rlike(r"^(?:[{\[].*|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false)$")
+    return F.try_parse_json(F.when(as_is & ~text.rlike(r"^[{\[]"), text).when(as_is, F.lit("null"))
+                            .otherwise(F.to_json(F.array(text)).substr(F.lit(2), F.length(F.to_json(F.array(text))) - 2)))
 
 
 def object_members(parsed: Column) -> Column:
-    """Parsed object -> array<struct<key, value: variant>>, NULL if not one object."""
-    return F.when(F.size(parsed) == 1, F.map_entries(F.element_at(parsed, 1)))
+    """Parsed object -> array<struct<key, value: variant>>, NULL if not one
+    object or if it holds a number that is no double."""
+    def finite(members: Column) -> Column:
+        return F.when(~F.exists(members, lambda x: F.coalesce(
+            F.schema_of_variant(x["value"]).isin("DOUBLE", "FLOAT")
+            & (F.abs(F.try_variant_get(x["value"], "$", "double")) == F.lit(float("inf"))), F.lit(False))), members)
+    return F.when(F.size(parsed) == 1, let(F.map_entries(F.element_at(parsed, 1)), finite))
 
 
 def typed_members(members: Column) -> Column:

@@ -1,13 +1,14 @@
 """Vectorised stemming of token arrays.
 
 Tokenising stays JVM-side (:func:`logloom.functions.tokenize.tokenize`); the
-token arrays travel to Python in Arrow batches and each distinct token is
-stemmed once per worker process (bounded memo), so the Python work grows
-with the vocabulary, not with the text.  No shuffle is involved.
+token arrays travel to Python in Arrow batches.  A batch's tokens are
+dictionary-encoded, its distinct tokens stemmed once each, and the codes
+taken back to arrays.  No shuffle is involved.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
@@ -16,25 +17,25 @@ from logloom.functions.porter import stem
 from logloom.session import ship_package
 from logloom.functions.tokenize import tokenize, tokenize_py
 
-_MEMO: dict[str, str] = {}
-_MEMO_LIMIT = 2_000_000  # a cache bound only: misses are recomputed, never dropped
-
-
-def _stem_cached(tok: str) -> str:
-    s = _MEMO.get(tok)
-    if s is None:
-        if len(_MEMO) >= _MEMO_LIMIT:
-            _MEMO.clear()
-        s = _MEMO[tok] = stem(tok)
-    return s
+def _stems(tokens: np.ndarray) -> np.ndarray:
+    """Stem of every token (nulls stay), each distinct one computed once."""
+    codes, words = pd.factorize(tokens)
+    stems = np.array([*(stem(w) for w in words), None], object)
+    return stems[codes]  # a null's code is -1: the last entry
 
 
 def _stem_arrays(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda arr: None if arr is None else [_stem_cached(t) for t in arr])
+    sizes = np.array([0 if t is None else len(t) for t in tokens], np.int64)
+    flat = [t for t in tokens if t is not None and len(t)]
+    if not flat:
+        return tokens
+    stems = _stems(np.concatenate(flat))
+    ends = np.cumsum(sizes)
+    return pd.Series([None if t is None else stems[e - n:e] for t, n, e in zip(tokens, sizes, ends)], dtype=object)
 
 
 def _stem_tokens(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda t: None if t is None else _stem_cached(t))
+    return pd.Series(_stems(tokens.to_numpy(object)), dtype=object)
 
 
 # Declared non-deterministic only to pin them in the plan: Catalyst would

@@ -10,6 +10,7 @@ from logloom.functions.bind import let
 # date-time, fraction (any length; digits past the ninth are ignored), zone.
 TS_TOKEN = r"^([0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2})(?:[.,]([0-9]+))?(Z|[+-][0-9]{2}:[0-9]{2})$"
 _NS_PER_S = 1_000_000_000
+_NS_PER_DAY = 86_400 * _NS_PER_S
 
 
 def floor_div(c: Column, n: int) -> Column:
@@ -25,7 +26,8 @@ def token_ns(tok: Column) -> Column:
     zone = F.regexp_extract(tok, TS_TOKEN, 3)
     secs = F.unix_seconds(F.try_to_timestamp(F.concat(dt, zone), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")))
     nanos = F.rpad(F.substring(frac, 1, 9), 9, "0").cast("long")
-    return F.when(F.length(dt) > 0, secs * F.lit(_NS_PER_S) + nanos)
+    # beyond 1677..2262 nanoseconds do not fit a BIGINT: not a timestamp
+    return F.when(F.length(dt) > 0, F.try_add(F.try_multiply(secs, F.lit(_NS_PER_S)), nanos))
 
 
 def prefix_ns(line: Column) -> Column:
@@ -64,10 +66,12 @@ def utc_wallclock(ts_ns: Column | str) -> Column:
     """BIGINT ns -> TIMESTAMP_NTZ holding the UTC wall clock (microseconds):
     formatting and dates built on it do not depend on the session time zone."""
     ts_ns = F.col(ts_ns) if isinstance(ts_ns, str) else ts_ns
-    secs = floor_div(ts_ns, _NS_PER_S)
-    micros = floor_div(F.pmod(ts_ns, F.lit(_NS_PER_S)), 1000)
-    return F.timestamp_add("MICROSECOND", micros.cast("int"),
-                           F.timestamp_add("SECOND", secs.cast("int"), F.expr(_EPOCH_NTZ)))
+    days = floor_div(ts_ns, _NS_PER_DAY)
+    rest = F.pmod(ts_ns, F.lit(_NS_PER_DAY))  # of the day: its seconds fit an INT
+    secs = floor_div(rest, _NS_PER_S)
+    micros = floor_div(F.pmod(rest, F.lit(_NS_PER_S)), 1000)
+    day = F.timestamp_add("DAY", days.cast("int"), F.expr(_EPOCH_NTZ))
+    return F.timestamp_add("MICROSECOND", micros.cast("int"), F.timestamp_add("SECOND", secs.cast("int"), day))
 
 
 def ntz_micros(ts_ntz: Column | str) -> Column:
@@ -78,11 +82,8 @@ def ntz_micros(ts_ntz: Column | str) -> Column:
 
 def ns_to_date(ts_ns: Column | str) -> Column:
     """UTC day of a nanosecond time, the partition column of the log table."""
-    return F.to_date(utc_wallclock(ts_ns))
-
-
-def day_start_ns(date_col: Column) -> Column:
-    return F.unix_seconds(F.to_timestamp(date_col)) * F.lit(_NS_PER_S)
+    ts_ns = F.col(ts_ns) if isinstance(ts_ns, str) else ts_ns
+    return F.date_add(F.lit("1970-01-01").cast("date"), floor_div(ts_ns, _NS_PER_DAY).cast("int"))
 
 
 def format_ts(ts_ns: Column | str) -> Column:

@@ -21,6 +21,11 @@ DEFAULT_BUCKET = 1 << 20
 
 def container_events(status: DataFrame, bucket_width: int = DEFAULT_BUCKET, node: str | None = None) -> DataFrame:
     """Snapshots -> events (key, seq, event); snapshots without event dropped."""
+    return snapshot_events(status, bucket_width, node).where(F.col("event").isNotNull())
+
+
+def snapshot_events(status: DataFrame, bucket_width: int = DEFAULT_BUCKET, node: str | None = None) -> DataFrame:
+    """Every snapshot with its event, NULL where it gives none."""
     if node is not None and "node" in status.columns:
         status = status.where(F.col("node") == node)
     with_prev = previous_by_key(status, CONTAINER_KEY, "seq", ["kind", "running", "container_id"], bucket_width)
@@ -30,8 +35,7 @@ def container_events(status: DataFrame, bucket_width: int = DEFAULT_BUCKET, node
     event = (F.when(F.col("kind") == "deleted", F.lit("STOP"))
              .when(running & (unseen | ~p["running"] | (p["container_id"] != F.col("container_id"))), F.lit("START"))
              .when(~running & ~unseen & p["running"], F.lit("STOP")))
-    return (with_prev.select(*CONTAINER_KEY, "seq", "restart_count", event.alias("event"))
-            .where(F.col("event").isNotNull()))
+    return with_prev.select(*CONTAINER_KEY, "seq", "restart_count", event.alias("event"))
 
 
 def container_restarts(status: DataFrame, events: DataFrame | None = None) -> DataFrame:

@@ -7,8 +7,9 @@ pod, container, severity, id cursors); the time range also adds the implied
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, replace
-from datetime import datetime
+from datetime import date, datetime, timedelta, timezone
 from typing import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -22,23 +23,35 @@ HTTP_MAX_LIMIT = 1000
 
 
 def _utc_day(ns: int):
-    from datetime import timezone
+    return date(1970, 1, 1) + timedelta(days=ns // (86_400 * NS_PER_S))
 
-    return datetime.fromtimestamp(ns // NS_PER_S, timezone.utc).date()
+
+_RFC3339 = re.compile(r"([0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2})(?:[.,]([0-9]+))?(Z|[+-][0-9]{2}:[0-9]{2})")
+_INTEGER = re.compile(r"[+-]?[0-9]+")
+_INT64 = 1 << 63
 
 
 def _parse_rfc3339(text: str) -> int | None:
-    """RFC3339 (whole seconds or fraction) -> ns; None when malformed."""
+    """RFC3339 (whole seconds or fraction) -> ns; None when malformed or
+    outside the range of a BIGINT."""
+    m = _RFC3339.fullmatch(text)
+    if not m:
+        return None
     try:
-        dt = datetime.fromisoformat(text.replace("Z", "+00:00"))
-    except ValueError:
+        dt = datetime.fromisoformat(m.group(1) + m.group(3).replace("Z", "+00:00"))
+        secs = (dt - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(seconds=1)
+    except (ValueError, OverflowError):
         return None
-    if dt.tzinfo is None or "T" not in text:
+    ns = secs * NS_PER_S + int((m.group(2) or "")[:9].ljust(9, "0"))
+    return ns if -_INT64 <= ns < _INT64 else None
+
+
+def _parse_int(text: str) -> int | None:
+    """A signed 64-bit decimal; None when it is anything else."""
+    if not _INTEGER.fullmatch(text or "") or len(text) > 40:
         return None
-    secs = int(dt.timestamp())
-    frac = text.split(".", 1)[1] if "." in text else ""
-    digits = "".join(ch for ch in frac if ch.isdigit())[:9]
-    return secs * NS_PER_S + int(digits.ljust(9, "0") or 0)
+    value = int(text)
+    return value if -_INT64 <= value < _INT64 else None
 
 
 @dataclass(frozen=True)
@@ -68,16 +81,16 @@ class LogQuery:
         for name in ("namespace", "pod", "container", "search"):
             if params.get(name):
                 kw[name] = params[name]
-        sev = params.get("minSeverity", "")
-        if sev.lstrip("+-").isdigit() and 0 <= int(sev) <= 6:
-            kw["min_severity"] = int(sev)
-        lim = params.get("limit", "")
-        if lim.lstrip("+-").isdigit() and 0 < int(lim) <= HTTP_MAX_LIMIT:
-            kw["limit"] = int(lim)
+        sev = _parse_int(params.get("minSeverity", ""))
+        if sev is not None and 0 <= sev <= 6:
+            kw["min_severity"] = sev
+        lim = _parse_int(params.get("limit", ""))
+        if lim is not None and 0 < lim <= HTTP_MAX_LIMIT:
+            kw["limit"] = lim
         for name, key in (("afterId", "after_id"), ("beforeId", "before_id")):
-            v = params.get(name, "")
-            if v.lstrip("+-").isdigit():
-                kw[key] = int(v)
+            v = _parse_int(params.get(name, ""))
+            if v is not None:
+                kw[key] = v
         if params.get("order") == "asc":
             kw["order"] = "asc"
         for name, key in (("startTime", "start_ns"), ("endTime", "end_ns")):
@@ -96,9 +109,8 @@ class LogQuery:
         order or cursors; ``lastId`` (a positive integer) resumes a viewer."""
         keep = {k: v for k, v in params.items()
                 if k in ("namespace", "pod", "container", "search", "minSeverity", "startTime") or k.startswith("attr.")}
-        last = params.get("lastId", "")
-        last_id = int(last) if last.lstrip("+").isdigit() and int(last) > 0 else None
-        return cls.from_params(keep), last_id
+        last = _parse_int(params.get("lastId", ""))
+        return cls.from_params(keep), last if last is not None and last > 0 else None
 
     @classmethod
     def last(cls, minutes: int, now_ns: int, **kw) -> "LogQuery":
@@ -140,9 +152,9 @@ class LogQuery:
         for k in sorted(self.attributes):
             conds.append(attr_equals("attributes", k, self.attributes[k]))
         if with_cursor:
-            if self.after_id:
+            if self.after_id is not None and self.after_id > 0:
                 conds.append(F.col("id") > F.lit(self.after_id))
-            if self.before_id:
+            if self.before_id is not None and self.before_id > 0:
                 conds.append(F.col("id") < F.lit(self.before_id))
         out = F.lit(True)
         for c in conds:

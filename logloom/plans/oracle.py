@@ -225,8 +225,12 @@ _FRESH = """fresh AS (
   WHERE NOT EXISTS (SELECT 1 FROM lv s WHERE s.id % 2 = 1 AND s.ts_ns = d.ts_ns AND s.namespace = d.namespace
                     AND s.pod = d.pod AND s.container = d.container AND s.message = d.message)
   QUALIFY row_number() OVER (PARTITION BY ts_ns, namespace, pod, container, message ORDER BY id) = 1)"""
-ORACLE["append_new"] = _with(LV, DV, _FRESH) + (
-    f"SELECT id AS arrival, ts_ns, namespace, pod, container, severity, message, {ATTRS} AS attrs FROM fresh")
+_STORED = """stored AS (
+  SELECT id, ts_ns, namespace, pod, container, severity, message, k, user_id FROM lv WHERE id % 2 = 1
+  UNION ALL SELECT id, ts_ns, namespace, pod, container, severity, message, k, user_id FROM fresh)"""
+ORACLE["append_new"] = _with(LV, DV, _FRESH, _STORED) + (
+    f"SELECT ts_ns, namespace, pod, container, severity, message, {ATTRS} AS attrs, count(*) OVER () AS n_ids, "
+    "(SELECT max(id) FROM lv WHERE id % 2 = 1) + (SELECT count(*) FROM fresh) AS last_id FROM stored")
 ORACLE["assign_ids"] = _with(LV, DV, _FRESH) + (
     f"SELECT id AS arrival, {P.ASSIGN_START} + row_number() OVER (ORDER BY id) AS id FROM fresh")
 
@@ -294,12 +298,13 @@ ORACLE["tail_resume"] = _filtered(f"id > {P.CURSOR_ID}", "ORDER BY id ASC LIMIT
 ORACLE["tail_dedup"] = _with(LV) + f"SELECT {OUT_COLS} FROM lv"
 ORACLE["tail_window"] = _filtered("true", "ORDER BY id DESC LIMIT 1000")
 ORACLE["ingest_stream"] = _with(LV, RAWX) + (
-    "SELECT row_number() OVER (ORDER BY arrival) AS id, ts_ns, namespace, pod, container, severity, message, "
+    "SELECT ts_ns, namespace, pod, container, severity, message, "
     "CASE WHEN attrs = '' THEN 'pod_uid=' || pod_uid "
     "ELSE replace(attrs, ';user_id=', ';pod_uid=' || pod_uid || ';user_id=') END AS attrs FROM "
     "(SELECT * FROM (SELECT * FROM rawx UNION ALL SELECT arrival + 10000000, namespace, pod, pod_uid, container, ts_ns, "
     "severity, message, attrs, event_id, user_id, k, value, true_severity, true_message FROM rawx WHERE (arrival - 1) % 10 = 0) "
     "QUALIFY row_number() OVER (PARTITION BY ts_ns, namespace, pod, container, message ORDER BY arrival) = 1)")
+ORACLE["ingest_stream"] = f"SELECT *, count(*) OVER () AS n_ids, count(*) OVER () AS last_id FROM ({ORACLE['ingest_stream']})"
 ORACLE["stream_dedup"] = _with(LV, DV) + "SELECT DISTINCT ts_ns, namespace, pod, container, message FROM dv"
 ORACLE["container_events_stream"] = ORACLE["container_events"]
 
@@ -320,6 +325,4 @@ ORACLE["build_postings"] = _with(LV) + (
     "unnest(range(0, len(regexp_split_to_array(lower(message), '[^a-z0-9]+')))) AS pos FROM lv) "
     "SELECT coalesce(s.stem, CASE WHEN regexp_matches(tok, '^[0-9]+ms$') THEN left(tok, length(tok) - 1) ELSE tok END) "
     "AS term, id, pos FROM toks LEFT JOIN stems s ON s.word = toks.tok")
-ORACLE["idle_containers_stream"] = _with(LV) + (
-    "SELECT namespace, pod, container, max(ts_ns) AS last_ts_ns FROM lv GROUP BY ALL "
-    f"HAVING max(ts_ns) // 1000000 + {P.IDLE_TIMEOUT_NS // 1000000} <= (SELECT max(ts_ns) // 1000000 FROM lv)")
+ORACLE["idle_containers_stream"] = ORACLE["idle_containers"]

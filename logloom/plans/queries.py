@@ -28,9 +28,9 @@ from logloom.operators.parse import parse_lines, to_log_entry
 from logloom.operators.query import LogQuery, apply_query, project_entry
 from logloom.plans import derived, params as P
 from logloom.sinks.retention import retention_counts, retention_keep, retention_stats
-from logloom.sinks.table import assign_ids, new_rows
+from logloom.sinks.table import append_new, assign_ids, new_rows, write_log_table
+from logloom.sinks.unique import read_unique
 from logloom.session import scratch_path
-from logloom.sinks.table import write_log_table
 from logloom.sources import logs as src
 from logloom.sources.logs import read_logs
 from logloom.streaming import ingest, tail
@@ -402,24 +402,35 @@ def q_dedup_existing(spark, d):
     return _out(kept.drop("dedup_key"))
 
 
-def _split_existing(spark, d):
-    """Stored rows = even events; incoming batch = the re-delivery view."""
-    stored = _logs(spark, d).where(F.col("id") % 2 == 1).withColumn("log_date", ns_to_date("ts_ns"))
-    batch = dup_view(spark, d).withColumnRenamed("id", "arrival")
-    return stored, batch
+def _appended(spark, d) -> str:
+    """A stored table (odd ids), then the re-delivery view appended in four
+    batches that each hold rows from everywhere, the first one twice."""
+    root = _scratch(spark, "append")
+    table = f"{root}/logs"
+    write_log_table(_logs(spark, d).where(F.col("id") % 2 == 1), table)
+    batch = dup_view(spark, d).withColumnRenamed("id", "arrival").withColumn("part", F.pmod(F.xxhash64("ts_ns"), F.lit(4)))
+    for part in (0, 1, 2, 3, 0):
+        append_new(spark, batch.where(F.col("part") == part).drop("part"), table, f"{root}/stage")
+    return table
+
+
+def _stored_out(rows: DataFrame) -> DataFrame:
+    """Stored rows, with what their ids are like: how many different ones, the last."""
+    seen = rows.agg(F.countDistinct("id").cast("long").alias("n"), F.max("id").alias("last")).first()
+    return rows.select("ts_ns", "namespace", "pod", "container", "severity", "message",
+                       attrs_text("attributes").alias("attrs"), F.lit(seen.n).cast("long").alias("n_ids"),
+                       F.lit(seen.last).cast("long").alias("last_id"))
 
 
 @register("append_new")
 def q_append_new(spark, d):
-    stored, batch = _split_existing(spark, d)
-    fresh = new_rows(batch, stored, order="arrival")
-    return fresh.select("arrival", "ts_ns", "namespace", "pod", "container", "severity", "message",
-                        attrs_text("attributes").alias("attrs"))
+    return _stored_out(read_logs(spark, _appended(spark, d)))
 
 
 @register("assign_ids")
 def q_assign_ids(spark, d):
-    stored, batch = _split_existing(spark, d)
+    stored = _logs(spark, d).where(F.col("id") % 2 == 1).withColumn("log_date", ns_to_date("ts_ns"))
+    batch = dup_view(spark, d).withColumnRenamed("id", "arrival")
     fresh = new_rows(batch, stored, order="arrival")
     return assign_ids(fresh, P.ASSIGN_START, order="arrival").select("arrival", "id")
 
@@ -568,21 +579,43 @@ def _scratch(spark, name: str) -> str:
     return scratch_path(spark, name)
 
 
-def _stored_table(spark, d, root: str) -> str:
-    """The log rows written as the Parquet log table (the tail's source)."""
+def _as_files(df: DataFrame, path: str, files: int = 8) -> None:
+    """Write rows as ``files`` files that each hold rows from everywhere, in
+    an order that has nothing to do with theirs."""
+    df.repartition(files, F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")])).write.parquet(path)
+
+
+def _stream(spark, schema, path: str) -> DataFrame:
+    """One file per micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+_NOW = {"availableNow": True}
+
+
+def _stored_table(spark, d, root: str, appends: int = 1) -> str:
+    """The log rows written as the Parquet log table, in ``appends`` runs of ids."""
     path = f"{root}/logs"
-    write_log_table(_logs(spark, d), path)
+    rows = _logs(spark, d)
+    if appends == 1:
+        write_log_table(rows, path)
+        return path
+    top = rows.agg(F.max("id")).first()[0]
+    for k in range(appends):
+        write_log_table(rows.where(F.col("id").between(top * k // appends + 1, top * (k + 1) // appends)), path)
     return path
 
 
 @register("tail_stream")
 def q_tail_stream(spark, d):
-    """Live tail with a severity filter (alerts feed), run over all files."""
+    """Live tail with a severity filter (alerts feed): the table in eight
+    appends, a few files per micro-batch."""
     root = _scratch(spark, "tail")
-    table = _stored_table(spark, d, root)
-    s = tail.tail_stream(spark, table, LogQuery(min_severity=5)).drop("terms")
-    ingest.run_available(s, f"{root}/out", f"{root}/ckpt")
-    return _out(spark.read.parquet(f"{root}/out"))
+    stored = _stored_table(spark, d, root, appends=8)
+    rows = tail.tail_source(spark, stored, max_files=40)
+    s = apply_query(rows, LogQuery(min_severity=5)).drop("terms", "log_date")
+    tail.tail_run(s, f"{root}/out", f"{root}/ckpt", _NOW).awaitTermination()
+    return _out(read_unique(spark, f"{root}/out"))
 
 
 @register("tail_resume")
@@ -592,68 +625,71 @@ def q_tail_resume(spark, d):
 
 @register("tail_dedup")
 def q_tail_dedup(spark, d):
-    """Overlapping polls deliver every third row twice; the viewer shows each id once."""
+    """Overlapping polls deliver every third row twice, in other batches; the
+    viewer shows each id once."""
     root = _scratch(spark, "tdedup")
     lv = _logs(spark, d)
-    lv.unionByName(lv.where(F.col("id") % 3 == 0)).write.parquet(f"{root}/in")
-    s = spark.readStream.schema(lv.schema).parquet(f"{root}/in")
-    ingest.run_available(tail.tail_dedup(s), f"{root}/out", f"{root}/ckpt")
-    return _out(spark.read.parquet(f"{root}/out"))
+    again = lv.where(F.col("id") % 3 == 0)
+    _as_files(lv.withColumn("poll", F.lit(1)).unionByName(again.withColumn("poll", F.lit(2))), f"{root}/in")
+    s = _stream(spark, lv.schema, f"{root}/in")
+    tail.tail_run(s, f"{root}/out", f"{root}/ckpt", _NOW).awaitTermination()
+    return _out(read_unique(spark, f"{root}/out"))
 
 
 @register("tail_window")
 def q_tail_window(spark, d):
     """The bounded live view: newest 1000 rows after the stream ran."""
     root = _scratch(spark, "twin")
-    table = _stored_table(spark, d, root)
-    s = tail.tail_source(spark, table, max_files=2).drop("terms")
-    q = (s.writeStream.foreachBatch(tail.tail_window_sink(spark, f"{root}/view"))
+    lv = _logs(spark, d)
+    _as_files(lv, f"{root}/in")
+    q = (_stream(spark, lv.schema, f"{root}/in").writeStream.foreachBatch(tail.tail_window_sink(spark, f"{root}/view"))
          .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
     return _out(tail.read_window(spark, f"{root}/view"))
 
 
-@register("ingest_stream")
-def q_ingest_stream(spark, d):
-    """Raw lines (every 10th delivered twice) -> parse -> dedup -> table."""
+def _ingested(spark, d) -> str:
+    """Raw lines (every 10th delivered twice), in eight shuffled files ->
+    parse -> dedup -> table and postings, a batch per file."""
     root = _scratch(spark, "ingest")
     rv = raw_view(spark, d)
     again = rv.where((F.col("arrival") - 1) % 10 == 0).withColumn("arrival", F.col("arrival") + DUP_ID_OFFSET)
-    rv.unionByName(again).write.parquet(f"{root}/raw")
-    q = ingest.ingest_stream(spark, ingest.stream_raw_lines(spark, f"{root}/raw"), f"{root}/logs",
-                             f"{root}/ckpt", trigger={"availableNow": True})
+    _as_files(rv.unionByName(again), f"{root}/raw")
+    q = ingest.ingest_stream(spark, ingest.stream_raw_lines(spark, f"{root}/raw", max_files=1), f"{root}/logs",
+                             f"{root}/ckpt", trigger=_NOW)
     q.awaitTermination()
-    return read_logs(spark, f"{root}/logs").select(
-        "id", "ts_ns", "namespace", "pod", "container", "severity", "message", attrs_text("attributes").alias("attrs"))
+    return f"{root}/logs"
+
+
+@register("ingest_stream")
+def q_ingest_stream(spark, d):
+    return _stored_out(read_logs(spark, _ingested(spark, d)))
 
 
 @register("stream_dedup")
 def q_stream_dedup(spark, d):
     root = _scratch(spark, "sdedup")
     dv = dup_view(spark, d)
-    dv.write.parquet(f"{root}/in")
-    s = spark.readStream.schema(dv.schema).parquet(f"{root}/in")
-    out = ingest.stream_dedup(s).select("ts_ns", "namespace", "pod", "container", "message")
-    ingest.run_available(out, f"{root}/out", f"{root}/ckpt")
-    return spark.read.parquet(f"{root}/out")
+    _as_files(dv, f"{root}/in")
+    ingest.dedup_run(_stream(spark, dv.schema, f"{root}/in"), f"{root}/out", f"{root}/ckpt", trigger=_NOW).awaitTermination()
+    return read_unique(spark, f"{root}/out").select("ts_ns", "namespace", "pod", "container", "message")
 
 
 @register("container_events_stream")
 def q_container_events_stream(spark, d):
     root = _scratch(spark, "lifecycle")
     sv = status_view(spark, d)
-    sv.write.parquet(f"{root}/in")
-    s = spark.readStream.schema(sv.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    ingest.run_available(stream_lifecycle.container_events_stream(s), f"{root}/out", f"{root}/ckpt")
-    return spark.read.parquet(f"{root}/out")
+    _as_files(sv, f"{root}/in")
+    stream_lifecycle.container_events_stream(_stream(spark, sv.schema, f"{root}/in"), f"{root}/out", f"{root}/ckpt",
+                                             _NOW).awaitTermination()
+    return stream_lifecycle.read_container_events(spark, f"{root}/out")
 
 
 @register("idle_containers_stream")
 def q_idle_containers_stream(spark, d):
-    """Idle detection over the log stream with event-time timers."""
     root = _scratch(spark, "idle")
     lv = _logs(spark, d)
-    lv.write.parquet(f"{root}/in")
-    s = spark.readStream.schema(lv.schema).parquet(f"{root}/in")
-    ingest.run_available(stream_idle.idle_containers_stream(s, P.IDLE_TIMEOUT_NS), f"{root}/out", f"{root}/ckpt")
-    return spark.read.parquet(f"{root}/out")
+    _as_files(lv, f"{root}/in")
+    stream_idle.last_lines_stream(_stream(spark, lv.schema, f"{root}/in"), f"{root}/out", f"{root}/ckpt",
+                                  _NOW).awaitTermination()
+    return stream_idle.idle_now(spark, f"{root}/out", P.IDLE_NOW_NS, P.IDLE_TIMEOUT_NS)

@@ -24,8 +24,6 @@ _LOCAL_DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.driver.memory": "8g",
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -48,8 +46,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and staged writes.
 
     Read from the session (``spark.checkpoint.dir`` or the context's
-    checkpoint dir); set one only when it is unset, which happens in local
-    runs and tests.
+    checkpoint dir); a local session without one gets a temporary folder.  On
+    a cluster a folder of this machine would not be shared: an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -57,6 +55,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf = tempfile.mkdtemp(prefix="logloom-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
@@ -73,8 +73,8 @@ _SHIPPED: set[int] = set()
 
 
 def ship_package(spark: SparkSession | None = None) -> None:
-    """Make ``logloom`` importable in Python workers (vectorised UDFs and
-    stateful processors run there): zip the package once and add it to the
+    """Make ``logloom`` importable in Python workers (vectorised UDFs run
+    there): zip the package once and add it to the
     context, which distributes it like ``--py-files``."""
     spark = spark or SparkSession.getActiveSession()
     if spark is None:
@@ -94,27 +94,3 @@ def ship_package(spark: SparkSession | None = None) -> None:
                     zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
     sc.addPyFile(out)
     _SHIPPED.add(id(sc))
-
-
-def pickle_by_value(module) -> None:
-    """Serialise a module's classes and functions with their code: Python
-    processes that Spark starts without the added files (the runner that
-    initialises a stateful processor) can then load them without importing
-    the package."""
-    from pyspark import cloudpickle
-
-    cloudpickle.register_pickle_by_value(module)
-
-
-_STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def ensure_rocksdb_state(spark: SparkSession) -> None:
-    """transformWithState needs the RocksDB state store (several column
-    families per operator).  Switch a session still on the default
-    HDFS-backed provider; queries restarted from a checkpoint keep the
-    provider recorded in it."""
-    current = spark.conf.get(_STATE_PROVIDER, None) or ""
-    if "RocksDB" not in current:
-        spark.conf.set(_STATE_PROVIDER, _ROCKSDB)

@@ -44,3 +44,9 @@ def move_files(spark: SparkSession, src_dir: str, dst_dir: str, suffix: str = ".
         name = st.getPath().getName()
         if name.endswith(suffix):
             fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(dst, rename_prefix + name))
+
+
+def rename(spark: SparkSession, src: str, dst: str) -> bool:
+    """Move a file or folder within one file system; False if it did not move."""
+    fs, p = _fs(spark, src)
+    return bool(fs.rename(p, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(dst)))

@@ -24,11 +24,6 @@ RUNS_SCHEMA = T.StructType([
 ])
 
 
-def cutoff_for(now_ns: int, days: int) -> int | None:
-    """now - days x 24 h; None when retention is off (0 days)."""
-    return None if days <= 0 else now_ns - days * NS_PER_DAY
-
-
 def retention_keep(df: DataFrame, cutoff_ns: int) -> DataFrame:
     """Rows that survive: time >= cutoff (strictly older rows go)."""
     return df.where(F.col("ts_ns") >= F.lit(cutoff_ns))
@@ -41,37 +36,75 @@ def retention_counts(df: DataFrame, cutoff_ns: int) -> DataFrame:
                   F.sum(F.when(old, 0).otherwise(1)).cast("long").alias("kept"))
 
 
-def apply_retention(spark: SparkSession, path: str, cutoff_ns: int, stage_root: str) -> int:
-    """Delete rows with ts_ns < cutoff from the table at ``path``; returns the
-    number of deleted rows.
+def apply_retention(spark: SparkSession, path: str, cutoff_ns: int, stage_root: str,
+                    postings_path: str | None = None) -> int:
+    """Delete rows with ts_ns < cutoff from the table at ``path`` (and their
+    posting lists); returns the number of deleted rows.
 
-    Restartable after a lost driver: the kept rows of the boundary day are
-    staged under a name fixed by the cutoff; staged files are moved into the
-    boundary partition (renamed with a cutoff prefix) before its old files
-    are deleted, and a rerun finishes whatever step was interrupted."""
-    table = spark.read.schema(TABLE_SCHEMA).parquet(path)
-    cutoff_day = _dt.datetime.fromtimestamp(cutoff_ns // 1_000_000_000, _dt.timezone.utc).date()
+    The kept rows of the boundary day are staged under a name fixed by the
+    cutoff, with the number of deleted rows beside them.  The day's folder is
+    then renamed to a name readers skip and the staged one takes its place:
+    no reader ever sees both.  A rerun after a lost driver finishes whatever
+    step was interrupted and returns the same number."""
+    root = path.rstrip("/")
+    day = _dt.date(1970, 1, 1) + _dt.timedelta(days=cutoff_ns // NS_PER_DAY)
     stage = f"{stage_root.rstrip('/')}/retention-{cutoff_ns}"
-    boundary_dir = f"{path.rstrip('/')}/log_date={cutoff_day.isoformat()}"
-    prefix = f"ret-{cutoff_ns}-"
-    resuming = fs.exists(spark, stage + "/_SUCCESS")
-    deleted = 0 if resuming else table.where(F.col("log_date") <= F.lit(cutoff_day)) \
-        .where(F.col("ts_ns") < F.lit(cutoff_ns)).count()
-    if deleted == 0 and not resuming:
+    deleted = _stage(spark, root, cutoff_ns, day, stage)
+    if deleted == 0:
+        fs.delete(spark, stage)
         return 0
-    if not resuming:
-        keep = table.where(F.col("log_date") == F.lit(cutoff_day)).where(F.col("ts_ns") >= F.lit(cutoff_ns))
-        keep.drop("log_date").write.mode("overwrite").parquet(stage)
-    for name, full in fs.list_dirs(spark, path):
-        if name.startswith("log_date=") and _dt.date.fromisoformat(name.split("=", 1)[1]) < cutoff_day:
-            fs.delete(spark, full)
-    old = [full for name, full in fs.list_dirs(spark, boundary_dir)
-           if name.endswith(".parquet") and not name.startswith(prefix)]
-    fs.move_files(spark, stage, boundary_dir, rename_prefix=prefix)
-    for full in old:
-        fs.delete(spark, full)
+    tables = [(root, f"{stage}/rows")] + ([(postings_path.rstrip("/"), f"{stage}/postings")] if postings_path else [])
+    if postings_path and not fs.exists(spark, f"{stage}/postings/_SUCCESS"):
+        kept = spark.read.parquet(f"{stage}/rows").select("id")
+        lists = spark.read.parquet(postings_path).where(F.col("log_date") == F.lit(day)).drop("log_date")
+        (lists.join(kept, "id", "left_semi").repartitionByRange("term").sortWithinPartitions("term", "id")
+         .write.mode("overwrite").parquet(f"{stage}/postings"))
+    for at, kept in tables:
+        _swap_day(spark, at, day, kept, cutoff_ns)
+        for name, full in fs.list_dirs(spark, at):
+            if name.startswith("log_date=") and _dt.date.fromisoformat(name.split("=", 1)[1]) < day:
+                fs.delete(spark, full)
     fs.delete(spark, stage)
-    return int(deleted)
+    return deleted
+
+
+def _stage(spark: SparkSession, root: str, cutoff_ns: int, day: _dt.date, stage: str) -> int:
+    """Write the kept rows of the boundary day and the number of rows that go;
+    a finished stage is taken as it is."""
+    if fs.exists(spark, f"{stage}/count/_SUCCESS"):
+        return int(spark.read.parquet(f"{stage}/count").first()[0])
+    table = spark.read.schema(TABLE_SCHEMA).parquet(root)
+    old = table.where((F.col("log_date") <= F.lit(day)) & (F.col("ts_ns") < F.lit(cutoff_ns))).count()
+    keep = table.where((F.col("log_date") == F.lit(day)) & (F.col("ts_ns") >= F.lit(cutoff_ns)))
+    keep.drop("log_date").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{stage}/rows")
+    spark.createDataFrame([(old,)], "deleted bigint").coalesce(1).write.mode("overwrite").parquet(f"{stage}/count")
+    return int(old)
+
+
+def _swap_day(spark: SparkSession, root: str, day: _dt.date, kept: str, cutoff_ns: int) -> None:
+    here, away = f"{root}/log_date={day.isoformat()}", f"{root}/_old-{cutoff_ns}"
+    if fs.exists(spark, kept):
+        if fs.exists(spark, here) and not fs.exists(spark, away):
+            fs.rename(spark, here, away)
+        fs.rename(spark, kept, here)
+    fs.delete(spark, away)
+
+
+def retention_job(spark: SparkSession, path: str, now_ns: int, days: int, stage_root: str, runs_path: str,
+                  postings_path: str | None = None) -> int:
+    """One retention run: rows older than ``days`` before ``now_ns`` go (0
+    days: retention is off, nothing runs).  The run, its count and its error,
+    if there was one, are recorded; an error is raised again."""
+    if days <= 0:
+        return 0
+    cutoff_ns = now_ns - days * NS_PER_DAY
+    try:
+        deleted = apply_retention(spark, path, cutoff_ns, stage_root, postings_path)
+    except Exception as e:
+        record_run(spark, runs_path, now_ns, cutoff_ns, 0, str(e)[:500])
+        raise
+    record_run(spark, runs_path, now_ns, cutoff_ns, deleted)
+    return deleted
 
 
 def record_run(spark: SparkSession, runs_path: str, run_ns: int, cutoff_ns: int, deleted: int,

@@ -12,72 +12,77 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from logloom.functions.stem import terms
 from logloom.session import checkpoint_root
 from logloom.sinks import fs
+from logloom.sinks.appends import high_water, record_append
+from logloom.sinks.unique import near
 from logloom.functions.timestamps import ns_to_date
 from logloom.operators.dedup import dedup_first
 from logloom.schema import DEDUP_KEY, LOG_COLUMNS
 from logloom.sources.logs import TABLE_SCHEMA
 
 ROWS_PER_FILE = 5_000_000
-BYTES_PER_PARTITION = 256 << 20
-MAX_PARTITIONS = 200_000
 
 
-def target_partitions(df: DataFrame, bytes_per_partition: int = BYTES_PER_PARTITION) -> int:
-    """Partition count for a shuffle that feeds a write: the optimizer's size
-    estimate of the frame / ``bytes_per_partition``, at least one per core."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - estimate unavailable (e.g. streaming)
-        size = 0
-    if size >= 1 << 60:  # the optimizer's "unknown" (e.g. an RDD-backed frame)
-        return cores
-    return int(min(max(cores, -(-size // bytes_per_partition)), MAX_PARTITIONS))
-
-
-def with_index_columns(df: DataFrame) -> DataFrame:
-    """Add ``terms`` (full-text index) and ``log_date`` (partition)."""
-    return df.withColumn("terms", terms(F.col("message"))).withColumn("log_date", ns_to_date("ts_ns"))
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether rows were ever written (the append log alone is no table)."""
+    return any(name.startswith("log_date=") for name, _ in fs.list_dirs(spark, path))
 
 
-def table_exists(spark: SparkSession, path: str) -> bool:
-    return fs.exists(spark, path)
+def _ranged(df: DataFrame, partitions: int | None, *cols: str) -> DataFrame:
+    """Range-partitioned and sorted; without a number AQE sizes the parts."""
+    dealt = df.repartitionByRange(partitions, *cols) if partitions else df.repartitionByRange(*cols)
+    return dealt.sortWithinPartitions(*cols)
 
 
-def write_log_table(df: DataFrame, path: str, mode: str = "append", partitions: int | None = None) -> None:
+def write_log_table(df: DataFrame, path: str, mode: str = "append", partitions: int | None = None,
+                    postings_path: str | None = None) -> None:
     """Write log rows (LOG_SCHEMA, ids set).  Rows are range-partitioned on
     (log_date, id): a day holding a third of the data is still spread over
-    many writers, and every file covers a narrow id range."""
-    rows = df if "terms" in df.columns else with_index_columns(df)
-    rows = rows.select(*[f.name for f in TABLE_SCHEMA.fields])
-    n = partitions or target_partitions(rows)
-    (rows.repartitionByRange(n, "log_date", "id").sortWithinPartitions("log_date", "id")
-     .write.mode(mode).option("maxRecordsPerFile", ROWS_PER_FILE)
-     .partitionBy("log_date").parquet(path))
+    many writers, and every file covers a narrow id range.  The index column
+    is computed after the shuffle: neither its sampling nor its rows carry it.
+    The append is recorded first; ``postings_path``: where posting lists of
+    the rows go, written before them."""
+    rows = _ranged(df.withColumn("log_date", ns_to_date("ts_ns")), partitions, "log_date", "id")
+    if "terms" not in df.columns:
+        rows = rows.withColumn("terms", terms(F.col("message")))
+    seen = df.agg(F.min("id"), F.max("id"), F.collect_set(ns_to_date("ts_ns"))).first()  # days: few per append
+    if seen[0] is None:
+        return
+    record_append(df.sparkSession, path, seen[0], seen[1], seen[2])
+    if postings_path:
+        write_postings(rows, postings_path, mode, partitions)
+    (rows.select(*[f.name for f in TABLE_SCHEMA.fields]).write.mode("append")
+     .option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("log_date").parquet(path))
 
 
 def max_id(spark: SparkSession, path: str) -> int:
+    """Highest id given out: from the append log; a table without one is read."""
+    known = high_water(spark, path)
+    if known is not None:
+        return known
     if not table_exists(spark, path):
         return 0
     row = spark.read.schema(TABLE_SCHEMA).parquet(path).agg(F.max("id")).first()
     return int(row[0] or 0)
 
 
-def assign_ids(df: DataFrame, start_after: int, order: str = "arrival") -> DataFrame:
+def assign_ids(df: DataFrame, start_after: int, order: str = "arrival", stage: str | None = None) -> DataFrame:
     """Dense ids ``start_after + 1 ..`` in ``order``, without a global sort in
     one task: rows are range-partitioned on ``order`` and numbered inside
     their partition; a partition's offset is the sum of the row counts of
     the partitions before it (a tiny aggregate, one row per partition).
 
-    The numbered rows are checkpointed (reliably, under the shared folder),
-    so counts and numbers come from one and the same partitioning even if a
-    stage is retried or AQE would plan the two uses differently."""
-    spark = df.sparkSession
-    checkpoint_root(spark)
-    n = target_partitions(df)
-    ranged = (df.repartitionByRange(n, order).sortWithinPartitions(order)
-              .withColumn("__mono", F.monotonically_increasing_id())  # (partition << 33) + row index
-              .checkpoint(eager=True))
+    The numbered rows are written to ``stage`` (or checkpointed reliably,
+    under the shared folder), so counts and numbers come from one and the same
+    partitioning even if a stage is retried or AQE would plan the two uses
+    differently."""
+    # (partition << 33) + row index
+    ranged = _ranged(df, None, order).withColumn("__mono", F.monotonically_increasing_id())
+    if stage:
+        ranged.write.mode("overwrite").parquet(stage)
+        ranged = df.sparkSession.read.parquet(stage)
+    else:
+        checkpoint_root(df.sparkSession)
+        ranged = ranged.checkpoint(eager=True)
     ranged = ranged.withColumns({"__pid": F.shiftright(F.col("__mono"), 33),
                                  "__pos": F.col("__mono") - F.shiftleft(F.shiftright(F.col("__mono"), 33), 33) + 1})
     counts = ranged.groupBy("__pid").agg(F.count("*").alias("__n"))
@@ -89,34 +94,39 @@ def assign_ids(df: DataFrame, start_after: int, order: str = "arrival") -> DataF
 
 
 def new_rows(batch: DataFrame, existing: DataFrame | None, order: str = "arrival") -> DataFrame:
-    """First write wins inside the batch, then against stored rows.  Only the
-    stored ``log_date`` partitions the batch touches are read (the bounds
-    come from a min/max over the batch itself, one row, no shuffle; the join
-    key includes ``log_date`` as well)."""
+    """First write wins inside the batch, then against stored rows.  Only
+    stored rows of the batch's own days, and there only between the batch's
+    first and last time of the day, are read: times are part of the key, so
+    no other row can be equal.  The bounds come from an aggregate over the
+    batch, one row per day."""
     first = dedup_first(batch, order=order)
     if existing is None:
         return first
-    lo, hi = batch.agg(F.min("ts_ns"), F.max("ts_ns")).first()
-    if lo is None:
+    days = [tuple(r) for r in batch.groupBy(ns_to_date("ts_ns").alias("day")).agg(
+        F.min("ts_ns"), F.max("ts_ns")).collect()]
+    if not days:
         return first
     first = first.withColumn("log_date", ns_to_date("ts_ns"))
-    stored = existing.where(F.col("log_date").between(_utc_day(lo), _utc_day(hi))).select(*DEDUP_KEY, "log_date")
+    stored = existing.where(near(days, F.col("log_date"), F.col("ts_ns"))).select(*DEDUP_KEY, "log_date")
     return first.join(stored, on=[*DEDUP_KEY, "log_date"], how="left_anti").drop("log_date")
 
 
-def _utc_day(ns: int):
-    import datetime as _dt
-
-    return _dt.datetime.fromtimestamp(ns // 1_000_000_000, _dt.timezone.utc).date()
-
-
-def append_new(spark: SparkSession, batch: DataFrame, path: str, stage_dir: str, order: str = "arrival") -> dict:
+def append_new(spark: SparkSession, batch: DataFrame, path: str, stage_dir: str, order: str = "arrival",
+               postings_path: str | None = None) -> dict:
     """Append a batch of parsed rows (no ids) to the table; a re-delivered
     batch adds nothing.  Returns offered / inserted counts.
 
     The batch is staged first: that cuts the (large) parse expressions out of
-    the join's plan and makes the id assignment deterministic on retry."""
+    the join's plan and makes the id assignment deterministic on retry.  The
+    stage is removed once the rows are in the table."""
     stage = stage_dir.rstrip("/")
+    try:
+        return _append_staged(spark, batch, path, stage, order, postings_path)
+    finally:
+        fs.delete(spark, stage)
+
+
+def _append_staged(spark, batch, path, stage, order, postings_path) -> dict:
     cols = [c for c in batch.columns if c in LOG_COLUMNS or c == order]
     batch.select(*cols).write.mode("overwrite").parquet(stage + "/in")
     staged_in = spark.read.parquet(stage + "/in")
@@ -126,18 +136,19 @@ def append_new(spark: SparkSession, batch: DataFrame, path: str, stage_dir: str,
     inserted = staged.count()
     offered = staged_in.count()
     if inserted:
-        with_ids = assign_ids(staged, max_id(spark, path), order=order)
-        write_log_table(with_ids.select(*LOG_COLUMNS), path)
+        with_ids = assign_ids(staged, max_id(spark, path), order=order, stage=stage + "/numbered")
+        write_log_table(with_ids.select(*LOG_COLUMNS), path, postings_path=postings_path)
     return {"offered": offered, "inserted": inserted}
 
 
-def write_postings(logs: DataFrame, path: str, mode: str = "append") -> None:
+def write_postings(logs: DataFrame, path: str, mode: str = "append", partitions: int | None = None) -> None:
     """Posting lists of stored rows (``logs`` must carry ``terms`` and
     ``log_date``), written beside the table and partitioned the same way.
     Files are sorted by term so a term lookup skips row groups."""
     from logloom.operators.postings import build_postings
 
     post = build_postings(logs)
-    n = target_partitions(post)
-    (post.repartitionByRange(n, "log_date", "term").sortWithinPartitions("log_date", "term", "id")
+    dealt = post.repartitionByRange(partitions, "log_date", "term") if partitions else \
+        post.repartitionByRange("log_date", "term")
+    (dealt.sortWithinPartitions("log_date", "term", "id")
      .write.mode(mode).option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("log_date").parquet(path))

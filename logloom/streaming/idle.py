@@ -1,74 +1,32 @@
 """Idle containers as a stream: no line for longer than a timeout.
 
-Per container the state holds the newest line time; an event-time timer at
-``newest + timeout`` fires once the watermark (newest time seen, minus the
-allowed lateness) passes it, and the container is reported idle since its
-last line.  A newer line moves the timer, so each idle period is reported
-once.  Event time, not the wall clock: results are reproducible.
+The stream keeps the newest line time of every container, a maximum, so
+neither the order of rows nor how they fall into batches matters.  Updated
+maxima are appended per epoch; which containers are idle is asked for a
+given time.
 """
 
 from __future__ import annotations
 
-from typing import Iterator
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from logloom.functions.timestamps import ns_to_ts
-import sys
-
-from logloom.session import ensure_rocksdb_state, pickle_by_value, ship_package
+from logloom.operators.lifecycle import idle_containers
 
 IDLE_KEY = ["namespace", "pod", "container"]
-IDLE_SCHEMA = T.StructType([
-    T.StructField("namespace", T.StringType()), T.StructField("pod", T.StringType()),
-    T.StructField("container", T.StringType()), T.StructField("last_ts_ns", T.LongType()),
-])
-_STATE = T.StructType([T.StructField("last_ts_ns", T.LongType()), T.StructField("timer_ms", T.LongType())])
-
-
-class IdleDetector(StatefulProcessor):
-    def __init__(self, timeout_ns: int):
-        self.timeout_ms = timeout_ns // 1_000_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("last", _STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = max(int(pdf["ts_ns"].max()) for pdf in rows)
-        last, timer = (None, None)
-        if self.state.exists():
-            last, timer = self.state.get()
-        if last is not None and last >= newest:
-            return iter([])
-        if timer is not None:
-            self.handle.deleteTimer(timer)
-        timer = newest // 1_000_000 + self.timeout_ms
-        self.handle.registerTimer(timer)
-        self.state.update((newest, timer))
-        return iter([])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last, _ = self.state.get()
-        self.state.update((last, None))
-        ns, pod, cont = key
-        yield pd.DataFrame({"namespace": [ns], "pod": [pod], "container": [cont],
-                            "last_ts_ns": pd.array([last], dtype="int64")})
+def last_lines_stream(logs: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Log-row stream -> newest line time per container below ``out``; a
+    replayed epoch replaces what it wrote."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    def close(self) -> None:
-        pass
+    newest = logs.groupBy(*IDLE_KEY).agg(F.max("ts_ns").alias("ts_ns"))
+    w = newest.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return w.trigger(**(trigger or {"processingTime": "5 seconds"})).start()
 
 
-def idle_containers_stream(logs: DataFrame, timeout_ns: int, lateness: str = "0 seconds") -> DataFrame:
-    """Log-row stream -> one row per idle period (container, last line time)."""
-    ship_package(logs.sparkSession)
-    ensure_rocksdb_state(logs.sparkSession)
-    pickle_by_value(sys.modules[__name__])
-    timed = logs.select(*IDLE_KEY, "ts_ns").withColumn("event_ts", ns_to_ts(F.col("ts_ns"))) \
-        .withWatermark("event_ts", lateness)
-    return timed.groupBy(*IDLE_KEY).transformWithStateInPandas(
-        statefulProcessor=IdleDetector(timeout_ns), outputStructType=IDLE_SCHEMA,
-        outputMode="Append", timeMode="EventTime")
+def idle_now(spark: SparkSession, out: str, now_ns: int, timeout_ns: int) -> DataFrame:
+    """Containers whose last line is older than ``timeout_ns`` at ``now_ns``."""
+    return idle_containers(spark.read.parquet(out).drop("epoch"), now_ns, timeout_ns, key=tuple(IDLE_KEY))

@@ -18,9 +18,10 @@ from pyspark.sql import types as T
 
 from logloom.functions.timestamps import ns_to_ts
 from logloom.operators.parse import parse_lines, to_log_entry
-from logloom.schema import DEDUP_KEY, RAW_SCHEMA
+from logloom.schema import DEDUP_KEY, LOG_COLUMNS, RAW_SCHEMA
 from logloom.sinks.table import append_new
-from logloom.sources.logs import MAX_LINE_BYTES, split_oversize
+from logloom.sinks.unique import rows_by_content
+from logloom.sources.logs import MAX_LINE_BYTES, collect_gate, since
 
 RAW_STREAM_SCHEMA = T.StructType(RAW_SCHEMA.fields + [T.StructField("ingest_ns", T.LongType(), False)])
 
@@ -30,25 +31,45 @@ def stream_raw_lines(spark: SparkSession, path: str, max_files: int = 100) -> Da
     return spark.readStream.schema(RAW_STREAM_SCHEMA).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
+def with_structured(raw: DataFrame, structured: DataFrame) -> DataFrame:
+    """One stream of raw lines and of entries that need no parsing (log-entry
+    columns and ``arrival``): entries have a null ``line``."""
+    return raw.unionByName(structured, allowMissingColumns=True)
+
+
+def _entries(batch: DataFrame) -> DataFrame:
+    """Log entries of a micro-batch: parsed lines, and structured rows as they are."""
+    cols = [c for c in LOG_COLUMNS if c != "id"] + ["arrival"]
+    parsed = to_log_entry(parse_lines(batch.where(F.col("line").isNotNull()).select(*[f.name for f in RAW_STREAM_SCHEMA])))
+    if "ts_ns" not in batch.columns:
+        return parsed.select(*cols)
+    return parsed.select(*cols).unionByName(batch.where(F.col("line").isNull()).select(*cols))
+
+
 def ingest_stream(spark: SparkSession, raw: DataFrame, table_path: str, checkpoint: str,
                   trigger: dict | None = None, max_line_bytes: int = MAX_LINE_BYTES,
-                  rejects_path: str | None = None) -> StreamingQuery:
+                  rejects_path: str | None = None, include: tuple = (), exclude: tuple = (),
+                  since_ns: int | None = None, postings_path: str | None = None) -> StreamingQuery:
     """Start the ingest pipeline; ``trigger`` e.g. ``{"processingTime": "5 seconds"}``
     (default) or ``{"availableNow": True}``.  Lines longer than
     ``max_line_bytes`` go to ``rejects_path`` (default: beside the checkpoint)
-    instead of breaking the stream."""
+    instead of breaking the stream.  ``include`` / ``exclude``: namespace gate
+    before parsing; ``since_ns``: lines before this time are left out."""
     stage_root = os.path.join(checkpoint, "stage")
     rejects = rejects_path or os.path.join(checkpoint, "rejected")
 
     def write_batch(batch: DataFrame, epoch: int) -> None:
         # read twice (rejects, rows): keep the micro-batch, spilling if needed
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        batch = collect_gate(batch, include, exclude).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            ok, bad = split_oversize(batch, max_line_bytes)
-            if bad.limit(1).count():
-                bad.withColumn("epoch", F.lit(epoch)).write.mode("append").partitionBy("epoch").parquet(rejects)
-            parsed = to_log_entry(parse_lines(ok))
-            append_new(spark, parsed, table_path, os.path.join(stage_root, f"epoch-{epoch}"))
+            size = F.coalesce(F.octet_length("line"), F.lit(0))
+            bad = batch.where(size > max_line_bytes)
+            if not bad.isEmpty():
+                bad.write.mode("overwrite").parquet(f"{rejects}/epoch={epoch}")
+            rows = _entries(batch.where(size <= max_line_bytes))
+            if since_ns is not None:
+                rows = since(rows, since_ns)
+            append_new(spark, rows, table_path, f"{stage_root}/epoch-{epoch}", postings_path=postings_path)
         finally:
             batch.unpersist()
 
@@ -57,6 +78,13 @@ def ingest_stream(spark: SparkSession, raw: DataFrame, table_path: str, checkpoi
     return w.start()
 
 
+def dedup_run(stream: DataFrame, out: str, checkpoint: str, order: str = "id", trigger: dict | None = None) -> StreamingQuery:
+    """Write a stream of log rows below ``out``, every content key once, first
+    write wins; exact over any number of batches (``sinks.unique``)."""
+    w = stream.writeStream.foreachBatch(rows_by_content(stream.sparkSession, out, order))
+    return w.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 seconds"})).start()
+
+
 def stream_dedup(stream: DataFrame, horizon: str = "15 minutes") -> DataFrame:
     """Cheap streaming dedup within an event-time horizon (opt-in: rows later
     than the watermark are dropped, which the exact path would store)."""

@@ -1,84 +1,77 @@
-"""Container lifecycle as a stateful stream.
+"""Container lifecycle as a stream, right for any number and order of
+micro-batches.
 
-State per container key: the last decisive snapshot (running, container id)
-in RocksDB-backed state.  Within a micro-batch the key's snapshots are
-applied in ``seq`` order; the output is START / STOP events.
+A snapshot's event follows from the snapshot before it in ``seq`` order, so a
+late snapshot changes its own event and that of its successor only.  Every
+batch stores its new snapshots and decides anew, for the keys it touches, all
+snapshots from the batch's earliest ``seq`` on (in-order batches: just the
+new ones, after one stored predecessor).  Decisions are written as a change
+log per epoch; the latest decision for a snapshot holds.
 """
 
 from __future__ import annotations
 
-from typing import Iterator
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from logloom.operators.lifecycle import snapshot_events
+from logloom.schema import CONTAINER_KEY, STATUS_SCHEMA
+from logloom.sinks import fs
 
-from logloom.schema import CONTAINER_KEY
-import sys
+#: Partitions of the stored snapshots; a batch reads those of its keys.
+BUCKETS = 32
 
-from logloom.session import ensure_rocksdb_state, pickle_by_value, ship_package
 
-EVENT_SCHEMA = T.StructType([
-    T.StructField("namespace", T.StringType()), T.StructField("pod", T.StringType()),
-    T.StructField("pod_uid", T.StringType()), T.StructField("container", T.StringType()),
-    T.StructField("seq", T.LongType()), T.StructField("event", T.StringType()),
-])
-# running NULL = unseen (or forgotten after a pod deletion); last_seq drops
-# replayed or stale snapshots.
-_STATE = T.StructType([T.StructField("running", T.BooleanType()), T.StructField("container_id", T.StringType()),
-                       T.StructField("last_seq", T.LongType())])
+def _bucket():
+    return F.pmod(F.xxhash64(*CONTAINER_KEY), F.lit(BUCKETS)).cast("int")
 
 
-class ContainerStateMachine(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("container", _STATE)
+def lifecycle_sink(spark: SparkSession, root: str):
+    """``foreachBatch`` function keeping ``root/snapshots`` and ``root/events``.
+    Of snapshots with the same key and seq the first stored one counts; a
+    replayed epoch replaces what it wrote."""
+    snapshots, events = f"{root}/snapshots", f"{root}/events"
+    cols = [f.name for f in STATUS_SCHEMA.fields]
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("seq")
-        prev, last_seq = None, None
-        if self.state.exists():
-            running, cid, last_seq = self.state.get()
-            prev = None if running is None else (running, cid)
-        out = []
-        for r in batch.itertuples(index=False):
-            if last_seq is not None and r.seq <= last_seq:
-                continue
-            last_seq = r.seq
-            if r.kind == "deleted":
-                out.append((r.seq, "STOP"))
-                prev = None
-                continue
-            if r.running:
-                if prev is None or not prev[0] or prev[1] != r.container_id:
-                    out.append((r.seq, "START"))
-                prev = (True, r.container_id)
-            else:
-                if prev is not None and prev[0]:
-                    out.append((r.seq, "STOP"))
-                prev = (False, r.container_id) if (prev is None or prev[0]) else prev
-        self.state.update((None, None, last_seq) if prev is None else (prev[0], prev[1], last_seq))
-        if not out:
-            return
-        ns, pod, uid, cont = key
-        n = len(out)
-        yield pd.DataFrame({"namespace": [ns] * n, "pod": [pod] * n, "pod_uid": [uid] * n, "container": [cont] * n,
-                            "seq": pd.array([s for s, _ in out], dtype="int64"),
-                            "event": [e for _, e in out]})
+    def sink(batch: DataFrame, epoch: int) -> None:
+        rows = batch.select(*cols).dropDuplicates([*CONTAINER_KEY, "seq"]).withColumn("bucket", _bucket())
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            buckets = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most BUCKETS
+            if not buckets:
+                return
+            touched = rows.groupBy(*CONTAINER_KEY).agg(F.min("seq").alias("from_seq"))
+            stored = None
+            if fs.exists(spark, snapshots):
+                held = spark.read.parquet(snapshots).where((F.col("epoch") != epoch) & F.col("bucket").isin(buckets))
+                stored = held.join(touched, CONTAINER_KEY)
+                rows = rows.join(held.select(*CONTAINER_KEY, "seq", "bucket"), [*CONTAINER_KEY, "seq", "bucket"], "left_anti")
+            (rows.repartitionByRange("bucket", "seq").sortWithinPartitions("bucket", "seq")
+             .withColumn("epoch", F.lit(epoch).cast("bigint")).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "epoch").parquet(snapshots))
+            known = rows.select(*cols)
+            if stored is not None:
+                rest = [c for c in cols if c not in CONTAINER_KEY]
+                before = stored.where("seq < from_seq").groupBy(*CONTAINER_KEY).agg(
+                    F.max_by(F.struct(*rest), "seq").alias("last")).select(*CONTAINER_KEY, "last.*").select(*cols)
+                known = known.unionByName(stored.where("seq >= from_seq").select(*cols)).unionByName(before)
+            decided = snapshot_events(known).join(touched, CONTAINER_KEY).where("seq >= from_seq")
+            decided.select(*CONTAINER_KEY, "seq", "event").write.mode("overwrite").parquet(f"{events}/epoch={epoch}")
+        finally:
+            rows.unpersist()
+    return sink
 
-    def close(self) -> None:
-        pass
 
+def container_events_stream(status_stream: DataFrame, root: str, checkpoint: str,
+                            trigger: dict | None = None) -> StreamingQuery:
+    """Status snapshot stream -> START/STOP events below ``root``."""
+    w = status_stream.writeStream.foreachBatch(lifecycle_sink(status_stream.sparkSession, root))
+    return w.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 seconds"})).start()
 
-def container_events_stream(status_stream: DataFrame) -> DataFrame:
-    """Status snapshot stream -> START/STOP event stream (append mode).
 
-    Snapshots of one container must arrive in ``seq`` order across
-    micro-batches (a source keyed by container keeps that order); inside a
-    micro-batch they are sorted; replayed or older snapshots are ignored."""
-    ship_package(status_stream.sparkSession)
-    ensure_rocksdb_state(status_stream.sparkSession)
-    pickle_by_value(sys.modules[__name__])
-    return status_stream.groupBy(*CONTAINER_KEY).transformWithStateInPandas(
-        statefulProcessor=ContainerStateMachine(), outputStructType=EVENT_SCHEMA,
-        outputMode="Append", timeMode="None")
+def read_container_events(spark: SparkSession, root: str) -> DataFrame:
+    """The events as decided by now: key, seq, event."""
+    log = spark.read.option("basePath", f"{root}/events").parquet(f"{root}/events")
+    latest = log.groupBy(*CONTAINER_KEY, "seq").agg(F.max_by(F.struct("event"), "epoch").alias("last"))
+    return latest.select(*CONTAINER_KEY, "seq", "last.event").where(F.col("event").isNotNull())

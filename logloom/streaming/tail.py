@@ -8,17 +8,22 @@ is any streaming sink.  Viewers show each id once and keep the newest 1000.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from logloom.functions.timestamps import ns_to_ts
 from logloom.operators.query import LogQuery, apply_query
 from logloom.sinks import fs
+from logloom.sinks.unique import rows_by_id
 from logloom.sources.logs import TABLE_SCHEMA
 
 VIEW_SIZE = 1000
-POLL = "500 milliseconds"
 
 
 def tail_source(spark: SparkSession, table_path: str, max_files: int = 1000) -> DataFrame:
+    """The table's files as a stream.  A file that retention takes away
+    before it was read is skipped: the rows it keeps come again in the
+    rewritten day, which the stream meets as new files, and
+    :func:`tail_run` shows every id once."""
     return (spark.readStream.schema(TABLE_SCHEMA).option("maxFilesPerTrigger", max_files)
             .option("ignoreMissingFiles", "true").parquet(table_path))
 
@@ -30,6 +35,14 @@ def tail_stream(spark: SparkSession, table_path: str, q: LogQuery, last_id: int
     return out
 
 
+def tail_run(rows: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Write a tail (or overlapping polls of one) below ``out``, every id
+    once, whatever order its files come in and whatever retention rewrites;
+    read it with ``sinks.unique.read_unique``."""
+    w = rows.writeStream.foreachBatch(rows_by_id(rows.sparkSession, out)).option("checkpointLocation", checkpoint)
+    return w.trigger(**(trigger or {"processingTime": "1 second"})).start()
+
+
 def tail_resume(df: DataFrame, last_id: int, q: LogQuery | None = None, limit: int = 100) -> DataFrame:
     """Batch form of a reconnect: the next ``limit`` rows after ``last_id``, ascending."""
     q = (q or LogQuery()).with_(end_ns=None, after_id=last_id, before_id=None, order="asc")
@@ -49,7 +62,8 @@ def tail_open(df: DataFrame, params: dict, initial: int = 50, batch: int = 100)
 
 
 def tail_dedup(stream: DataFrame, horizon: str = "15 minutes") -> DataFrame:
-    """Each id once; state is bounded by the event-time horizon."""
+    """Each id once within an event-time horizon (opt-in: rows later than the
+    watermark are dropped; :func:`tail_run` keeps all)."""
     return (stream.withColumn("__ts", ns_to_ts("ts_ns")).withWatermark("__ts", horizon)
             .dropDuplicatesWithinWatermark(["id"]).drop("__ts"))
 

@@ -21,8 +21,6 @@ def spark():
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.checkpoint.dir", ckpt)
-         .config("spark.sql.streaming.stateStore.providerClass",
-                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s

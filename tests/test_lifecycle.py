@@ -4,8 +4,7 @@ import os
 
 from logloom.operators.lifecycle import active_containers, container_events, container_restarts
 from logloom.schema import STATUS_SCHEMA
-from logloom.streaming.ingest import run_available
-from logloom.streaming.lifecycle import container_events_stream
+from logloom.streaming.lifecycle import container_events_stream, read_container_events
 
 
 def snaps(spark, rows):
@@ -54,35 +53,55 @@ def test_restarts_and_active(spark):
     assert sorted(x.pod for x in active_containers(ev).collect()) == ["q", "r"]
 
 
-def test_stream_equals_batch(spark, tmp_dir):
-    import time
+def run_stream(spark, tmp_dir, parts):
+    """One file per micro-batch, in the given order."""
+    from logloom.streaming.lifecycle import lifecycle_sink
 
-    for i, part in enumerate((CASE[:4], CASE[4:8], CASE[8:])):   # files arrive in seq order
-        snaps(spark, part).coalesce(1).write.mode("append").parquet(os.path.join(tmp_dir, "in"))
-        time.sleep(1.1)
-    # a replay of old snapshots changes nothing
-    snaps(spark, CASE[:3]).coalesce(1).write.mode("append").parquet(os.path.join(tmp_dir, "in"))
-    stream = spark.readStream.schema(STATUS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(os.path.join(tmp_dir, "in"))
-    run_available(container_events_stream(stream), os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck"))
-    assert got(spark.read.parquet(os.path.join(tmp_dir, "out"))) == WANT
+    sink = lifecycle_sink(spark, os.path.join(tmp_dir, "out"))
+    for epoch, part in enumerate(parts):
+        sink(snaps(spark, part), epoch)
+    return got(read_container_events(spark, os.path.join(tmp_dir, "out")))
 
 
-def test_idle_stream_reports_each_idle_period_once(spark, tmp_dir):
-    import time
+def test_stream_equals_batch_in_any_order(spark, tmp_dir):
+    late = [CASE[6:], CASE[2:4], CASE[:2], CASE[4:6], CASE[:3]]      # late snapshots, then a replay
+    assert run_stream(spark, os.path.join(tmp_dir, "a"), late) == WANT
+    one_by_one = [[x] for x in reversed(CASE)]
+    assert run_stream(spark, os.path.join(tmp_dir, "b"), one_by_one) == WANT
 
+
+def test_stream_replays_an_epoch(spark, tmp_dir):
+    from logloom.streaming.lifecycle import lifecycle_sink
+
+    sink = lifecycle_sink(spark, tmp_dir)
+    for epoch, part in ((0, CASE[:5]), (1, CASE[5:]), (1, CASE[5:])):
+        sink(snaps(spark, part), epoch)
+    assert got(read_container_events(spark, tmp_dir)) == WANT
+
+
+def test_stream_runs_over_files(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "in")
+    snaps(spark, CASE).repartition(8, "seq").write.parquet(src)
+    stream = spark.readStream.schema(STATUS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+    container_events_stream(stream, os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck"),
+                            {"availableNow": True}).awaitTermination()
+    assert got(read_container_events(spark, os.path.join(tmp_dir, "out"))) == WANT
+
+
+def test_idle_does_not_depend_on_batches(spark, tmp_dir):
     from logloom.schema import LOG_SCHEMA
-    from logloom.streaming.idle import idle_containers_stream
+    from logloom.streaming.idle import idle_now, last_lines_stream
 
     H = 3600 * 10**9
     T0 = 1704110400 * 10**9
-    src = os.path.join(tmp_dir, "in")
-    for part in ([("a", T0), ("b", T0)], [("b", T0 + 2 * H)], [("a", T0 + 5 * H), ("b", T0 + 6 * H)],
-                 [("b", T0 + 10 * H)]):
-        spark.createDataFrame([(i, ts, "ns", pod, "main", 3, "m", None) for i, (pod, ts) in enumerate(part)],
-                              LOG_SCHEMA).coalesce(1).write.mode("append").parquet(src)
-        time.sleep(1.1)
-    s = spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
-    run_available(idle_containers_stream(s, 3 * H), os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck"))
-    got = sorted((r.pod, (r.last_ts_ns - T0) // H) for r in spark.read.parquet(os.path.join(tmp_dir, "out")).collect())
-    # the watermark reaches 10 h only with the last file: a (last line 5 h) is idle, b is not
-    assert got == [("a", 5)]
+    lines = [("a", 0), ("b", 6), ("b", 0), ("a", 5), ("b", 10), ("b", 2)]
+    for k, order in enumerate((lines, lines[::-1])):
+        src = os.path.join(tmp_dir, f"in{k}")
+        for i, (pod, h) in enumerate(order):
+            spark.createDataFrame([(i, T0 + h * H, "ns", pod, "main", 3, "m", None)],
+                                  LOG_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        s = spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+        out = os.path.join(tmp_dir, f"out{k}")
+        last_lines_stream(s, out, os.path.join(tmp_dir, f"ck{k}"), {"availableNow": True}).awaitTermination()
+        assert [(r.pod, (r.last_ts_ns - T0) // H) for r in idle_now(spark, out, T0 + 12 * H, 3 * H).collect()] == [("a", 5)]
+        assert idle_now(spark, out, T0 + 5 * H, 3 * H).isEmpty()

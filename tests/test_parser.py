@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.attrs import attrs_text
 from logloom.functions.logfmt import logfmt_fields
+from logloom.functions.timestamps import format_ts, ns_to_date, rfc3339_ns
 from logloom.operators.parse import parse_lines, to_log_entry
 
 TS = "2024-01-15T10:30:00Z "
@@ -136,3 +137,39 @@ def test_parser_total_on_random_text(spark, texts):
     df = spark.createDataFrame([(TS + t,) for t in texts] + [(t,) for t in texts], "line string")
     rows = parse_lines(df, ingest_ns=INGEST).collect()
     assert len(rows) == 2 * len(texts) and all(r.message is not None for r in rows)
+
+
+@pytest.mark.parametrize("line,ts,message", [
+    ("9999-12-31T23:59:59Z x", None, "9999-12-31T23:59:59Z x"),
+    ("2262-04-11T23:47:16.854775807Z ok", 2**63 - 1, "ok"),
+    ("2262-04-11T23:47:16.854775808Z over", None, "2262-04-11T23:47:16.854775808Z over"),
+    ("1677-01-01T00:00:00Z under", None, "1677-01-01T00:00:00Z under"),
+    ("2039-01-01T00:00:00Z later", 2177452800 * 10**9, "later"),
+])
+def test_times_beyond_the_range_are_text(spark, line, ts, message):
+    df = spark.createDataFrame([(line,)], "line string")
+    r = parse_lines(df, ingest_ns=7).select("ts_ns", "message", ns_to_date("ts_ns").alias("d"),
+                                            format_ts("ts_ns").alias("f"), rfc3339_ns("ts_ns").alias("z")).first()
+    assert (r.ts_ns, r.message) == (7 if ts is None else ts, message)
+    assert r.z[:10] == r.f[:10] == str(r.d)
+
+
+@pytest.mark.parametrize("line,attrs", [
+    ('{"q":7}] tail', None), ('{"q":7}} tail', None), ('{"q":7},"z":{"w":1}', None), ('{"q":7},{"w":1}', None),
+    ('{"q":7}', {"q": "7"}), ('{"x":1e400}', None), ('{"x":-1e999,"y":"kept?"}', None),
+    ('{"level":"ERROR","in":{"p":1,"p":2}}', {"level": "ERROR"}),
+    ('{"n":5,"s":"a \\"b\\" [1]","t":true,"e":"","in":{"p":1,"p":2},"n":6}', {"n": "6", "s": 'a "b" [1]', "t": "true"}),
+])
+def test_json_wraps_numbers_and_inner_repeats(spark, line, attrs):
+    r = parse_lines(spark.createDataFrame([(line,)], "line string"), ingest_ns=7).first()
+    assert r.attributes == attrs
+
+
+def test_a_long_line_of_pairs_parses_in_seconds(spark):
+    import time
+
+    line = "level=info " + " ".join(f"key{i % 60000}=value{i}" for i in range(64000))
+    assert len(line) > 1 << 20
+    t0 = time.time()
+    r = parse_lines(spark.createDataFrame([(line,)], "line string"), ingest_ns=7).first()
+    assert r.severity == 3 and len(r.attributes) == 20 and time.time() - t0 < 60

@@ -3,6 +3,7 @@ dedup on append — on the Parquet table."""
 
 import os
 
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -124,23 +125,80 @@ def test_append_dedup_and_ids(spark, tmp_dir):
     assert r3["inserted"] == 1 and ids(read_logs(spark, path)) == [1, 2, 3, 4, 5]
 
 
-def test_retention_resumes_after_interruption(spark, tmp_dir):
+def test_retention_resumes_after_interruption(spark, tmp_dir, monkeypatch):
+    from logloom.sinks import retention as R
+
     now = T0 + 48 * H
-    path = os.path.join(tmp_dir, "logs")
-    write_log_table(rows(spark, [(1, now - 48 * H, "ns", 3, "old", None), (2, now - H, "ns", 3, "new", None),
-                                 (3, now - 24 * H - 1, "ns", 3, "boundary-old", None),
-                                 (4, now - 24 * H + 1, "ns", 3, "boundary-new", None)]), path)
     cutoff = now - 24 * H
-    # a first run that died right after staging the boundary day
+    specs = [(1, now - 48 * H, "ns", 3, "old", None), (2, now - H, "ns", 3, "new", None),
+             (3, now - 24 * H - 1, "ns", 3, "boundary-old", None), (4, now - 24 * H + 1, "ns", 3, "boundary-new", None)]
+    real, calls = R.fs.rename, []
+    for died_at in (1, 2):                                   # before either rename of the boundary day
+        path = os.path.join(tmp_dir, f"logs{died_at}")
+        write_log_table(rows(spark, specs), path)
+        calls.clear()
+
+        def rename(*a):
+            calls.append(a)
+            if len(calls) == died_at:
+                raise OSError("lost driver")
+            return real(*a)
+        monkeypatch.setattr(R.fs, "rename", rename)
+        with pytest.raises(OSError):
+            R.apply_retention(spark, path, cutoff, tmp_dir)
+        monkeypatch.setattr(R.fs, "rename", real)
+        assert len(read_logs(spark, path).where("message = 'boundary-new'").collect()) <= 1   # never both sets
+        assert R.apply_retention(spark, path, cutoff, tmp_dir) == 2                           # the same number
+        for _ in range(2):
+            assert sorted(r.message for r in read_logs(spark, path).collect()) == ["boundary-new", "new"]
+            assert R.apply_retention(spark, path, cutoff, tmp_dir) == 0
+
+
+def test_retention_job_records_runs_and_errors(spark, tmp_dir, monkeypatch):
     from logloom.sinks import retention as R
-    t = read_logs(spark, path)
-    day = __import__("datetime").datetime.fromtimestamp(cutoff // 10**9, __import__("datetime").timezone.utc).date()
-    t.where(F.col("log_date") == F.lit(day)).where(F.col("ts_ns") >= cutoff).drop("log_date") \
-        .write.mode("overwrite").parquet(f"{tmp_dir}/retention-{cutoff}")
-    R.apply_retention(spark, path, cutoff, tmp_dir)
-    assert sorted(r.message for r in read_logs(spark, path).collect()) == ["boundary-new", "new"]
-    R.apply_retention(spark, path, cutoff, tmp_dir)       # idempotent
-    assert sorted(r.message for r in read_logs(spark, path).collect()) == ["boundary-new", "new"]
+
+    path, runs = os.path.join(tmp_dir, "logs"), os.path.join(tmp_dir, "runs")
+    write_log_table(rows(spark, [(1, T0, "ns", 3, "old", None), (2, T0 + 50 * H, "ns", 3, "new", None)]), path)
+    assert R.retention_job(spark, path, T0 + 51 * H, 0, tmp_dir, runs) == 0        # off
+    assert R.retention_job(spark, path, T0 + 51 * H, 1, tmp_dir, runs) == 1
+    monkeypatch.setattr(R, "apply_retention", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        R.retention_job(spark, path, T0 + 52 * H, 1, tmp_dir, runs)
+    r = retention_stats(spark.read.parquet(runs)).first()
+    assert (r.runs, r.total_deleted, r.last_run_ns) == (2, 1, T0 + 52 * H) and "division" in r.last_error
+
+
+def test_append_reads_only_its_own_days_and_no_ids(spark, tmp_dir):
+    from logloom.sinks import table as S
+
+    path = os.path.join(tmp_dir, "logs")
+    write_log_table(rows(spark, [(i, T0 + i * 24 * H, "ns", 3, f"m{i}", None) for i in range(1, 11)]), path)
+    assert S.max_id(spark, path) == 10
+    batch = rows(spark, [(1, T0 + 2 * 24 * H, "ns", 3, "m2", None), (2, T0 + 9 * 24 * H + 5, "ns", 3, "x", None)]) \
+        .withColumnRenamed("id", "arrival")
+    fresh = S.new_rows(batch, read_logs(spark, path))
+    assert [r.message for r in fresh.collect()] == ["x"]
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "GreaterThanOrEqual(ts_ns" in plan and "PartitionFilters" in plan
+    assert "log_date" in plan.split("PartitionFilters")[1][:200] and " id#" not in plan.split("FileScan")[1][:120]
+    read = read_logs(spark, path).where(S.near([(r.d, r.a, r.b) for r in batch.groupBy(
+        S.ns_to_date("ts_ns").alias("d")).agg(F.min("ts_ns").alias("a"), F.max("ts_ns").alias("b")).collect()],
+        F.col("log_date"), F.col("ts_ns"))).select(F.input_file_name()).distinct().count()
+    assert read <= 2
+
+
+def test_append_log_compacts_and_survives_a_lost_append(spark, tmp_dir, monkeypatch):
+    from logloom.sinks import appends as A, table as S
+
+    monkeypatch.setattr(A, "COMPACT_FILES", 6)
+    path = os.path.join(tmp_dir, "logs")
+    for i in range(1, 6):
+        write_log_table(rows(spark, [(i, T0 + i, "ns", 3, f"m{i}", None)]), path)
+    assert A.ranges(spark, path)[0][:2] == (5, 5) and len(A.ranges(spark, path)) == 5 and S.max_id(spark, path) == 5
+    A.record_append(spark, path, 6, 9, [])                      # died before its rows were written
+    batch = rows(spark, [(1, T0 + 99, "ns", 3, "next", None)]).withColumnRenamed("id", "arrival")
+    append_new(spark, batch, path, os.path.join(tmp_dir, "stage"))
+    assert ids(read_logs(spark, path)) == [1, 2, 3, 4, 5, 10]
 
 
 def test_many_appends_lose_nothing(spark, tmp_dir):

@@ -8,8 +8,8 @@ from logloom.operators.query import LogQuery
 from logloom.schema import LOG_SCHEMA
 from logloom.sinks.table import write_log_table
 from logloom.sources.logs import read_logs, read_structured
+from logloom.sinks.unique import read_unique
 from logloom.streaming import tail
-from logloom.streaming.ingest import run_available
 
 T0 = 1704110400 * 10**9
 
@@ -19,17 +19,70 @@ def rows(spark, start, n, sev=5):
                                   for i in range(start, start + n)], LOG_SCHEMA)
 
 
+NOW = {"availableNow": True}
+
+
 def test_tail_resumes_and_filters(spark, tmp_dir):
     table, out, ck = (os.path.join(tmp_dir, x) for x in ("logs", "out", "ck"))
+
+    def run():
+        stream = tail.tail_stream(spark, table, LogQuery(min_severity=4)).drop("terms", "log_date")
+        tail.tail_run(stream, out, ck, NOW).awaitTermination()
+        return sorted(r.id for r in read_unique(spark, out).collect())
+
     write_log_table(rows(spark, 1, 20), table)
-    stream = tail.tail_stream(spark, table, LogQuery(min_severity=4)).drop("terms")
-    run_available(stream, out, ck)
-    first = sorted(r.id for r in spark.read.parquet(out).collect())
-    assert first == [i for i in range(1, 21) if i % 2]
+    assert run() == [i for i in range(1, 21) if i % 2]
     write_log_table(rows(spark, 21, 10), table)               # new rows arrive later
-    run_available(tail.tail_stream(spark, table, LogQuery(min_severity=4)).drop("terms"), out, ck)
-    got = sorted(r.id for r in spark.read.parquet(out).collect())
-    assert got == [i for i in range(1, 31) if i % 2]           # each id once, nothing re-read
+    assert run() == [i for i in range(1, 31) if i % 2]           # each id once, nothing re-read
+
+
+def test_tail_shows_no_id_again_after_retention(spark, tmp_dir):
+    from logloom.sinks.retention import apply_retention
+
+    table, out, ck = (os.path.join(tmp_dir, x) for x in ("logs", "out", "ck"))
+
+    def run():
+        tail.tail_run(tail.tail_source(spark, table, max_files=1).drop("terms", "log_date"), out, ck, NOW).awaitTermination()
+        got = [r.id for r in read_unique(spark, out).collect()]
+        assert len(got) == len(set(got))
+        return sorted(got)
+
+    write_log_table(rows(spark, 1, 40), table, partitions=4)
+    assert run() == list(range(1, 41))
+    assert apply_retention(spark, table, T0 + 11, os.path.join(tmp_dir, "stage")) == 10   # ids 1..10
+    write_log_table(rows(spark, 41, 5), table)
+    assert sorted(r.id for r in read_logs(spark, table).collect()) == list(range(11, 46))
+    assert run() == list(range(1, 46))        # the rewritten day gives nothing twice
+
+
+def test_tail_meets_rewritten_rows_it_had_not_read(spark, tmp_dir):
+    from logloom.sinks.retention import apply_retention
+
+    table, out, ck = (os.path.join(tmp_dir, x) for x in ("logs", "out", "ck"))
+    write_log_table(rows(spark, 1, 40), table, partitions=4)
+    apply_retention(spark, table, T0 + 11, os.path.join(tmp_dir, "stage"))
+    tail.tail_run(tail.tail_source(spark, table).drop("terms", "log_date"), out, ck, NOW).awaitTermination()
+    assert sorted(r.id for r in read_unique(spark, out).collect()) == list(range(11, 41))
+
+
+def test_dedup_run_over_shuffled_batches_and_replay(spark, tmp_dir):
+    from logloom.sinks.unique import rows_by_content
+    from logloom.streaming.ingest import dedup_run
+
+    src, out = os.path.join(tmp_dir, "in"), os.path.join(tmp_dir, "out")
+    spread = [(i, T0 + (i * 7919 % 50) * 86_400 * 10**9, "ns", f"p{i % 3}", "c", 3, f"m{i % 40}", None) for i in range(600)]
+    df = spark.createDataFrame(spread, LOG_SCHEMA)
+    df.repartition(8, F.xxhash64("id")).write.parquet(src)
+    stream = spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+    dedup_run(stream, out, os.path.join(tmp_dir, "ck"), trigger=NOW).awaitTermination()
+    key = ["ts_ns", "namespace", "pod", "container", "message"]
+    want = df.select(*key).distinct()
+    got = read_unique(spark, out).select(*key)
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+    sink, twice = rows_by_content(spark, os.path.join(tmp_dir, "o2")), df.where("id < 100")
+    for epoch in (0, 1, 1, 2):
+        sink(twice, epoch)                     # re-delivered in other epochs, and one epoch replayed
+    assert read_unique(spark, os.path.join(tmp_dir, "o2")).count() == twice.select(*key).distinct().count()
 
 
 def test_tail_resume_batch_form(spark):
@@ -63,6 +116,7 @@ def test_ingest_rejects_oversize_and_ignores_replays(spark, tmp_dir):
     got = sorted((r.id, r.severity, r.message, r.attributes["pod_uid"]) for r in read_logs(spark, table).collect())
     assert got == [(1, 3, "hello", "u1"), (2, 5, "[ERROR] boom", "u1")]
     assert spark.read.parquet(os.path.join(ck, "rejected")).count() == 1
+    assert not os.path.exists(os.path.join(ck, "stage", "epoch-0"))      # nothing staged is left
 
 
 def test_tail_open(spark):
@@ -74,3 +128,25 @@ def test_tail_open(spark):
     assert again == [i for i in range(251, 301) if i % 2]
     bad = [r.id for r in tail.tail_open(df, {"lastId": "-3"}).collect()]
     assert len(bad) == 50 and bad[-1] == 300
+
+
+def test_ingest_gate_since_and_structured(spark, tmp_dir):
+    from pyspark.sql import types as T
+
+    from logloom.streaming.ingest import RAW_STREAM_SCHEMA, ingest_stream, with_structured
+
+    raw, ready = os.path.join(tmp_dir, "raw"), os.path.join(tmp_dir, "ready")
+    spark.createDataFrame([(1, "ns", "p", "u", "c", "2024-01-15T10:30:00Z a=1 early", 0),
+                           (2, "ns", "p", "u", "c", "2024-01-15T10:40:00Z late", 0),
+                           (3, "kube-system", "p", "u", "c", "2024-01-15T10:40:00Z hidden", 0)],
+                          RAW_STREAM_SCHEMA).write.parquet(raw)
+    entry = T.StructType([f for f in LOG_SCHEMA.fields if f.name != "id"] + [T.StructField("arrival", T.LongType())])
+    t = 1705315200 * 10**9 + 10 * 3600 * 10**9
+    spark.createDataFrame([(t, "ns", "p", "c", 5, "structured", {"k": "v"}, 9), (5, "ns", "p", "c", 5, "too old", None, 10)],
+                          entry).write.parquet(ready)
+    both = with_structured(spark.readStream.schema(RAW_STREAM_SCHEMA).parquet(raw), spark.readStream.schema(entry).parquet(ready))
+    table = os.path.join(tmp_dir, "logs")
+    ingest_stream(spark, both, table, os.path.join(tmp_dir, "ck"), trigger=NOW, exclude=("kube-system",),
+                  since_ns=1705314900 * 10**9).awaitTermination()
+    got = sorted((r.message, r.severity) for r in read_logs(spark, table).collect())
+    assert got == [("late", 0), ("structured", 5)]
