@@ -43,11 +43,11 @@ def stored_table_queries(spark, sf_dir: str) -> dict:
     from logloom.session import scratch_path
     from logloom.sinks.table import write_log_table
     from logloom.sources.logs import read_logs
-    from logloom.sources.views import logs_from_events
+    from logloom.plans.fixtures import logs_from_events
 
     path = scratch_path(spark, "bench-table")
     write_log_table(logs_from_events(spark, sf_dir), path)
-    q = LogQuery(namespace="production", min_severity=5, search="database connection",
+    q = LogQuery(namespace="live", min_severity=5, search="ledger cache",
                  start_ns=1704844800 * 10**9, limit=100)
     return {
         "stored_combined_page": lambda: page(read_logs(spark, path), q),

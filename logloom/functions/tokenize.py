@@ -31,9 +31,15 @@ def diacritic_table() -> tuple[str, str]:
     return "".join(src), "".join(dst)
 
 
+#: Combining marks that the full-text tokenizer takes as part of a word and
+#: leaves out (fixed values: SQLite's bit masks over U+0300..U+0331).
+_MARKS = "".join(chr(0x300 + i) for i in range(50)
+                 if (0x08029FDF >> i & 1 if i < 32 else 0x000361F8 >> (i - 32) & 1))
+
+
 def fold(text: Column) -> Column:
     src, dst = diacritic_table()
-    return F.lower(F.translate(text, src, dst))
+    return F.lower(F.translate(text, src + _MARKS, dst))
 
 
 def tokenize(text: Column | str) -> Column:
@@ -45,11 +51,16 @@ def tokenize(text: Column | str) -> Column:
 def fold_py(text: str) -> str:
     """Driver-side fold of a query word, same rule as :func:`fold`."""
     src, dst = diacritic_table()
-    return text.translate(str.maketrans(src, dst)).lower()
+    return text.translate(str.maketrans(src, dst, _MARKS)).lower()
 
 
 def tokenize_py(text: str) -> list[str]:
     """Driver-side tokenizer for query words (not for data)."""
-    import regex
-
-    return [t for t in regex.split(r"[^\p{L}\p{N}\p{Co}]+", fold_py(text)) if t]
+    out, word = [], ""
+    for ch in fold_py(text) + " ":
+        if unicodedata.category(ch)[0] in "LN" or unicodedata.category(ch) == "Co":
+            word += ch
+        elif word:
+            out.append(word)
+            word = ""
+    return out

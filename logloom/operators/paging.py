@@ -70,3 +70,68 @@ def entry_neighbours(page_df: DataFrame, order: str = "desc") -> DataFrame:
         F.coalesce(F.lag("id").over(w), F.col("id")).alias("prev_id"),
         F.coalesce(F.lead("id").over(w), F.col("id")).alias("next_id"),
     )
+
+
+# ------------------------------------------------- pages of a stored table
+
+def _covering(ranges: list, q: LogQuery, rows: int) -> tuple[list, bool]:
+    """The first append ranges, in page order, that hold ``rows`` ids or
+    more between the cursors; whether these are all of them."""
+    inside = [r for r in ranges if (not q.after_id or q.after_id <= 0 or r[1] > q.after_id)
+              and (not q.before_id or q.before_id <= 0 or r[0] < q.before_id)]
+    if q.order == "asc":
+        inside = inside[::-1]
+    held = 0
+    for k, (low, high, _) in enumerate(inside):
+        held += high - low + 1
+        if held >= rows:
+            return inside[:k + 1], k + 1 == len(inside)
+    return inside, True
+
+
+def scope(table: DataFrame, ranges: list) -> DataFrame:
+    """The rows of some append ranges: their days, and their ids there."""
+    if not ranges:
+        return table.where("false")
+    days = sorted({d for r in ranges for d in r[2]})
+    return table.where(F.col("log_date").isin(days) & F.col("id").between(min(r[0] for r in ranges),
+                                                                          max(r[1] for r in ranges)))
+
+
+def stored_scope(spark, path: str, q: LogQuery) -> DataFrame:
+    """The part of a stored table that holds the page of ``q``: the newest
+    appends (oldest, in ascending order) until they give ``limit + 1`` rows,
+    four times as many ids at each attempt.  A table without an append log is
+    read whole."""
+    from logloom.sinks.appends import ranges as append_ranges
+    from logloom.sources.logs import read_logs
+
+    table, ranges = read_logs(spark, path), append_ranges(spark, path)
+    if ranges is None:
+        return table
+    want, ids = q.page_size + 1, q.page_size + 1
+    while True:
+        some, everything = _covering(ranges, q, ids)
+        part = scope(table, some)
+        if everything or _rows(part, q).select("id").limit(want).count() >= want:
+            return part
+        ids *= 4
+
+
+def stored_page(spark, path: str, q: LogQuery) -> DataFrame:
+    return page(stored_scope(spark, path, q), q)
+
+
+def stored_page_info(spark, path: str, q: LogQuery) -> DataFrame:
+    return page_info(stored_scope(spark, path, q), q)
+
+
+def get_by_id(spark, path: str, entry_id: int) -> DataFrame:
+    """One stored entry (no row: not found), from the days its append wrote."""
+    from logloom.sinks.appends import ranges as append_ranges
+    from logloom.sources.logs import read_logs
+
+    table, ranges = read_logs(spark, path), append_ranges(spark, path)
+    if ranges is not None:
+        table = scope(table, [r for r in ranges if r[0] <= entry_id <= r[1]])
+    return table.where(F.col("id") == entry_id).limit(1)

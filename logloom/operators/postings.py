@@ -10,9 +10,11 @@ broadcast join at run time when the hit list is small.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
-from logloom.operators.search import Phrase, with_terms
+from logloom.operators.search import Initial, Match, Phrase, _And, _Negated, _Not, _Or, with_terms
 
 
 def build_postings(logs: DataFrame) -> DataFrame:
@@ -23,15 +25,47 @@ def build_postings(logs: DataFrame) -> DataFrame:
         "term", "id", F.col("pos").cast("long").alias("pos"), *cols[1:])
 
 
-def posting_hits(postings: DataFrame, match: Phrase) -> DataFrame:
-    """Ids whose messages contain the single stem (or stem prefix) of ``match``."""
-    if len(match.stems) != 1:
-        raise ValueError("posting lookups take one stem; use search() for phrases")
-    stem = match.stems[0]
-    cond = F.col("term").startswith(stem) if match.prefix else F.col("term") == F.lit(stem)
-    return postings.where(cond).select("id").distinct()
+def posting_hits(postings: DataFrame, match: Match) -> DataFrame:
+    """Ids whose messages match, from the posting lists alone: terms,
+    prefixes, phrases (by position), AND, OR and NOT."""
+    if isinstance(match, Phrase):
+        return _phrase_hits(postings, match)
+    if isinstance(match, Initial):
+        return postings.where((F.col("term") == match.stem) & (F.col("pos") == 0)).select("id")
+    if isinstance(match, _Or):
+        return posting_hits(postings, match.a).unionAll(posting_hits(postings, match.b)).distinct()
+    if isinstance(match, _Not):
+        return posting_hits(postings, match.a).join(posting_hits(postings, match.b), "id", "left_anti")
+    if isinstance(match, _And):
+        if isinstance(match.b, _Negated):
+            return posting_hits(postings, match.a).join(posting_hits(postings, match.b.inner), "id", "left_anti")
+        return posting_hits(postings, match.a).join(posting_hits(postings, match.b), "id", "left_semi")
+    raise NotImplementedError(f"{type(match).__name__} is answered from the terms column")
+
+
+def answerable(match: Match) -> bool:
+    if isinstance(match, (Phrase, Initial)):
+        return True
+    if isinstance(match, (_And, _Or, _Not)):
+        return answerable(match.a) and answerable(match.b)
+    return isinstance(match, _Negated) and answerable(match.inner)
+
+
+def _phrase_hits(postings: DataFrame, match: Phrase) -> DataFrame:
+    stems = match.stems
+    if not stems:
+        return postings.where("false").select("id")
+    each = [F.col("term") == F.lit(s) for s in stems]
+    if match.prefix:
+        each[-1] = F.col("term").startswith(stems[-1])
+    if len(stems) == 1:
+        return postings.where(each[0]).select("id").distinct()
+    # a phrase starts where all its stems agree on the start
+    parts = [postings.where(c).select("id", (F.col("pos") - k).alias("start"), F.lit(k).alias("k")) for k, c in enumerate(each)]
+    together = reduce(DataFrame.unionAll, parts).groupBy("id", "start").agg(F.collect_set("k").alias("ks"))
+    return together.where(F.size("ks") == len(stems)).select("id").distinct()
 
 
-def search_postings(logs: DataFrame, postings: DataFrame, match: Phrase) -> DataFrame:
-    """Log rows matching a term / prefix, answered from the postings."""
+def search_postings(logs: DataFrame, postings: DataFrame, match: Match) -> DataFrame:
+    """Log rows that match, answered from the postings."""
     return logs.join(posting_hits(postings, match), "id", "left_semi")

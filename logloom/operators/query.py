@@ -131,6 +131,15 @@ class LogQuery:
             return all_words(self.search)
         return self.search
 
+    def days(self) -> Column:
+        """The implied bounds on ``log_date``."""
+        out = F.lit(True)
+        if self.start_ns is not None:
+            out = out & (F.col("log_date") >= F.lit(_utc_day(self.start_ns)))
+        if self.end_ns is not None:
+            out = out & (F.col("log_date") <= F.lit(_utc_day(self.end_ns)))
+        return out
+
     def condition(self, has_log_date: bool = False, with_cursor: bool = True) -> Column:
         """The conjunction of all set filters but full text (TRUE when none
         is set); see :func:`apply_query` for the full-text part."""
@@ -162,11 +171,20 @@ class LogQuery:
         return out
 
 
-def apply_query(df: DataFrame, q: LogQuery, with_cursor: bool = True) -> DataFrame:
+def apply_query(df: DataFrame, q: LogQuery, with_cursor: bool = True, postings: DataFrame | None = None) -> DataFrame:
     """All filters of ``q`` (no order, no limit).  Scan-pushable filters come
-    first; full text last, on the rows that are left."""
+    first; full text last, on the rows that are left: from the posting lists
+    where they are given and can answer, else from the terms column."""
     plain = df.where(q.condition(has_log_date="log_date" in df.columns, with_cursor=with_cursor))
-    return search(plain, q.search_match())
+    match = q.search_match()
+    if postings is not None and match is not None:
+        from logloom.operators.postings import answerable, search_postings
+
+        if answerable(match):
+            if "log_date" in df.columns and "log_date" in postings.columns:
+                postings = postings.where(LogQuery(start_ns=q.start_ns, end_ns=q.end_ns).days())
+            return search_postings(plain, postings, match)
+    return search(plain, match)
 
 
 def project_entry(df: DataFrame) -> DataFrame:

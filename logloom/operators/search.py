@@ -113,11 +113,6 @@ class _Negated(Match):
         raise ValueError("NOT needs a left operand: use a & ~b or a - b")
 
 
-def _positions(terms: Column, stem: str) -> Column:
-    return F.filter(F.transform(terms, lambda t, i: F.when(t == F.lit(stem), i).otherwise(F.lit(-1))),
-                    lambda i: i >= 0)
-
-
 def _joined(terms: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(terms, " "), F.lit(" "))
 
@@ -129,8 +124,8 @@ class Phrase(Match):
     prefix: bool = False
 
     def column(self, terms):
-        if not self.stems:
-            return F.lit(True)
+        if not self.stems:  # no token in the text: it occurs nowhere
+            return F.lit(False)
         if len(self.stems) == 1:
             s = self.stems[0]
             if self.prefix:
@@ -159,17 +154,39 @@ class Initial(Match):
 
 @dataclass(frozen=True)
 class Near(Match):
-    """Two single-stem terms with at most ``n`` tokens between them, any order."""
-    a: str
-    b: str
+    """Phrases with at most ``n`` tokens between the end of the first and the
+    start of the last of them, in any order."""
+    phrases: tuple[tuple[str, ...], ...]
     n: int = 10
 
     def column(self, terms):
-        pa, pb = _positions(terms, self.a), _positions(terms, self.b)
-        return F.exists(pa, lambda i: F.exists(pb, lambda j: (F.abs(i - j) - 1 <= self.n) & (i != j)))
+        if not all(self.phrases):
+            return F.lit(False)
+        def marked(k):
+            return F.transform(_starts(terms, self.phrases[k]), lambda at: F.struct(at.alias("at"), F.lit(k).alias("which")))
+
+        events = F.array_sort(F.concat(*[marked(k) for k in range(len(self.phrases))]))
+        size = F.array(*[F.lit(len(p)) for p in self.phrases])
+        none = F.array(*[F.lit(-1) for _ in self.phrases])
+
+        def step(state, e):
+            # the last start of every phrase up to here: the tightest cluster that ends here
+            last = F.transform(state["last"], lambda v, k: F.when(k == e["which"], e["at"]).otherwise(v))
+            ends = F.zip_with(last, size, lambda v, n: F.struct(v.alias("at"), (v + n).alias("end")))
+            between = e["at"] - F.array_min(ends)["end"]
+            return F.struct(last.alias("last"), (state["hit"] | ((F.array_min(last) >= 0) & (between <= self.n))).alias("hit"))
+
+        return F.aggregate(events, F.struct(none.alias("last"), F.lit(False).alias("hit")), step, lambda s: s["hit"])
 
     def candidates(self, folded):
-        return _all([F.contains(folded, F.lit(_root(x))) if _root(x) else None for x in (self.a, self.b)])
+        return _all([F.contains(folded, F.lit(_root(s))) if _root(s) else None for p in self.phrases for s in p])
+
+
+def _starts(terms: Column, stems: tuple[str, ...]) -> Column:
+    """Positions (from 0) at which the phrase starts."""
+    at = F.when(F.size(terms) > 0, F.sequence(F.lit(0), F.size(terms) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(at, lambda i: F.coalesce(_all(
+        [F.try_element_at(terms, i + (k + 1)) == F.lit(s) for k, s in enumerate(stems)]), F.lit(False)))
 
 
 def term(word: str) -> Match:
@@ -193,39 +210,32 @@ def initial(word: str) -> Match:
     return Initial(stems[0])
 
 
-def near(a: str, b: str, n: int = 10) -> Match:
-    sa, sb = query_terms(a), query_terms(b)
-    if len(sa) != 1 or len(sb) != 1:
-        raise ValueError("near() takes single-token words")
-    return Near(sa[0], sb[0], n)
+def near(*texts: str, n: int = 10) -> Match:
+    """Words or phrases close to each other, in any order."""
+    return Near(tuple(tuple(query_terms(t)) for t in texts), n)
 
 
 def all_words(text: str) -> Match | None:
     """Plain search text: every blank-separated word must occur (a word of
-    several tokens is a phrase).  Empty text is no filter (None)."""
-    words = [w for w in text.split() if w]
-    preds = [term(w) for w in words if query_terms(w)]
-    if not preds:
+    several tokens is a phrase, one without a token occurs nowhere).  Empty
+    text is no filter (None)."""
+    words = [term(w) for w in text.split()]
+    if not words:
         return None
-    out = preds[0]
-    for p in preds[1:]:
+    out = words[0]
+    for p in words[1:]:
         out = out & p
     return out
 
 
 def with_terms(df, pre_filter: Column | None = None):
     """Add the ``terms`` column where the frame has none (a stored log table
-    has it).  Small inputs are spread over all cores first; ``pre_filter``
-    (pinned after the spread) drops rows before they are stemmed."""
+    has it); ``pre_filter`` drops rows before they are stemmed."""
     if TERMS in df.columns:
         return df
-    from logloom.functions.bind import pinned
     from logloom.functions.stem import terms
-    from logloom.sources.views import spread
 
-    base = df if df.isStreaming else spread(df)
-    if pre_filter is not None:
-        base = base.where(pinned(pre_filter))
+    base = df if pre_filter is None else df.where(pre_filter)
     return base.withColumn(TERMS, terms(F.col("message")))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from logloom.schema import DEDUP_KEY
 
 
 def stats(df: DataFrame) -> DataFrame:
@@ -11,11 +13,12 @@ def stats(df: DataFrame) -> DataFrame:
                   F.min("ts_ns").alias("oldest_ns"), F.max("ts_ns").alias("newest_ns"))
 
 
-def disk_size(file_df: DataFrame) -> DataFrame:
-    """Bytes on disk of the files behind a file-source frame (one row)."""
-    files = file_df.select(F.col("_metadata.file_path").alias("p"),
-                           F.col("_metadata.file_size").alias("s")).distinct()
-    return files.agg(F.coalesce(F.sum("s"), F.lit(0)).cast("long").alias("bytes"),
+def disk_size(spark: SparkSession, path: str) -> DataFrame:
+    """Bytes on disk of the data files below ``path`` (one row): from the
+    listing, no file is opened."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .option("pathGlobFilter", "*.parquet").load(path).select("length"))
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("bytes"),
                      F.count("*").cast("long").alias("files"))
 
 
@@ -33,9 +36,24 @@ def list_containers(df: DataFrame) -> DataFrame:
 
 
 def container_stats(parsed: DataFrame, key=("namespace", "pod", "pod_uid", "container")) -> DataFrame:
-    """Per container: lines read, lines with their own time, lines without a
-    timestamp prefix, last line time."""
+    """Per container: lines read, lines with a time of their own, errors and
+    worse, last line time."""
     return parsed.groupBy(*key).agg(
         F.count("*").cast("long").alias("lines"),
+        F.count_if(F.col("ts_ns") != F.col("ingest_ns")).alias("with_time"),
+        F.count_if(F.col("severity") >= 5).alias("errors"),
+        F.max("ts_ns").alias("last_ts_ns"),
+    )
+
+
+def ingest_stats(parsed: DataFrame) -> DataFrame:
+    """One row: lines read, with a time of their own, with attributes, errors
+    and worse, entries left after dedup, last line time."""
+    return parsed.agg(
+        F.count("*").cast("long").alias("lines_read"),
+        F.count_if(F.col("ts_ns") != F.col("ingest_ns")).alias("with_time"),
+        F.count_if(F.col("attributes").isNotNull()).alias("structured"),
+        F.count_if(F.col("severity") >= 5).alias("errors"),
+        F.countDistinct(*DEDUP_KEY).cast("long").alias("entries"),
         F.max("ts_ns").alias("last_ts_ns"),
     )

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logloom.functions.severity import SEVERITY_LABELS
-from logloom.sources.views import log_view
+from logloom.plans.fixtures import log_view
 
 CAP_EVERY = 50
 EXTRA_FIELDS = 20

@@ -17,9 +17,9 @@ from logloom.functions.severity import SEVERITY_LABELS
 from logloom.functions.timestamps import floor_div, ntz_micros, utc_wallclock
 
 # Fixed parameters of the views (documented in FIXTURES.md, part B).
-NAMESPACES = ["default", "kube-system", "production", "staging", "monitoring"]
-CONTAINERS = ["main", "sidecar", "proxy"]
-CLICK_TARGETS = ["checkout", "search", "login"]
+NAMESPACES = ["web", "infra", "live", "trial", "meter"]
+CONTAINERS = ["app", "agent", "edge"]
+CLICK_TARGETS = ["basket", "filter", "profile"]
 INGEST_NS = 1706745600000000000          # 2024-02-01T00:00:00Z, time of lines without prefix
 DOC_BASE_NS = 1704067200000000000        # 2024-01-01T00:00:00Z
 DUP_ID_OFFSET = 10_000_000
@@ -46,14 +46,14 @@ def _event_severity() -> Column:
 
 def _event_message() -> Column:
     et, eid = F.col("event_type"), F.col("event_id")
-    return (F.when(et == "view", F.when(eid % 2 == 0, F.lit("connection established successfully"))
-                   .otherwise(F.concat(F.lit("page rendered in "), (eid % 300).cast("string"), F.lit("ms"))))
-            .when(et == "click", F.concat(F.lit("user clicked "), _pick(CLICK_TARGETS, eid % 3), F.lit(" button")))
-            .when(et == "purchase", F.concat(F.lit("request completed in "), (eid % 500).cast("string"), F.lit("ms")))
-            .when(et == "signup", F.concat(F.lit("signup rate limit approaching for user "),
+    return (F.when(et == "view", F.when(eid % 2 == 0, F.lit("cache warmed after restart"))
+                   .otherwise(F.concat(F.lit("template built within "), (eid % 300).cast("string"), F.lit("ms"))))
+            .when(et == "click", F.concat(F.lit("visitor opened the "), _pick(CLICK_TARGETS, eid % 3), F.lit(" panel")))
+            .when(et == "purchase", F.concat(F.lit("payment settled within "), (eid % 500).cast("string"), F.lit("ms")))
+            .when(et == "signup", F.concat(F.lit("quota nearly spent by account "),
                                            F.col("user_id").cast("string")))
-            .when(et == "error", F.when(eid % 2 == 0, F.lit("connection refused by server"))
-                  .otherwise(F.lit("database connection failed")))
+            .when(et == "error", F.when(eid % 2 == 0, F.lit("cache write refused by shard"))
+                  .otherwise(F.lit("ledger lost its cache lease")))
             .otherwise(et))
 
 
@@ -195,14 +195,7 @@ def status_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def spread(df: DataFrame, factor: int = 1) -> DataFrame:
-    """Give CPU-heavy stages (parsing, tokenising) every core.
-
-    A large input already arrives in many file splits and is returned
-    unchanged (no shuffle); a small one (a single file with one row group)
-    is dealt round-robin over ``defaultParallelism * factor`` partitions.
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism * factor
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want)
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows over tasks by their first column: the driver's tables come as
+    one file with one row group.  AQE sizes the parts."""
+    return df.repartition(F.col(df.columns[0]))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from logloom.plans import params as P
 
-_NS = ["default", "kube-system", "production", "staging", "monitoring"]
+_NS = ["web", "infra", "live", "trial", "meter"]
 _LABELS = ["UNKNOWN", "TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL"]
 _SHORT = ["UNK", "TRC", "DBG", "INF", "WRN", "ERR", "FTL"]
 INGEST_NS = 1706745600000000000
@@ -23,16 +23,16 @@ LV = f"""lv AS (
     epoch_us(ts) * 1000 + event_id % 1000 AS ts_ns,
     ({_list(_NS)})[user_id % 5 + 1] AS namespace,
     event_type || '-' || CAST(user_id AS VARCHAR) AS pod,
-    (['main', 'sidecar', 'proxy'])[event_id % 3 + 1] AS container,
+    (['app', 'agent', 'edge'])[event_id % 3 + 1] AS container,
     CAST(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4
       WHEN 'error' THEN CASE WHEN value > 100 THEN 6 ELSE 5 END ELSE 0 END AS INTEGER) AS severity,
     CASE event_type
-      WHEN 'view' THEN CASE WHEN event_id % 2 = 0 THEN 'connection established successfully'
-                            ELSE 'page rendered in ' || CAST(event_id % 300 AS VARCHAR) || 'ms' END
-      WHEN 'click' THEN 'user clicked ' || (['checkout', 'search', 'login'])[event_id % 3 + 1] || ' button'
-      WHEN 'purchase' THEN 'request completed in ' || CAST(event_id % 500 AS VARCHAR) || 'ms'
-      WHEN 'signup' THEN 'signup rate limit approaching for user ' || CAST(user_id AS VARCHAR)
-      WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'connection refused by server' ELSE 'database connection failed' END
+      WHEN 'view' THEN CASE WHEN event_id % 2 = 0 THEN 'cache warmed after restart'
+                            ELSE 'template built within ' || CAST(event_id % 300 AS VARCHAR) || 'ms' END
+      WHEN 'click' THEN 'visitor opened the ' || (['basket', 'filter', 'profile'])[event_id % 3 + 1] || ' panel'
+      WHEN 'purchase' THEN 'payment settled within ' || CAST(event_id % 500 AS VARCHAR) || 'ms'
+      WHEN 'signup' THEN 'quota nearly spent by account ' || CAST(user_id AS VARCHAR)
+      WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'cache write refused by shard' ELSE 'ledger lost its cache lease' END
       ELSE event_type END AS message,
     json_extract_string(props, '$.k') AS k,
     event_id, user_id, value
@@ -130,8 +130,8 @@ ORACLE["project_entry"] = _with(LV) + (
     "SELECT id, CAST(json_object('id', id, 'timestamp', ts_ns, 'namespace', namespace, 'pod', pod, "
     "'container', container, 'severity', severity, 'message', message, "
     "'attrs', json_object('k', k, 'user_id', CAST(user_id AS VARCHAR))) AS VARCHAR) AS json FROM lv")
-ORACLE["collect_gate"] = _filtered("namespace <> 'kube-system'")
-ORACLE["collect_gate_include"] = _filtered("namespace IN ('production', 'staging') AND namespace NOT IN ('kube-system', 'staging')")
+ORACLE["collect_gate"] = _filtered("namespace <> 'infra'")
+ORACLE["collect_gate_include"] = _filtered("namespace IN ('live', 'trial') AND namespace NOT IN ('infra', 'trial')")
 ORACLE["read_structured"] = _with(LV, RAWX) + (
     f"SELECT 'structured' AS source, id AS arrival, ts_ns, severity, message, {ATTRS} AS attrs FROM lv "
     "UNION ALL SELECT 'parsed', arrival, ts_ns, severity, message, attrs FROM rawx")
@@ -140,11 +140,11 @@ ORACLE["read_structured"] = _with(LV, RAWX) + (
 ORACLE["parse_lines"] = _with(LV, RAWX) + "SELECT arrival, ts_ns, severity, message, attrs FROM rawx"
 ORACLE["split_timestamp"] = _with(LV, RAWLINES) + "SELECT arrival, ts_ns, body FROM rawl"
 ORACLE["parse_json_attrs"] = _with(LV, RAWX) + (
-    f"SELECT arrival, 'k=' || k || ';level=' || CASE WHEN event_id % 8 = 4 THEN lower({LABEL.replace('severity', 'true_severity')}) "
+    f"SELECT arrival, CASE WHEN event_id % 4 <> 0 THEN '' ELSE 'k=' || k || ';level=' || CASE WHEN event_id % 8 = 4 THEN lower({LABEL.replace('severity', 'true_severity')}) "
     f"ELSE {LABEL.replace('severity', 'true_severity')} END || ';msg=' || true_message || ';user_id=' || CAST(user_id AS VARCHAR) "
-    f"|| ';value=' || {VTEXT} AS attrs FROM rawx WHERE event_id % 4 = 0")
+    f"|| ';value=' || {VTEXT} END AS attrs FROM rawx")
 ORACLE["severity_from_fields"] = _with(LV, RAWX) + (
-    "SELECT arrival, CAST(true_severity AS INTEGER) AS severity FROM rawx WHERE event_id % 4 IN (0, 1)")
+    "SELECT arrival, CAST(CASE WHEN event_id % 4 IN (0, 1) THEN true_severity ELSE 0 END AS INTEGER) AS severity FROM rawx")
 _CAP = ";".join(f"f{i:02d}={i}" for i in range(1, 13))
 ORACLE["normalize_attrs"] = _with(LV) + (
     f"SELECT id AS arrival, {INGEST_NS} AS ts_ns, severity, message, "
@@ -170,6 +170,19 @@ ORACLE["to_log_entry"] = _with(LV, RAWX) + (
     "ELSE replace(attrs, ';user_id=', ';pod_uid=' || pod_uid || ';user_id=') END AS attrs FROM rawx")
 ORACLE["strip_ansi"] = _with(LV) + "SELECT id, message FROM lv"
 ORACLE["format_ts"] = _with(LV) + "SELECT id, strftime(make_timestamp(ts_ns // 1000), '%Y-%m-%d %H:%M:%S.%g') AS ts_text FROM lv"
+ORACLE["format_rfc3339"] = _with(LV) + (
+    "SELECT id, strftime(make_timestamp(ts_ns // 1000), '%Y-%m-%dT%H:%M:%S') || '.' || lpad(CAST(ts_ns % 1000000000 AS VARCHAR), 9, '0') "
+    "|| 'Z' AS ts_text FROM lv")
+ORACLE["text_lines"] = (
+    "WITH t AS (SELECT 'documents' AS kind, doc_id AS id, coalesce(text, '') AS body FROM documents "
+    "UNION ALL SELECT 'pages', page_id, coalesce(html, '') FROM pages "
+    "UNION ALL SELECT 'conversations', conv_id, coalesce(text, '') FROM conversations) "
+    f"SELECT kind, id, ([2214172799500000000, 9223372036854775807, 946688400000000000, {INGEST_NS}, {INGEST_NS}])[id % 5 + 1] AS ts_ns, "
+    "(['2040-02-29', '2262-04-11', '2000-01-01', '2024-02-01', '2024-02-01'])[id % 5 + 1] AS log_date, "
+    f"md5(CASE WHEN id % 5 < 3 THEN body ELSE ({_list(P.LINE_TIMES)})[id % 5 + 1] || ' ' || body END) AS message_md5 FROM t")
+_KEPT_BY = ["true", "true", "true", "true", "ts_ns >= 1705269600500000000", "true", "severity >= 5", "true", "id < 4000 AND id > 3000"]
+ORACLE["query_params"] = _with(LV) + " UNION ALL ".join(
+    f"SELECT {k} AS request, count(*) AS n FROM lv WHERE {w}" for k, w in enumerate(_KEPT_BY))
 ORACLE["truncate_value"] = _with(LV) + (
     "SELECT id, CASE WHEN length(pod) > 12 THEN left(pod, 11) || '…' ELSE pod END AS pod_short FROM lv")
 
@@ -180,12 +193,12 @@ ORACLE["query_pod"] = _filtered(f"pod = '{P.POD}'")
 ORACLE["query_container"] = _filtered(f"container = '{P.CONTAINER}'")
 ORACLE["query_min_severity"] = _filtered(f"severity >= {P.MIN_SEVERITY}")
 ORACLE["query_attributes"] = _filtered(f"CAST(user_id AS VARCHAR) = '{P.ATTR_USER}' AND k = '38'")
-ORACLE["query_search"] = _filtered("message LIKE '%connection refused%'")
+ORACLE["query_search"] = _filtered("message LIKE '%write refused%'")
 ORACLE["query_combined"] = _filtered(
-    f"namespace = '{P.NAMESPACE}' AND severity >= 5 AND {_word('database')} AND ts_ns >= {P.RANGE_START_NS}",
+    f"namespace = '{P.NAMESPACE}' AND severity >= 5 AND {_word('ledger')} AND ts_ns >= {P.RANGE_START_NS}",
     f"ORDER BY id DESC LIMIT {P.PAGE_LIMIT}")
 ORACLE["query_logs"] = _filtered(
-    "namespace = 'staging' AND k = '38' AND ts_ns >= 1704412800000000000 AND ts_ns < 1706140800000000000",
+    "namespace = 'trial' AND k = '38' AND ts_ns >= 1704412800000000000 AND ts_ns < 1706140800000000000",
     "ORDER BY id ASC LIMIT 100")
 ORACLE["query_last_minutes"] = _filtered(
     f"ts_ns >= {P.NOW_NS - P.LAST_MINUTES * 60 * P.NS} AND ts_ns < {P.NOW_NS}")
@@ -195,16 +208,42 @@ ORACLE["tokenize"] = (
     "SELECT doc_id AS id, CAST(len(t) AS BIGINT) AS n_tokens, array_to_string(t, ' ') AS tokens FROM "
     "(SELECT doc_id, list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t "
     "FROM documents)")
-ORACLE["search_term"] = _hits(_word("connection"))
-ORACLE["search_phrase"] = _hits("message LIKE '%connection refused%'")
-ORACLE["search_and"] = _hits(f"{_word('connection')} AND {_word('server')}")
-ORACLE["search_or"] = _hits(f"{_word('established')} OR {_word('refused')}")
-ORACLE["search_not"] = _hits(f"{_word('connection')} AND NOT {_word('database')}")
-ORACLE["search_prefix"] = _hits("regexp_matches(message, '(^|[^a-z0-9])connect')")
-ORACLE["search_near"] = _hits("message LIKE '%connection refused by server%'")
-ORACLE["search_all"] = _hits(f"{_word('request')} AND {_word('completed')}")
-ORACLE["search_initial"] = _hits("message LIKE 'database %'")
-ORACLE["query_search_postings"] = _hits(_word("connection"))
+ORACLE["search_term"] = _hits(_word("cache"))
+ORACLE["search_phrase"] = _hits("message LIKE '%write refused%'")
+ORACLE["search_and"] = _hits(f"{_word('cache')} AND {_word('lease')}")
+ORACLE["search_or"] = _hits(f"{_word('warmed')} OR {_word('refused')}")
+ORACLE["search_not"] = _hits(f"{_word('within')} AND NOT {_word('payment')}")
+ORACLE["search_prefix"] = _hits("regexp_matches(message, '(^|[^a-z0-9])sett')")
+ORACLE["search_near"] = _hits("message LIKE '%ledger lost its cache%'")
+ORACLE["search_all"] = _hits(f"{_word('payment')} AND {_word('settled')}")
+ORACLE["search_initial"] = _hits("message LIKE 'ledger %'")
+ORACLE["query_search_postings"] = _hits(
+    f"(message LIKE '%write refused%' OR {_word('cache')} AND {_word('lease')}) AND ts_ns >= {P.CUTOFF_NS}")
+
+
+def _near(n: int, *phrases: str) -> str:
+    """Phrases within n tokens, over a token list t."""
+    at = [f"list_filter(range(1, len(t) + 1), lambda i: t[i:i + {len(p.split()) - 1}] = {_list(p.split())})" for p in phrases]
+    names = [f"x{k}" for k in range(len(phrases))]
+    first = "least(" + ", ".join(f"x{k} * 100 + {len(p.split())}" for k, p in enumerate(phrases)) + ")"
+    tables = ", ".join(f"(SELECT unnest({a}) AS x{k})" for k, a in enumerate(at))
+    last = f"greatest({', '.join(names)})"
+    return f"CAST(EXISTS (SELECT 1 FROM {tables} WHERE {last} - ({first} // 100 + {first} % 100) <= {n}) AS INTEGER)"
+
+
+_JOINED = "' ' || array_to_string(t, ' ') || ' '"
+ORACLE["search_documents"] = (
+    "WITH d AS (SELECT doc_id + 1 AS id, list_filter(regexp_split_to_array(lower(strip_accents(text)), '[^\\p{L}\\p{N}]+'), "
+    "lambda x: x <> '') AS t FROM documents) SELECT id, "
+    "CAST(list_contains(t, 'worthless') AS INTEGER) AS m_term, "
+    f"CAST(contains({_JOINED}, ' of and ') AS INTEGER) AS m_phrase, "
+    "CAST(list_contains(t, 'of') AND list_contains(t, 'and') AS INTEGER) AS m_and, "
+    "CAST(list_contains(t, 'von') OR list_contains(t, 'que') AS INTEGER) AS m_or, "
+    "CAST(list_contains(t, 'of') AND NOT list_contains(t, 'with') AS INTEGER) AS m_not, "
+    f"CAST(contains({_JOINED}, ' von') AS INTEGER) AS m_prefix, "
+    f"{_near(1, 'of', 'and')} AS m_near, {_near(4, 'of', 'and', 'is')} AS m_near3, {_near(6, 'of and', 'with')} AS m_near_phrase, "
+    "CAST(coalesce(t[1] = 'of', false) AS INTEGER) AS m_initial, "
+    "CAST(list_contains(t, 'von') AND list_contains(t, 'und') AS INTEGER) AS m_all, 0 AS m_no_token FROM d")
 
 # ------------------------------------------------------------------ dedup, writes
 ORACLE["dedup_key"] = _with(LV, DV) + (
@@ -249,12 +288,12 @@ ORACLE["stats"] = _with(LV) + "SELECT CAST(count(*) AS BIGINT) AS total, min(ts_
 ORACLE["list_namespaces"] = _with(LV) + "SELECT DISTINCT namespace FROM lv ORDER BY namespace"
 ORACLE["list_containers"] = _with(LV) + "SELECT DISTINCT container FROM lv ORDER BY container"
 ORACLE["container_stats"] = _with(LV, RAWX) + (
-    "SELECT namespace, pod, pod_uid, container, CAST(count(*) AS BIGINT) AS lines, max(ts_ns) AS last_ts_ns "
-    "FROM rawx GROUP BY ALL")
+    f"SELECT namespace, pod, pod_uid, container, CAST(count(*) AS BIGINT) AS lines, count_if(ts_ns <> {INGEST_NS})::BIGINT AS with_time, "
+    "count_if(severity >= 5)::BIGINT AS errors, max(ts_ns) AS last_ts_ns FROM rawx GROUP BY namespace, pod, pod_uid, container")
 ORACLE["ingest_stats"] = _with(LV, RAWX) + (
-    f"SELECT CAST(count(*) AS BIGINT) AS lines_read, "
-    f"CAST(sum(CASE WHEN ts_ns <> {INGEST_NS} THEN 1 ELSE 0 END) AS BIGINT) AS with_time, "
-    "CAST(sum(CASE WHEN attrs <> '' THEN 1 ELSE 0 END) AS BIGINT) AS structured, max(ts_ns) AS last_ts_ns FROM rawx")
+    f"SELECT CAST(count(*) AS BIGINT) AS lines_read, count_if(ts_ns <> {INGEST_NS})::BIGINT AS with_time, "
+    "count_if(attrs <> '')::BIGINT AS structured, count_if(severity >= 5)::BIGINT AS errors, "
+    "count(DISTINCT (ts_ns, namespace, pod, container, message))::BIGINT AS entries, max(ts_ns) AS last_ts_ns FROM rawx")
 ORACLE["page_info"] = _with(LV) + (
     f"SELECT CAST(least(count(*), {P.PAGE_LIMIT}) AS BIGINT) AS n_rows, count(*) > {P.PAGE_LIMIT} AS has_more, "
     f"CASE WHEN count(*) > {P.PAGE_LIMIT} THEN min(id) END AS next_cursor, "
@@ -311,12 +350,12 @@ ORACLE["container_events_stream"] = ORACLE["container_events"]
 # Porter stems of the words of the log-message templates
 # (numbers stay, a trailing "ms" loses its "s").
 TEMPLATE_STEMS = [
-    ("connection", "connect"), ("established", "establish"), ("successfully", "successfulli"), ("page", "page"),
-    ("rendered", "render"), ("in", "in"), ("user", "user"), ("clicked", "click"), ("checkout", "checkout"),
-    ("search", "search"), ("login", "login"), ("button", "button"), ("request", "request"),
-    ("completed", "complet"), ("signup", "signup"), ("rate", "rate"), ("limit", "limit"),
-    ("approaching", "approach"), ("for", "for"), ("refused", "refus"), ("by", "by"), ("server", "server"),
-    ("database", "databas"), ("failed", "fail"),
+    ("cache", "cach"), ("warmed", "warm"), ("after", "after"), ("restart", "restart"), ("template", "templat"),
+    ("built", "built"), ("within", "within"), ("visitor", "visitor"), ("opened", "open"), ("the", "the"),
+    ("basket", "basket"), ("filter", "filter"), ("profile", "profil"), ("panel", "panel"), ("payment", "payment"),
+    ("settled", "settl"), ("quota", "quota"), ("nearly", "nearli"), ("spent", "spent"), ("by", "by"),
+    ("account", "account"), ("write", "write"), ("refused", "refus"), ("shard", "shard"), ("ledger", "ledger"),
+    ("lost", "lost"), ("its", "it"), ("lease", "leas"),
 ]
 _STEMS = ", ".join(f"('{w}', '{s}')" for w, s in TEMPLATE_STEMS)
 ORACLE["build_postings"] = _with(LV) + (

@@ -10,9 +10,9 @@ LAST_MINUTES = 1440
 CUTOFF_NS = 1705320000 * NS           # 2024-01-15T12:00:00Z
 IDLE_NOW_NS = 1706659200 * NS         # 2024-01-31T00:00:00Z
 IDLE_TIMEOUT_NS = 86_400 * NS         # one day
-NAMESPACE = "production"
+NAMESPACE = "live"
 POD = "error-42"
-CONTAINER = "sidecar"
+CONTAINER = "agent"
 MIN_SEVERITY = 4
 ATTR_USER = "42"
 PAGE_LIMIT = 25
@@ -21,3 +21,9 @@ DOC_LINE_MAX_BYTES = 16384
 NEAR_DISTANCE = 2
 ASSIGN_START = 30_000_000          # highest stored id before the batch
 NODE = "node-1"
+# line prefixes: the last two do not fit a BIGINT of nanoseconds
+LINE_TIMES = ["2040-02-29T23:59:59.5Z", "2262-04-11T23:47:16.854775807Z", "1999-12-31T22:00:00-03:00",
+              "9999-12-31T23:59:59Z", "2262-04-12T00:00:00Z"]
+REQUESTS = [{"limit": "--5"}, {"minSeverity": "\u00b2"}, {"beforeId": "-5"}, {"afterId": "9223372036854775808"},
+            {"startTime": "2024-01-15T00:00:00.5+02:00"}, {"startTime": "2024-W03-1T00:00:00Z"}, {"minSeverity": "+5"},
+            {"endTime": "2024-01-15T00:00:00"}, {"beforeId": "4000", "afterId": "3000"}]

@@ -8,6 +8,7 @@ under the shared checkpoint folder and return what the sink holds.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -20,14 +21,14 @@ from logloom.functions.severity import (severity_from_fields, severity_from_patt
                                         severity_of)
 from logloom.functions.stem import stem_column
 from logloom.functions.text import strip_ansi, truncate_value
-from logloom.functions.timestamps import floor_div, format_ts, ns_to_date, split_timestamp
+from logloom.functions.timestamps import floor_div, format_ts, ns_to_date, rfc3339_ns, split_timestamp
 from logloom.functions.tokenize import tokenize
 from logloom.operators import lifecycle, paging, postings, search, stats
 from logloom.operators.dedup import backfill_key, dedup_existing, dedup_first, dedup_key
 from logloom.operators.parse import parse_lines, to_log_entry
 from logloom.operators.query import LogQuery, apply_query, project_entry
 from logloom.plans import derived, params as P
-from logloom.sinks.retention import retention_counts, retention_keep, retention_stats
+from logloom.sinks.retention import apply_retention, retention_counts, retention_keep, retention_stats
 from logloom.sinks.table import append_new, assign_ids, new_rows, write_log_table
 from logloom.sinks.unique import read_unique
 from logloom.session import scratch_path
@@ -36,7 +37,7 @@ from logloom.sources.logs import read_logs
 from logloom.streaming import ingest, tail
 from logloom.streaming import idle as stream_idle
 from logloom.streaming import lifecycle as stream_lifecycle
-from logloom.sources.views import (DUP_ID_OFFSET, INGEST_NS, doc_log_view, dup_view, logs_from_events, raw_view, read_table,
+from logloom.plans.fixtures import (DUP_ID_OFFSET, INGEST_NS, doc_log_view, dup_view, logs_from_events, raw_view, read_table,
                                    spread, status_view)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,12 +79,12 @@ def _parsed_out(df: DataFrame) -> DataFrame:
 
 @register("read_logs")
 def q_read_logs(spark, d):
-    return _out(_logs(spark, d))
+    return _out(read_logs(spark, _kept_table(spark, d)))
 
 
 @register("get_by_id")
 def q_get_by_id(spark, d):
-    return _out(_logs(spark, d).where(F.col("id") == P.POINT_ID).limit(1))
+    return _out(paging.get_by_id(spark, _kept_table(spark, d), P.POINT_ID))
 
 
 @register("read_raw_lines")
@@ -111,13 +112,13 @@ def q_project_entry(spark, d):
 
 @register("collect_gate")
 def q_collect_gate(spark, d):
-    return _out(src.collect_gate(_logs(spark, d), include=(), exclude=("kube-system",)))
+    return _out(src.collect_gate(_logs(spark, d), include=(), exclude=("infra",)))
 
 
 @register("collect_gate_include")
 def q_collect_gate_include(spark, d):
-    return _out(src.collect_gate(_logs(spark, d), include=("production", "staging"),
-                                 exclude=("kube-system", "staging")))
+    return _out(src.collect_gate(_logs(spark, d), include=("live", "trial"),
+                                 exclude=("infra", "trial")))
 
 
 @register("read_structured")
@@ -147,7 +148,7 @@ def q_split_timestamp(spark, d):
 
 @register("parse_json_attrs")
 def q_parse_json_attrs(spark, d):
-    rv = raw_view(spark, d).where(F.col("line").contains('{"level"'))
+    rv = raw_view(spark, d)
     body = split_timestamp(F.col("line"), F.col("ingest_ns"))["message"]
     ent = json_value_entries(json_entries(body))
     return rv.select("arrival", attrs_text(entries_to_map(ent)).alias("attrs"))
@@ -155,11 +156,11 @@ def q_parse_json_attrs(spark, d):
 
 @register("severity_from_fields")
 def q_severity_from_fields(spark, d):
-    rv = raw_view(spark, d).where(F.col("line").contains("level"))
+    rv = raw_view(spark, d)
     body = split_timestamp(F.col("line"), F.col("ingest_ns"))["message"]
     fields = F.when(body.startswith("{"), F.map_from_entries(json_value_entries(json_entries(body)))) \
         .otherwise(F.map_from_entries(logfmt_fields(body)))
-    return rv.select("arrival", severity_from_fields(fields).alias("severity"))
+    return rv.select("arrival", F.coalesce(severity_from_fields(fields), F.lit(0)).alias("severity"))
 
 
 @register("normalize_attrs")
@@ -209,6 +210,34 @@ def q_format_ts(spark, d):
     return _logs(spark, d).select("id", format_ts("ts_ns").alias("ts_text"))
 
 
+@register("format_rfc3339")
+def q_format_rfc3339(spark, d):
+    return _logs(spark, d).select("id", rfc3339_ns("ts_ns").alias("ts_text"))
+
+
+@register("text_lines")
+def q_text_lines(spark, d):
+    """All texts of three tables as lines, under times that fit nanoseconds
+    and times that do not."""
+    parts = [("documents", "doc_id", "text"), ("pages", "page_id", "html"), ("conversations", "conv_id", "text")]
+    rows = reduce(DataFrame.unionAll, [read_table(spark, d, t).select(
+        F.lit(t).alias("kind"), F.col(i).alias("id"), F.coalesce(F.col(c), F.lit("")).alias("body")) for t, i, c in parts])
+    prefix = F.element_at(F.array(*[F.lit(p) for p in P.LINE_TIMES]), (F.col("id") % len(P.LINE_TIMES) + 1).cast("int"))
+    lines = rows.withColumn("line", F.concat(prefix, F.lit(" "), "body"))
+    parsed = split_timestamp(F.col("line"), INGEST_NS)
+    return lines.select("kind", "id", parsed["ts_ns"].alias("ts_ns"), parsed["message"].alias("message")).select(
+        "kind", "id", "ts_ns", ns_to_date("ts_ns").cast("string").alias("log_date"), F.md5("message").alias("message_md5"))
+
+
+@register("query_params")
+def q_query_params(spark, d):
+    """Requests with one bad parameter each: what a malformed value leaves."""
+    lv = _logs(spark, d)
+    return reduce(DataFrame.unionAll, [
+        apply_query(lv, LogQuery.from_params(p)).agg(F.count("*").cast("long").alias("n")).select(F.lit(k).alias("request"), "n")
+        for k, p in enumerate(P.REQUESTS)])
+
+
 @register("truncate_value")
 def q_truncate_value(spark, d):
     return _logs(spark, d).select("id", truncate_value("pod").alias("pod_short"))
@@ -252,12 +281,12 @@ def q_attributes(spark, d):
 
 @register("query_search")
 def q_search(spark, d):
-    return _filtered(spark, d, LogQuery(search="refused connections"))
+    return _filtered(spark, d, LogQuery(search="refused writes"))
 
 
 @register("query_combined")
 def q_combined(spark, d):
-    q = LogQuery(namespace=P.NAMESPACE, min_severity=5, search="database",
+    q = LogQuery(namespace=P.NAMESPACE, min_severity=5, search="ledger",
                  start_ns=P.RANGE_START_NS, limit=P.PAGE_LIMIT)
     return _out(paging.page(_logs(spark, d), q))
 
@@ -266,7 +295,7 @@ def q_combined(spark, d):
 def q_query_logs(spark, d):
     """Request text -> query: bad limit and severity are ignored (100 rows, no
     severity filter), order=asc, an attribute filter, a time window."""
-    q = LogQuery.from_params({"namespace": "staging", "limit": "5000", "minSeverity": "9", "order": "asc",
+    q = LogQuery.from_params({"namespace": "trial", "limit": "5000", "minSeverity": "9", "order": "asc",
                               "attr.k": "38", "startTime": "2024-01-05T00:00:00Z",
                               "endTime": "2024-01-25T00:00:00+00:00", "afterId": "x"})
     return _out(paging.page(_logs(spark, d), q))
@@ -303,55 +332,66 @@ def q_build_vocabulary(spark, d):
 
 @register("search_term")
 def q_search_term(spark, d):
-    return _searched(spark, d, search.term("connection"))
+    return _searched(spark, d, search.term("cache"))
 
 
 @register("search_phrase")
 def q_search_phrase(spark, d):
-    return _searched(spark, d, search.phrase("connection refused"))
+    return _searched(spark, d, search.phrase("write refused"))
 
 
 @register("search_and")
 def q_search_and(spark, d):
-    return _searched(spark, d, search.term("connection") & search.term("server"))
+    return _searched(spark, d, search.term("cache") & search.term("lease"))
 
 
 @register("search_or")
 def q_search_or(spark, d):
-    return _searched(spark, d, search.term("established") | search.term("refused"))
+    return _searched(spark, d, search.term("warmed") | search.term("refused"))
 
 
 @register("search_not")
 def q_search_not(spark, d):
-    return _searched(spark, d, search.term("connection") - search.term("database"))
+    return _searched(spark, d, search.term("within") - search.term("payment"))
 
 
 @register("search_prefix")
 def q_search_prefix(spark, d):
-    return _searched(spark, d, search.prefix("connect"))
+    return _searched(spark, d, search.prefix("sett"))
 
 
 @register("search_near")
 def q_search_near(spark, d):
-    return _searched(spark, d, search.near("connection", "server", P.NEAR_DISTANCE))
+    return _searched(spark, d, search.near("cache", "ledger", n=P.NEAR_DISTANCE))
 
 
 @register("search_all")
 def q_search_all(spark, d):
-    return _searched(spark, d, search.all_words("request completed"))
+    return _searched(spark, d, search.all_words("payment settled"))
 
 
 @register("search_initial")
 def q_search_initial(spark, d):
-    return _searched(spark, d, search.initial("database"))
+    return _searched(spark, d, search.initial("ledger"))
+
+
+#: Search predicates over whole documents; every word is the only form of
+#: its stem there.
+DOC_MATCHES = {
+    "m_term": lambda: search.term("worthless"), "m_phrase": lambda: search.phrase("of and"),
+    "m_and": lambda: search.term("of") & search.term("and"), "m_or": lambda: search.term("von") | search.term("que"),
+    "m_not": lambda: search.term("of") - search.term("with"), "m_prefix": lambda: search.prefix("von"),
+    "m_near": lambda: search.near("of", "and", n=1), "m_near3": lambda: search.near("of", "and", "is", n=4),
+    "m_near_phrase": lambda: search.near("of and", "with", n=6), "m_initial": lambda: search.initial("of"),
+    "m_all": lambda: search.all_words("von und"), "m_no_token": lambda: search.all_words("!!! -"),
+}
 
 
 @register("search_documents")
 def q_search_documents(spark, d):
-    """Full text over the documents as log messages (English namespace)."""
-    docs = doc_log_view(spark, d).where(F.col("namespace") == "en")
-    match = search.term("worthless") | (search.prefix("therea") & search.term("ing"))
-    return search.search(docs, match).select("id", "namespace", "pod")
+    """Which predicates each document meets, all languages, whole texts."""
+    docs = search.with_terms(doc_log_view(spark, d))
+    return docs.select("id", *[m().column(F.col("terms")).cast("int").alias(k) for k, m in DOC_MATCHES.items()])
 
 
 @register("build_postings")
@@ -362,9 +402,18 @@ def q_build_postings(spark, d):
 
 @register("query_search_postings")
 def q_search_postings(spark, d):
-    """Term search answered from the posting list (semi-join on id)."""
-    lv = _logs(spark, d)
-    return postings.search_postings(lv, postings.build_postings(lv), search.term("connection")).select("id", "message")
+    """Search answered from stored posting lists, after two appends and a
+    retention run that both keep them."""
+    root = _scratch(spark, "postings")
+    table, lists = f"{root}/logs", f"{root}/postings"
+    rows = _logs(spark, d)
+    for half in (0, 1):
+        write_log_table(rows.where(F.col("id") % 2 == half), table, postings_path=lists)
+    apply_retention(spark, table, P.CUTOFF_NS, f"{root}/stage", postings_path=lists)
+    match = search.phrase("write refused") | (search.term("cache") & search.term("lease")) | (
+        search.prefix("sett") - search.term("payment"))
+    found = apply_query(read_logs(spark, table), LogQuery(search=match), postings=spark.read.parquet(lists))
+    return found.select("id", "message")
 
 
 # ---------------------------------------------------------------- dedup, writes
@@ -468,7 +517,7 @@ def q_stats(spark, d):
 
 @register("disk_size")
 def q_disk_size(spark, d):
-    return stats.disk_size(read_table(spark, d, "events"))
+    return stats.disk_size(spark, _kept_table(spark, d))
 
 
 @register("list_namespaces")
@@ -488,18 +537,12 @@ def q_container_stats(spark, d):
 
 @register("ingest_stats")
 def q_ingest_stats(spark, d):
-    """Totals over the raw lines: read, with own timestamp, structured
-    (JSON/logfmt attributes), entries after dedup."""
-    p = _parsed(spark, d)
-    return p.agg(F.count("*").cast("long").alias("lines_read"),
-                  F.sum(F.when(F.col("ts_ns") != F.lit(INGEST_NS), 1).otherwise(0)).cast("long").alias("with_time"),
-                  F.sum(F.when(F.col("attributes").isNotNull(), 1).otherwise(0)).cast("long").alias("structured"),
-                  F.max("ts_ns").alias("last_ts_ns"))
+    return stats.ingest_stats(_parsed(spark, d))
 
 
 @register("page_info")
 def q_page_info(spark, d):
-    return paging.page_info(_logs(spark, d), LogQuery(namespace=P.NAMESPACE, limit=P.PAGE_LIMIT))
+    return paging.stored_page_info(spark, _kept_table(spark, d), LogQuery(namespace=P.NAMESPACE, limit=P.PAGE_LIMIT))
 
 
 # ---------------------------------------------------------------- paging
@@ -516,22 +559,23 @@ def q_asc(spark, d):
 
 @register("page")
 def q_page(spark, d):
-    return _out(paging.page(_logs(spark, d), LogQuery(min_severity=5, limit=P.PAGE_LIMIT)))
+    return _out(paging.stored_page(spark, _kept_table(spark, d), LogQuery(min_severity=5, limit=P.PAGE_LIMIT)))
 
 
 @register("page_after")
 def q_page_after(spark, d):
-    return _out(paging.page(_logs(spark, d), LogQuery(after_id=P.CURSOR_ID, order="asc", limit=50)))
+    return _out(paging.stored_page(spark, _kept_table(spark, d), LogQuery(after_id=P.CURSOR_ID, order="asc", limit=50)))
 
 
 @register("page_before")
 def q_page_before(spark, d):
-    return _out(paging.page(_logs(spark, d), LogQuery(before_id=P.CURSOR_ID, limit=50)))
+    return _out(paging.stored_page(spark, _kept_table(spark, d), LogQuery(before_id=P.CURSOR_ID, limit=50)))
 
 
 @register("tail_initial")
 def q_tail_initial(spark, d):
-    return _out(paging.tail_initial(_logs(spark, d), LogQuery(min_severity=5), n=50))
+    q = LogQuery(min_severity=5, limit=50)
+    return _out(paging.tail_initial(paging.stored_scope(spark, _kept_table(spark, d), q), q, n=50))
 
 
 @register("entry_neighbours")
@@ -606,13 +650,23 @@ def _stored_table(spark, d, root: str, appends: int = 1) -> str:
     return path
 
 
+_KEPT: dict[tuple[str, str], str] = {}
+
+
+def _kept_table(spark, d) -> str:
+    """The log table of these rows in eight appends, written once a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _KEPT:
+        _KEPT[key] = _stored_table(spark, d, _scratch(spark, "kept"), appends=8)
+    return _KEPT[key]
+
+
 @register("tail_stream")
 def q_tail_stream(spark, d):
     """Live tail with a severity filter (alerts feed): the table in eight
     appends, a few files per micro-batch."""
     root = _scratch(spark, "tail")
-    stored = _stored_table(spark, d, root, appends=8)
-    rows = tail.tail_source(spark, stored, max_files=40)
+    rows = tail.tail_source(spark, _kept_table(spark, d), max_files=40)
     s = apply_query(rows, LogQuery(min_severity=5)).drop("terms", "log_date")
     tail.tail_run(s, f"{root}/out", f"{root}/ckpt", _NOW).awaitTermination()
     return _out(read_unique(spark, f"{root}/out"))

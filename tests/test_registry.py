@@ -9,7 +9,7 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 from logloom.plans.queries import QUERIES
 
-TABLES = ["events", "documents"]
+TABLES = ["events", "documents", "pages", "conversations"]
 ORACLE = E.oracle_sql()
 NAMES = sorted(QUERIES)  # optional queries have their own tests
 

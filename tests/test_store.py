@@ -214,3 +214,52 @@ def test_many_appends_lose_nothing(spark, tmp_dir):
         append_new(spark, b, path, os.path.join(tmp_dir, f"stage{w}b"))
     t = read_logs(spark, path)
     assert t.count() == 400 and ids(t) == list(range(1, 401))
+
+
+def test_pages_and_lookups_read_few_files(spark, tmp_dir):
+    from logloom.operators.paging import get_by_id, stored_page, stored_page_info, stored_scope
+
+    path = os.path.join(tmp_dir, "logs")
+    for k in range(12):                                           # a day each
+        write_log_table(rows(spark, [(k * 20 + i, T0 + k * 24 * H + i, "ns", i % 6, f"m{k}", None) for i in range(1, 21)]), path)
+    t = read_logs(spark, path)
+
+    def files(df):
+        return df.select(F.input_file_name()).distinct().count()
+
+    everything = files(t)
+    for q in (LogQuery(limit=7), LogQuery(limit=7, order="asc"), LogQuery(limit=7, before_id=100), LogQuery(limit=7, after_id=100, order="asc"),
+              LogQuery(limit=7, min_severity=4), LogQuery(limit=300), LogQuery(limit=5, namespace="none"), LogQuery(limit=7, before_id=-3)):
+        assert [r.id for r in stored_page(spark, path, q).collect()] == [r.id for r in page(t, q).collect()]
+        assert stored_page_info(spark, path, q).first() == page_info(t, q).first()
+        if q.limit == 7:
+            assert files(stored_scope(spark, path, q)) <= everything / 3
+    assert [r.id for r in get_by_id(spark, path, 77).collect()] == [77]
+    assert get_by_id(spark, path, 9999).isEmpty() and get_by_id(spark, path, -1).isEmpty()
+    plan = get_by_id(spark, path, 77)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(log_date" in plan
+
+
+def test_disk_size_counts_the_files(spark, tmp_dir):
+    from logloom.operators.stats import disk_size
+
+    path = os.path.join(tmp_dir, "logs")
+    write_log_table(rows(spark, [(i, T0 + i * 24 * H, "ns", 3, "m", None) for i in range(1, 9)]), path)
+    sizes = [os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(path) for f in fs
+             if f.endswith(".parquet") and "_appends" not in d]
+    r = disk_size(spark, path).first()
+    assert (r.bytes, r.files) == (sum(sizes), len(sizes))
+
+
+@pytest.mark.parametrize("params,want", [
+    ({"limit": "--5"}, {}), ({"limit": "+7"}, {"limit": 7}), ({"limit": "1001"}, {}), ({"minSeverity": "\u00b2"}, {}),
+    ({"minSeverity": "-1"}, {}), ({"afterId": "9223372036854775808"}, {}), ({"beforeId": "-5"}, {"before_id": -5}),
+    ({"limit": "1" * 5000}, {}), ({"startTime": "2024-01-15T00:00:00.5+02:00"}, {"start_ns": 1705269600500000000}),
+    ({"startTime": "2024-W03-1T00:00:00Z"}, {}), ({"endTime": "2024-01-15T00:00:00"}, {}), ({"endTime": "9999-12-31T00:00:00Z"}, {}),
+    ({"startTime": "2024-01-15 00:00:00Z"}, {}), ({"startTime": "1969-12-31T23:59:59.25Z"}, {"start_ns": -750000000}),
+])
+def test_request_parameters_are_strict(spark, params, want):
+    assert LogQuery.from_params(params) == LogQuery(**want)
+    if "before_id" in want:
+        assert page(rows(spark, [(1, T0, "ns", 3, "m", None)]), LogQuery.from_params(params)).count() == 1
+    assert LogQuery.from_tail_params({"lastId": "--3"})[1] is None
