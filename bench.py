@@ -29,7 +29,6 @@ HEADLINE = [
     "search_documents",   # full text over the documents
     "build_vocabulary",   # distinct tokens + stems
     "container_events",   # lifecycle state machine
-    "append_new",         # dedup against stored rows
 ]
 
 
@@ -38,20 +37,34 @@ def stored_table_queries(spark, sf_dir: str) -> dict:
     partitions, files sorted by id), then queried."""
     from pyspark.sql import functions as F
 
-    from logloom.operators.paging import page
+    from itertools import count
+
+    from logloom.operators.paging import get_by_id, page, stored_page
     from logloom.operators.query import LogQuery
+    from logloom.plans.fixtures import logs_from_events
     from logloom.session import scratch_path
-    from logloom.sinks.table import write_log_table
+    from logloom.sinks.table import append_new, write_log_table
     from logloom.sources.logs import read_logs
-    from logloom.plans.fixtures import logs_from_events
 
-    path = scratch_path(spark, "bench-table")
-    write_log_table(logs_from_events(spark, sf_dir), path)
+    path, stage = scratch_path(spark, "bench-table"), scratch_path(spark, "bench-stage")
+    rows = logs_from_events(spark, sf_dir)
+    write_log_table(rows, path)
+    runs = count(1)
+
+    def append_batch():
+        """One batch of a hundredth of the rows, half of them stored before."""
+        k = next(runs)
+        part = rows.where(F.pmod("id", F.lit(100)) == k % 100).withColumnRenamed("id", "arrival")
+        batch = part.withColumn("ts_ns", F.when(F.col("arrival") % 2 == 0, F.col("ts_ns") + k).otherwise(F.col("ts_ns")))
+        return spark.createDataFrame([tuple(append_new(spark, batch, path, stage).values())], "offered long, inserted long")
+
     q = LogQuery(namespace="live", min_severity=5, search="ledger cache",
                  start_ns=1704844800 * 10**9, limit=100)
     return {
         "stored_combined_page": lambda: page(read_logs(spark, path), q),
-        "stored_get_by_id": lambda: read_logs(spark, path).where(F.col("id") == 4242).limit(1),
+        "stored_newest_page": lambda: stored_page(spark, path, LogQuery()),
+        "stored_get_by_id": lambda: get_by_id(spark, path, 4242),
+        "append_batch": append_batch,  # anti-join with the batch's days, ids, terms, write
     }
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from logloom.functions.attrs import attrs_text
 from logloom.functions.jsonattrs import json_entries, json_value_entries
@@ -89,7 +89,16 @@ def q_get_by_id(spark, d):
 
 @register("read_raw_lines")
 def q_read_raw_lines(spark, d):
-    return raw_view(spark, d).select("arrival", "namespace", "pod", "pod_uid", "container", "line")
+    """The raw lines written as text files, one folder per container (pods by
+    event type), read back: every line with its place in its file."""
+    root = _scratch(spark, "raw-text")
+    rv = raw_view(spark, d).withColumn("pod_dir", F.concat(F.substring_index("pod", "-", 1), F.lit("_u0")))
+    folders = ["namespace", "pod_dir", "container"]
+    (rv.repartition(*folders).sortWithinPartitions(*folders, "arrival").select(*folders, "line")
+     .write.partitionBy(*folders).text(root))
+    lines = src.read_raw_lines(spark, root)
+    nth = F.row_number().over(Window.partitionBy("namespace", "pod", "pod_uid", "container").orderBy("arrival"))
+    return lines.select("namespace", "pod", "pod_uid", "container", nth.cast("long").alias("nth"), "line")
 
 
 @register("split_oversize")

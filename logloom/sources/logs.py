@@ -7,7 +7,7 @@ from typing import Iterable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from logloom.schema import LOG_SCHEMA, RAW_SCHEMA
+from logloom.schema import LOG_SCHEMA
 
 # Fixed value: longest accepted line (longer lines break the reader).
 MAX_LINE_BYTES = 1 << 20
@@ -23,26 +23,47 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TABLE_SCHEMA).parquet(path)
 
 
+def _container_lines(text: DataFrame) -> DataFrame:
+    """Lines of files below ``<root>/<namespace>/<pod>_<pod_uid>/<container>/``
+    (folders may be spelled ``name=value``), with ``at``: the file's time,
+    path and the byte its split starts at."""
+    meta = F.col("_metadata")
+    parts = F.split(meta["file_path"], "/")
+
+    def folder(k: int):
+        return F.regexp_replace(F.url_decode(F.element_at(parts, F.size(parts) - k)), "^[A-Za-z_]+=", "")
+
+    return text.select(
+        folder(3).alias("namespace"), F.regexp_extract(folder(2), "^(.*)_", 1).alias("pod"),
+        F.substring_index(folder(2), "_", -1).alias("pod_uid"), folder(1).alias("container"),
+        F.col("value").alias("line"), (F.unix_micros(meta["file_modification_time"]) * 1000).alias("ingest_ns"),
+        F.struct(meta["file_modification_time"].alias("time"), meta["file_path"].alias("path"),
+                 meta["file_block_start"].alias("block")).alias("at"))
+
+
+def with_arrival(lines: DataFrame) -> DataFrame:
+    """``at`` -> ``arrival``: an orderable struct, by file (older first), byte
+    position of the split, row in the split.  For a batch, or inside
+    ``foreachBatch``."""
+    return lines.withColumn("arrival", F.struct("at.*", F.monotonically_increasing_id().alias("row"))).drop("at")
+
+
 def read_raw_lines(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """Raw container log files laid out as
-    ``<root>/<namespace>/<pod>_<pod_uid>/<container>/*.log`` -> RAW_SCHEMA
-    rows; ``arrival`` orders lines by file and position."""
-    reader = spark.read.option("wholetext", "false")
+    """Raw container log files -> RAW_SCHEMA rows and ``ingest_ns`` (the
+    file's time, for lines without one); ``arrival`` follows the files' time,
+    then the position in the file."""
+    reader = spark.read.option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    df = reader.option("recursiveFileLookup", "true").text(path)
-    fp = F.col("_metadata.file_path")
-    parts = F.split(fp, "/")
-    n = F.size(parts)
-    pod_dir = F.element_at(parts, n - 2)
-    return df.select(
-        F.monotonically_increasing_id().alias("arrival"),
-        F.element_at(parts, n - 3).alias("namespace"),
-        F.substring_index(pod_dir, "_", 1).alias("pod"),
-        F.substring_index(pod_dir, "_", -1).alias("pod_uid"),
-        F.element_at(parts, n - 1).alias("container"),
-        F.col("value").alias("line"),
-    )
+    return with_arrival(_container_lines(reader.text(path)))
+
+
+def stream_raw_text(spark: SparkSession, path: str, max_files: int = 100, pattern: str | None = None) -> DataFrame:
+    """The same files as a stream for ``ingest_stream``, which adds ``arrival``."""
+    reader = spark.readStream.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files)
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    return _container_lines(reader.text(path))
 
 
 def split_oversize(df: DataFrame, max_bytes: int = MAX_LINE_BYTES, line: str = "line") -> tuple[DataFrame, DataFrame]:
@@ -72,7 +93,3 @@ def read_structured(spark: SparkSession, path: str, fmt: str = "parquet") -> Dat
     """Already structured entries (no parsing), e.g. batches written by
     another collector, with the log-entry schema."""
     return spark.read.schema(LOG_SCHEMA).format(fmt).load(path)
-
-
-def raw_schema() -> T.StructType:
-    return RAW_SCHEMA

@@ -21,7 +21,7 @@ from logloom.operators.parse import parse_lines, to_log_entry
 from logloom.schema import DEDUP_KEY, LOG_COLUMNS, RAW_SCHEMA
 from logloom.sinks.table import append_new
 from logloom.sinks.unique import rows_by_content
-from logloom.sources.logs import MAX_LINE_BYTES, collect_gate, since
+from logloom.sources.logs import MAX_LINE_BYTES, collect_gate, since, with_arrival
 
 RAW_STREAM_SCHEMA = T.StructType(RAW_SCHEMA.fields + [T.StructField("ingest_ns", T.LongType(), False)])
 
@@ -60,6 +60,7 @@ def ingest_stream(spark: SparkSession, raw: DataFrame, table_path: str, checkpoi
 
     def write_batch(batch: DataFrame, epoch: int) -> None:
         # read twice (rejects, rows): keep the micro-batch, spilling if needed
+        batch = with_arrival(batch) if "at" in batch.columns else batch
         batch = collect_gate(batch, include, exclude).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             size = F.coalesce(F.octet_length("line"), F.lit(0))

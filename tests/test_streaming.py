@@ -150,3 +150,32 @@ def test_ingest_gate_since_and_structured(spark, tmp_dir):
                   since_ns=1705314900 * 10**9).awaitTermination()
     got = sorted((r.message, r.severity) for r in read_logs(spark, table).collect())
     assert got == [("late", 0), ("structured", 5)]
+
+
+def test_text_files_as_a_stream_keep_their_order(spark, tmp_dir):
+    """Container files -> ingest; ids follow the files' time and the lines' place."""
+    import os as _os
+
+    from logloom.sources.logs import read_raw_lines, stream_raw_text
+    from logloom.streaming.ingest import ingest_stream
+
+    root, table = os.path.join(tmp_dir, "raw"), os.path.join(tmp_dir, "logs")
+    files = [("live", "api_x-7_u1", "app", "1.log", 300), ("live", "api_x-7_u1", "app", "0.log", 200), ("trial", "db_u2", "edge", "0.log", 50)]
+    for age, (ns, pod, container, name, n) in enumerate(files):
+        folder = os.path.join(root, ns, pod, container)
+        _os.makedirs(folder, exist_ok=True)
+        path = os.path.join(folder, name)
+        with open(path, "w") as f:
+            f.writelines(f"2024-01-15T10:30:00Z {pod} {name} line {i}\n" for i in range(n))
+        _os.utime(path, (1_700_000_000 + age * 60,) * 2)            # 1.log is older than 0.log
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")     # several splits per file
+    try:
+        lines = read_raw_lines(spark, root)
+        got = [r.line.split(" ", 1)[1] for r in lines.orderBy("arrival").collect()]
+        assert got == [f"{pod} {name} line {i}" for _, pod, _, name, n in files for i in range(n)]
+        assert {(r.namespace, r.pod, r.pod_uid, r.container) for r in lines.collect()} == {("live", "api_x-7", "u1", "app"), ("trial", "db", "u2", "edge")}
+        q = ingest_stream(spark, stream_raw_text(spark, root, max_files=10), table, os.path.join(tmp_dir, "ck"), trigger=NOW)
+        q.awaitTermination()
+        assert [r.message for r in read_logs(spark, table).orderBy("id").collect()] == got
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
