@@ -286,7 +286,8 @@ def _curve(rows: DataFrame, lexicon: Lexicon) -> tuple[float, float, float]:
                                            pa.array([t.count(" ") - 1 for t in texts], pa.int64())],
                                           ["label", "weight", "words"])
 
-    got = arrow_map(rows, run, "label int, weight double, words bigint").orderBy("weight", "words", "label").toArrow()
+    got = arrow_map(rows, run, "label int, weight double, words bigint").toArrow().sort_by(
+        [(c, "ascending") for c in ("weight", "words", "label")])  # bounded by the sample
     y, weight, words = (got.column(k).to_numpy().astype(float) for k in range(3))
     x = _features(np.maximum(weight, 0), words)
     curve = np.zeros(3)
