@@ -1,4 +1,6 @@
-"""Rows shared by the tests of this folder."""
+"""Rows and fixtures shared by the tests of this folder."""
+
+import pytest
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -15,3 +17,32 @@ ODD = [
     (12, "word " * 30_000, "en", "a", 150_000), (13, "one two", "en", "", 7), (-4, PROSE + " thirteen", "en", "b", 70),
     (14, "\x00 \x0b control \x1f", "en", "b", 12),
 ]
+
+
+@pytest.fixture()
+def odd(spark):
+    """Nulls, empty and long texts, ties, repeated rows."""
+    return spark.createDataFrame(ODD, DOCS)
+
+
+@pytest.fixture()
+def clashing(odd):
+    """With further columns, named like the operators' own."""
+    from pyspark.sql import functions as F
+
+    return odd.select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHES)])
+
+
+@pytest.fixture()
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture()
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture()
+def labels(spark):
+    return spark.read.parquet(f"{SF}/labels.parquet")

@@ -14,7 +14,7 @@ import corpus_pipeline
 from logloom.llm import chat, mixing, nbsvm, queries, warc
 from logloom.llm.common import crc_mod, table
 from logloom.session import scratch_path
-from samples import SF
+from samples import SF, clashing, docs, empty, odd  # noqa: F401 - fixtures
 
 TURNS = "conv_id bigint, turn bigint, role string, text string"
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from logloom.llm import containment, lines, minhash, simhash
 from logloom.llm.components import connected_components
-from samples import ODD
+from samples import ODD, clashing, docs, empty, odd  # noqa: F401 - fixtures
 
 
 

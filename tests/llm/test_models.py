@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from logloom.llm import langid, nbsvm, queries, toxicity
 from logloom.llm.common import crc_mod, table
 from logloom.llm.features import indicators
-from samples import ODD
+from samples import ODD, clashing, docs, empty, labels, odd  # noqa: F401 - fixtures
 
 MID = "/root/testdata/sf0.01"
 
