@@ -21,21 +21,28 @@ FIELD_ALIASES = {
 MAX_ATTRIBUTES = 20
 SEVERITY_KEYS = ["level", "severity", "lvl"]
 
+# up to so many entries a comparison of all is cheaper than sorting
+_FEW = 32
+
 _ALL_ALIASES = [a for names in FIELD_ALIASES.values() for a in names]
 
 
 def last_wins(entries: Column) -> Column:
     """Keep, for every key, only its last entry (JSON and logfmt semantics).
 
-    Keys are sorted with their positions, the last of each run of equal keys
-    stays, and the positions that stay are sorted back: n log n per line."""
+    Few entries are compared with those after them.  More are sorted by key
+    and position, the last of each run of equal keys stays, and the positions
+    that stay are sorted back: n log n for the longest line."""
+    def compared(arr: Column) -> Column:
+        return F.filter(arr, lambda x, i: ~F.exists(F.slice(arr, i + 2, F.lit(_FEW)), lambda y: y["key"] == x["key"]))
+
     def keep(arr: Column) -> Column:
         keyed = F.array_sort(F.transform(arr, lambda x, i: F.struct(x["key"].alias("key"), i.alias("at"))))
         last = let(keyed, lambda run: F.filter(run, lambda x, i: ~F.coalesce(
             F.try_element_at(run, i + 2)["key"] == x["key"], F.lit(False))))
         at = F.array_sort(F.transform(last, lambda x: x["at"]))
         return F.transform(at, lambda i: F.element_at(arr, i + 1))
-    return F.when(entries.isNotNull(), let(entries, keep))
+    return F.when(F.size(entries) <= _FEW, let(entries, compared)).when(entries.isNotNull(), let(entries, keep))
 
 
 def normalize_entries(entries: Column) -> Column:

@@ -27,17 +27,28 @@ def parse_object(message: Column) -> Column:
     """Message -> array<map<string,variant>> (one element when the message is
     exactly one JSON object); NULL unless it starts with ``{``."""
     listed = F.concat(F.lit("["), message, F.lit("]"))
+    # text after the object can only hide where it closes the list
     held = F.from_json(F.concat(F.lit('{"v":'), message, F.lit("}")), "map<string,map<string,string>>", _STRICT)
     one = (F.size(held) == 1) & (F.element_at(F.map_keys(held), 1) == "v") & F.element_at(F.map_values(held), 1).isNotNull()
+    whole = F.when(message.rlike(r"\}\s*\]"), F.coalesce(one, F.lit(False))).otherwise(F.lit(True))
     # VARIANT refuses an object inside that repeats a key: such lines are read
     # as text and their values typed by their look
     typed = F.from_json(listed, "array<map<string,variant>>", _STRICT)
     plain = F.from_json(listed, "array<map<string,string>>", _STRICT)
     looks = F.transform(plain, lambda m: F.map_from_arrays(
-        F.transform(F.array_distinct(F.map_keys(m)), lambda k: k),
+        F.array_distinct(F.map_keys(m)),
         F.transform(F.array_distinct(F.map_keys(m)), lambda k: _by_look(F.element_at(
             F.filter(F.map_entries(m), lambda e: e["key"] == k), -1)["value"]))))
-    return F.when(message.startswith("{") & one, F.coalesce(typed, looks))
+    parsed = F.when(message.startswith("{") & whole, F.coalesce(typed, looks))
+    return F.when(message.rlike(r"[0-9][eE]\+?[0-9]{3}|[0-9]{300}"), _finite(parsed)).otherwise(parsed)
+
+
+def _finite(parsed: Column) -> Column:
+    """NULL if a member is a number beyond the range of a double."""
+    def beyond(x: Column) -> Column:
+        number = F.schema_of_variant(x["value"]).isin("DOUBLE", "FLOAT")
+        return F.coalesce(number & (F.abs(F.try_variant_get(x["value"], "$", "double")) == F.lit(float("inf"))), F.lit(False))
+    return F.filter(parsed, lambda m: ~F.exists(F.map_entries(m), beyond))
 
 
 def _by_look(text: Column) -> Column:
@@ -47,13 +58,8 @@ def _by_look(text: Column) -> Column:
 
 
 def object_members(parsed: Column) -> Column:
-    """Parsed object -> array<struct<key, value: variant>>, NULL if not one
-    object or if it holds a number that is no double."""
-    def finite(members: Column) -> Column:
-        return F.when(~F.exists(members, lambda x: F.coalesce(
-            F.schema_of_variant(x["value"]).isin("DOUBLE", "FLOAT")
-            & (F.abs(F.try_variant_get(x["value"], "$", "double")) == F.lit(float("inf"))), F.lit(False))), members)
-    return F.when(F.size(parsed) == 1, let(F.map_entries(F.element_at(parsed, 1)), finite))
+    """Parsed object -> array<struct<key, value: variant>>, NULL if not one object."""
+    return F.when(F.size(parsed) == 1, F.map_entries(F.element_at(parsed, 1)))
 
 
 def typed_members(members: Column) -> Column:

@@ -196,6 +196,6 @@ def status_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows over tasks by their first column: the driver's tables come as
-    one file with one row group.  AQE sizes the parts."""
-    return df.repartition(F.col(df.columns[0]))
+    """Deal rows over as many tasks as shuffles have: the driver's tables come
+    as one file with one row group."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

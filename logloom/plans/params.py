@@ -27,3 +27,5 @@ LINE_TIMES = ["2040-02-29T23:59:59.5Z", "2262-04-11T23:47:16.854775807Z", "1999-
 REQUESTS = [{"limit": "--5"}, {"minSeverity": "\u00b2"}, {"beforeId": "-5"}, {"afterId": "9223372036854775808"},
             {"startTime": "2024-01-15T00:00:00.5+02:00"}, {"startTime": "2024-W03-1T00:00:00Z"}, {"minSeverity": "+5"},
             {"endTime": "2024-01-15T00:00:00"}, {"beforeId": "4000", "afterId": "3000"}]
+# times of retention jobs: cutoffs are a day before
+RETENTION_RUNS = [CUTOFF_NS + 86_400 * NS, CUTOFF_NS + 86_400 * NS, CUTOFF_NS + 9 * 86_400 * NS]

@@ -21,14 +21,14 @@ from logloom.functions.severity import (severity_from_fields, severity_from_patt
                                         severity_of)
 from logloom.functions.stem import stem_column
 from logloom.functions.text import strip_ansi, truncate_value
-from logloom.functions.timestamps import floor_div, format_ts, ns_to_date, rfc3339_ns, split_timestamp
+from logloom.functions.timestamps import format_ts, ns_to_date, rfc3339_ns, split_timestamp
 from logloom.functions.tokenize import tokenize
 from logloom.operators import lifecycle, paging, postings, search, stats
 from logloom.operators.dedup import backfill_key, dedup_existing, dedup_first, dedup_key
 from logloom.operators.parse import parse_lines, to_log_entry
 from logloom.operators.query import LogQuery, apply_query, project_entry
 from logloom.plans import derived, params as P
-from logloom.sinks.retention import apply_retention, retention_counts, retention_keep, retention_stats
+from logloom.sinks.retention import apply_retention, retention_counts, retention_job, retention_stats
 from logloom.sinks.table import append_new, assign_ids, new_rows, write_log_table
 from logloom.sinks.unique import read_unique
 from logloom.session import scratch_path
@@ -497,7 +497,11 @@ def q_assign_ids(spark, d):
 
 @register("retention_keep")
 def q_retention_keep(spark, d):
-    return _out(retention_keep(_logs(spark, d), P.CUTOFF_NS))
+    """What a stored table holds after a retention run."""
+    root = _scratch(spark, "retention")
+    table = _stored_table(spark, d, root)
+    apply_retention(spark, table, P.CUTOFF_NS, f"{root}/stage")
+    return _out(read_logs(spark, table))
 
 
 @register("retention_deleted")
@@ -507,14 +511,14 @@ def q_retention_deleted(spark, d):
 
 @register("retention_stats")
 def q_retention_stats(spark, d):
-    """Daily runs (cutoff = run day - 1 day); each day of rows is deleted by
-    the run two days later."""
-    lv = _logs(spark, d).withColumn("day", floor_div(F.col("ts_ns"), 86_400 * P.NS))
-    runs = lv.groupBy("day").agg(F.count("*").cast("long").alias("deleted")).select(
-        ((F.col("day") + 2) * F.lit(86_400 * P.NS)).alias("run_ns"),
-        ((F.col("day") + 1) * F.lit(86_400 * P.NS)).alias("cutoff_ns"), "deleted",
-        F.lit(None).cast("string").alias("error"))
-    return retention_stats(runs)
+    """The run log after three retention jobs, one day kept; the second finds
+    nothing more to delete."""
+    root = _scratch(spark, "retention-runs")
+    table = _stored_table(spark, d, root)
+    for now in P.RETENTION_RUNS:
+        retention_job(spark, table, now, 1, f"{root}/stage", f"{root}/runs")
+    left = read_logs(spark, table).agg(F.count("*").cast("long").alias("n_left"))
+    return retention_stats(spark.read.parquet(f"{root}/runs")).crossJoin(left)  # one row each
 
 
 # ---------------------------------------------------------------- aggregates

@@ -66,8 +66,8 @@ def run_stream(spark, tmp_dir, parts):
 def test_stream_equals_batch_in_any_order(spark, tmp_dir):
     late = [CASE[6:], CASE[2:4], CASE[:2], CASE[4:6], CASE[:3]]      # late snapshots, then a replay
     assert run_stream(spark, os.path.join(tmp_dir, "a"), late) == WANT
-    one_by_one = [[x] for x in reversed(CASE)]
-    assert run_stream(spark, os.path.join(tmp_dir, "b"), one_by_one) == WANT
+    backwards = [CASE[k:k + 2] for k in range(len(CASE) - 1, -1, -2)] + [CASE[:1]]
+    assert run_stream(spark, os.path.join(tmp_dir, "b"), backwards) == WANT
 
 
 def test_stream_replays_an_epoch(spark, tmp_dir):
