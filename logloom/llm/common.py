@@ -40,6 +40,9 @@ def _each(fn):
     return run
 
 
+_TEXTS = (pa.types.is_string, pa.types.is_binary, pa.types.is_large_string, pa.types.is_large_binary)
+
+
 def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about ``limit`` bytes."""
     n = batch.num_rows
@@ -49,7 +52,7 @@ def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.Recor
     size = np.zeros(n, np.int64)
     cols = [c for col in batch.columns for c in (col.flatten() if pa.types.is_struct(col.type) else [col])]
     for col in cols:
-        if pa.types.is_string(col.type) or pa.types.is_binary(col.type):
+        if any(kind(col.type) for kind in _TEXTS):
             size += np.diff(offsets(col))
     total = np.cumsum(size + 16)
     start = 0
@@ -65,7 +68,8 @@ def offsets(col: pa.Array) -> np.ndarray:
     buf = col.buffers()[1]
     if buf is None or len(col) == 0:
         return np.zeros(len(col) + 1, np.int64)
-    return np.frombuffer(buf, np.int32, len(col) + 1 + col.offset)[col.offset:].astype(np.int64)
+    width = np.int64 if pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type) else np.int32
+    return np.frombuffer(buf, width, len(col) + 1 + col.offset)[col.offset:].astype(np.int64)
 
 
 def raw_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
