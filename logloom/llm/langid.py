@@ -1,15 +1,18 @@
 """Language identification with spans of mixed-language text.
 
-Every word gets a script from the ranges its first letter lies in; only
-languages written in that script are candidates for it.  Candidates score the
-word by naive Bayes over hashed three-grams of its folded bytes and over the
-word itself.  A Viterbi path over the words, with a penalty for switching the
-language, labels the spans; words without a letter carry no evidence.
+A word is a run of letters (Unicode category L) of one script, with the marks
+that follow them and apostrophes between them; anything else cuts.  Only
+languages written in its script are candidates for a word.  Candidates score
+the word by naive Bayes over hashed three-grams of its folded bytes and over
+the word itself.  A Viterbi path over the words, with a penalty for switching
+the language, labels the spans.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,20 +58,61 @@ class Model:
     switch: float = SWITCH
 
 
-def _scripts(laid: Laid) -> np.ndarray:
-    """Script of each word: that of its first character that is no apostrophe."""
-    at = laid.words[0]
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """Of each code point: the script of a letter, -1 for a mark, 0 for others."""
+    first = "".join(unicodedata.category(chr(p))[0] for p in range(0x110000)).encode()
+    group = np.frombuffer(first, np.uint8)
+    kind = _KINDS[np.searchsorted(_EDGES, np.arange(0x110000), side="right")]
+    return np.where(group == ord("L"), kind, np.where(group == ord("M"), -1, 0)).astype(np.int8)
+
+
+@dataclass
+class Words(Laid):
+    """Words are runs of letters; a blank is put in where the script changes
+    inside a run.  ``kind``: script of the word that each byte is in;
+    ``letter``: whether a letter starts at it; ``put_in``: places of the
+    blanks put in."""
+
+    kind: np.ndarray
+    letter: np.ndarray
+    put_in: np.ndarray
+
+    def raw(self, at: np.ndarray) -> np.ndarray:
+        """Places as they are without the blanks put in."""
+        return at - np.searchsorted(self.put_in, at)
+
+
+def _read(texts: pa.Array) -> Words:
+    laid = lay_out(texts, _FOLD)
     data = laid.data
-    at = np.where(data[at] == 39, np.minimum(at + 1, laid.words[1] - 1), at)
-    b = [data[np.minimum(at + k, len(data) - 1)].astype(np.int64) for k in range(4)]
-    point = np.where(b[0] < 0x80, b[0], np.where(b[0] < 0xE0, (b[0] & 31) << 6 | (b[1] & 63), np.where(
-        b[0] < 0xF0, (b[0] & 15) << 12 | (b[1] & 63) << 6 | (b[2] & 63),
-        (b[0] & 7) << 18 | (b[1] & 63) << 12 | (b[2] & 63) << 6 | (b[3] & 63))))
-    kind = _KINDS[np.searchsorted(_EDGES, point, side="right")]
-    letter = (point >= 128) | ((point >= 97) & (point <= 122))
-    sign = (point >= 0x80) & (point < 0xC0) & (point != 0xAA) & (point != 0xB5) & (point != 0xBA) | (
-        (point >= 0x2000) & (point <= 0x2BFF)) | ((point >= 0x3000) & (point <= 0x303F)) | (point == 0xD7) | (point == 0xF7)
-    return np.where(letter & ~sign, kind, 0)
+    kind = np.where((data >= 97) & (data <= 122), np.int8(SCRIPTS.index("latin")), np.int8(0))
+    letter = kind > 0
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        b = [data[lead + k].astype(np.int64) for k in range(4)]
+        size = 2 + (b[0] >= 0xE0) + (b[0] >= 0xF0)
+        point = np.where(size == 2, (b[0] & 31) << 6 | (b[1] & 63), np.where(
+            size == 3, (b[0] & 15) << 12 | (b[1] & 63) << 6 | (b[2] & 63),
+            (b[0] & 7) << 18 | (b[1] & 63) << 12 | (b[2] & 63) << 6 | (b[3] & 63)))
+        whole = np.logical_and.reduce([(k >= size) | (b[k] & 0xC0 == 0x80) for k in (1, 2, 3)]) & (point < 0x110000)
+        found = np.where(whole, _classes()[np.where(whole, point, 0)], 0).astype(np.int8)
+        letter[lead] = found > 0
+        for k in range(4):
+            part = whole & (k < size)
+            kind[lead[part] + k] = found[part]
+        if (found < 0).any():  # marks belong to what is before them
+            before = np.maximum.accumulate(np.where(kind >= 0, np.arange(len(kind)), 0))
+            kind = kind[before]
+    quote = np.flatnonzero(data == 39)
+    inner = quote[(kind[quote - 1] > 0) & (kind[quote + 1] > 0)]
+    kind[inner] = kind[inner - 1]
+    data = np.where(kind > 0, data, np.uint8(32))
+    cuts = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
+    if len(cuts):
+        data, kind, letter = np.insert(data, cuts, 32), np.insert(kind, cuts, 0), np.insert(letter, cuts, False)
+    return Words(data, laid.starts + np.searchsorted(cuts, laid.starts), laid.ends + np.searchsorted(cuts, laid.ends),
+                 kind, letter, cuts + np.arange(len(cuts)))
 
 
 def _indices(laid: Laid, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,12 +121,12 @@ def _indices(laid: Laid, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return grams, (laid.word_hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def word_scores(laid: Laid, model: Model) -> tuple[np.ndarray, np.ndarray]:
+def word_scores(laid: Words, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """(words x languages) evidence, and the script of each word."""
     bits = int(np.log2(len(model.grams)))
     grams, whole = _indices(laid, bits)
     start, end = laid.words
-    kind = _scripts(laid)
+    kind = laid.kind[start]
     out = model.whole[whole].astype(np.float64)
     for k in range(len(model.langs)):
         total = np.zeros(len(laid.data) + 1)
@@ -90,7 +134,7 @@ def word_scores(laid: Laid, model: Model) -> tuple[np.ndarray, np.ndarray]:
         out[:, k] += total[end] - total[start]
     open_ = model.candidates[kind]
     some = open_.any(axis=1)
-    out[~some | (kind == 0)] = 0.0
+    out[~some] = 0.0
     return np.where(open_ | ~some[:, None], out, -50.0), kind
 
 
@@ -145,17 +189,17 @@ def viterbi(scores: np.ndarray, ranges: np.ndarray, switch: float) -> np.ndarray
 
 
 def _label(texts: pa.Array, model: Model):
-    """Per word: text range, path, letters (bytes) and script; per text the
-    letters of each language."""
-    laid = lay_out(texts, _FOLD)
-    scores, kind = word_scores(laid, model)
+    """The words, their path, and per text the letters of each language."""
+    laid = _read(texts)
+    scores, _ = word_scores(laid, model)
     path = viterbi(scores, laid.word_range, model.switch)
-    letters = np.where(kind > 0, laid.words[1] - laid.words[0], 0)
+    upto = np.concatenate([[0], np.cumsum(laid.letter, dtype=np.int32)])
+    letters = upto[laid.words[1]] - upto[laid.words[0]]
     text_of = np.repeat(np.arange(len(texts)), np.diff(laid.word_range))
     share = np.zeros((len(texts), len(model.langs)))
     if model.langs:
         np.add.at(share, (text_of, path), letters)
-    return laid, path, kind, share
+    return laid, path, share
 
 
 def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,7 +207,7 @@ def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     the path, and its share of the letters.  Null texts and texts without a
     letter: ``und`` and 0."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        _, _, _, share = _label(batch.column(1), model)
+        _, _, share = _label(batch.column(1), model)
         total = share.sum(axis=1)
         best = share.argmax(axis=1) if share.shape[1] else np.zeros(len(total), int)
         known = total > 0
@@ -183,15 +227,15 @@ def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind_of = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        laid, path, kind, _ = _label(batch.column(1), model)
+        laid, path, _ = _label(batch.column(1), model)
+        start, end, base = laid.raw(laid.words[0]), laid.raw(laid.words[1]), laid.raw(laid.starts)
         out = []
         for i in range(batch.num_rows):
             words = np.arange(laid.word_range[i], laid.word_range[i + 1])
-            words = words[kind[words] > 0] if model.langs else words[:0]
+            words = words if model.langs else words[:0]
             cuts = np.flatnonzero(np.diff(path[words])) + 1 if len(words) else []
-            out.append([{"start": int(laid.words[0][w[0]] - laid.starts[i]),
-                         "end": int(laid.words[1][w[-1]] - laid.starts[i]), "lang": model.langs[path[w[0]]]}
-                        for w in np.split(words, cuts) if len(w)])
+            out.append([{"start": int(start[w[0]] - base[i]), "end": int(end[w[-1]] - base[i]),
+                         "lang": model.langs[path[w[0]]]} for w in np.split(words, cuts) if len(w)])
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind_of)], ["doc_id", "spans"])
 
     return arrow_map(docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")), run,
@@ -210,9 +254,9 @@ def train(docs: DataFrame, max_rows: int = TRAIN_ROWS, bits: int = BITS, smooth:
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         names = np.array(batch.column(0).to_pylist(), object)
-        laid = lay_out(batch.column(1), _FOLD)
+        laid = _read(batch.column(1))
         grams, whole = _indices(laid, bits)
-        kind = _scripts(laid)
+        kind = laid.kind[laid.words[0]]
         out = []
         for lang in sorted(set(names.tolist())):
             g, w, s = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64), np.zeros(len(SCRIPTS), np.int64)

@@ -158,6 +158,38 @@ def test_language_spans_and_scripts(spark):
     assert got[1][0] == "en" and got[2] == got[3] == got[4] == ("und", 0.0) and got[None][0] == "de"
 
 
+def test_language_words_are_letters_of_one_script(spark):
+    def words(text):
+        laid = langid._read(pa.array(["x y", text, None]))
+        a, b = laid.word_range[1:3]
+        at = zip(laid.raw(laid.words[0][a:b]) - laid.raw(laid.starts)[1], laid.raw(laid.words[1][a:b]) - laid.raw(laid.starts)[1])
+        return [(text.encode()[i:j].decode(), langid.SCRIPTS[k]) for (i, j), k in zip(at, laid.kind[laid.words[0][a:b]])]
+
+    assert words("¿Qué? «Bonjour» “Hello” —hola\u00a0 ''tis'") == [
+        ("Qué", "latin"), ("Bonjour", "latin"), ("Hello", "latin"), ("hola", "latin"), ("tis", "latin")]
+    assert words("「漢字」かなdon't-мир…e\u0301te\u0301") == [
+        ("漢字", "han"), ("かな", "kana"), ("don't", "latin"), ("мир", "cyrillic"), ("e\u0301te\u0301", "latin")]
+    assert words("हिन्दी 5 ×") == [("हिन्दी", "devanagari")]
+    assert words("😀👍🏽 ！？ ٣٤٥ ½ ' \u0301") == []
+    broken = pa.array([b"a\xc3 b\xf0\x9f\x98 \xa9c", b"\xff\xff\xff\xff", b"\xc3"], pa.binary())
+    laid = langid._read(pa.Array.from_buffers(pa.string(), 3, broken.buffers()))
+    assert laid.letter.sum() == 3 and np.diff(laid.word_range).tolist() == [3, 0, 0]
+
+    texts = {"es": "¿qué? hola", "fr": "«bonjour» monsieur", "en": "“hello” friend", "zh": "「漢字」你好"}
+    docs = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(itertools.chain(*[texts.items()] * 4))],
+                                 "doc_id bigint, text string, lang string")
+    model = langid.train(docs)
+    probe = ["¿Qué?", "«Bonjour»", "“Hello", "\u00a0hola", "「漢字」", "😀 👍🏽", "٣٤٥", "！？", "「漢字，你好漢字」hello"]
+    got = langid.detect(spark.createDataFrame(enumerate(probe), "doc_id bigint, text string"), model)
+    assert [(r.lang_pred, r.score) for r in sorted(got.collect())] == [
+        ("es", 1.0), ("fr", 1.0), ("en", 1.0), ("es", 1.0), ("zh", 1.0), ("und", 0.0), ("und", 0.0), ("und", 0.0),
+        ("zh", 6 / 11)]
+    last = langid.spans(spark.createDataFrame([(1, probe[-1])], "doc_id bigint, text string"), model.__class__(
+        **{**vars(model), "switch": 0.0})).collect()[0].spans
+    raw = probe[-1].encode()
+    assert [(s.lang, raw[s.start:s.end].decode()) for s in last] == [("zh", "漢字，你好漢字"), ("en", "hello")]
+
+
 def test_language_odd_rows(odd, empty, docs):
     model = langid.train(docs)
     assert len(langid.detect(odd, model).collect()) == len(ODD)
