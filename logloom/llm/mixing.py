@@ -14,7 +14,9 @@ of their sizes; the document at the edge is taken in part.
 
 The running sum never sorts a source in one task: the keys of a source are
 cut into ``BUCKETS`` ranges of the key, sums per (source, range) give each
-range its offset, and only ranges are sorted.
+range its offset, and only ranges are sorted.  The ranges follow the qualities
+that the documents have, so that low qualities (large keys) do not pile up in
+the last one.
 """
 
 from __future__ import annotations
@@ -23,10 +25,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from logloom.functions.bind import pinned
+
 BLANK = "\\x20\\x09-\\x0D"
-#: Ranges of sampling keys per source.  One range of the largest source is
-#: what a task sorts at most: a 4096th of it.
+#: Ranges of sampling keys per source.  A range holds about a 4096th of all
+#: documents, of one source or several, and the rows of a source in it are what
+#: a task sorts.  Rows that share an id (or have none) and a quality share a
+#: key, which no range divides.
 BUCKETS = 4096
+#: Classes of quality per power of two, and the powers that have their own.
+QUALITY_STEPS = 8
+QUALITY_POWERS = 32
 
 
 def word_count(text: Column) -> Column:
@@ -66,6 +75,26 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0),
     return level.select("source", "source_size", F.least(target, F.col("cap")).alias("target"))
 
 
+def with_ranges(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """``bucket`` for rows (key, quality): the range of the key, in key order;
+    ``buckets`` for a null key.
+
+    Keys of quality q exceed t with chance exp(-q t).  The mean of that over
+    the classes of quality falls evenly from 1 to 0 over the documents.  It
+    falls with t whatever the classes are, so ranges are always in key order;
+    counts, least and largest qualities do not depend on the order of rows."""
+    power = F.least(F.lit(QUALITY_POWERS), F.greatest(F.lit(-QUALITY_POWERS), F.log2("quality")))
+    some = rows.select(pinned(F.col("quality")).alias("quality"))  # its expressions are costly and used often here
+    classes = some.where((F.col("quality") > 0) & (F.col("quality") < float("inf"))).groupBy(
+        F.floor(power * QUALITY_STEPS).alias("class")).agg(
+        F.count("*").alias("n"), ((F.min("quality") + F.max("quality")) / 2).alias("rate"))
+    mixture = classes.agg(F.sort_array(F.collect_list(F.struct("rate", "n"))).alias("rates"), F.sum("n").alias("total"))
+    above = F.aggregate("rates", F.lit(0.0), lambda sum_, c: sum_ + c["n"] * F.exp(-c["rate"] * F.col("key")))
+    part = F.least(F.lit(buckets - 1), F.greatest(F.lit(0), F.floor((1 - above / F.col("total")) * buckets)))
+    bucket = F.when(F.col("key").isNull(), F.lit(buckets)).otherwise(F.coalesce(part, F.lit(0)))
+    return rows.crossJoin(F.broadcast(mixture)).withColumn("bucket", bucket.cast("int")).drop("rates", "total")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, max_epochs: float = 2.0,
         quality: Column | None = None, buckets: int = BUCKETS) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken): one row per row of
@@ -86,10 +115,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: floa
                        u.alias("u"))
     usable = F.col("quality") > 0
     rows = rows.withColumn("key", F.when(usable, -F.log("u") / F.col("quality")))
-    # exp(-key) is spread over (0, 1): ranges of the key of like size
-    part = F.least(F.lit(buckets - 1), F.floor((1 - F.exp(-F.col("key"))) * buckets))
-    rows = rows.select("doc_id", "source", "size", "key",
-                       F.coalesce(part, F.lit(buckets)).cast("int").alias("bucket"))
+    rows = with_ranges(rows, buckets).select("doc_id", "source", "size", "key", "bucket")
     by_range = rows.groupBy("source", "bucket").agg(F.sum("size").alias("range_size"))
     within = Window.partitionBy("source").orderBy("bucket")
     ranges = by_range.select("source", "bucket", (F.sum("range_size").over(within) - F.col("range_size")).alias("before"))

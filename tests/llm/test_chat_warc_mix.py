@@ -122,6 +122,23 @@ def check_mix(df):
     assert all(abs(taken[s] - goal[s]) < 1 + 1e-6 for s in goal)
 
 
+@pytest.mark.parametrize("quality", ["0.25", "0.1", "1e-6", "1.0", "if(id % 20 = 0, 0.1, 1.0)", "1 / (1 + id % 50)"])
+def test_mix_ranges_are_even_for_every_quality(spark, quality):
+    n, buckets = 40_000, 64
+    rows = spark.range(n).selectExpr("id", f"cast({quality} as double) as quality", "(xxhash64(id) & 1048575) as h").selectExpr(
+        "id", "quality", "-ln((h + 0.5) / 1048576) / quality as key")
+    rows = rows.unionByName(spark.sql("select -1L as id, 0D as quality, cast(null as double) as key"))
+    got = sorted((r.key, r.bucket) for r in mixing.with_ranges(rows, buckets).collect() if r.key is not None)
+    assert len(got) == n and [b for _, b in got] == sorted(b for _, b in got)
+    assert max(Counter(b for _, b in got).values()) < 1.5 * n / buckets
+    assert mixing.with_ranges(rows, buckets).where("key is null").first().bucket == buckets
+
+
+def test_mix_matches_brute_force_with_few_good_words(spark):
+    check_mix(spark.createDataFrame([(k, "| " * (k % 13) + "word " * (1 + k % 7), "ab"[k % 3 == 0]) for k in range(400)],
+                                    "doc_id bigint, text string, source string"))
+
+
 def test_mix_matches_brute_force(docs, odd, clashing, empty):
     check_mix(docs)
     check_mix(odd)
