@@ -13,12 +13,14 @@ Words are runs of letters, digits and non-ASCII characters, ASCII lower case.
 An item of fewer words than a shingle is one shingle of all its words; an
 item without words is in no document.
 
-Items are taken in blocks of a bounded number, each block in one pass over
-the documents without a shuffle.
+Items are taken in blocks of a bounded number and size, each block in one pass
+over the documents without a shuffle.  The driver builds one block at a time
+and lets go of it when it is broadcast.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -33,6 +35,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: Items whose sketches and shingles a pass holds in memory.
 BLOCK_ITEMS = 20_000
+#: Text bytes of the items of a pass (one longer item is still taken whole).
+BLOCK_BYTES = 32 << 20
 _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32
                for c in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -126,19 +130,27 @@ class Block:
                 yield row, item, len(whole), shared
 
 
-def _blocks(items: DataFrame, threshold: float, shingle: int, block_items: int) -> list[Block]:
-    items = items.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).where("text is not null").distinct()
-    n = -(-items.count() // block_items)
-    out = []
-    for k in range(n):
-        got = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toArrow()
-        rows = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist()), key=lambda r: (r[0] is None, r))
-        out.append(Block([r[0] for r in rows], [r[1] for r in rows], threshold, shingle))
-    return out
+def _blocks(items: DataFrame, threshold: float, shingle: int, block_items: int, block_bytes: int) -> Iterator[Block]:
+    """The distinct items, block by block; the driver reads a partition of
+    about a block at a time."""
+    items = items.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).where("text is not null")
+    total = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
+    parts = max(1, -(-total.n // block_items), -(-total.size // block_bytes))
+    ids, texts, held = [], [], 0
+    for r in items.repartition(parts, "item_id", "text").distinct().toLocalIterator():
+        size = len(r.text.encode("utf-8", "replace"))
+        if ids and (len(ids) >= block_items or held + size > block_bytes):
+            yield Block(ids, texts, threshold, shingle)
+            ids, texts, held = [], [], 0
+        ids.append(r.item_id)
+        texts.append(r.text)
+        held += size
+    if ids:
+        yield Block(ids, texts, threshold, shingle)
 
 
 def find_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE,
-               block_items: int = BLOCK_ITEMS) -> DataFrame:
+               block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, n_shingles, shared, containment) for every row of
     ``docs`` (doc_id, text) and item (item_id, text) it holds.
 
@@ -163,14 +175,14 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
 
         return arrow_map(rows, run, schema)
 
-    blocks = _blocks(items, threshold, shingle, block_items)
-    if not blocks:
+    found = list(map(search, _blocks(items, threshold, shingle, block_items, block_bytes)))
+    if not found:
         return docs.sparkSession.createDataFrame([], schema)
-    return reduce(DataFrame.unionAll, map(search, blocks))
+    return reduce(DataFrame.unionAll, found)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE,
-                      block_items: int = BLOCK_ITEMS) -> DataFrame:
+                      block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows of ``docs`` (all columns) that hold no item."""
     at = docs.columns.index("text")
 
@@ -185,7 +197,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRE
 
         return arrow_map(rest, run, docs.schema)
 
-    return reduce(clean, _blocks(items, threshold, shingle, block_items), docs)
+    return reduce(clean, _blocks(items, threshold, shingle, block_items, block_bytes), docs)
 
 
 ORACLE = """

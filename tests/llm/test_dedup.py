@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import weakref
 from collections import Counter
 
 import brute
@@ -214,6 +215,27 @@ def test_containment_matches_brute_force(spark, docs):
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {i for i, _ in pairs(docs)} - held
 
 
+def test_containment_blocks_are_built_one_at_a_time(spark, docs, monkeypatch):
+    made, most, sizes = [], [], []
+    build = containment.Block.__init__
+
+    def counted(self, ids, texts, *args):
+        build(self, ids, texts, *args)
+        made.append(weakref.ref(self))
+        most.append(sum(r() is not None for r in made))
+        sizes.append((len(texts), sum(len(t.encode()) for t in texts)))
+
+    monkeypatch.setattr(containment.Block, "__init__", counted)
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    items = items.unionByName(spark.createDataFrame([(-1, "long item " * 3000), (None, "é" * 900)], items.schema))
+    held = check_contained(docs, items, block_items=50, block_bytes=8000)
+    assert held and len(sizes) > 3 and set(most) == {1}
+    assert all(n <= 50 and (size <= 8000 or n == 1) for n, size in sizes)
+    assert sum(n for n, _ in sizes) == items.where("text is not null").distinct().count()
+    containment.drop_contaminated(docs, items, block_items=50)
+    assert set(most) == {1}
+
+
 def test_containment_scattered_and_partial(spark):
     words = [f"q{k}" for k in range(40)]
     filler = ["z%d" % k for k in range(5000)]
