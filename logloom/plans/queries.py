@@ -90,15 +90,29 @@ def q_get_by_id(spark, d):
 @register("read_raw_lines")
 def q_read_raw_lines(spark, d):
     """The raw lines written as text files, one folder per container (pods by
-    event type), read back: every line with its place in its file."""
+    event type), read back: every line with its place in its container.
+
+    Ranges of (container, arrival) are written, so a container has as many
+    files as it has ranges, named in their order.  Lines are numbered within
+    a split of a file, and splits by the counts of those before."""
     root = _scratch(spark, "raw-text")
     rv = raw_view(spark, d).withColumn("pod_dir", F.concat(F.substring_index("pod", "-", 1), F.lit("_u0")))
     folders = ["namespace", "pod_dir", "container"]
-    (rv.repartition(*folders).sortWithinPartitions(*folders, "arrival").select(*folders, "line")
+    (rv.repartitionByRange(*folders, "arrival").sortWithinPartitions(*folders, "arrival").select(*folders, "line")
      .write.partitionBy(*folders).text(root))
-    lines = src.read_raw_lines(spark, root)
-    nth = F.row_number().over(Window.partitionBy("namespace", "pod", "pod_uid", "container").orderBy("arrival"))
-    return lines.select("namespace", "pod", "pod_uid", "container", nth.cast("long").alias("nth"), "line")
+    return _numbered_lines(src.read_raw_lines(spark, root))
+
+
+def _numbered_lines(lines: DataFrame) -> DataFrame:
+    key, split = ["namespace", "pod", "pod_uid", "container"], ["path", "block"]
+    rows = lines.select(*key, F.col("arrival.path").alias("path"), F.col("arrival.block").alias("block"),
+                        F.col("arrival.row").alias("row"), "line")
+    counts = rows.groupBy(*key, *split).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*key).orderBy(*split)) - F.col("n")
+    offsets = counts.select(*split, before.alias("before"))  # one row per split
+    within = F.row_number().over(Window.partitionBy(*split).orderBy("row"))
+    return rows.withColumn("within", within).join(offsets, split).select(
+        *key, (F.col("before") + F.col("within")).cast("long").alias("nth"), "line")
 
 
 @register("split_oversize")

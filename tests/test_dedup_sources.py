@@ -61,3 +61,24 @@ def test_raw_files_and_oversize(spark, tmp_dir):
     assert len(rows) == 3
     ok, bad = split_oversize(raw, max_bytes=1000)
     assert ok.count() == 2 and bad.count() == 1
+
+
+def test_raw_lines_of_one_container_lie_in_several_files(spark, tmp_dir, monkeypatch):
+    from logloom.plans import queries
+    from logloom.plans.fixtures import raw_view
+
+    sf = "/root/testdata/sf0.01"
+    root = f"{tmp_dir}/raw"
+    one = raw_view(spark, sf).withColumns({"namespace": F.lit("live"), "pod": F.lit("p-1"), "container": F.lit("c")})
+    monkeypatch.setattr(queries, "raw_view", lambda *_: one)
+    monkeypatch.setattr(queries, "_scratch", lambda *_: root)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = queries.QUERIES["read_raw_lines"](spark, sf).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = [f"{d}/{n}" for d, _, names in os.walk(root) for n in names if n.startswith("part-")]
+    assert len(files) == 4  # ranges of the session, where hashing by container made one
+    assert {(r.namespace, r.pod, r.pod_uid, r.container) for r in got} == {("live", "p", "u0", "c")}
+    want = [r.line for r in one.orderBy("arrival").collect()]
+    assert sorted((r.nth, r.line) for r in got) == list(enumerate(want, 1))
