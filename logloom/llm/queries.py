@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import chat, containment, langid, lines, minhash, mixing, nbsvm, simhash, toxicity, warc
+from logloom.llm import chat, containment, fim, langid, lines, minhash, mixing, nbsvm, simhash, toxicity, warc
 from logloom.llm.common import crc_mod, hex64, table
 from logloom.session import scratch_path
 
@@ -71,6 +71,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.transform(table(spark, sf_dir, "documents"), rate=90, spm_rate=20, salt="1"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_chat_format": op2_chat_format,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_fingerprints": op9_fingerprints,
     "op10_toxicity": op10_toxicity,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE: dict[str, str] = {
@@ -90,4 +95,5 @@ ORACLE: dict[str, str] = {
     "op3_warc": warc.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
     "op8_decontamination": containment.ORACLE,
+    "op13_fill_in_middle": fim.ORACLE,
 }
