@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import chat, containment, fim, langid, lines, minhash, mixing, nbsvm, simhash, toxicity, warc
+from logloom.llm import chat, containment, fim, langid, lines, minhash, mixing, nbsvm, ranked, simhash, toxicity, warc
 from logloom.llm.common import crc_mod, hex64, table
 from logloom.session import scratch_path
+from logloom.sinks import fs
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +72,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "index")
+    try:
+        index = ranked.build_index(table(spark, sf_dir, "documents"), path)
+        return ranked.search(index, table(spark, sf_dir, "benchmark"), k=10)
+    finally:
+        fs.delete(spark, path)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(fim.transform(table(spark, sf_dir, "documents"), rate=90, spm_rate=20, salt="1"))
 
@@ -86,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_fingerprints": op9_fingerprints,
     "op10_toxicity": op10_toxicity,
+    "op11_ranked_search": op11_ranked_search,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
@@ -95,5 +106,6 @@ ORACLE: dict[str, str] = {
     "op3_warc": warc.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
     "op8_decontamination": containment.ORACLE,
+    "op11_ranked_search": ranked.ORACLE,
     "op13_fill_in_middle": fim.ORACLE,
 }
