@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import chat, containment, fim, langid, lines, minhash, mixing, nbsvm, ranked, simhash, toxicity, warc
+from logloom.llm import chat, containment, fim, langid, lines, minhash, mixing, nbsvm, pii, ranked, simhash, toxicity, warc
 from logloom.llm.common import crc_mod, hex64, table
 from logloom.session import scratch_path
 from logloom.sinks import fs
@@ -81,6 +81,13 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
         fs.delete(spark, path)
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"),
+                        "spans", "n_added")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(fim.transform(table(spark, sf_dir, "documents"), rate=90, spm_rate=20, salt="1"))
 
@@ -97,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_toxicity": op10_toxicity,
     "op11_ranked_search": op11_ranked_search,
+    "op12_personal_data": op12_personal_data,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
