@@ -313,8 +313,8 @@ def search(index: Index, items: DataFrame, k: int = 10, block_terms: int = BLOCK
         weighted = kept(wanted.join(weights, "term"), "weighted")
         pairs = weighted.count()
         blocks = -(-pairs // block_terms)
-        out = [_search_block(index, weighted.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b), strata, vocabulary,
-                             k, lambda df, name, b=b: kept(df, f"{name}-{b}")) for b in range(blocks)]
+        out = [_search_block(index, weighted.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b), strata, k,
+                             lambda df, name, b=b: kept(df, f"{name}-{b}")) for b in range(blocks)]
         found = spark.createDataFrame([], "item_id bigint, doc_id bigint, score bigint, rank int")
         for part in out:
             found = found.unionByName(part)
@@ -323,7 +323,7 @@ def search(index: Index, items: DataFrame, k: int = 10, block_terms: int = BLOCK
         fs.delete(spark, root)
 
 
-def _search_block(index: Index, weighted: DataFrame, strata: DataFrame, vocabulary: DataFrame, k: int, kept) -> DataFrame:
+def _search_block(index: Index, weighted: DataFrame, strata: DataFrame, k: int, kept) -> DataFrame:
     spark = index.spark
     rows = weighted.orderBy("item_id").toArrow()
     if rows.num_rows == 0:
@@ -333,7 +333,8 @@ def _search_block(index: Index, weighted: DataFrame, strata: DataFrame, vocabula
     worth = F.expr("w * ((1000000000L * tf) div (1000 * tf + 8 * m))")
     bounds = kept(weighted.join(strata, "term").groupBy("item_id", "m").agg(
         F.sum(worth).alias("bound"), F.max("n_docs").alias("surely")).where("bound > 0"), "bounds")
-    terms = vocabulary.select("term").unionAll(spark.createDataFrame([("",)], "term string"))
+    head = spark.createDataFrame([("",)], "term string")
+    terms = kept(weighted.select("term").distinct().unionAll(head), "terms")
 
     def scan(ms: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)
