@@ -37,6 +37,8 @@ from logloom.sinks import fs
 
 #: Most documents of a segment.
 SEGMENT_DOCS = 4096
+#: Text bytes of a part of the index, where the session's number of shuffle partitions does not make parts smaller.
+PART_BYTES = 64 << 20
 #: (item, term) pairs that a pass over the index holds in memory.
 BLOCK_TERMS = 500_000
 _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32
@@ -57,9 +59,11 @@ def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return found, laid.word_range.astype(np.int64)
 
 
-def _lengths(batch: pa.RecordBatch) -> pa.RecordBatch:
-    n = np.diff(lay_out(batch.column("text"), _WORDS).word_range)
-    return batch.append_column("n", pa.array(n, pa.int64()))
+def _sizes(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(terms, bytes) of each text."""
+    laid = lay_out(batch.column("text"), _WORDS)
+    return pa.RecordBatch.from_arrays([pa.array(np.diff(laid.word_range), pa.int64()), pa.array(laid.ends - laid.starts, pa.int64())],
+                                      ["n", "size"])
 
 
 # ------------------------------------------------------------------ index
@@ -96,18 +100,34 @@ def build_index(docs: DataFrame, path: str) -> Index:
     an index without rows.  Equal normalisers are dealt by a hash of id and
     text, so a stratum of any size is many tasks' work.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    sizes = arrow_map(rows.select("text"), lambda b: _lengths(b).select(["n"]), "n bigint").where("n > 0")
-    total = sizes.agg(F.count("*").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
-    index = Index(docs.sparkSession, path, total.n, total.terms)
+    sizes = arrow_map(rows.select("text"), _sizes, "n bigint, size bigint").where("n > 0")
+    by_n = cut(sizes.groupBy("n").agg(F.count("*").alias("docs"), F.sum("size").alias("size")))
+    total = by_n.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("n") * F.col("docs")), F.lit(0))
+                     .alias("terms"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    index = Index(spark, path, total.n, total.terms)
     if total.n == 0:
-        docs.sparkSession.createDataFrame([], POSTINGS).write.parquet(path)
+        spark.createDataFrame([], POSTINGS).write.parquet(path)
         return index
-    measured = arrow_map(rows, _lengths, "doc_id bigint, text string, n bigint").where("n > 0")
-    measured = measured.select("doc_id", "text", F.expr(f"10 + (90L * n * {total.n}L) div {total.terms}L").alias("m"),
-                               F.xxhash64("doc_id", "text").alias("h"))
-    dealt = measured.repartitionByRange("m", "h").sortWithinPartitions("m", "h").select("m", "doc_id", "text")
-    ship_package(docs.sparkSession)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total.size // PART_BYTES))
+    shares = ", ".join(f"{k / parts}D" for k in range(1, parts)) or "0.5D"
+    # fewer than ``parts`` numbers; every part gets about as many bytes, so long documents share parts with few
+    cuts = by_n.select(F.expr(f"10 + (90L * n * {total.n}L) div {total.terms}L").alias("m"), (F.col("size") / 1024 + 1)
+                       .cast("bigint").alias("kb")).agg(F.expr(f"percentile(m, array({shares}), kb)")).first()[0]
+    cuts = np.floor(cuts).astype(np.int64) if parts > 1 else np.zeros(0, np.int64)
+
+    def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = _sizes(batch).column(0).to_numpy()
+        m = 10 + 90 * n * total.n // total.terms
+        low, high = np.searchsorted(cuts, m, "left"), np.searchsorted(cuts, m, "right")
+        part = low + batch.column("h").to_numpy() % (high - low + 1)  # a stratum over all parts that it reaches into
+        out = pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(m), *batch.columns], ["part", "m", "doc_id", "text", "h"])
+        return out.filter(pa.array(n > 0))
+
+    hashed = rows.withColumn("h", F.xxhash64("doc_id", "text"))
+    dealt = arrow_map(hashed, deal, "part int, m bigint, doc_id bigint, text string, h bigint")
+    dealt = dealt.repartitionById(parts, "part").sortWithinPartitions("m", "h").select("m", "doc_id", "text")
     dealt.mapInArrow(_invert, POSTINGS).write.parquet(path)
     return index
 
