@@ -39,8 +39,9 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Tags: 0 outside, 1 + 2 k first and 2 + 2 k further character of kind k.
 TAGS = 1 + 2 * len(KINDS)
 WINDOW, STRIDE, CONTEXT = 64, 32, 20
-#: Labelled spans of each kind that the network is trained on.
-TRAIN_SPANS = 400
+#: Labelled spans of each kind that the network is trained on, and about how
+#: many documents they are looked for in.
+TRAIN_SPANS, TRAIN_DOCS = 400, 200_000
 _FORBIDDEN = -1e4
 
 
@@ -257,10 +258,11 @@ ALLOWED = _allowed()
 
 # --------------------------------------------------------------- training
 
-def labelled(docs: DataFrame, spans: int = TRAIN_SPANS) -> DataFrame:
+def labelled(docs: DataFrame, spans: int = TRAIN_SPANS, sample: int = TRAIN_DOCS) -> DataFrame:
     """(kind, left, body, right): base spans with the text before and after,
-    at most ``spans`` of each kind, those whose hash is lowest.  Equal ones
-    count once, so copies of a document do not weigh more."""
+    at most ``spans`` of each kind, those whose hash is lowest, of about
+    ``sample`` documents (a hash of id and text decides).  Equal spans count
+    once, so copies of a document do not weigh more."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for text in batch.column(0).to_pylist():
@@ -271,20 +273,24 @@ def labelled(docs: DataFrame, spans: int = TRAIN_SPANS) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), *(pa.array(c, pa.string()) for c in (left, body, right))],
                                           ["kind", "left", "body", "right"])
 
+    n = docs.count()
+    if n > sample:
+        docs = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < sample * (1 << 20) // n)
     rows = arrow_map(docs.select(F.col("text").cast("string")), run, "kind int, left string, body string, right string")
     by = Window.partitionBy("kind").orderBy(F.xxhash64("left", "body", "right"), "left", "body", "right")
     return rows.distinct().withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= spans).drop("nth")
 
 
-def train(docs: DataFrame, spans: int = TRAIN_SPANS, hidden: int = 16, steps: int = 220, batch: int = 48,
-          seed: int = 11) -> Tagger | None:
-    """A tagger trained on base spans of ``docs`` (text), at most ``spans`` of
-    each kind; None where there is none.
+def train(docs: DataFrame, spans: int = TRAIN_SPANS, sample: int = TRAIN_DOCS, hidden: int = 16, steps: int = 220,
+          batch: int = 48, seed: int = 11) -> Tagger | None:
+    """A tagger trained on base spans of ``docs`` (doc_id, text), at most
+    ``spans`` of each kind from about ``sample`` documents; None where there
+    is none.
 
     Each example is a window cut from a labelled span in its context, often
     with digits drawn anew, and with another span or a number beside it, so
     that the network learns where one thing ends and the next one begins."""
-    rows = [tuple(r) for r in labelled(docs, spans).collect()]
+    rows = [tuple(r) for r in labelled(docs, spans, sample).collect()]
     return fit(sorted(rows), hidden, steps, batch, seed) if rows else None
 
 
