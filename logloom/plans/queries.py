@@ -29,7 +29,7 @@ from logloom.operators.parse import parse_lines, to_log_entry
 from logloom.operators.query import LogQuery, apply_query, project_entry
 from logloom.plans import derived, params as P
 from logloom.sinks.retention import apply_retention, retention_counts, retention_job, retention_stats
-from logloom.sinks.table import append_new, assign_ids, new_rows, write_log_table
+from logloom.sinks.table import append_new, assign_ids, merge_postings, new_rows, write_log_table, write_postings
 from logloom.sinks.unique import read_unique
 from logloom.session import scratch_path
 from logloom.sources import logs as src
@@ -435,10 +435,28 @@ def q_search_postings(spark, d):
     apply_retention(spark, table, P.CUTOFF_NS, f"{root}/stage", postings_path=lists)
     match = search.phrase("write refused") | (search.term("cache") & search.term("lease")) | (
         search.prefix("sett") - search.term("payment"))
-    found = apply_query(read_logs(spark, table), LogQuery(search=match), postings=spark.read.parquet(lists))
+    found = apply_query(read_logs(spark, table), LogQuery(search=match), postings=src.read_postings(spark, lists))
     return found.select("id", "message")
 
 
+@register("search_near_postings")
+def q_search_near_postings(spark, d):
+    """NEAR over whole documents, answered from stored posting blocks alone:
+    two appends, merged, no message read."""
+    root = _scratch(spark, "near-postings")
+    rows = search.with_terms(doc_log_view(spark, d))
+    for half in (0, 1):
+        part = rows.where(F.col("id") % 2 == half).withColumn("log_date", ns_to_date("ts_ns"))
+        write_postings(part, f"{root}/postings")
+    merge_postings(spark, f"{root}/logs", f"{root}/postings", f"{root}/stage", files=2)
+    found = src.read_postings(spark, f"{root}/postings")
+    out = rows.select("id")
+    for name in ("m_near", "m_near3", "m_near_phrase"):
+        hits = postings.posting_hits(found, DOC_MATCHES[name]()).withColumn(name, F.lit(1))
+        out = out.join(hits, "id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out
+
+
 # ---------------------------------------------------------------- dedup, writes
 
 @register("dedup_key")

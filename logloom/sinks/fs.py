@@ -30,23 +30,12 @@ def list_dirs(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     return [(st.getPath().getName(), st.getPath().toString()) for st in fs.listStatus(p)]
 
 
-def move_files(spark: SparkSession, src_dir: str, dst_dir: str, suffix: str = ".parquet",
-               rename_prefix: str = "") -> None:
-    """Move the data files of ``src_dir`` into ``dst_dir`` (same file system),
-    optionally prefixing their names."""
-    jvm = spark.sparkContext._jvm
-    fs, dst = _fs(spark, dst_dir)
-    fs.mkdirs(dst)
-    sfs, src = _fs(spark, src_dir)
-    if not sfs.exists(src):
-        return
-    for st in sfs.listStatus(src):
-        name = st.getPath().getName()
-        if name.endswith(suffix):
-            fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(dst, rename_prefix + name))
-
-
 def rename(spark: SparkSession, src: str, dst: str) -> bool:
     """Move a file or folder within one file system; False if it did not move."""
     fs, p = _fs(spark, src)
     return bool(fs.rename(p, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(dst)))
+
+
+def size(spark: SparkSession, path: str) -> int:
+    fs, p = _fs(spark, path)
+    return int(fs.getFileStatus(p).getLen())

@@ -1,18 +1,22 @@
 """Retention: delete rows older than a cutoff.
 
-Whole ``log_date`` partitions before the cutoff day are dropped; only the
-boundary day is rewritten (to a staging path first, then swapped in), so
-the job never reads and overwrites the same files.
+Whole ``log_date`` partitions before the cutoff day go; of the boundary day
+only the files that hold rows to delete are rewritten.  What a run will do is
+staged first and then taken step by step (:mod:`logloom.sinks.swap`): a run
+that died is finished by the next one, and files of an append in between stay
+as they are.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import urllib.parse
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from logloom.sinks import fs
+from logloom.operators.postings import BLOCK_SCHEMA, sorted_blocks, without_ids
+from logloom.sinks import swap
 from logloom.sources.logs import TABLE_SCHEMA
 
 NS_PER_DAY = 86_400 * 1_000_000_000
@@ -41,53 +45,54 @@ def apply_retention(spark: SparkSession, path: str, cutoff_ns: int, stage_root:
     """Delete rows with ts_ns < cutoff from the table at ``path`` (and their
     posting lists); returns the number of deleted rows.
 
-    The kept rows of the boundary day are staged under a name fixed by the
-    cutoff, with the number of deleted rows beside them.  The day's folder is
-    then renamed to a name readers skip and the staged one takes its place:
-    no reader ever sees both.  A rerun after a lost driver finishes whatever
-    step was interrupted and returns the same number."""
-    root = path.rstrip("/")
-    day = _dt.date(1970, 1, 1) + _dt.timedelta(days=cutoff_ns // NS_PER_DAY)
-    stage = f"{stage_root.rstrip('/')}/retention-{cutoff_ns}"
-    deleted = _stage(spark, root, cutoff_ns, day, stage)
-    if deleted == 0:
-        fs.delete(spark, stage)
-        return 0
-    tables = [(root, f"{stage}/rows")] + ([(postings_path.rstrip("/"), f"{stage}/postings")] if postings_path else [])
-    if postings_path and not fs.exists(spark, f"{stage}/postings/_SUCCESS"):
-        kept = spark.read.parquet(f"{stage}/rows").select("id")
-        lists = spark.read.parquet(postings_path).where(F.col("log_date") == F.lit(day)).drop("log_date")
-        (lists.join(kept, "id", "left_semi").repartitionByRange("term").sortWithinPartitions("term", "id")
-         .write.mode("overwrite").parquet(f"{stage}/postings"))
-    for at, kept in tables:
-        _swap_day(spark, at, day, kept, cutoff_ns)
-        for name, full in fs.list_dirs(spark, at):
-            if name.startswith("log_date=") and _dt.date.fromisoformat(name.split("=", 1)[1]) < day:
-                fs.delete(spark, full)
-    fs.delete(spark, stage)
-    return deleted
+    Jobs of the table that died after staging are finished first; if one of
+    them was a run with this cutoff, its number of rows is returned."""
+    name = swap.stage_name(path, f"retention-{cutoff_ns}")
+    done = swap.resume(spark, path, stage_root)
+    if name in done:
+        return done[name]
+    stage = f"{stage_root.rstrip('/')}/{name}"
+    steps, deleted = _plan(spark, path.rstrip("/"), cutoff_ns, stage, postings_path)
+    return swap.commit(spark, stage, steps, deleted) if deleted else 0
 
 
-def _stage(spark: SparkSession, root: str, cutoff_ns: int, day: _dt.date, stage: str) -> int:
-    """Write the kept rows of the boundary day and the number of rows that go;
-    a finished stage is taken as it is."""
-    if fs.exists(spark, f"{stage}/count/_SUCCESS"):
-        return int(spark.read.parquet(f"{stage}/count").first()[0])
-    table = spark.read.schema(TABLE_SCHEMA).parquet(root)
-    old = table.where((F.col("log_date") <= F.lit(day)) & (F.col("ts_ns") < F.lit(cutoff_ns))).count()
-    keep = table.where((F.col("log_date") == F.lit(day)) & (F.col("ts_ns") >= F.lit(cutoff_ns)))
-    keep.drop("log_date").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{stage}/rows")
-    spark.createDataFrame([(old,)], "deleted bigint").coalesce(1).write.mode("overwrite").parquet(f"{stage}/count")
-    return int(old)
+def _plan(spark: SparkSession, root: str, cutoff_ns: int, stage: str, postings_path: str | None) -> tuple[list, int]:
+    """The steps of a run and the number of rows that go.
 
-
-def _swap_day(spark: SparkSession, root: str, day: _dt.date, kept: str, cutoff_ns: int) -> None:
-    here, away = f"{root}/log_date={day.isoformat()}", f"{root}/_old-{cutoff_ns}"
-    if fs.exists(spark, kept):
-        if fs.exists(spark, here) and not fs.exists(spark, away):
-            fs.rename(spark, here, away)
-        fs.rename(spark, kept, here)
-    fs.delete(spark, away)
+    The table's files are listed before those of the posting lists: lists are
+    written before their rows, so the rows of every listed file have theirs
+    in listed files.  Of the boundary day's lists only those of deleted rows
+    are left out: an append whose rows are not there yet keeps its lists."""
+    day = _dt.date(1970, 1, 1) + _dt.timedelta(days=cutoff_ns // NS_PER_DAY)
+    files = swap.day_files(spark, root)
+    old, tag = F.col("ts_ns") < F.lit(cutoff_ns), f"kept-{cutoff_ns}"
+
+    def read(paths: list[str]) -> DataFrame:
+        return spark.read.option("basePath", root).schema(TABLE_SCHEMA).parquet(*paths)
+
+    gone = [f for d, names in files.items() if d < day for f in names]
+    # of the boundary day only files with rows that go are replaced
+    mixed = files.get(day, [])
+    per_file = read(mixed).where(old).groupBy(F.input_file_name().alias("file")).agg(
+        F.count("*").alias("n")).collect() if mixed else []  # one row per file
+    dropped = {urllib.parse.unquote(r.file).rsplit("/", 1)[1] for r in per_file}
+    replaced = [f for f in mixed if f.rsplit("/", 1)[1] in dropped]
+    deleted = sum(r.n for r in per_file) + (read(gone).count() if gone else 0)
+    if deleted == 0:
+        return [], 0
+    steps = swap.removal(gone)
+    if replaced:
+        kept = read(replaced).where(~old).drop("log_date").sortWithinPartitions("id")
+        steps += swap.replacement(spark, kept, replaced, f"{stage}/rows", tag)
+    if postings_path:
+        at = postings_path.rstrip("/")
+        lists = swap.day_files(spark, at)
+        steps += swap.removal([f for d, names in lists.items() if d < day for f in names])
+        if replaced and lists.get(day):
+            blocks = spark.read.option("basePath", at).schema(BLOCK_SCHEMA).parquet(*lists[day])
+            kept = without_ids(blocks, read(replaced).where(old).select("id"))
+            steps += swap.replacement(spark, sorted_blocks(kept).drop("log_date"), lists[day], f"{stage}/postings", tag)
+    return steps, deleted
 
 
 def retention_job(spark: SparkSession, path: str, now_ns: int, days: int, stage_root: str, runs_path: str,
@@ -101,7 +106,7 @@ def retention_job(spark: SparkSession, path: str, now_ns: int, days: int, stage_
     try:
         deleted = apply_retention(spark, path, cutoff_ns, stage_root, postings_path)
     except Exception as e:
-        record_run(spark, runs_path, now_ns, cutoff_ns, 0, str(e)[:500])
+        record_run(spark, runs_path, now_ns, cutoff_ns, 0, str(e))
         raise
     record_run(spark, runs_path, now_ns, cutoff_ns, deleted)
     return deleted

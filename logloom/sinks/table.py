@@ -7,11 +7,14 @@ One writer per table (ids come from the current maximum).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from logloom.functions.stem import terms
-from logloom.session import checkpoint_root
-from logloom.sinks import fs
+from logloom.operators.postings import BLOCK_SCHEMA, build_postings, occurrences, sorted_blocks, to_blocks
+from logloom.session import checkpoint_root, scratch_path
+from logloom.sinks import fs, swap
 from logloom.sinks.appends import high_water, record_append
 from logloom.sinks.unique import near
 from logloom.functions.timestamps import ns_to_date
@@ -40,7 +43,8 @@ def write_log_table(df: DataFrame, path: str, mode: str = "append", partitions:
     many writers, and every file covers a narrow id range.  The index column
     is computed after the shuffle: neither its sampling nor its rows carry it.
     The append is recorded first; ``postings_path``: where posting lists of
-    the rows go, written before them."""
+    the rows go, written before them.  Then the rows are staged with their
+    index column, so no message is stemmed twice."""
     rows = _ranged(df.withColumn("log_date", ns_to_date("ts_ns")), partitions, "log_date", "id")
     if "terms" not in df.columns:
         rows = rows.withColumn("terms", terms(F.col("message")))
@@ -48,10 +52,17 @@ def write_log_table(df: DataFrame, path: str, mode: str = "append", partitions:
     if seen[0] is None:
         return
     record_append(df.sparkSession, path, seen[0], seen[1], seen[2])
-    if postings_path:
-        write_postings(rows, postings_path, mode, partitions)
-    (rows.select(*[f.name for f in TABLE_SCHEMA.fields]).write.mode("append")
-     .option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("log_date").parquet(path))
+    rows = rows.select(*[f.name for f in TABLE_SCHEMA.fields])
+    stage = scratch_path(df.sparkSession, "indexed") if postings_path else None
+    try:
+        if stage:
+            rows.write.parquet(stage)
+            rows = df.sparkSession.read.schema(TABLE_SCHEMA).parquet(stage).sortWithinPartitions("log_date", "id")
+            write_postings(rows, postings_path, partitions)
+        (rows.write.mode("append").option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("log_date").parquet(path))
+    finally:
+        if stage:
+            fs.delete(df.sparkSession, stage)
 
 
 def max_id(spark: SparkSession, path: str) -> int:
@@ -141,14 +152,33 @@ def _append_staged(spark, batch, path, stage, order, postings_path) -> dict:
     return {"offered": offered, "inserted": inserted}
 
 
-def write_postings(logs: DataFrame, path: str, mode: str = "append", partitions: int | None = None) -> None:
-    """Posting lists of stored rows (``logs`` must carry ``terms`` and
+def write_postings(logs: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Posting blocks of stored rows (``logs`` must carry ``terms`` and
     ``log_date``), written beside the table and partitioned the same way.
     Files are sorted by term so a term lookup skips row groups."""
-    from logloom.operators.postings import build_postings
+    (sorted_blocks(to_blocks(build_postings(logs)), partitions).write.mode("append")
+     .option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("log_date").parquet(path))
+
 
-    post = build_postings(logs)
-    dealt = post.repartitionByRange(partitions, "log_date", "term") if partitions else \
-        post.repartitionByRange("log_date", "term")
-    (dealt.sortWithinPartitions("log_date", "term", "id")
-     .write.mode(mode).option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("log_date").parquet(path))
+#: Files of a day's posting blocks from which :func:`merge_postings` writes it anew.
+MERGE_FILES = 8
+
+
+def merge_postings(spark: SparkSession, table_path: str, path: str, stage_root: str, files: int = MERGE_FILES) -> int:
+    """Write the blocks of every day with ``files`` files or more anew, the
+    blocks that appends wrote for one range of ids as one; the number of
+    files replaced.  Appends may go on meanwhile."""
+    name = swap.stage_name(table_path, "merge")
+    done = swap.resume(spark, table_path, stage_root)
+    if name in done:
+        return done[name]
+    steps, replaced = [], 0
+    for day, found in sorted(swap.day_files(spark, path.rstrip("/")).items()):
+        if len(found) < files:
+            continue
+        blocks = spark.read.option("basePath", path).schema(BLOCK_SCHEMA).parquet(*found)
+        merged = sorted_blocks(to_blocks(occurrences(blocks))).drop("log_date")
+        tag = f"merged-{uuid.uuid4().hex[:8]}"
+        steps += swap.replacement(spark, merged, found, f"{stage_root.rstrip('/')}/{name}/{day}", tag)
+        replaced += len(found)
+    return swap.commit(spark, f"{stage_root.rstrip('/')}/{name}", steps, replaced) if steps else 0

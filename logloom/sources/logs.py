@@ -23,6 +23,14 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TABLE_SCHEMA).parquet(path)
 
 
+def read_postings(spark: SparkSession, path: str, first_id: int | None = None, last_id: int | None = None) -> DataFrame:
+    """The stored posting lists as occurrences (term, id, pos, log_date);
+    with bounds on the id only the blocks that reach into them."""
+    from logloom.operators.postings import BLOCK_SCHEMA, occurrences
+
+    return occurrences(spark.read.schema(BLOCK_SCHEMA).parquet(path), first_id, last_id)
+
+
 def _container_lines(text: DataFrame) -> DataFrame:
     """Lines of files below ``<root>/<namespace>/<pod>_<pod_uid>/<container>/``
     (folders may be spelled ``name=value``), with ``at``: the file's time,

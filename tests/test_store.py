@@ -125,33 +125,123 @@ def test_append_dedup_and_ids(spark, tmp_dir):
     assert r3["inserted"] == 1 and ids(read_logs(spark, path)) == [1, 2, 3, 4, 5]
 
 
-def test_retention_resumes_after_interruption(spark, tmp_dir, monkeypatch):
-    from logloom.sinks import retention as R
+def counted_fs(monkeypatch, at, how):
+    """Let the ``at``-th changing file-system call fail: die before it, die
+    after it, or report False without doing it."""
+    from logloom.sinks import fs
+
+    calls = []
+    for name in ("rename", "delete"):
+        def call(*args, real=getattr(fs, name), name=name):
+            calls.append((name, *args[1:]))
+            if len(calls) == at:
+                if how == "before":
+                    raise OSError("lost driver")
+                if how == "false" and name == "rename":
+                    return False
+                real(*args)
+                if how == "after":
+                    raise OSError("lost driver")
+                return True
+            return real(*args)
+        monkeypatch.setattr(fs, name, call)
+    return calls
+
+
+@pytest.mark.parametrize("how", ["before", "after", "false"])
+def test_retention_killed_at_every_file_system_call(spark, tmp_dir, monkeypatch, how):
+    """With posting lists and an append while the job is dead: no row that
+    should stay is lost, the finished count is the same, lists fit the rows."""
+    import shutil
+
+    from logloom.sources.logs import read_postings
 
     now = T0 + 48 * H
     cutoff = now - 24 * H
-    specs = [(1, now - 48 * H, "ns", 3, "old", None), (2, now - H, "ns", 3, "new", None),
-             (3, now - 24 * H - 1, "ns", 3, "boundary-old", None), (4, now - 24 * H + 1, "ns", 3, "boundary-new", None)]
-    real, calls = R.fs.rename, []
-    for died_at in (1, 2):                                   # before either rename of the boundary day
-        path = os.path.join(tmp_dir, f"logs{died_at}")
-        write_log_table(rows(spark, specs), path)
-        calls.clear()
-
-        def rename(*a):
-            calls.append(a)
-            if len(calls) == died_at:
-                raise OSError("lost driver")
-            return real(*a)
-        monkeypatch.setattr(R.fs, "rename", rename)
+    first = [(1, now - 48 * H, "ns", 3, "old words", None), (2, now - H, "ns", 3, "new words", None),
+             (3, cutoff - 1, "ns", 3, "boundary old", None), (4, cutoff + 1, "ns", 3, "boundary new", None)]
+    more = [(5, cutoff + 2, "ns", 3, "boundary appended", None), (6, cutoff - 2, "ns", 3, "boundary late", None)]
+    model = os.path.join(tmp_dir, "model")
+    write_log_table(rows(spark, first), f"{model}/logs", postings_path=f"{model}/post")
+
+    at, step = 0, {"before": 2, "after": 3, "false": 4}[how]
+    while True:
+        at += step if at else 1 + (how == "before")
+        root = os.path.join(tmp_dir, f"{how}{at}")
+        shutil.copytree(model, root)
+        path, post, stage = f"{root}/logs", f"{root}/post", f"{root}/stage"
+        with monkeypatch.context() as m:
+            calls = counted_fs(m, at, how)
+            try:
+                done = apply_retention(spark, path, cutoff, stage, post)
+            except (OSError, RuntimeError):
+                done = None
+        if len(calls) < at:
+            assert done == 2 and at > 8
+            break
+        left = os.listdir(stage) if done is None and os.path.isdir(stage) else []
+        staged = any(os.path.exists(f"{stage}/{d}/ready") for d in left if not d.endswith(".done"))
+        if any(d.endswith(".done") for d in left):       # it died after its last step
+            done = 2
+        write_log_table(rows(spark, more[:1] if at % 2 else more), path, postings_path=post)   # an append meanwhile
+        late = at % 2 == 0
+        if done is None:
+            # what was staged is finished as it was; an append before staging counts
+            assert apply_retention(spark, path, cutoff, stage, post) == 2 + (late and not staged)
+        again = apply_retention(spark, path, cutoff, stage, post)
+        assert again == (late and (staged or done is not None))
+        assert sorted(r.message for r in read_logs(spark, path).collect()) == ["boundary appended", "boundary new", "new words"]
+        assert sorted((r.id, r.term) for r in read_postings(spark, post).collect()) == [
+            (2, "new"), (2, "word"), (4, "boundari"), (4, "new"), (5, "append"), (5, "boundari")]
+        assert apply_retention(spark, path, cutoff, stage, post) == 0
+        assert not os.path.exists(stage) or os.listdir(stage) == []
+
+
+def test_retention_replaces_only_files_with_old_rows(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "logs")
+    cutoff = T0
+    for k, ts in enumerate((cutoff - 5, cutoff + 5, cutoff + 6)):
+        write_log_table(rows(spark, [(k + 1, ts, "ns", 3, f"m{k}", None)]), path)
+    day = os.path.join(path, "log_date=2024-01-01")
+    before = {f for f in os.listdir(day) if f.endswith(".parquet")}
+    assert apply_retention(spark, path, cutoff, tmp_dir) == 1
+    after = {f for f in os.listdir(day) if f.endswith(".parquet")}
+    assert len(before & after) == 2 and ids(read_logs(spark, path)) == [2, 3]
+
+
+def test_a_run_finishes_the_run_that_died_before_it(spark, tmp_dir, monkeypatch):
+    path = os.path.join(tmp_dir, "logs")
+    write_log_table(rows(spark, [(i, T0 + i * H, "ns", 3, f"m{i}", None) for i in range(1, 41)]), path)
+    with monkeypatch.context() as m:
+        counted_fs(m, 4, "before")
         with pytest.raises(OSError):
-            R.apply_retention(spark, path, cutoff, tmp_dir)
-        monkeypatch.setattr(R.fs, "rename", real)
-        assert len(read_logs(spark, path).where("message = 'boundary-new'").collect()) <= 1   # never both sets
-        assert R.apply_retention(spark, path, cutoff, tmp_dir) == 2                           # the same number
-        for _ in range(2):
-            assert sorted(r.message for r in read_logs(spark, path).collect()) == ["boundary-new", "new"]
-            assert R.apply_retention(spark, path, cutoff, tmp_dir) == 0
+            apply_retention(spark, path, T0 + 15 * H, tmp_dir)
+    assert apply_retention(spark, path, T0 + 20 * H, tmp_dir) == 5          # 15..19: 1..14 went with the first
+    assert ids(read_logs(spark, path)) == list(range(20, 41))
+
+
+def test_messages_are_stemmed_once_per_append(spark, tmp_dir):
+    """The stemmer sees as many rows as are written, index or not."""
+    from logloom.sinks import table as S
+
+    real, counter = S.terms, spark.sparkContext.accumulator(0)
+
+    def counting(message):
+        def one(m):
+            counter.add(1)
+            return m
+        return real(F.udf(one, "string").asNondeterministic()(message))
+    S.terms = counting
+    try:
+        specs = [(i, T0 + i * H, "ns", 3, f"message number{i}", None) for i in range(1, 101)]
+        paths = {"postings_path": os.path.join(tmp_dir, "post")}
+        write_log_table(rows(spark, specs), os.path.join(tmp_dir, "logs"), **paths)
+        assert counter.value == 100
+        batch = rows(spark, [(i, ts + 1, n, s, m, a) for i, ts, n, s, m, a in specs]).withColumnRenamed("id", "arrival")
+        append_new(spark, batch, os.path.join(tmp_dir, "logs"), os.path.join(tmp_dir, "stage"), **paths)
+        assert counter.value == 200
+    finally:
+        S.terms = real
 
 
 def test_retention_job_records_runs_and_errors(spark, tmp_dir, monkeypatch):
