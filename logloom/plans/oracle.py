@@ -370,3 +370,9 @@ ORACLE["build_postings"] = _with(LV) + (
     "SELECT coalesce(s.stem, CASE WHEN regexp_matches(tok, '^[0-9]+ms$') THEN left(tok, length(tok) - 1) ELSE tok END) "
     "AS term, id, pos FROM toks LEFT JOIN stems s ON s.word = toks.tok")
 ORACLE["idle_containers_stream"] = ORACLE["idle_containers"]
+ORACLE["idle_events_stream"] = _with(LV) + (
+    "SELECT namespace, pod, container, ts_ns AS last_ts_ns, ts_ns + " + str(P.IDLE_GAP_NS) + " AS idle_ns FROM ("
+    "SELECT *, lead(ts_ns) OVER (PARTITION BY namespace, pod, container ORDER BY ts_ns) AS nxt, "
+    "max(ts_ns) OVER () // 1000000 - " + str(P.IDLE_JITTER_NS // 1_000_000) + " AS mark "
+    "FROM (SELECT DISTINCT namespace, pod, container, ts_ns FROM lv)) "
+    f"WHERE (nxt IS NULL OR nxt - ts_ns > {P.IDLE_GAP_NS}) AND (ts_ns + {P.IDLE_GAP_NS} + 999999) // 1000000 < mark")

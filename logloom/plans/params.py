@@ -10,6 +10,8 @@ LAST_MINUTES = 1440
 CUTOFF_NS = 1705320000 * NS           # 2024-01-15T12:00:00Z
 IDLE_NOW_NS = 1706659200 * NS         # 2024-01-31T00:00:00Z
 IDLE_TIMEOUT_NS = 86_400 * NS         # one day
+IDLE_GAP_NS = 2 * 86_400 * NS
+IDLE_JITTER_NS = 3600 * NS
 NAMESPACE = "live"
 POD = "error-42"
 CONTAINER = "agent"

@@ -792,3 +792,19 @@ def q_idle_containers_stream(spark, d):
     stream_idle.last_lines_stream(_stream(spark, lv.schema, f"{root}/in"), f"{root}/out", f"{root}/ckpt",
                                   _NOW).awaitTermination()
     return stream_idle.idle_now(spark, f"{root}/out", P.IDLE_NOW_NS, P.IDLE_TIMEOUT_NS)
+
+
+@register("idle_events_stream")
+def q_idle_events_stream(spark, d):
+    """Each time a container was silent for a while, by event-time timers:
+    eight files in the order of arrival, lines up to an hour out of order."""
+    root = _scratch(spark, "idle-events")
+    arrival = F.col("ts_ns") + F.pmod(F.xxhash64("id"), F.lit(P.IDLE_JITTER_NS))
+    lv = _logs(spark, d).withColumn("arrival", arrival)
+    low, high = lv.agg(F.min("arrival"), F.max("arrival")).first()
+    part = F.least(F.floor((F.col("arrival") - low) / ((high - low) / 8)), F.lit(7))
+    for k in range(8):  # one after the other: a file stream goes by the files' times
+        lv.where(part == k).drop("arrival").repartition(1).write.mode("append").parquet(f"{root}/in")
+    stream_idle.idle_events_stream(_stream(spark, lv.drop("arrival").schema, f"{root}/in"), f"{root}/out", f"{root}/ckpt",
+                                   P.IDLE_GAP_NS, f"{P.IDLE_JITTER_NS // P.NS} seconds", _NOW).awaitTermination()
+    return stream_idle.read_idle_events(spark, f"{root}/out")

@@ -39,3 +39,8 @@ def rename(spark: SparkSession, src: str, dst: str) -> bool:
 def size(spark: SparkSession, path: str) -> int:
     fs, p = _fs(spark, path)
     return int(fs.getFileStatus(p).getLen())
+
+
+def make_dir(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)

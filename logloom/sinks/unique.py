@@ -4,12 +4,13 @@ micro-batches in any order.
 A batch is made unique by itself, then compared with what the sink holds in
 the same slots (a coarse partition of the key: a day, an id range) and
 between the batch's bounds there, so its cost follows the batch and not the
-sink.  Rows are written under their epoch: a replayed batch replaces what it
-wrote before.
+sink.  Rows are written under their query and epoch: a replayed batch replaces
+what it wrote before, and only that.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -19,33 +20,41 @@ from logloom.functions.timestamps import floor_div, ns_to_date
 from logloom.operators.dedup import dedup_first
 from logloom.schema import DEDUP_KEY
 from logloom.sinks import fs
+from logloom.sinks.epochs import query_id
 
 SLOT, EPOCH = "slot", "epoch"
 #: Ids per slot of a sink keyed by id.
 IDS_PER_SLOT = 1 << 20
-#: Up to this many slots each get bounds of their own in the pushed filter;
-#: with more, one pair of bounds holds for all of them.
+#: Groups of neighbouring slots that each get bounds of their own in the
+#: pushed filter.
 MAX_BOUNDS = 64
 
 
 def near(slots: list, slot: Column, bound: Column) -> Column:
     """Filter on stored rows: the slots (value, low, high) of a batch, one row
-    each, as partition and row-group predicates."""
-    lows, highs = [s[1] for s in slots], [s[2] for s in slots]
-    cond = slot.isin([s[0] for s in slots]) & bound.between(min(lows), max(highs))
-    if 1 < len(slots) <= MAX_BOUNDS:
-        each = F.lit(False)
-        for value, low, high in slots:
-            each = each | ((slot == F.lit(value)) & bound.between(low, high))
-        cond = cond & each
+    each, as partition and row-group predicates.  Many slots are bounded in
+    groups of neighbours, so the bounds widen step by step."""
+    slots = sorted(slots, key=lambda s: (s[0] is None, s[0]))
+    size = -(-len(slots) // MAX_BOUNDS)
+    cond = F.lit(False)
+    for k in range(0, len(slots), size or 1):
+        some = slots[k:k + size]
+        cond = cond | (slot.isin([s[0] for s in some]) & bound.between(min(s[1] for s in some), max(s[2] for s in some)))
+    if len(slots) > 1:  # what all of them have in common reaches the scan as plain ranges
+        cond = cond & slot.isin([s[0] for s in slots]) & bound.between(min(s[1] for s in slots), max(s[2] for s in slots))
     return cond
 
 
 def unique_sink(spark: SparkSession, path: str, key: list[str], slot: Column, bound: str,
                 order: str | None = None) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function.  ``slot`` must follow from ``key``; ``order``:
-    which of equal keys in a batch stays (the least)."""
+    which of equal keys in a batch stays (the least).  Epochs are named after
+    the streaming query (its checkpoint) as well, so several queries may write
+    one sink."""
+    alone = f"batch{uuid.uuid4().hex[:8]}"
+
     def sink(batch: DataFrame, epoch: int) -> None:
+        name = f"{query_id(spark) or alone}-{epoch}"
         rows = dedup_first(batch, order=order, key=key) if order else batch.dropDuplicates(key)
         rows = rows.withColumn(SLOT, slot).persist(StorageLevel.MEMORY_AND_DISK)
         try:
@@ -54,11 +63,11 @@ def unique_sink(spark: SparkSession, path: str, key: list[str], slot: Column, bo
                 return
             fresh = rows
             if fs.exists(spark, path):
-                stored = spark.read.parquet(path).where((F.col(EPOCH) != epoch) & near(slots, F.col(SLOT), F.col(bound)))
+                stored = spark.read.parquet(path).where((F.col(EPOCH) != name) & near(slots, F.col(SLOT), F.col(bound)))
                 fresh = rows.join(stored.select(*key, SLOT), [*key, SLOT], "left_anti")
             # ranges of (slot, bound): few files per slot, narrow bounds, a hot slot over many writers
             fresh = fresh.repartitionByRange(SLOT, bound).sortWithinPartitions(SLOT, bound)
-            (fresh.withColumn(EPOCH, F.lit(epoch).cast("bigint")).write.mode("overwrite")
+            (fresh.withColumn(EPOCH, F.lit(name)).write.mode("overwrite")
              .option("partitionOverwriteMode", "dynamic").partitionBy(SLOT, EPOCH).parquet(path))
         finally:
             rows.unpersist()

@@ -1,32 +1,97 @@
-"""Idle containers as a stream: no line for longer than a timeout.
+"""Idle containers: no line for longer than a timeout.
 
-The stream keeps the newest line time of every container, a maximum, so
-neither the order of rows nor how they fall into batches matters.  Updated
-maxima are appended per epoch; which containers are idle is asked for a
-given time.
+:func:`idle_events_stream` reports each time a container goes idle, with
+event-time timers: a line sets its container's timer, a later line within the
+timeout cancels it, and when the watermark passes a deadline the idle event is
+written.  A container has state only while a timer of its runs.
+
+:func:`last_lines_stream` keeps the newest line time of every container, for
+asking which are idle at a given time; a maximum, so neither the order of rows
+nor how they fall into batches matters.
 """
 
 from __future__ import annotations
 
+import pandas as pd
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
+from logloom.functions.timestamps import ns_to_ts
 from logloom.operators.lifecycle import idle_containers
+from logloom.session import ship_package
+from logloom.sinks.epochs import EpochLog
 
 IDLE_KEY = ["namespace", "pod", "container"]
+TIMEOUT_NS = 5 * 60 * 1_000_000_000
+_KEYS = ", ".join(f"{k} string" for k in IDLE_KEY)
+IDLE_EVENTS = f"{_KEYS}, last_ts_ns bigint, idle_ns bigint"
+_LAST = f"{_KEYS}, ts_ns bigint"
 
 
-def last_lines_stream(logs: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Log-row stream -> newest line time per container below ``out``; a
-    replayed epoch replaces what it wrote."""
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+def open_timers(times: list[int], timeout_ns: int) -> list[int]:
+    """Of line times in order, those that no later line follows in time."""
+    return [t for t, nxt in zip(times, [*times[1:], None]) if nxt is None or nxt - t > timeout_ns]
+
+
+def _step(timeout_ns: int):
+    def deadline(t: int) -> int:  # in ms, as watermarks are
+        return -(-(t + timeout_ns) // 1_000_000)
+
+    def step(key, batches, state):
+        times = set(state.get[0]) if state.exists else set()
+        for rows in batches:  # none when a timer fired
+            times.update(rows["ts_ns"].tolist())
+        now = state.getCurrentWatermarkMs()
+        # no line at or before the watermark comes any more: passed deadlines hold
+        timers = open_timers(sorted(times), timeout_ns)
+        idle = [t for t in timers if deadline(t) < now]
+        left = timers[len(idle):]
+        if left:
+            state.update((left,))
+            state.setTimeoutTimestamp(deadline(left[0]))
+        elif state.exists:
+            state.remove()
+        if idle:
+            yield pd.DataFrame({**{n: [k] * len(idle) for n, k in zip(IDLE_KEY, key)}, "last_ts_ns": idle,
+                                "idle_ns": [t + timeout_ns for t in idle]})
+    return step
+
 
+def idle_events_stream(logs: DataFrame, out: str, checkpoint: str, timeout_ns: int = TIMEOUT_NS, lateness: str = "1 minute",
+                       trigger: dict | None = None) -> StreamingQuery:
+    """Log-row stream (ts_ns) -> one row below ``out`` each time a container
+    had no line for ``timeout_ns``: the last line's time and when the timeout
+    passed.  Lines may come out of order by ``lateness``; a row that is later
+    than that counts as dropped in the query's progress."""
+    spark = logs.sparkSession
+    ship_package(spark)
+    rows = logs.select(*IDLE_KEY, "ts_ns", ns_to_ts("ts_ns").alias("ts")).withWatermark("ts", lateness)
+    events = rows.groupBy(*IDLE_KEY).applyInPandasWithState(
+        _step(timeout_ns), IDLE_EVENTS, "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    log = EpochLog(spark, out, IDLE_EVENTS)
+    w = events.writeStream.outputMode("append").foreachBatch(lambda batch, epoch: log.write(batch, epoch))
+    return w.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 seconds"})).start()
+
+
+def read_idle_events(spark: SparkSession, out: str) -> DataFrame:
+    return EpochLog(spark, out, IDLE_EVENTS).read().drop("epoch")
+
+
+def _newest(log: DataFrame) -> DataFrame:
+    return log.groupBy(*IDLE_KEY).agg(F.max("ts_ns").alias("ts_ns"), F.max("epoch").alias("epoch"))
+
+
+def last_lines_stream(logs: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Log-row stream -> newest line time per container below ``out``."""
+    log = EpochLog(logs.sparkSession, out, _LAST, _newest)
     newest = logs.groupBy(*IDLE_KEY).agg(F.max("ts_ns").alias("ts_ns"))
-    w = newest.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
-    return w.trigger(**(trigger or {"processingTime": "5 seconds"})).start()
+    w = newest.writeStream.outputMode("update").foreachBatch(lambda batch, epoch: log.write(batch, epoch))
+    return w.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 seconds"})).start()
 
 
 def idle_now(spark: SparkSession, out: str, now_ns: int, timeout_ns: int) -> DataFrame:
     """Containers whose last line is older than ``timeout_ns`` at ``now_ns``."""
-    return idle_containers(spark.read.parquet(out).drop("epoch"), now_ns, timeout_ns, key=tuple(IDLE_KEY))
+    rows = EpochLog(spark, out, _LAST).read().drop("epoch")
+    return idle_containers(rows, now_ns, timeout_ns, key=tuple(IDLE_KEY))

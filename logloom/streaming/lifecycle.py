@@ -1,77 +1,159 @@
-"""Container lifecycle as a stream, right for any number and order of
-micro-batches.
+"""Container lifecycle as a stateful stream.
 
 A snapshot's event follows from the snapshot before it in ``seq`` order, so a
-late snapshot changes its own event and that of its successor only.  Every
-batch stores its new snapshots and decides anew, for the keys it touches, all
-snapshots from the batch's earliest ``seq`` on (in-order batches: just the
-new ones, after one stored predecessor).  Decisions are written as a change
-log per epoch; the latest decision for a snapshot holds.
+late snapshot changes its own event and that of its successor only.  The state
+of a container holds its ``keep`` newest snapshots in order; a batch puts its
+snapshots in and decides those anew and their successors, from the state alone:
+nothing that was stored is read.  Decisions are a change log; the latest one
+for a snapshot holds.  The state of a pod is forgotten some time after its
+deletion, so state follows the containers that live.
+
+A snapshot older than all that are kept cannot be decided: it is reported
+(:func:`late_snapshots`), for a batch run of ``container_events`` over its
+container.  Within one micro-batch the snapshots of a container are one task's
+work, in bounded Arrow batches.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from bisect import bisect_left
+
+import pandas as pd
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+from logloom.schema import CONTAINER_KEY
+from logloom.session import ship_package
+from logloom.sinks.epochs import EpochLog
+
+#: Snapshots of a container that are kept to place late ones.
+KEEP = 256
+#: How long a deleted pod is remembered.
+FORGET_MS = 3_600_000
+_STATE = "seqs array<bigint>, deleted array<boolean>, running array<boolean>, ids array<string>, cut boolean"
+_KEYS = ", ".join(f"{k} string" for k in CONTAINER_KEY)
+EVENTS = f"{_KEYS}, seq bigint, event string, late boolean"
+
+
+def decide(before: tuple | None, now: tuple) -> str | None:
+    """Event of a snapshot (deleted, running, container id) after another."""
+    deleted, running, cid = now
+    unseen = before is None or before[0]
+    if deleted:
+        return "STOP"
+    if running and (unseen or before[1] is False or None not in (before[2], cid) and before[2] != cid):
+        return "START"
+    if running is False and not unseen and before[1]:
+        return "STOP"
+    return None
+
+
+class History:
+    """Snapshots of one container by ``seq``; with ``cut`` older ones than the
+    first were let go."""
+
+    def __init__(self, seqs=(), snaps=(), cut: bool = False):
+        self.seqs, self.snaps, self.cut = list(seqs), list(snaps), cut
+
+    def add(self, new: dict[int, tuple]) -> list[tuple[int, str | None, bool]]:
+        """Put in the snapshots that are not there yet (the first one of a
+        ``seq`` counts); (seq, event, late) of all that are decided by it."""
+        out, fresh = [], []
+        for seq in sorted(new):
+            at = bisect_left(self.seqs, seq)
+            if at < len(self.seqs) and self.seqs[at] == seq:
+                continue
+            if self.cut and at == 0:
+                out.append((seq, None, True))
+                continue
+            fresh.append(seq)
+        if fresh:
+            merged = dict(zip(self.seqs, self.snaps)) | {s: new[s] for s in fresh}
+            self.seqs = sorted(merged)
+            self.snaps = [merged[s] for s in self.seqs]
+            spots = {k for s in fresh for k in (bisect_left(self.seqs, s), bisect_left(self.seqs, s) + 1)}
+            for k in sorted(s for s in spots if s < len(self.seqs)):
+                out.append((self.seqs[k], decide(self.snaps[k - 1] if k else None, self.snaps[k]), False))
+        return out
+
+    def trim(self, keep: int) -> None:
+        """The first of the snapshots that stay is never decided again."""
+        if len(self.seqs) > keep + 1:
+            self.cut = True
+            self.seqs, self.snaps = self.seqs[-keep - 1:], self.snaps[-keep - 1:]
 
-from logloom.operators.lifecycle import snapshot_events
-from logloom.schema import CONTAINER_KEY, STATUS_SCHEMA
-from logloom.sinks import fs
-
-#: Partitions of the stored snapshots; a batch reads those of its keys.
-BUCKETS = 32
-
-
-def _bucket():
-    return F.pmod(F.xxhash64(*CONTAINER_KEY), F.lit(BUCKETS)).cast("int")
-
-
-def lifecycle_sink(spark: SparkSession, root: str):
-    """``foreachBatch`` function keeping ``root/snapshots`` and ``root/events``.
-    Of snapshots with the same key and seq the first stored one counts; a
-    replayed epoch replaces what it wrote."""
-    snapshots, events = f"{root}/snapshots", f"{root}/events"
-    cols = [f.name for f in STATUS_SCHEMA.fields]
-
-    def sink(batch: DataFrame, epoch: int) -> None:
-        rows = batch.select(*cols).dropDuplicates([*CONTAINER_KEY, "seq"]).withColumn("bucket", _bucket())
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            buckets = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most BUCKETS
-            if not buckets:
-                return
-            touched = rows.groupBy(*CONTAINER_KEY).agg(F.min("seq").alias("from_seq"))
-            stored = None
-            if fs.exists(spark, snapshots):
-                held = spark.read.parquet(snapshots).where((F.col("epoch") != epoch) & F.col("bucket").isin(buckets))
-                stored = held.join(touched, CONTAINER_KEY)
-                rows = rows.join(held.select(*CONTAINER_KEY, "seq", "bucket"), [*CONTAINER_KEY, "seq", "bucket"], "left_anti")
-            (rows.repartitionByRange("bucket", "seq").sortWithinPartitions("bucket", "seq")
-             .withColumn("epoch", F.lit(epoch).cast("bigint")).write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "epoch").parquet(snapshots))
-            known = rows.select(*cols)
-            if stored is not None:
-                rest = [c for c in cols if c not in CONTAINER_KEY]
-                before = stored.where("seq < from_seq").groupBy(*CONTAINER_KEY).agg(
-                    F.max_by(F.struct(*rest), "seq").alias("last")).select(*CONTAINER_KEY, "last.*").select(*cols)
-                known = known.unionByName(stored.where("seq >= from_seq").select(*cols)).unionByName(before)
-            decided = snapshot_events(known).join(touched, CONTAINER_KEY).where("seq >= from_seq")
-            decided.select(*CONTAINER_KEY, "seq", "event").write.mode("overwrite").parquet(f"{events}/epoch={epoch}")
-        finally:
-            rows.unpersist()
-    return sink
-
-
-def container_events_stream(status_stream: DataFrame, root: str, checkpoint: str,
-                            trigger: dict | None = None) -> StreamingQuery:
-    """Status snapshot stream -> START/STOP events below ``root``."""
-    w = status_stream.writeStream.foreachBatch(lifecycle_sink(status_stream.sparkSession, root))
-    return w.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 seconds"})).start()
+
+def _step(keep: int, forget_ms: int):
+    def step(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        if state.exists:
+            seqs, *snaps, cut = state.get
+            history = History(seqs, list(zip(*snaps)), cut)
+        else:
+            history = History()
+        new = {}
+        for rows in batches:
+            for seq, kind, running, cid in zip(rows["seq"], rows["kind"], rows["running"], rows["container_id"]):
+                snap = (kind == "deleted", None if pd.isna(running) else bool(running), None if pd.isna(cid) else cid)
+                seq = int(seq)
+                new[seq] = min(new[seq], snap, key=repr) if seq in new else snap
+        decided = history.add(new)
+        history.trim(keep)
+        state.update((history.seqs, *(list(c) for c in zip(*history.snaps)), history.cut))
+        if history.snaps[-1][0]:
+            state.setTimeoutDuration(forget_ms)
+        if decided:
+            seqs, events, late = zip(*decided)
+            out = pd.DataFrame({**{n: [k] * len(seqs) for n, k in zip(CONTAINER_KEY, key)}, "seq": seqs, "event": events, "late": late})
+            out["event"] = out["event"].astype(object)
+            yield out
+    return step
+
+
+def container_events_stream(status_stream: DataFrame, root: str, checkpoint: str, trigger: dict | None = None,
+                            keep: int = KEEP, forget_ms: int = FORGET_MS) -> StreamingQuery:
+    """Status snapshot stream -> START/STOP events below ``root``.  Rows
+    without ``seq`` are left out: they have no place."""
+    spark = status_stream.sparkSession
+    ship_package(spark)
+    rows = status_stream.where("seq is not null").select(*CONTAINER_KEY, "seq", "kind", "running", "container_id")
+    decided = rows.groupBy(*CONTAINER_KEY).applyInPandasWithState(
+        _step(keep, forget_ms), EVENTS, _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    log = _log(spark, root)
+    w = decided.writeStream.outputMode("update").foreachBatch(lambda batch, epoch: log.write(batch, epoch))
+    w = w.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 seconds"}))
+    # deleted pods are forgotten along with the next rows; a query with processing-time
+    # timers would else run empty batches without end
+    before = spark.conf.get(_EMPTY_BATCHES)
+    spark.conf.set(_EMPTY_BATCHES, "false")
+    try:
+        return w.start()
+    finally:
+        spark.conf.set(_EMPTY_BATCHES, before)
+
+
+_EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def _latest(log: DataFrame) -> DataFrame:
+    held = log.groupBy(*CONTAINER_KEY, "seq").agg(F.max_by(F.struct("event", "late", "epoch"), "epoch").alias("last"))
+    return held.select(*CONTAINER_KEY, "seq", "last.*")
+
+
+def _log(spark: SparkSession, root: str) -> EpochLog:
+    return EpochLog(spark, f"{root}/events", EVENTS, _latest)
 
 
 def read_container_events(spark: SparkSession, root: str) -> DataFrame:
     """The events as decided by now: key, seq, event."""
-    log = spark.read.option("basePath", f"{root}/events").parquet(f"{root}/events")
-    latest = log.groupBy(*CONTAINER_KEY, "seq").agg(F.max_by(F.struct("event"), "epoch").alias("last"))
-    return latest.select(*CONTAINER_KEY, "seq", "last.event").where(F.col("event").isNotNull())
+    decided = _latest(_log(spark, root).read()).where(F.col("event").isNotNull() & ~F.col("late"))
+    return decided.select(*CONTAINER_KEY, "seq", "event")
+
+
+def late_snapshots(spark: SparkSession, root: str) -> DataFrame:
+    """Key and seq of the snapshots that came too late to be decided."""
+    return _latest(_log(spark, root).read()).where("late").select(*CONTAINER_KEY, "seq")

@@ -179,3 +179,27 @@ def test_text_files_as_a_stream_keep_their_order(spark, tmp_dir):
         assert [r.message for r in read_logs(spark, table).orderBy("id").collect()] == got
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_two_tails_share_a_sink(spark, tmp_dir):
+    """Epochs of a fresh checkpoint begin at 0 again: nothing of the first tail is overwritten."""
+    out = os.path.join(tmp_dir, "out")
+    for k in range(2):
+        table = os.path.join(tmp_dir, f"logs{k}")
+        write_log_table(rows(spark, 1 + 500 * k, 500), table)
+        tail.tail_run(tail.tail_source(spark, table).drop("terms", "log_date"), out, os.path.join(tmp_dir, f"ck{k}"), NOW).awaitTermination()
+    assert sorted(r.id for r in read_unique(spark, out).collect()) == list(range(1, 1001))
+    again = tail.tail_source(spark, os.path.join(tmp_dir, "logs0")).drop("terms", "log_date")
+    tail.tail_run(again, out, os.path.join(tmp_dir, "ck2"), NOW).awaitTermination()
+    assert read_unique(spark, out).count() == 1000
+
+
+def test_bounds_of_many_slots_stay_narrow(spark):
+    from logloom.sinks.unique import near
+
+    slots = [(k, k * 100, k * 100 + 5) for k in range(200)]
+    df = spark.range(200 * 100).select((F.col("id") / 100).cast("long").alias("slot"), F.col("id").alias("bound"))
+    hit = df.where(near(slots, F.col("slot"), F.col("bound")))
+    wanted = df.where("bound % 100 <= 5")
+    assert wanted.exceptAll(hit).isEmpty() and hit.count() < 16_000
+    assert df.where(near(slots[:1], F.col("slot"), F.col("bound"))).count() == 6
