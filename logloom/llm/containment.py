@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 6
                for c in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PREFILTER_BITS = 20
+#: Candidates of a text that are counted at once.
+_CANDIDATES = 2000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -96,38 +99,48 @@ class Block:
     def find(self, laid: Laid, texts: pa.Array):
         """(row, item index, shared shingles) of every item in every text."""
         hashes, at = laid.word_hashes, laid.word_range
-        candidates = set()
-        runs = {}
-        for n, (seen, values, owner) in self.by_length.items():
+        runs, hits, rows = {}, {}, set()
+        for n, (seen, values, _) in self.by_length.items():
             run = runs[n] = _run_hashes(hashes, n)
             hit = np.flatnonzero(seen[run >> np.uint64(64 - _PREFILTER_BITS)])
-            lo = np.searchsorted(values, run[hit], "left")
-            many = np.searchsorted(values, run[hit], "right") - lo
-            hit, lo, many = hit[many > 0], lo[many > 0], many[many > 0]
+            spot = np.minimum(np.searchsorted(values, run[hit]), len(values) - 1)
+            hit = hit[values[spot] == run[hit]]
             row = np.searchsorted(at, hit, "right") - 1
             inside = hit + n <= at[row + 1]
-            hit, lo, many, row = hit[inside], lo[inside], many[inside], row[inside]
-            nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            pairs = np.repeat(row, many) * np.int64(len(self.ids)) + owner[np.repeat(lo, many) + nth]
-            candidates.update(np.unique(pairs).tolist())
-        last, own, exact = None, {}, {}
-        for pair in sorted(candidates):
-            row, item = divmod(pair, len(self.ids))
-            if row != last:
-                last, own, exact = row, {}, {}
-            n = self.lens[item]
-            if n not in own:
-                own[n] = np.unique(runs[n][at[row]:max(at[row], at[row + 1] - n + 1)])
-            grams = self.grams[item]
-            spot = np.minimum(np.searchsorted(own[n], grams), len(own[n]) - 1)
-            if (own[n][spot] == grams).sum() < self.threshold * len(grams) - 1e-9:
+            hits[n] = hit[inside], row[inside]
+            rows.update(np.unique(row[inside]).tolist())
+        for row in sorted(rows):
+            for n, item in self._candidates(runs, hits, row):
+                # what a text shares with its candidates, counted on hashes of distinct shingles
+                own = np.unique(runs[n][at[row]:max(at[row], at[row + 1] - n + 1)])
+                for few in np.array_split(item, -(-len(item) // _CANDIDATES)):
+                    grams = np.concatenate([self.grams[i] for i in few])
+                    size = np.array([len(self.grams[i]) for i in few])
+                    same = own[np.minimum(np.searchsorted(own, grams), len(own) - 1)] == grams
+                    shared = np.add.reduceat(same, np.cumsum(size) - size, dtype=np.int64)
+                    few = few[shared >= self.threshold * size - 1e-9]
+                    if not len(few):
+                        continue
+                    exact = shingles_of(words_of(texts[row].as_py()), n)
+                    for i in few.tolist():
+                        whole = shingles_of(words_of(self.words[i]), n)
+                        both = len(whole & exact)
+                        if both >= self.threshold * len(whole) - 1e-9:
+                            yield row, i, len(whole), both
+
+    def _candidates(self, runs: dict, hits: dict, row: int):
+        """(shingle length, places of items whose sketch the row meets): the
+        row's distinct hashes are looked up, however often one occurs."""
+        for n, (hit, of) in hits.items():
+            a, b = np.searchsorted(of, [row, row + 1])
+            if a == b:
                 continue
-            if n not in exact:
-                exact[n] = shingles_of(words_of(texts[row].as_py()), n)
-            whole = shingles_of(words_of(self.words[item]), n)
-            shared = len(whole & exact[n])
-            if shared >= self.threshold * len(whole) - 1e-9:
-                yield row, item, len(whole), shared
+            _, values, owner = self.by_length[n]
+            found = np.unique(runs[n][hit[a:b]])
+            lo = np.searchsorted(values, found, "left")
+            many = np.searchsorted(values, found, "right") - lo
+            nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            yield n, np.unique(owner[np.repeat(lo, many) + nth])
 
 
 def _blocks(items: DataFrame, threshold: float, shingle: int, block_items: int, block_bytes: int) -> Iterator[Block]:
@@ -183,21 +196,36 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE,
                       block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows of ``docs`` (all columns) that hold no item."""
+    """Rows of ``docs`` (all columns) that hold no item; null texts hold none,
+    repeated rows stay or go together, empty tables (of either) lose nothing.
+
+    One block of items is one pass.  With more, each block's pass finds the
+    texts that hold one of its items, and rows with such a text (by MD5) go:
+    no task holds more than one block."""
     at = docs.columns.index("text")
 
-    def clean(rest: DataFrame, block: Block) -> DataFrame:
+    def clean(block: Block, rows: DataFrame, at: int, holding: bool) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(at)
-            stays = np.ones(batch.num_rows, bool)
-            stays[[f[0] for f in shared.value.find(lay_out(texts, _WORDS), texts)]] = False
-            return batch.filter(pa.array(stays))
-
-        return arrow_map(rest, run, docs.schema)
-
-    return reduce(clean, _blocks(items, threshold, shingle, block_items, block_bytes), docs)
+            held = np.zeros(batch.num_rows, bool)
+            held[[f[0] for f in shared.value.find(lay_out(texts, _WORDS), texts)]] = True
+            return batch.filter(pa.array(held == holding))
+
+        return arrow_map(rows, run, rows.schema)
+
+    blocks = _blocks(items, threshold, shingle, block_items, block_bytes)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return docs
+    if second is None:
+        return clean(first, docs, at, False)
+    texts = docs.select("text")
+    found = [clean(block, texts, 0, True).select(F.md5("text").alias("held")).distinct()
+             for block in chain([first, second], blocks)]
+    held = reduce(DataFrame.unionAll, found).distinct()
+    return docs.join(held, F.md5(docs["text"]) == held["held"], "left_anti")
 
 
 ORACLE = """

@@ -116,7 +116,15 @@ def hits(auto: ahocorasick.Automaton, text: str) -> float:
         (safe if weight is None else found).append((end - length + 1, end, weight))
     if not safe:
         return sum(w for _, _, w in found)
-    return sum(w for a, b, w in found if not any(x <= a and b <= y for x, y, _ in safe))
+    # one pass in order of starts: a phrase that began before a hit and reaches its end covers it
+    safe.sort(key=lambda s: s[0])
+    total, reach, k = 0.0, -1, 0
+    for a, b, w in sorted(found, key=lambda h: h[0]):
+        while k < len(safe) and safe[k][0] <= a:
+            reach, k = max(reach, safe[k][1]), k + 1
+        if b > reach:
+            total += w
+    return total
 
 
 def _features(weight: np.ndarray, words: np.ndarray) -> np.ndarray:
