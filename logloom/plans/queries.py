@@ -31,13 +31,14 @@ from logloom.plans import derived, params as P
 from logloom.sinks.retention import apply_retention, retention_counts, retention_job, retention_stats
 from logloom.sinks.table import append_new, assign_ids, merge_postings, new_rows, write_log_table, write_postings
 from logloom.sinks.unique import read_unique
+from logloom.schema import LOG_COLUMNS
 from logloom.session import scratch_path
 from logloom.sources import logs as src
 from logloom.sources.logs import read_logs
 from logloom.streaming import ingest, tail
 from logloom.streaming import idle as stream_idle
 from logloom.streaming import lifecycle as stream_lifecycle
-from logloom.plans.fixtures import (DUP_ID_OFFSET, INGEST_NS, doc_log_view, dup_view, logs_from_events, raw_view, read_table,
+from logloom.plans.fixtures import (DUP_ID_OFFSET, INGEST_NS, NO_PREFIX_EVERY, doc_log_view, dup_view, logs_from_events, raw_view, read_table,
                                    spread, status_view)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -765,6 +766,33 @@ def q_ingest_stream(spark, d):
     return _stored_out(read_logs(spark, _ingested(spark, d)))
 
 
+@register("ingest_counters")
+def q_ingest_counters(spark, d):
+    """What the ingest counted while it ran, over all its epochs."""
+    table = _ingested(spark, d)
+    return ingest.ingest_totals(spark, f"{table.rsplit('/', 1)[0]}/ckpt/counters")
+
+
+@register("ingest_text_and_structured")
+def q_ingest_text_and_structured(spark, d):
+    """Container text files and ready entries in one exactly-once stream: even
+    lines that have a time as text (pods by event type), the others parsed
+    beforehand, delivered as files of their own."""
+    root = _scratch(spark, "ingest-both")
+    rv = raw_view(spark, d, spread_input=True)
+    as_text = (F.col("arrival") % 2 == 0) & (F.col("arrival") % NO_PREFIX_EVERY != 0)
+    text = rv.where(as_text).withColumn("pod_dir", F.concat(F.substring_index("pod", "-", 1), F.lit("_u0")))
+    folders = ["namespace", "pod_dir", "container"]
+    (text.repartitionByRange(*folders, "arrival").sortWithinPartitions(*folders, "arrival").select(*folders, "line")
+     .write.partitionBy(*folders).text(f"{root}/text"))
+    ready = to_log_entry(parse_lines(rv.where(~as_text))).select(*[c for c in LOG_COLUMNS if c != "id"])
+    _as_files(ready, f"{root}/ready")
+    both = ingest.with_structured(src.stream_raw_text(spark, f"{root}/text", max_files=40),
+                                  _stream(spark, ready.schema, f"{root}/ready"))
+    ingest.ingest_stream(spark, both, f"{root}/logs", f"{root}/ckpt", trigger=_NOW).awaitTermination()
+    return _stored_out(read_logs(spark, f"{root}/logs"))
+
+
 @register("stream_dedup")
 def q_stream_dedup(spark, d):
     root = _scratch(spark, "sdedup")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from logloom.schema import LOG_SCHEMA
@@ -85,16 +85,21 @@ def since(parsed: DataFrame, since_ns: int) -> DataFrame:
     return parsed.where(F.col("ts_ns") >= F.lit(since_ns))
 
 
-def collect_gate(df: DataFrame, include: Iterable[str] = (), exclude: Iterable[str] = ("kube-system",),
-                 col: str = "namespace") -> DataFrame:
-    """Namespace gate: exclusion first and always wins; empty include = all."""
+def collect_passes(include: Iterable[str] = (), exclude: Iterable[str] = ("kube-system",), col: str = "namespace") -> Column:
+    """Whether a namespace is collected; a null one only where all are."""
     include, exclude = list(include), list(exclude)
     cond = F.lit(True)
     if exclude:
         cond = cond & ~F.col(col).isin(exclude)
     if include:
         cond = cond & F.col(col).isin(include)
-    return df.where(cond)
+    return F.coalesce(cond, F.lit(False))
+
+
+def collect_gate(df: DataFrame, include: Iterable[str] = (), exclude: Iterable[str] = ("kube-system",),
+                 col: str = "namespace") -> DataFrame:
+    """Namespace gate: exclusion first and always wins; empty include = all."""
+    return df.where(collect_passes(include, exclude, col))
 
 
 def read_structured(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

@@ -11,17 +11,17 @@ from __future__ import annotations
 
 import os
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql import types as T
 
 from logloom.functions.timestamps import ns_to_ts
 from logloom.operators.parse import parse_lines, to_log_entry
 from logloom.schema import DEDUP_KEY, LOG_COLUMNS, RAW_SCHEMA
+from logloom.sinks.epochs import EpochLog
 from logloom.sinks.table import append_new
 from logloom.sinks.unique import rows_by_content
-from logloom.sources.logs import MAX_LINE_BYTES, collect_gate, since, with_arrival
+from logloom.sources.logs import MAX_LINE_BYTES, collect_passes, since, with_arrival
 
 RAW_STREAM_SCHEMA = T.StructType(RAW_SCHEMA.fields + [T.StructField("ingest_ns", T.LongType(), False)])
 
@@ -38,41 +38,84 @@ def with_structured(raw: DataFrame, structured: DataFrame) -> DataFrame:
 
 
 def _entries(batch: DataFrame) -> DataFrame:
-    """Log entries of a micro-batch: parsed lines, and structured rows as they are."""
-    cols = [c for c in LOG_COLUMNS if c != "id"] + ["arrival"]
-    parsed = to_log_entry(parse_lines(batch.where(F.col("line").isNotNull()).select(*[f.name for f in RAW_STREAM_SCHEMA])))
+    """Log entries of a micro-batch: parsed lines, and structured rows as they
+    are; ``own_time``: whether the time came with the line."""
+    cols = [c for c in LOG_COLUMNS if c != "id"] + ["arrival", "own_time"]
+    parsed = to_log_entry(parse_lines(batch.where(F.col("line").isNotNull()).select(*_raw_columns(batch))))
+    parsed = parsed.withColumn("own_time", F.col("ts_ns") != F.col("ingest_ns"))
     if "ts_ns" not in batch.columns:
         return parsed.select(*cols)
-    return parsed.select(*cols).unionByName(batch.where(F.col("line").isNull()).select(*cols))
+    ready = batch.where(F.col("line").isNull()).withColumn("own_time", F.lit(True))
+    return parsed.select(*cols).unionByName(ready.select(*cols))
+
+
+def _raw_columns(batch: DataFrame) -> list[str]:
+    return [f.name for f in RAW_STREAM_SCHEMA if f.name in batch.columns]
+
+
+#: What an epoch of the ingest counts.
+COUNTERS = ("lines bigint, bytes bigint, gated bigint, rejected bigint, entries bigint, with_time bigint, "
+            "with_attributes bigint, errors bigint, last_ts_ns bigint, inserted bigint")
+
+
+def ingest_counters(spark: SparkSession, path: str) -> DataFrame:
+    """The live counters of an ingest (its ``counters_path``), a row per
+    epoch: lines read and their bytes, lines that the namespace gate left out,
+    lines too long, entries offered to the table, of them with a time of their
+    own, with attributes, errors and worse, newest time, rows inserted."""
+    return EpochLog(spark, path, COUNTERS, _added).read()
+
+
+def _added(log: DataFrame) -> DataFrame:
+    """Old epochs as one row."""
+    names = [c.split()[0] for c in COUNTERS.split(", ")]
+    return log.agg(*[(F.max if n == "last_ts_ns" else F.sum)(n).alias(n) for n in names], F.max("epoch").alias("epoch"))
+
+
+def ingest_totals(spark: SparkSession, path: str) -> DataFrame:
+    """One row: the counters over all epochs, and how many rows were repeats."""
+    total = _added(ingest_counters(spark, path)).drop("epoch")
+    return total.withColumn("repeated", F.col("entries") - F.col("inserted"))
 
 
 def ingest_stream(spark: SparkSession, raw: DataFrame, table_path: str, checkpoint: str,
                   trigger: dict | None = None, max_line_bytes: int = MAX_LINE_BYTES,
                   rejects_path: str | None = None, include: tuple = (), exclude: tuple = (),
-                  since_ns: int | None = None, postings_path: str | None = None) -> StreamingQuery:
+                  since_ns: int | None = None, postings_path: str | None = None,
+                  counters_path: str | None = None) -> StreamingQuery:
     """Start the ingest pipeline; ``trigger`` e.g. ``{"processingTime": "5 seconds"}``
     (default) or ``{"availableNow": True}``.  Lines longer than
     ``max_line_bytes`` go to ``rejects_path`` (default: beside the checkpoint)
     instead of breaking the stream.  ``include`` / ``exclude``: namespace gate
-    before parsing; ``since_ns``: lines before this time are left out."""
+    before parsing; ``since_ns``: lines before this time are left out.
+
+    A micro-batch is read once: what it holds is counted by observed metrics
+    of the very pass that stages its entries, and kept per epoch below
+    ``counters_path`` (default: beside the checkpoint)."""
     stage_root = os.path.join(checkpoint, "stage")
     rejects = rejects_path or os.path.join(checkpoint, "rejected")
+    counters = EpochLog(spark, counters_path or os.path.join(checkpoint, "counters"), COUNTERS, _added)
+    size = F.coalesce(F.octet_length("line"), F.lit(0))
 
     def write_batch(batch: DataFrame, epoch: int) -> None:
-        # read twice (rejects, rows): keep the micro-batch, spilling if needed
+        read, offered = Observation(), Observation()
         batch = with_arrival(batch) if "at" in batch.columns else batch
-        batch = collect_gate(batch, include, exclude).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            size = F.coalesce(F.octet_length("line"), F.lit(0))
-            bad = batch.where(size > max_line_bytes)
-            if not bad.isEmpty():
-                bad.write.mode("overwrite").parquet(f"{rejects}/epoch={epoch}")
-            rows = _entries(batch.where(size <= max_line_bytes))
-            if since_ns is not None:
-                rows = since(rows, since_ns)
-            append_new(spark, rows, table_path, f"{stage_root}/epoch-{epoch}", postings_path=postings_path)
-        finally:
-            batch.unpersist()
+        passed = collect_passes(include, exclude)
+        lines = batch.observe(read, F.count("*").alias("lines"), F.sum(size).cast("bigint").alias("bytes"),
+                              F.count_if(~passed).alias("gated"),
+                              F.count_if(passed & (size > max_line_bytes)).alias("rejected"))
+        rows = _entries(lines.where(passed & (size <= max_line_bytes)))
+        if since_ns is not None:
+            rows = since(rows, since_ns)
+        rows = rows.observe(offered, F.count("*").alias("entries"), F.count_if("own_time").alias("with_time"),
+                            F.count_if(F.size("attributes") > 0).alias("with_attributes"),
+                            F.count_if(F.col("severity") >= 5).alias("errors"), F.max("ts_ns").alias("last_ts_ns"))
+        done = append_new(spark, rows, table_path, f"{stage_root}/epoch-{epoch}", postings_path=postings_path)
+        counted = {**read.get, **offered.get, "inserted": done["inserted"]}
+        if counted["rejected"]:  # seldom: read again
+            batch.where(passed & (size > max_line_bytes)).write.mode("overwrite").parquet(f"{rejects}/epoch={epoch}")
+        names = [c.split()[0] for c in COUNTERS.split(", ")]
+        counters.write(spark.createDataFrame([tuple(counted[n] for n in names)], COUNTERS).coalesce(1), epoch)
 
     w = raw.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"processingTime": "5 seconds"}))
