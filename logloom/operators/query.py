@@ -196,3 +196,69 @@ def project_entry(df: DataFrame) -> DataFrame:
     doc = F.struct(F.col("id").alias("id"), F.col("ts_ns").alias("timestamp"), "namespace", "pod", "container",
                    F.col("severity").cast("int").alias("severity"), "message", attrs.alias("attrs"))
     return df.select("id", F.to_json(doc).alias("json"))
+
+
+# ------------------------------------------------------------ saved queries
+
+_EQUAL = ("namespace", "pod", "container")
+
+
+def saved_queries(spark, queries: Mapping[str, LogQuery]) -> DataFrame:
+    """Named queries as a table: a row per query with its filters.  ``mask``
+    says which of namespace, pod and container it asks for, ``wanted`` their
+    values: the key by which rows find it."""
+    rows = []
+    for name, q in queries.items():
+        asked = [getattr(q, f) or None for f in _EQUAL]
+        after, before = (c if c is not None and c > 0 else None for c in (q.after_id, q.before_id))
+        rows.append((name, sum(1 << k for k, v in enumerate(asked) if v), [v for v in asked if v], q.start_ns, q.end_ns,
+                     q.min_severity, dict(q.attributes), after, before, q.search_match() is not None))
+    return spark.createDataFrame(rows, "query string, mask int, wanted array<string>, start_ns bigint, end_ns bigint, "
+                                       "min_severity int, attrs map<string,string>, after_id bigint, before_id bigint, searches boolean")
+
+
+def match_saved(df: DataFrame, queries: Mapping[str, LogQuery]) -> DataFrame:
+    """(query, id): every row of ``df`` with every query it matches, in one
+    scan.  Rows are looked up by the values of namespace, pod and container
+    that queries ask for, once for each combination of these fields in use, and
+    only the queries found so are tried; full text is tested before, on rows
+    that meet the other filters of a query that searches."""
+    if not queries:
+        return df.select(F.lit("").alias("query"), "id").where("false")
+    table = saved_queries(df.sparkSession, queries)
+    masks = sorted({sum(1 << k for k, f in enumerate(_EQUAL) if getattr(q, f)) for q in queries.values()})
+    searches = {name: q for name, q in queries.items() if q.search_match() is not None}
+    days = [q for q in queries.values()]
+    rows = df
+    if "log_date" in df.columns and all(q.start_ns is not None for q in days):
+        rows = rows.where(F.col("log_date") >= F.lit(_utc_day(min(q.start_ns for q in days))))
+    if "log_date" in df.columns and all(q.end_ns is not None for q in days):
+        rows = rows.where(F.col("log_date") <= F.lit(_utc_day(max(q.end_ns for q in days))))
+    cols = ["id", "ts_ns", "severity", "attributes", *_EQUAL]
+    found = F.array().cast("array<string>")
+    if searches:
+        from logloom.operators.search import TERMS, with_terms
+
+        near = F.lit(False)
+        for q in searches.values():
+            near = near | q.condition()
+        if TERMS not in rows.columns:  # stem only what some searching query could meet
+            stemmed = with_terms(rows.where(near)).select(*cols, TERMS)
+            rest = rows.where(~near | near.isNull()).select(*cols, F.lit(None).cast("array<string>").alias(TERMS))
+            rows = stemmed.unionByName(rest)
+        found = F.array_compact(F.array(*[
+            F.when(F.coalesce(q.condition() & q.search_match().column(F.col(TERMS)), F.lit(False)), F.lit(name))
+            for name, q in searches.items()]))
+    keys = F.array(*[F.struct(F.lit(m).alias("mask"), F.array(
+        *[F.col(f) for k, f in enumerate(_EQUAL) if m >> k & 1]).cast("array<string>").alias("wanted")) for m in masks])
+    rows = rows.select("id", "ts_ns", "severity", "attributes", found.alias("found"), F.inline(keys))
+    q = table.toDF(*[f"q_{c}" for c in table.columns])
+    has = F.forall(F.map_entries("q_attrs"), lambda e: F.coalesce(F.element_at(F.col("attributes"), e["key"]) == e["value"], F.lit(False)))
+    meets = ((F.col("mask") == F.col("q_mask")) & (F.col("wanted") == F.col("q_wanted"))
+             & (F.col("q_start_ns").isNull() | (F.col("ts_ns") >= F.col("q_start_ns")))
+             & (F.col("q_end_ns").isNull() | (F.col("ts_ns") < F.col("q_end_ns")))
+             & ((F.col("q_min_severity") <= 0) | (F.col("severity") >= F.col("q_min_severity"))) & has
+             & (F.col("q_after_id").isNull() | (F.col("id") > F.col("q_after_id")))
+             & (F.col("q_before_id").isNull() | (F.col("id") < F.col("q_before_id")))
+             & (~F.col("q_searches") | F.array_contains("found", F.col("q_query"))))
+    return rows.join(q, meets).select(F.col("q_query").alias("query"), "id")

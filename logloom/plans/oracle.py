@@ -188,6 +188,20 @@ ORACLE["query_params"] = _with(LV) + " UNION ALL ".join(
 ORACLE["truncate_value"] = _with(LV) + (
     "SELECT id, CASE WHEN length(pod) > 12 THEN left(pod, 11) || '…' ELSE pod END AS pod_short FROM lv")
 
+
+
+def _saved_sql(name: str, q) -> str:
+    conds = [f"{f} = '{getattr(q, f)}'" for f in ("namespace", "pod", "container") if getattr(q, f)]
+    conds += [f"severity >= {q.min_severity}"] * (q.min_severity > 0)
+    conds += [f"ts_ns >= {q.start_ns} AND ts_ns < {q.end_ns}"] * (q.start_ns is not None)
+    conds += [f"CAST(user_id AS VARCHAR) = '{v}'" for v in q.attributes.values()]
+    conds += [f"id > {q.after_id}"] * (q.after_id is not None and q.after_id > 0)
+    conds += [f"contains(message, '{w}')" for w in (q.search or "").split()]
+    return f"SELECT '{name}' AS query, id FROM lv WHERE {' AND '.join(conds) or 'true'}"
+
+
+ORACLE["saved_queries"] = _with(LV) + " UNION ALL ".join(_saved_sql(n, q) for n, q in P.SAVED.items())
+
 # ------------------------------------------------------------------ filters
 ORACLE["query_time_range"] = _filtered(f"ts_ns >= {P.RANGE_START_NS} AND ts_ns < {P.RANGE_END_NS}")
 ORACLE["query_namespace"] = _filtered(f"namespace = '{P.NAMESPACE}'")
@@ -258,6 +272,9 @@ _DV_OUT = f"id, ts_ns, namespace, pod, container, severity, message, {ATTRS} AS
 ORACLE["dedup_first"] = _with(LV, DV) + (
     f"SELECT {_DV_OUT} FROM dv QUALIFY row_number() OVER "
     "(PARTITION BY ts_ns, namespace, pod, container, message ORDER BY id) = 1")
+ORACLE["repair_table"] = _with(LV, DV) + (
+    f"SELECT {_DV_OUT}, true AS indexed, CAST(contains(message, 'shard') AS INTEGER) AS m_shard FROM dv QUALIFY row_number() OVER "
+    "(PARTITION BY ts_ns, namespace, pod, container, message ORDER BY id) = 1")
 ORACLE["backfill_key"] = _with(LV, DV) + "SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) AS BIGINT) AS n_with_key FROM dv"
 ORACLE["dedup_existing"] = _with(LV, DV) + (
     f"SELECT {_DV_OUT} FROM dv WHERE id % 7 = 0 UNION ALL "

@@ -31,3 +31,35 @@ REQUESTS = [{"limit": "--5"}, {"minSeverity": "\u00b2"}, {"beforeId": "-5"}, {"a
             {"endTime": "2024-01-15T00:00:00"}, {"beforeId": "4000", "afterId": "3000"}]
 # times of retention jobs: cutoffs are a day before
 RETENTION_RUNS = [CUTOFF_NS + 86_400 * NS, CUTOFF_NS + 86_400 * NS, CUTOFF_NS + 9 * 86_400 * NS]
+
+
+def _saved() -> dict:
+    """Fifty queries over every combination of fields, a third with full text."""
+    from logloom.operators.query import LogQuery
+
+    spaces, pods, boxes = ["web", "infra", "live", "trial", "meter"], ["view", "click", "purchase", "signup", "error"], ["app", "agent", "edge"]
+    words = ["shard", "cache refused", "payment"]
+    out = {}
+    for k in range(50):
+        kw = {}
+        if k % 2:
+            kw["namespace"] = spaces[k % 5]
+        if k % 3 == 0:
+            kw["pod"] = f"{pods[k % 5]}-{k}"
+        if k % 5 < 2:
+            kw["container"] = boxes[k % 3]
+        if k % 4 == 0:
+            kw["min_severity"] = 3 + k % 3
+        if k % 7 == 0:
+            kw |= {"start_ns": RANGE_START_NS, "end_ns": RANGE_END_NS + k * NS}
+        if k % 11 == 0:
+            kw["attributes"] = {"user_id": str(k + 1)}
+        if k % 13 == 0:
+            kw["after_id"] = 100 * k
+        if k % 3 == 1:
+            kw["search"] = words[k % 9 // 3]
+        out[f"q{k:02d}"] = LogQuery(**kw)
+    return out
+
+
+SAVED = _saved()

@@ -26,8 +26,9 @@ from logloom.functions.tokenize import tokenize
 from logloom.operators import lifecycle, paging, postings, search, stats
 from logloom.operators.dedup import backfill_key, dedup_existing, dedup_first, dedup_key
 from logloom.operators.parse import parse_lines, to_log_entry
-from logloom.operators.query import LogQuery, apply_query, project_entry
+from logloom.operators.query import LogQuery, apply_query, match_saved, project_entry
 from logloom.plans import derived, params as P
+from logloom.sinks.repair import repair_table
 from logloom.sinks.retention import apply_retention, retention_counts, retention_job, retention_stats
 from logloom.sinks.table import append_new, assign_ids, merge_postings, new_rows, write_log_table, write_postings
 from logloom.sinks.unique import read_unique
@@ -256,10 +257,17 @@ def q_text_lines(spark, d):
 @register("query_params")
 def q_query_params(spark, d):
     """Requests with one bad parameter each: what a malformed value leaves."""
-    lv = _logs(spark, d)
-    return reduce(DataFrame.unionAll, [
-        apply_query(lv, LogQuery.from_params(p)).agg(F.count("*").cast("long").alias("n")).select(F.lit(k).alias("request"), "n")
-        for k, p in enumerate(P.REQUESTS)])
+    asked = {str(k): LogQuery.from_params(p) for k, p in enumerate(P.REQUESTS)}
+    hits = match_saved(_logs(spark, d), asked).groupBy("query").agg(F.count("*").alias("n"))
+    every = spark.createDataFrame([(k,) for k in asked], "query string")
+    return every.join(hits, "query", "left").select(F.col("query").cast("int").alias("request"),
+                                                    F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+@register("saved_queries")
+def q_saved_queries(spark, d):
+    """Fifty saved queries over the log rows in one scan: (query, id) of all hits."""
+    return match_saved(_logs(spark, d), P.SAVED)
 
 
 @register("truncate_value")
@@ -518,6 +526,21 @@ def q_append_new(spark, d):
     return _stored_out(read_logs(spark, _appended(spark, d)))
 
 
+@register("repair_table")
+def q_repair_table(spark, d):
+    """A table into which repeated entries were written, every 7th without its
+    index, after the repair job; the index answers for all of them."""
+    root = _scratch(spark, "repair")
+    path, lists = f"{root}/logs", f"{root}/postings"
+    dv = search.with_terms(dup_view(spark, d))
+    write_log_table(dv.withColumn("terms", F.when(F.col("id") % 7 != 0, F.col("terms"))), path, postings_path=lists)
+    repair_table(spark, path, f"{root}/stage", lists)
+    left = read_logs(spark, path)
+    found = postings.posting_hits(src.read_postings(spark, lists), search.term("shard")).withColumn("m_shard", F.lit(1))
+    return _out(left).join(left.select("id", F.col("terms").isNotNull().alias("indexed")), "id").join(
+        found, "id", "left").withColumn("m_shard", F.coalesce("m_shard", F.lit(0)))
+
+
 @register("assign_ids")
 def q_assign_ids(spark, d):
     stored = _logs(spark, d).where(F.col("id") % 2 == 1).withColumn("log_date", ns_to_date("ts_ns"))

@@ -50,9 +50,27 @@ def replacement(spark: SparkSession, rows: DataFrame, replaced: list[str], at: s
     ``replaced`` files of one day."""
     rows.write.mode("overwrite").parquet(at)
     folder = replaced[0].rsplit("/", 1)[0]
-    steps = [("hide", f, f"{folder}/_old-{tag}-{f.rsplit('/', 1)[1]}", None) for f in replaced]
-    staged = [(n, f) for n, f in fs.list_dirs(spark, at) if n.endswith(".parquet")]
-    return steps + [("show", f, f"{folder}/{tag}-{n}", fs.size(spark, f)) for n, f in staged]
+    return _hidden(replaced, tag) + _shown(spark, at, folder, tag)
+
+
+def replacement_of_days(spark: SparkSession, rows: DataFrame, root: str, replaced: dict[_dt.date, list[str]], at: str,
+                        tag: str) -> list[tuple]:
+    """The same for files of several days (``rows`` with ``log_date``), staged
+    in one job; a day may have no file to replace."""
+    rows.write.mode("overwrite").partitionBy("log_date").parquet(at)
+    steps = [s for files in replaced.values() for s in _hidden(files, tag)]
+    for name, full in fs.list_dirs(spark, at):
+        if name.startswith("log_date="):
+            steps += _shown(spark, full, f"{root.rstrip('/')}/{name}", tag)
+    return steps
+
+
+def _hidden(files: list[str], tag: str) -> list[tuple]:
+    return [("hide", f, "{}/_old-{}-{}".format(f.rsplit("/", 1)[0], tag, f.rsplit("/", 1)[1]), None) for f in files]
+
+
+def _shown(spark: SparkSession, at: str, folder: str, tag: str) -> list[tuple]:
+    return [("show", f, f"{folder}/{tag}-{n}", fs.size(spark, f)) for n, f in fs.list_dirs(spark, at) if n.endswith(".parquet")]
 
 
 def commit(spark: SparkSession, stage: str, steps: list[tuple], result: int) -> int:
@@ -92,8 +110,12 @@ def _finish(spark: SparkSession, stage: str) -> int:
     steps = spark.read.schema(_STEP).parquet(f"{stage}/steps").collect()  # one row per file that the job touches
     shown = [s for s in steps if s.action == "show"]
     hidden = [s for s in steps if s.action == "hide"]
-    if not all(fs.exists(spark, s.target) for s in shown):  # else everything is in its place
-        for s in hidden + shown:
+    if not all(fs.exists(spark, s.target) for s in shown) or not shown:  # else everything is in its place
+        for s in hidden:
+            _moved(spark, s.file, s.target)
+        for folder in {s.target.rsplit("/", 1)[0] for s in shown}:
+            fs.make_dir(spark, folder)
+        for s in shown:
             _moved(spark, s.file, s.target)
     for s in shown:
         if fs.size(spark, s.target) != s.size:

@@ -172,13 +172,12 @@ def merge_postings(spark: SparkSession, table_path: str, path: str, stage_root:
     done = swap.resume(spark, table_path, stage_root)
     if name in done:
         return done[name]
-    steps, replaced = [], 0
-    for day, found in sorted(swap.day_files(spark, path.rstrip("/")).items()):
-        if len(found) < files:
-            continue
-        blocks = spark.read.option("basePath", path).schema(BLOCK_SCHEMA).parquet(*found)
-        merged = sorted_blocks(to_blocks(occurrences(blocks))).drop("log_date")
-        tag = f"merged-{uuid.uuid4().hex[:8]}"
-        steps += swap.replacement(spark, merged, found, f"{stage_root.rstrip('/')}/{name}/{day}", tag)
-        replaced += len(found)
-    return swap.commit(spark, f"{stage_root.rstrip('/')}/{name}", steps, replaced) if steps else 0
+    root, stage = path.rstrip("/"), f"{stage_root.rstrip('/')}/{name}"
+    days = {day: found for day, found in swap.day_files(spark, root).items() if len(found) >= files}
+    found = [f for names in days.values() for f in names]
+    if not found:
+        return 0
+    blocks = spark.read.option("basePath", root).schema(BLOCK_SCHEMA).parquet(*found)
+    merged = sorted_blocks(to_blocks(occurrences(blocks)))
+    steps = swap.replacement_of_days(spark, merged, root, days, f"{stage}/blocks", f"merged-{uuid.uuid4().hex[:8]}")
+    return swap.commit(spark, stage, steps, len(found))
