@@ -584,6 +584,33 @@ def q_stats(spark, d):
     return stats.stats(_logs(spark, d))
 
 
+@register("stored_stats")
+def q_stored_stats(spark, d):
+    """Statistics and listings of a stored table after appends and a retention
+    run, from the summaries of its files alone."""
+    root = _scratch(spark, "summary")
+    path = _stored_table(spark, d, root, appends=4)
+    stats.summarise(spark, path)
+    apply_retention(spark, path, P.CUTOFF_NS, f"{root}/stage")
+    stats.summarise(spark, path)
+    names = [stats.stored_names(spark, path, c).agg(F.array_join(F.sort_array(F.collect_list(c[:-1])), ",").alias(c))
+             for c in ("namespaces", "containers")]
+    return stats.stored_stats(spark, path).crossJoin(names[0]).crossJoin(names[1])  # one row each
+
+
+@register("stored_search_page")
+def q_stored_search_page(spark, d):
+    """A page of a stored table whose full text is answered from its posting
+    lists: two appends, newest first."""
+    root = _scratch(spark, "search-page")
+    path, lists = f"{root}/logs", f"{root}/postings"
+    rows = _logs(spark, d)
+    top = rows.agg(F.max("id")).first()[0]
+    for k in range(2):
+        write_log_table(rows.where(F.col("id").between(top * k // 2 + 1, top * (k + 1) // 2)), path, postings_path=lists)
+    return _out(paging.stored_page(spark, path, LogQuery(search="ledger cache", namespace=P.NAMESPACE), lists))
+
+
 @register("disk_size")
 def q_disk_size(spark, d):
     return stats.disk_size(spark, _kept_table(spark, d))

@@ -3,8 +3,10 @@
 An epoch that is delivered again replaces its own folder.  Epochs start at 0
 with each checkpoint, so a folder belongs to the streaming query that wrote it
 first: another query (one started with a fresh checkpoint) is refused before it
-overwrites anything.  Every ``MERGE`` epochs the folders before the current one
-are written as one; only the current epoch can ever be replayed.
+overwrites anything.  ``MERGE`` folders before the current one are written as
+one, and as many of these as one again, so few folders are ever open and a row
+is rewritten a few times however long the query runs.  Only the current epoch
+can be replayed.  A folder gets its name when it is complete.
 """
 
 from __future__ import annotations
@@ -32,12 +34,14 @@ class EpochLog:
                  merge: int = MERGE):
         self.spark, self.path, self.schema, self.fold, self.merge = spark, path.rstrip("/"), f"{schema}, epoch bigint", fold, merge
 
-    def _folders(self) -> tuple[str | None, int, list[tuple[int, str]], list[str]]:
-        """(newest merged folder, its last epoch, epochs after it, names of all)."""
-        found = fs.list_dirs(self.spark, self.path)
-        merged = sorted((int(n[5:]), f) for n, f in found if n.startswith("upto-") and fs.exists(self.spark, f"{f}/_SUCCESS"))
-        base, last = (merged[-1][1], merged[-1][0]) if merged else (None, -1)
-        return base, last, sorted((int(n[2:]), f) for n, f in found if n.startswith("e-") and int(n[2:]) > last), [n for n, _ in found]
+    def _folders(self) -> tuple[list[tuple[int, int, str]], list[str]]:
+        """(level, last epoch, folder) of all that count, oldest first, and the
+        names of everything.  What a merge took in, but did not get to delete,
+        does not count."""
+        names = dict(fs.list_dirs(self.spark, self.path))
+        found = sorted((int(n[1:3]), int(n[4:]), f) for n, f in names.items() if n[0] == "m")
+        live = [f for f in found if not any(g[0] > f[0] and g[1] >= f[1] for g in found)]
+        return sorted(live, key=lambda f: f[1]), list(names)
 
     def _own(self, names: list[str]) -> None:
         writer = query_id(self.spark) or "batch"
@@ -48,16 +52,25 @@ class EpochLog:
             raise ValueError(f"{self.path} was written by the streaming query {owners[0][8:]}: a query with another "
                              "checkpoint needs a folder of its own")
 
+    def _put(self, rows: DataFrame, level: int, last: int) -> None:
+        at, staged = f"{self.path}/m{level:02d}-{last:012d}", f"{self.path}/_staged"
+        rows.write.mode("overwrite").parquet(staged)
+        fs.delete(self.spark, at)
+        if not fs.rename(self.spark, staged, at):
+            raise RuntimeError(f"could not rename {staged} to {at}")
+
     def write(self, rows: DataFrame, epoch: int) -> None:
-        base, last, epochs, names = self._folders()
-        self._own(names)
-        rows.withColumn("epoch", F.lit(epoch).cast("bigint")).write.mode("overwrite").parquet(f"{self.path}/e-{epoch:012d}")
-        old = [e for e in epochs if e[0] < epoch]
-        if len(old) >= self.merge:
-            whole = self._read([f for _, f in old] + ([base] if base else []))
-            whole = self.fold(whole) if self.fold else whole
-            whole.write.mode("overwrite").parquet(f"{self.path}/upto-{old[-1][0]:012d}")
-            for folder in [f for _, f in old] + ([base] if base else []):
+        self._own(self._folders()[1])
+        self._put(rows.withColumn("epoch", F.lit(epoch).cast("bigint")), 0, epoch)
+        level = 0
+        while True:
+            old = [f for f in self._folders()[0] if f[0] == level and f[1] < epoch]
+            if len(old) < self.merge:
+                return
+            whole = self._read([f for _, _, f in old])
+            level += 1
+            self._put(self.fold(whole) if self.fold else whole, level, old[-1][1])
+            for _, _, folder in old:
                 fs.delete(self.spark, folder)
 
     def _read(self, folders: list[str]) -> DataFrame:
@@ -67,5 +80,4 @@ class EpochLog:
 
     def read(self) -> DataFrame:
         """All rows with their ``epoch``."""
-        base, _, epochs, _ = self._folders()
-        return self._read(([base] if base else []) + [f for _, f in epochs])
+        return self._read([f for _, _, f in self._folders()[0]])

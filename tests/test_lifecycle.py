@@ -208,11 +208,15 @@ def test_epoch_folders_are_merged(spark, tmp_dir):
     last epoch is delivered again."""
     from logloom.sinks.epochs import EpochLog
 
-    log = EpochLog(spark, os.path.join(tmp_dir, "log"), "k bigint", merge=8)
+    log = EpochLog(spark, os.path.join(tmp_dir, "log"), "k bigint", merge=4)
     most = 0
     frames = [spark.range(k, k + 1).toDF("k").coalesce(1) for k in range(3)]
-    for epoch in range(30):
+    for epoch in range(40):
         for _ in range(2 if epoch % 7 == 0 else 1):
             log.write(frames[epoch % 3], epoch)
-        most = max(most, len([n for n in os.listdir(log.path) if n[0] in "eu"]))
-    assert most <= 10 and sorted((r.k, r.epoch) for r in log.read().collect()) == sorted((e % 3, e) for e in range(30))
+        most = max(most, len([n for n in os.listdir(log.path) if n[0] == "m"]))
+    assert most <= 10 and {n[:3] for n in os.listdir(log.path) if n[0] == "m"} >= {"m00", "m02"}
+    want = sorted((e % 3, e) for e in range(40))
+    assert sorted((r.k, r.epoch) for r in log.read().collect()) == want
+    spark.range(9).toDF("k").selectExpr("k", "5L as epoch").write.parquet(os.path.join(log.path, "m00-000000000005"))   # not deleted by a merge
+    assert sorted((r.k, r.epoch) for r in log.read().collect()) == want

@@ -353,3 +353,74 @@ def test_request_parameters_are_strict(spark, params, want):
     if "before_id" in want:
         assert page(rows(spark, [(1, T0, "ns", 3, "m", None)]), LogQuery.from_params(params)).count() == 1
     assert LogQuery.from_tail_params({"lastId": "--3"})[1] is None
+
+
+def test_append_log_stays_short_for_pages_and_lookups(spark, tmp_dir, monkeypatch):
+    """A hundred thousand appends: a page and a lookup pull few rows of the log."""
+    from logloom.operators.paging import get_by_id, stored_page
+    from logloom.sinks import appends as A
+
+    path = os.path.join(tmp_dir, "logs")
+    write_log_table(rows(spark, [(i, T0 + i, "ns", 3, f"m{i}", None) for i in range(199_901, 200_001)]), path)
+    day = "2024-01-01"
+    many = spark.range(100_000).selectExpr("id * 2 + 1 as min_id", "id * 2 + 2 as max_id", f"array(date'{day}') as days")
+    many.coalesce(1).write.mode("append").parquet(f"{path}/_appends/g00000000")
+    pulled, real = [], A.ranges
+
+    def counting(*a, **k):
+        found = real(*a, **k)
+        pulled.append(len(found))
+        return found
+    monkeypatch.setattr(A, "ranges", counting)
+    assert [r.id for r in stored_page(spark, path, LogQuery(limit=10)).collect()] == list(range(200_000, 199_990, -1))
+    assert [r.id for r in get_by_id(spark, path, 199_950).collect()] == [199_950]
+    assert [r.id for r in stored_page(spark, path, LogQuery(limit=3, after_id=199_960, order="asc")).collect()] == [199_961, 199_962, 199_963]
+    assert sum(pulled) < 100
+    merged = A._merged(spark, path, A.read_appends(spark, path))
+    assert merged.count() == 1 and tuple(merged.first()[:2]) == (1, 200_000)
+    gone = spark.createDataFrame([(1, 5, []), (6, 9, [])], A.SCHEMA)           # no day is left: only the highest id stays
+    assert [tuple(r[:2]) for r in A._merged(spark, path, gone).collect()] == [(6, 9)]
+
+
+def test_stored_search_uses_the_posting_lists(spark, tmp_dir):
+    from logloom.operators.paging import page, stored_page, stored_page_info, stored_tail_initial, stored_tail_resume, tail_initial
+    from logloom.streaming.tail import tail_resume
+
+    path, post = os.path.join(tmp_dir, "logs"), os.path.join(tmp_dir, "post")
+    for k in range(4):
+        write_log_table(rows(spark, [(k * 50 + i, T0 + k * 24 * H + i, "ns", i % 6, f"alpha word{i % 3} {k}", None) for i in range(1, 51)]),
+                        path, postings_path=post)
+    t = read_logs(spark, path)
+    for q in (LogQuery(search="word1", limit=7), LogQuery(search="alpha word2", min_severity=3, order="asc", limit=9),
+              LogQuery(search="word0 2", limit=100), LogQuery(search="nowhere"), LogQuery(search="word1", before_id=60, limit=5)):
+        assert [r.id for r in stored_page(spark, path, q, post).collect()] == [r.id for r in page(t, q).collect()]
+        assert stored_page_info(spark, path, q, post).first() == page_info(t, q).first()
+        assert [r.id for r in stored_tail_initial(spark, path, q, 20, post).collect()] == [
+            r.id for r in tail_initial(t, q.with_(before_id=None), 20).collect()]
+        assert [r.id for r in stored_tail_resume(spark, path, q, 30, 10, post).collect()] == [r.id for r in tail_resume(t, 30, q, 10).collect()]
+    plan = stored_page(spark, path, LogQuery(search="word1", limit=7), post)._jdf.queryExecution().executedPlan().toString()
+    table_scan = [line for line in plan.splitlines() if "FileScan" in line and "severity" in line]
+    assert table_scan and all("terms" not in line for line in table_scan)
+    lines = plan.split("== Initial Plan ==")[-1].splitlines()
+    opened = next(k for k, line in enumerate(lines) if "Generate inline" in line)
+    assert any("Filter" in line and "= word1" in line for line in lines[opened:])    # below the blocks' expansion
+
+
+def test_summaries_open_no_data_file(spark, tmp_dir):
+    from logloom.operators.stats import list_containers, list_namespaces, stored_names, stored_stats, summarise
+
+    path = os.path.join(tmp_dir, "logs")
+    assert stored_stats(spark, path if os.path.exists(path) else tmp_dir).first().total == 0
+    for k in range(3):
+        write_log_table(rows(spark, [(k * 10 + i, T0 + k * 24 * H + i, f"ns{k}", 3, "m", None) for i in range(1, 11)]), path)
+        assert summarise(spark, path) == len([f for f in os.listdir(os.path.join(path, sorted(
+            d for d in os.listdir(path) if d.startswith("log_date="))[k])) if f.endswith(".parquet")])
+    assert summarise(spark, path) == 0
+    assert apply_retention(spark, path, T0 + 24 * H + 5, tmp_dir) == 14
+    assert 0 < summarise(spark, path) <= 2                                    # only what retention rewrote
+    t = read_logs(spark, path)
+    assert stored_stats(spark, path).first() == stats(t).first()
+    assert [r[0] for r in stored_names(spark, path, "namespaces").collect()] == [r[0] for r in list_namespaces(t).collect()]
+    assert [r[0] for r in stored_names(spark, path, "containers").collect()] == [r[0] for r in list_containers(t).collect()]
+    plan = stored_stats(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "namespace:string" not in plan and "ts_ns" not in plan and "_summary" in plan
