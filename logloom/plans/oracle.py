@@ -412,6 +412,10 @@ ORACLE["build_postings"] = _with(LV) + (
     "unnest(range(0, len(regexp_split_to_array(lower(message), '[^a-z0-9]+')))) AS pos FROM lv) "
     "SELECT coalesce(s.stem, CASE WHEN regexp_matches(tok, '^[0-9]+ms$') THEN left(tok, length(tok) - 1) ELSE tok END) "
     "AS term, id, pos FROM toks LEFT JOIN stems s ON s.word = toks.tok")
+ORACLE["message_vocabulary"] = (f"SELECT token, any_value(stem) AS stem, CAST(count(*) AS BIGINT) AS n FROM (SELECT p.term AS stem, t.tok AS token FROM "
+                                f"({ORACLE['build_postings']}) p JOIN (" + _with(LV) + "SELECT id, unnest(regexp_split_to_array(lower(message), "
+                                "'[^a-z0-9]+')) AS tok, unnest(range(0, len(regexp_split_to_array(lower(message), '[^a-z0-9]+')))) AS pos FROM lv) t "
+                                "USING (id, pos)) GROUP BY token")
 ORACLE["idle_containers_stream"] = ORACLE["idle_containers"]
 ORACLE["idle_events_stream"] = _with(LV) + (
     "SELECT namespace, pod, container, ts_ns AS last_ts_ns, ts_ns + " + str(P.IDLE_GAP_NS) + " AS idle_ns FROM ("

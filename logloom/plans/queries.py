@@ -356,12 +356,20 @@ def q_tokenize(spark, d):
 def q_build_vocabulary(spark, d):
     """Distinct tokens of all documents with their stem and frequency; the
     stemmer runs once per distinct token."""
-    docs = spread(read_table(spark, d, "documents"))
-    vocab = docs.select(F.explode(tokenize("text")).alias("token")).groupBy("token").agg(
-        F.count("*").cast("long").alias("n"))
+    return _vocabulary(spread(read_table(spark, d, "documents")).select(tokenize("text").alias("tokens")))
+
+
+def _vocabulary(rows: DataFrame) -> DataFrame:
+    vocab = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").cast("long").alias("n"))
     return vocab.select("token", stem_column("token").alias("stem"), "n")
 
 
+@register("message_vocabulary")
+def q_message_vocabulary(spark, d):
+    """Distinct tokens of all log messages with their stem and frequency."""
+    return _vocabulary(_logs(spark, d).select(tokenize("message").alias("tokens")))
+
+
 @register("search_term")
 def q_search_term(spark, d):
     return _searched(spark, d, search.term("cache"))
