@@ -383,15 +383,6 @@ ORACLE["ingest_counters"] = _with(LV, RAWX, RAWLINES) + (
     "count_if(severity >= 5)::BIGINT AS errors, max(ts_ns) AS last_ts_ns, "
     "count(DISTINCT (ts_ns, namespace, pod, container, message))::BIGINT AS inserted, "
     "(count(*) - count(DISTINCT (ts_ns, namespace, pod, container, message)))::BIGINT AS repeated FROM delivered")
-_AS_TEXT = "arrival % 2 = 0 AND arrival % 97 <> 0"
-ORACLE["ingest_text_and_structured"] = _with(LV, RAWX) + (
-    f", t AS (SELECT * REPLACE (CASE WHEN {_AS_TEXT} THEN event_type ELSE pod END AS pod, "
-    f"CASE WHEN {_AS_TEXT} THEN 'u0' ELSE pod_uid END AS pod_uid) FROM "
-    "(SELECT *, split_part(pod, '-', 1) AS event_type FROM rawx)), e AS (SELECT ts_ns, namespace, pod, container, severity, message, "
-    "CASE WHEN attrs = '' THEN 'pod_uid=' || pod_uid "
-    "ELSE replace(attrs, ';user_id=', ';pod_uid=' || pod_uid || ';user_id=') END AS attrs FROM t "
-    "QUALIFY row_number() OVER (PARTITION BY ts_ns, namespace, pod, container, message ORDER BY arrival) = 1) "
-    "SELECT *, count(*) OVER () AS n_ids, count(*) OVER () AS last_id FROM e")
 ORACLE["stream_dedup"] = _with(LV, DV) + "SELECT DISTINCT ts_ns, namespace, pod, container, message FROM dv"
 ORACLE["container_events_stream"] = ORACLE["container_events"]
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from logloom.functions.stem import terms
 from logloom.operators.postings import BLOCK_SCHEMA, build_postings, occurrences, sorted_blocks, to_blocks
@@ -123,33 +123,35 @@ def new_rows(batch: DataFrame, existing: DataFrame | None, order: str = "arrival
 
 
 def append_new(spark: SparkSession, batch: DataFrame, path: str, stage_dir: str, order: str = "arrival",
-               postings_path: str | None = None) -> dict:
+               postings_path: str | None = None, counts: dict[str, Column] | None = None, also: list[str] | None = None) -> dict:
     """Append a batch of parsed rows (no ids) to the table; a re-delivered
-    batch adds nothing.  Returns offered / inserted counts.
+    batch adds nothing.  Returns offered / inserted counts, and ``counts``:
+    aggregates over the offered rows and their columns ``also``.
 
     The batch is staged first: that cuts the (large) parse expressions out of
     the join's plan and makes the id assignment deterministic on retry.  The
     stage is removed once the rows are in the table."""
     stage = stage_dir.rstrip("/")
     try:
-        return _append_staged(spark, batch, path, stage, order, postings_path)
+        return _append_staged(spark, batch, path, stage, order, postings_path, counts or {}, also or [])
     finally:
         fs.delete(spark, stage)
 
 
-def _append_staged(spark, batch, path, stage, order, postings_path) -> dict:
+def _append_staged(spark, batch, path, stage, order, postings_path, counts, also) -> dict:
     cols = [c for c in batch.columns if c in LOG_COLUMNS or c == order]
-    batch.select(*cols).write.mode("overwrite").parquet(stage + "/in")
-    staged_in = spark.read.parquet(stage + "/in")
+    batch.select(*cols, *also).write.mode("overwrite").parquet(stage + "/in")
+    offered_rows = spark.read.parquet(stage + "/in")
+    offered = offered_rows.agg(F.count("*").alias("offered"), *[c.alias(n) for n, c in counts.items()]).first().asDict()
+    staged_in = offered_rows.select(*cols)
     existing = spark.read.schema(TABLE_SCHEMA).parquet(path) if table_exists(spark, path) else None
     new_rows(staged_in, existing, order=order).write.mode("overwrite").parquet(stage + "/batch")
     staged = spark.read.parquet(stage + "/batch")
     inserted = staged.count()
-    offered = staged_in.count()
     if inserted:
         with_ids = assign_ids(staged, max_id(spark, path), order=order, stage=stage + "/numbered")
         write_log_table(with_ids.select(*LOG_COLUMNS), path, postings_path=postings_path)
-    return {"offered": offered, "inserted": inserted}
+    return offered | {"inserted": inserted}
 
 
 def write_postings(logs: DataFrame, path: str, partitions: int | None = None) -> None:

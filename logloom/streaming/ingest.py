@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql import types as T
 
@@ -89,32 +90,35 @@ def ingest_stream(spark: SparkSession, raw: DataFrame, table_path: str, checkpoi
     instead of breaking the stream.  ``include`` / ``exclude``: namespace gate
     before parsing; ``since_ns``: lines before this time are left out.
 
-    A micro-batch is read once: what it holds is counted by observed metrics
-    of the very pass that stages its entries, and kept per epoch below
-    ``counters_path`` (default: beside the checkpoint)."""
+    A micro-batch is read once and kept while its lines are counted and its
+    entries staged; the counts are kept per epoch below ``counters_path``
+    (default: beside the checkpoint)."""
     stage_root = os.path.join(checkpoint, "stage")
     rejects = rejects_path or os.path.join(checkpoint, "rejected")
     counters = EpochLog(spark, counters_path or os.path.join(checkpoint, "counters"), COUNTERS, _added)
     size = F.coalesce(F.octet_length("line"), F.lit(0))
 
+    names = [c.split()[0] for c in COUNTERS.split(", ")]
+    passed = collect_passes(include, exclude)
+    of_entries = {"entries": F.count("*"), "with_time": F.count_if("own_time"), "with_attributes": F.count_if(F.size("attributes") > 0),
+                  "errors": F.count_if(F.col("severity") >= 5), "last_ts_ns": F.max("ts_ns")}
+
     def write_batch(batch: DataFrame, epoch: int) -> None:
-        read, offered = Observation(), Observation()
         batch = with_arrival(batch) if "at" in batch.columns else batch
-        passed = collect_passes(include, exclude)
-        lines = batch.observe(read, F.count("*").alias("lines"), F.sum(size).cast("bigint").alias("bytes"),
-                              F.count_if(~passed).alias("gated"),
-                              F.count_if(passed & (size > max_line_bytes)).alias("rejected"))
-        rows = _entries(lines.where(passed & (size <= max_line_bytes)))
-        if since_ns is not None:
-            rows = since(rows, since_ns)
-        rows = rows.observe(offered, F.count("*").alias("entries"), F.count_if("own_time").alias("with_time"),
-                            F.count_if(F.size("attributes") > 0).alias("with_attributes"),
-                            F.count_if(F.col("severity") >= 5).alias("errors"), F.max("ts_ns").alias("last_ts_ns"))
-        done = append_new(spark, rows, table_path, f"{stage_root}/epoch-{epoch}", postings_path=postings_path)
-        counted = {**read.get, **offered.get, "inserted": done["inserted"]}
-        if counted["rejected"]:  # seldom: read again
-            batch.where(passed & (size > max_line_bytes)).write.mode("overwrite").parquet(f"{rejects}/epoch={epoch}")
-        names = [c.split()[0] for c in COUNTERS.split(", ")]
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            counted = batch.agg(F.count("*").alias("lines"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"),
+                                F.count_if(~passed).alias("gated"),
+                                F.count_if(passed & (size > max_line_bytes)).alias("rejected")).first().asDict()
+            if counted["rejected"]:
+                batch.where(passed & (size > max_line_bytes)).write.mode("overwrite").parquet(f"{rejects}/epoch={epoch}")
+            rows = _entries(batch.where(passed & (size <= max_line_bytes)))
+            if since_ns is not None:
+                rows = since(rows, since_ns)
+            counted |= append_new(spark, rows, table_path, f"{stage_root}/epoch-{epoch}", postings_path=postings_path,
+                                  counts=of_entries, also=["own_time"])
+        finally:
+            batch.unpersist()
         counters.write(spark.createDataFrame([tuple(counted[n] for n in names)], COUNTERS).coalesce(1), epoch)
 
     w = raw.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
