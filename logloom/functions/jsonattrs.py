@@ -6,7 +6,8 @@ is parsed wrapped in ``[ ]`` and in ``{"v": }``: text that closes one wrap
 does not close the other.  Values are read as VARIANT so their JSON type can
 be tested: strings and booleans become text, numbers follow the number rule,
 arrays, objects, nulls and empty strings are dropped.  A number beyond the
-range of a double is no JSON.
+range of a double is no JSON, nor is a line nested in more than 1000 levels
+(what Spark's JSON parser reads and writes).
 """
 
 from __future__ import annotations
@@ -32,14 +33,13 @@ def parse_object(message: Column) -> Column:
     one = (F.size(held) == 1) & (F.element_at(F.map_keys(held), 1) == "v") & F.element_at(F.map_values(held), 1).isNotNull()
     whole = F.when(message.rlike(r"\}\s*\]"), F.coalesce(one, F.lit(False))).otherwise(F.lit(True))
     # VARIANT refuses an object inside that repeats a key: such lines are read
-    # as text and their values typed by their look
+    # as text, with a mark on every string
     typed = F.from_json(listed, "array<map<string,variant>>", _STRICT)
-    plain = F.from_json(listed, "array<map<string,string>>", _STRICT)
-    looks = F.transform(plain, lambda m: F.map_from_arrays(
-        F.array_distinct(F.map_keys(m)),
-        F.transform(F.array_distinct(F.map_keys(m)), lambda k: _by_look(F.element_at(
-            F.filter(F.map_entries(m), lambda e: e["key"] == k), -1)["value"]))))
-    parsed = F.when(message.startswith("{") & whole, F.coalesce(typed, looks))
+    plain = F.from_json(_marked(listed), "array<map<string,string>>", _STRICT)
+    marked = F.transform(plain, lambda m: F.map_from_entries(last_wins(F.transform(
+        F.map_entries(m), lambda e: F.struct(e["key"].substr(F.lit(2), F.lit(_BIG)).alias("key"),
+                                             _unmarked(e["value"]).alias("value"))))))
+    parsed = F.when(message.startswith("{") & whole, F.coalesce(typed, marked))
     return F.when(message.rlike(r"[0-9][eE]\+?[0-9]{3}|[0-9]{300}"), _finite(parsed)).otherwise(parsed)
 
 
@@ -51,10 +51,20 @@ def _finite(parsed: Column) -> Column:
     return F.filter(parsed, lambda m: ~F.exists(F.map_entries(m), beyond))
 
 
-def _by_look(text: Column) -> Column:
-    as_is = text.rlike(r"^(?:[{\[].*|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false)$")
-    return F.try_parse_json(F.when(as_is & ~text.rlike(r"^[{\[]"), text).when(as_is, F.lit("null"))
-                            .otherwise(F.to_json(F.array(text)).substr(F.lit(2), F.length(F.to_json(F.array(text))) - 2)))
+def _marked(json: Column) -> Column:
+    """The same JSON with a ``~`` before every key and string.  Escaped
+    backslashes and quotes are respelled first, so that every quote left opens
+    or closes a string."""
+    spelled = F.regexp_replace(F.regexp_replace(json, r"\\\\", r"\\u005c"), r'\\"', r"\\u0022")
+    return F.regexp_replace(spelled, '"([^"]*+)"', '"~$1"')
+
+
+def _unmarked(text: Column) -> Column:
+    """Text of a marked member -> VARIANT; arrays and objects become null."""
+    string = F.to_json(F.array(text.substr(F.lit(2), F.lit(_BIG))))
+    plain = F.try_parse_json(F.when(text.startswith("~"), string.substr(F.lit(2), F.length(string) - 2))
+                             .when(text.rlike(r"^[{\[]"), F.lit("null")).otherwise(text))
+    return F.when(text.startswith('"'), F.lit(float("inf")).cast("variant")).otherwise(plain)  # a number read as infinite
 
 
 def object_members(parsed: Column) -> Column:

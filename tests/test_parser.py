@@ -158,6 +158,10 @@ def test_times_beyond_the_range_are_text(spark, line, ts, message):
     ('{"q":7}] tail', None), ('{"q":7}} tail', None), ('{"q":7},"z":{"w":1}', None), ('{"q":7},{"w":1}', None),
     ('{"q":7}', {"q": "7"}), ('{"x":1e400}', None), ('{"x":-1e999,"y":"kept?"}', None),
     ('{"level":"ERROR","in":{"p":1,"p":2}}', {"level": "ERROR"}),
+    ('{"in":{"p":1,"p":2},"b":"1e5","o":"{x}","t":"true","c":1e5,"d":"x\\\\","~k":"~v"}',
+     {"b": "1e5", "o": "{x}", "t": "true", "c": "100000", "d": "x\\", "~k": "~v"}),
+    ('{"in":{"p":1,"p":2},"\\u0061":"\\u00e9\\t\\"q\\"","n":null,"l":["1"]}', {"a": '\u00e9\t"q"'}),
+    ('{"in":{"p":1,"p":2},"x":1e400}', None), ("{'in':{'p':1,'p':2}}", None), ('{"in":{"p":1,"p":2}} "b"', None),
     ('{"n":5,"s":"a \\"b\\" [1]","t":true,"e":"","in":{"p":1,"p":2},"n":6}', {"n": "6", "s": 'a "b" [1]', "t": "true"}),
 ])
 def test_json_wraps_numbers_and_inner_repeats(spark, line, attrs):
