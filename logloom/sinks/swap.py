@@ -57,11 +57,18 @@ def replacement_of_days(spark: SparkSession, rows: DataFrame, root: str, replace
                         tag: str) -> list[tuple]:
     """The same for files of several days (``rows`` with ``log_date``), staged
     in one job; a day may have no file to replace."""
-    rows.write.mode("overwrite").partitionBy("log_date").parquet(at)
-    steps = [s for files in replaced.values() for s in _hidden(files, tag)]
+    return replacement_by(spark, rows, "log_date", root, [f for files in replaced.values() for f in files], at, tag)
+
+
+def replacement_by(spark: SparkSession, rows: DataFrame, by: str, root: str, replaced: list[str], at: str, tag: str,
+                   below: str = "") -> list[tuple]:
+    """The same for files of any folders: ``rows`` go to the folder of their
+    ``by`` under ``root`` (there to the folder ``below``)."""
+    rows.write.mode("overwrite").partitionBy(by).parquet(at)
+    steps = _hidden(replaced, tag)
     for name, full in fs.list_dirs(spark, at):
-        if name.startswith("log_date="):
-            steps += _shown(spark, full, f"{root.rstrip('/')}/{name}", tag)
+        if name.startswith(f"{by}="):
+            steps += _shown(spark, full, f"{root.rstrip('/')}/{name}{below}", tag)
     return steps
 
 

@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from logloom.operators.query import LogQuery
@@ -194,6 +195,55 @@ def test_two_tails_share_a_sink(spark, tmp_dir):
     assert read_unique(spark, out).count() == 1000
 
 
+def _data_files(out):
+    return [os.path.join(at, n) for at, _, names in os.walk(out) for n in names if n.endswith(".parquet") and n[0] not in "._"]
+
+
+def test_epochs_of_a_sink_are_merged(spark, tmp_dir, monkeypatch):
+    """Files of a sink stay few over many epochs, rows stay unique, and a merge that dies is finished."""
+    from logloom.sinks import fs, unique
+
+    out, key = os.path.join(tmp_dir, "out"), ["id"]
+    sink = unique.unique_sink(spark, out, key, F.floor(F.col("id") / 500), "id", merge=3)
+    seen, most = set(), 0
+    for epoch in range(9):
+        ids = [epoch * 5 + k for k in range(8)] + [3]  # each batch repeats rows of earlier ones
+        seen |= set(ids)
+        sink(spark.createDataFrame([(i, f"v{i}") for i in ids], "id long, v string").coalesce(1), epoch)
+        most = max(most, len(_data_files(out)))
+    assert sorted(r.id for r in read_unique(spark, out).collect()) == sorted(seen)
+    assert most <= 2 * 3 and all("epoch=m2-" in f for f in _data_files(out))  # below 3 of each level, then one
+
+    real, calls = fs.rename, []
+
+    def dying(spark, src, dst):
+        calls.append(src)
+        if len(calls) > 3:
+            raise OSError("lost")
+        return real(spark, src, dst)
+
+    monkeypatch.setattr(fs, "rename", dying)
+    with pytest.raises(OSError):
+        unique.merge_unique(spark, out, "id", merge=1)
+    monkeypatch.setattr(fs, "rename", real)
+    sink(spark.createDataFrame([(i, f"v{i}") for i in [*sorted(seen), 1000]], "id long, v string"), 9)
+    assert sorted(r.id for r in read_unique(spark, out).collect()) == [*sorted(seen), 1000]
+
+
+def test_another_querys_epochs_are_left_alone(spark, tmp_dir):
+    from logloom.sinks import unique
+
+    out, slot = os.path.join(tmp_dir, "out"), F.lit(0)
+    for k in range(2):
+        sink = unique.unique_sink(spark, out, ["id"], slot, "id", merge=2)
+        for epoch in range(2 - k):
+            sink(spark.range(100 * k + 10 * epoch, 100 * k + 10 * epoch + 10).coalesce(1), epoch)
+    one = unique.unique_sink(spark, out, ["id"], slot, "id", merge=1)
+    one(spark.range(500, 510).coalesce(1), 0)
+    assert len([f for f in _data_files(out) if "epoch=m" not in f]) == 2  # both not merged by either
+    assert unique.merge_unique(spark, out, "id", merge=2) >= 2 and read_unique(spark, out).count() == 40
+
+
 def test_bounds_of_many_slots_stay_narrow(spark):
     from logloom.sinks.unique import near
 
