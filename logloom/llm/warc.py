@@ -21,6 +21,8 @@ from __future__ import annotations
 import bisect
 import hashlib
 import json
+import math
+import re
 import zlib
 from collections import OrderedDict
 
@@ -43,10 +45,13 @@ _LOWEST = -(1 << 63)
 # ------------------------------------------------------------------- files
 
 class _Store:
-    """A folder, by path or URI."""
+    """A folder, by path or URI; ``s3a`` and ``s3n`` are Hadoop's names of ``s3``."""
 
     def __init__(self, root: str):
-        self.fs, self.path = pafs.FileSystem.from_uri(root)
+        try:
+            self.fs, self.path = pafs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", root))
+        except pa.ArrowInvalid as e:
+            raise ValueError(f"archives cannot be kept in {root}: Arrow has no file system for it") from e
 
     def write(self, name: str):
         return _Writer(self, name)
@@ -146,7 +151,8 @@ def write_archives(pages: DataFrame, root: str, date: str = "2024-01-01T00:00:00
     """
     spark = pages.sparkSession
     ship_package(spark)
-    pafs.FileSystem.from_uri(root)[0].create_dir(pafs.FileSystem.from_uri(root)[1], recursive=True)
+    store = _Store(root)  # refused before anything is written
+    store.fs.create_dir(store.path, recursive=True)
     rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"),
                         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.select("*", F.sha2("html", 256).alias("digest"), F.octet_length("html").cast("bigint").alias("size"))
@@ -183,7 +189,7 @@ def write_archives(pages: DataFrame, root: str, date: str = "2024-01-01T00:00:00
 
     def index(batches):
         shard = f"index-{TaskContext.get().partitionId():06d}"
-        blocks, directory, held = None, [], []
+        blocks, directory, held, records, size = None, [], [], 0, 0
 
         def flush():
             body = zlib.compress("\n".join(json.dumps(x) for x in held).encode(), 1)
@@ -194,6 +200,7 @@ def write_archives(pages: DataFrame, root: str, date: str = "2024-01-01T00:00:00
             for key, page_id, *place in zip(*(c.to_pylist() for c in batch.columns)):
                 blocks = blocks or _Store(root).write(f"{shard}.blocks")
                 held.append([key, _LOWEST if page_id is None else page_id, *place])
+                records, size = records + 1, size + place[2]
                 if len(held) == block_lines:
                     flush()
         if held:
@@ -204,10 +211,11 @@ def write_archives(pages: DataFrame, root: str, date: str = "2024-01-01T00:00:00
             sparse.add(zlib.compress(json.dumps(directory).encode(), 1))
             sparse.close()
             yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([directory[0][0][0]]),
-                                              pa.array([directory[0][0][1]], pa.int64())], ["shard", "key", "page_id"])
+                                              pa.array([directory[0][0][1]], pa.int64()), pa.array([records], pa.int64()),
+                                              pa.array([size], pa.int64())], ["shard", "key", "page_id", "records", "bytes"])
 
     shards = captures.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
-        index, "shard string, key string, page_id bigint")
+        index, "shard string, key string, page_id bigint, records bigint, bytes bigint")
     shards.write.parquet(f"{root}/shards")
 
 
@@ -243,18 +251,23 @@ class _Shard:
 _FOUND = ("url string, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, "
           "refers_to bigint, payload binary")
 _OPEN_FILES = 32
+#: Archive bytes that one task of a lookup reads.
+FETCH_BYTES = 16 << 20
 
 
-def lookup(spark: SparkSession, root: str, queries: DataFrame, payloads: bool = True) -> DataFrame:
+def lookup(spark: SparkSession, root: str, queries: DataFrame, payloads: bool = True,
+           fetch_bytes: int = FETCH_BYTES) -> DataFrame:
     """Records of the captures of each query row (url, page_id), or of the url
     where ``queries`` has no page_id, read through the index.
 
     A revisit's payload is null.  A query without a capture gives no row,
     repeated queries repeat their rows, an empty archive answers nothing.
-    ``payloads=False`` leaves the payloads out.
+    ``payloads=False`` leaves the payloads out.  The reading is dealt to tasks
+    by ``fetch_bytes``: places asked for times the mean size of a record.
     """
     ship_package(spark)
-    tops = sorted((r.key, r.page_id, r.shard) for r in spark.read.parquet(f"{root}/shards").toLocalIterator())
+    tops = sorted((r.key, r.page_id, r.shard, r.records, r.bytes)
+                  for r in spark.read.parquet(f"{root}/shards").toLocalIterator())  # one row per shard
     firsts = [t[:2] for t in tops]
     by_page = "page_id" in queries.columns
     asked = queries.select("url", F.col("page_id").cast("bigint") if by_page else F.lit(None).cast("bigint"),
@@ -280,9 +293,11 @@ def lookup(spark: SparkSession, root: str, queries: DataFrame, payloads: bool =
             yield pa.RecordBatch.from_arrays([c.take(pa.array(rows, pa.int64())) for c in batch.columns]
                                              + [pa.array(at, pa.int32())], ["url", "page_id", "key", "shard"])
 
-    routed = asked.mapInArrow(route, "url string, page_id bigint, key string, shard int")
+    routed = cut(asked.mapInArrow(route, "url string, page_id bigint, key string, shard int"))
+    mean = sum(t[4] for t in tops) / sum(t[3] for t in tops)
+    parts = max(1, math.ceil(routed.count() * mean / fetch_bytes))
     # many tasks may share a shard: a hot one is split by key
-    dealt = routed.repartitionByRange("shard", "key", "page_id").sortWithinPartitions("shard", "key", "page_id")
+    dealt = routed.repartitionByRange(parts, "shard", "key", "page_id").sortWithinPartitions("shard", "key", "page_id")
 
     def fetch(batches):
         store, shard, files = _Store(root), (None, None), OrderedDict()

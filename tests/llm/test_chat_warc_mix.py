@@ -100,6 +100,24 @@ def test_warc_odd_pages(spark):
     assert keys["http://b.example/"] == "example,b)/" and keys["not a url"] == "not%20a%20url" and keys[None] == "-"
 
 
+def test_warc_reading_is_dealt_by_archive_bytes(spark):
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.example/"), "id").alias("url"),
+                                    F.concat(F.lit("x"), F.sha2(F.col("id").cast("string"), 512)).alias("html"))
+    root = scratch_path(spark, "warc-parts")
+    warc.write_archives(pages, root, block_lines=50)
+    size = sum(r.bytes for r in spark.read.parquet(f"{root}/shards").collect())
+    asked = pages.select("url", "page_id")
+    for share in (1, 8):
+        found = warc.lookup(spark, root, asked, fetch_bytes=-(-size // share))
+        assert found.rdd.getNumPartitions() == share and found.count() == 400
+    assert warc.lookup(spark, root, asked.limit(20), fetch_bytes=-(-size // 8)).rdd.getNumPartitions() == 1
+
+
+def test_warc_store_that_arrow_cannot_reach(spark):
+    with pytest.raises(ValueError, match="cannot be kept in"):
+        warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), "wasb://box@host/archives")
+
+
 def test_warc_empty(spark):
     pages = spark.createDataFrame([], "page_id bigint, url string, html string")
     root = scratch_path(spark, "warc-empty")
