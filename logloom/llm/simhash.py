@@ -151,8 +151,22 @@ def _key_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
                                       ["key", "fp"])
 
 
-def _apart(x: str, y: str):
-    return F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
+def _apart(x, y):
+    return F.bit_count(x.bitwiseXOR(y))
+
+
+def _turned(fp, bits: int):
+    """The fingerprint with its ``bits`` highest bits moved to the low end."""
+    return F.shiftleft(fp, bits).bitwiseOR(F.shiftrightunsigned(fp, 64 - bits)) if bits else fp
+
+
+def _orders(key, fp) -> list:
+    """Three numbers to sort a bucket by.  All begin in the segment that the
+    key leaves free, each at another third of it, so that members which differ
+    in a few bits lie side by side in one of them."""
+    kind = F.shiftright(key, 24)
+    return [F.when(kind == 0, _turned(fp, third)).when(kind == 1, _turned(fp, 21 + third))
+            .otherwise(_turned(fp, 42 + third)) for third in (0, 7, 14)]
 
 
 def fingerprint_components(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -160,24 +174,41 @@ def fingerprint_components(prints: DataFrame, max_bits: int = MAX_BITS) -> DataF
     for those that a chain of links of at most ``max_bits`` bits ties to
     another one.
 
-    First every key's bucket is sorted and neighbours are compared, which
-    ties dense groups together with one row per member.  Then the buckets are
-    joined in full, but only links between different components come out, so
-    a group of near copies is never expanded into its pairs.
+    First every key's bucket is sorted in three orders and neighbours are
+    compared, which ties dense groups together with three rows per member.
+    Then a bucket's pairs are compared where they can still join components: a
+    bucket that holds one component is left out, and in the others only pairs
+    with a member outside the bucket's largest component are met, so a group
+    of near copies is never compared, nor expanded, pair by pair.  Two large
+    components that share a bucket and have no link are compared in full.
     """
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError(f"the segment keys are complete up to {MAX_BITS} bits")
     distinct = prints.select("fingerprint").distinct()
-    keyed = cut(arrow_map(distinct, _key_batch, "key bigint, fp bigint"))
-    beside = keyed.withColumn("before", F.lag("fp").over(Window.partitionBy("key").orderBy("fp")))
-    near = beside.where(F.col("before").isNotNull() & (_apart("fp", "before") <= max_bits))
-    first = connected_components(near.select(F.col("fp").alias("a"), F.col("before").alias("b")))
-
-    tied = keyed.join(first.withColumnRenamed("node", "fp"), "fp", "left").select(
+    keyed = arrow_map(distinct, _key_batch, "key bigint, fp bigint")
+    bucket = Window.partitionBy("key")
+    shared = cut(keyed.withColumn("n", F.count("*").over(bucket)).where("n > 1").select("key", "fp"))
+    key, fp = F.col("key"), F.col("fp")
+    beside = shared.select("key", "fp", *[o.alias(f"o{k}") for k, o in enumerate(_orders(key, fp))])
+    for k in range(3):
+        beside = beside.withColumn(f"b{k}", F.lag("fp").over(bucket.orderBy(f"o{k}")))
+    near = beside.select("fp", F.explode(F.array("b0", "b1", "b2")).alias("before")).where(
+        F.col("before").isNotNull() & (_apart(fp, F.col("before")) <= max_bits))
+    first = connected_components(near, "fp", "before")
+
+    tied = shared.join(first.withColumnRenamed("node", "fp"), "fp", "left").select(
         "key", "fp", F.coalesce("component", "fp").alias("comp"))
-    left, right = tied.toDF("key", "fp", "comp"), tied.toDF("key", "fp2", "comp2")
-    between = left.join(right, "key").where((F.col("comp") < F.col("comp2")) & (_apart("fp", "fp2") <= max_bits))
-    second = connected_components(between.select(F.col("comp").alias("a"), F.col("comp2").alias("b")))
+    several = tied.select("*", F.min("comp").over(bucket).alias("lo"), F.max("comp").over(bucket).alias("hi")).where(
+        "lo <> hi")
+    members = F.count("*").over(Window.partitionBy("key", "comp"))
+    several = several.withColumn("members", members).withColumn(
+        "largest", F.max(F.struct("members", "comp")).over(bucket)["comp"])
+    several = cut(several.select("key", "fp", "comp", (F.col("comp") == F.col("largest")).alias("most")))
+    left = several.where("NOT most").select("key", "fp", "comp")
+    right = several.toDF("key", "fp2", "comp2", "most2")
+    between = left.join(right, "key").where((F.col("most2") | (F.col("comp") < F.col("comp2")))
+                                            & (_apart(fp, F.col("fp2")) <= max_bits))
+    second = connected_components(between, "comp", "comp2")
     # component of a component: through the node's first component
     nodes = first.unionAll(second.join(first, second["node"] == first["component"], "left_anti")
                            .select("node", F.col("node").alias("component")))

@@ -108,6 +108,27 @@ def test_simhash_chain_of_fingerprints(spark):
         frozenset(k for k in got if got[k] == c) for c in set(got.values())}
 
 
+@pytest.mark.parametrize("free", [(0, 22), (22, 21), (43, 21)])
+def test_simhash_crowded_buckets(spark, free):
+    """Fingerprints that agree in two segments: dense, thin and scattered members of one bucket."""
+    rng = np.random.default_rng(free[0])
+    start, width = free
+    rest = int(rng.integers(0, 1 << 62)) & ~(((1 << width) - 1) << start)
+    low = [int(x) for x in np.concatenate([rng.integers(0, 1 << 9, 250), rng.integers(0, 1 << width, 700)])]
+    values = np.array(sorted({rest | x << start for x in low}), np.uint64)
+    apart = np.bitwise_count(values[:, None] ^ values[None, :])
+    want = brute.components(len(values), np.argwhere(np.triu(apart <= 4, 1)).tolist())
+    groups = {}
+    for v, c in zip(values.view(np.int64).tolist(), want):
+        groups.setdefault(c, set()).add(v)
+    assert any(len(g) == 1 for g in groups.values()) and len([g for g in groups.values() if len(g) > 1]) > 1
+    df = spark.createDataFrame([(v,) for v in values.view(np.int64).tolist()], "fingerprint bigint")
+    got = {}
+    for r in simhash.fingerprint_components(df).collect():
+        got.setdefault(r.component, set()).add(r.node)
+    assert {frozenset(g) for g in got.values()} == {frozenset(g) for g in groups.values() if len(g) > 1}
+
+
 def test_keep_one(docs, odd, clashing, empty):
     for df in (docs, odd):
         rows, comp = brute.near_duplicates(pairs(df))
