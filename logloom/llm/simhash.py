@@ -185,18 +185,17 @@ def fingerprint_components(prints: DataFrame, max_bits: int = MAX_BITS) -> DataF
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError(f"the segment keys are complete up to {MAX_BITS} bits")
     distinct = prints.select("fingerprint").distinct()
-    keyed = arrow_map(distinct, _key_batch, "key bigint, fp bigint")
+    keyed = cut(arrow_map(distinct, _key_batch, "key bigint, fp bigint"))
     bucket = Window.partitionBy("key")
-    shared = cut(keyed.withColumn("n", F.count("*").over(bucket)).where("n > 1").select("key", "fp"))
     key, fp = F.col("key"), F.col("fp")
-    beside = shared.select("key", "fp", *[o.alias(f"o{k}") for k, o in enumerate(_orders(key, fp))])
+    beside = keyed.select("key", "fp", *[o.alias(f"o{k}") for k, o in enumerate(_orders(key, fp))])
     for k in range(3):
         beside = beside.withColumn(f"b{k}", F.lag("fp").over(bucket.orderBy(f"o{k}")))
     near = beside.select("fp", F.explode(F.array("b0", "b1", "b2")).alias("before")).where(
         F.col("before").isNotNull() & (_apart(fp, F.col("before")) <= max_bits))
     first = connected_components(near, "fp", "before")
 
-    tied = shared.join(first.withColumnRenamed("node", "fp"), "fp", "left").select(
+    tied = keyed.join(first.withColumnRenamed("node", "fp"), "fp", "left").select(
         "key", "fp", F.coalesce("component", "fp").alias("comp"))
     several = tied.select("*", F.min("comp").over(bucket).alias("lo"), F.max("comp").over(bucket).alias("hi")).where(
         "lo <> hi")
