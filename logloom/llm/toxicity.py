@@ -247,6 +247,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
             best = max((k for k in index.values() if entries[k].startswith(entries[i]) and gain[k] >= 0.95 * gain[i]),
                        key=lambda k: len(entries[k]))
             weights[entries[best]] = float(weight[best])
+    if not weights:
+        return Lexicon({}, [], (0.0, 0.0, _base(rows)))
     lexicon = Lexicon(weights)
     lexicon.exceptions = _exceptions(rows, lexicon, 2 * min_texts)
     lexicon.curve = _curve(rows, lexicon)
