@@ -252,7 +252,8 @@ def match_saved(df: DataFrame, queries: Mapping[str, LogQuery]) -> DataFrame:
     keys = F.array(*[F.struct(F.lit(m).alias("mask"), F.array(
         *[F.col(f) for k, f in enumerate(_EQUAL) if m >> k & 1]).cast("array<string>").alias("wanted")) for m in masks])
     rows = rows.select("id", "ts_ns", "severity", "attributes", found.alias("found"), F.inline(keys))
-    q = table.toDF(*[f"q_{c}" for c in table.columns])
+    # the queries are the small side, however small the rows' files look
+    q = F.broadcast(table.toDF(*[f"q_{c}" for c in table.columns]))
     has = F.forall(F.map_entries("q_attrs"), lambda e: F.coalesce(F.element_at(F.col("attributes"), e["key"]) == e["value"], F.lit(False)))
     meets = ((F.col("mask") == F.col("q_mask")) & (F.col("wanted") == F.col("q_wanted"))
              & (F.col("q_start_ns").isNull() | (F.col("ts_ns") >= F.col("q_start_ns")))

@@ -11,13 +11,13 @@ NOW = {"availableNow": True}
 
 
 def test_idle_timers_share_state_rows(spark, tmp_dir):
-    """Many containers (some without a name) have few state rows, and the events of each."""
+    """Many containers have few state rows, and the events of each."""
     from logloom.schema import LOG_SCHEMA
     from logloom.streaming.idle import BUCKETS, idle_events_stream, read_idle_events
 
     src, out = os.path.join(tmp_dir, "in"), os.path.join(tmp_dir, "out")
     n = 2 * BUCKETS
-    pods = [None, *(f"p{i}" for i in range(1, n))]
+    pods = [f"p{i}" for i in range(n)]
     lines = [(p, T0 + k) for k, p in enumerate(pods)] + [(p, T0 + k) for k, p in enumerate(pods)]     # each twice
     late = [(p, T0 + H + k + k % 2) for k, p in enumerate(pods)]     # in time for every other one only
     for part in (lines, late, [("last", T0 + 9 * H)]):
@@ -29,3 +29,18 @@ def test_idle_timers_share_state_rows(spark, tmp_dir):
     got = {(r.pod, r.last_ts_ns) for r in read_idle_events(spark, out).collect()}
     assert got == {(p, t) for p, t in late} | {(p, t) for k, (p, t) in enumerate(lines[:n]) if k % 2}
     assert max(p.stateOperators[0].numRowsTotal for p in q.recentProgress) <= BUCKETS
+
+
+@pytest.mark.parametrize("fields", [{}, {"namespace": "ns"}, {"search": "lease"}])
+def test_saved_queries_are_the_broadcast_side(spark, tmp_dir, fields):
+    """Rows are neither dealt by the queries' few keys nor broadcast, whatever size they seem to have."""
+    from logloom.operators.query import LogQuery, match_saved
+    from logloom.schema import LOG_SCHEMA
+
+    path = os.path.join(tmp_dir, "rows")
+    spark.createDataFrame([(i, T0 + i, "ns", "p", "c", 3, "lease" if i % 2 else "m", None) for i in range(20)], LOG_SCHEMA).write.parquet(path)
+    hits = match_saved(spark.read.schema(LOG_SCHEMA).parquet(path), {"a": LogQuery(**fields), "b": LogQuery(after_id=10, **fields)})
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    ids = range(1, 20, 2) if "search" in fields else range(20)
+    assert sorted((r.query, r.id) for r in hits.collect()) == [("a", i) for i in ids] + [("b", i) for i in ids if i > 10]
