@@ -29,17 +29,36 @@ def _c(name: str) -> Column:
     return F.col(_P + name)
 
 
+def _json_stages(body: Column) -> list[dict[str, Column]]:
+    """JSON: parse once, keep the last of duplicate keys, type the values."""
+    return [{_P + "pj": parse_object(body)},
+            {_P + "jm": object_members(_c("pj"))},
+            {_P + "ju": last_wins(_c("jm"))},
+            {_P + "jt": typed_members(_c("ju"))}]
+
+
+def with_json_entries(df: DataFrame, message: str, to: str) -> DataFrame:
+    """``json_entries`` of a column, each step a projection of its own: in one
+    expression the optimizer would copy every step into all of its uses."""
+    out = df
+    for stage in _json_stages(F.col(message)):
+        out = out.withColumns(stage)
+    return out.withColumn(to, _c("jt")).drop(*[c for c in out.columns if c.startswith(_P)])
+
+
+def with_logfmt_fields(df: DataFrame, message: str, to: str) -> DataFrame:
+    """``logfmt_fields`` of a column, where it is no JSON object, in the same way."""
+    out = df.withColumn(_P + "lp", F.when(~F.col(message).startswith("{"), logfmt_pairs(F.col(message))))
+    return out.withColumn(to, last_wins(_c("lp"))).drop(_P + "lp")
+
+
 def _stages(src: Column, ingest: Column) -> list[dict[str, Column]]:
     """The parse as ordered projection stages (name -> expression)."""
     body = _c("body")
     return [
         {_P + "ns": prefix_ns(src)},
         {_P + "ts": F.coalesce(_c("ns"), ingest.cast("long")), _P + "body": message_after_prefix(src, _c("ns"))},
-        # JSON: parse once, keep the last of duplicate keys, type the values
-        {_P + "pj": parse_object(body)},
-        {_P + "jm": object_members(_c("pj"))},
-        {_P + "ju": last_wins(_c("jm"))},
-        {_P + "jt": typed_members(_c("ju"))},
+        *_json_stages(body),
         {_P + "jsev": severity_from_fields(json_string_fields(_c("jt"))),
          _P + "jent": F.when(_c("jt").isNotNull(), normalize_entries(json_value_entries(_c("jt"))))},
         {_P + "jhit": F.coalesce((_c("jsev") > 0) | (F.size(_c("jent")) > 0), F.lit(False))},

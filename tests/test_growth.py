@@ -44,3 +44,22 @@ def test_saved_queries_are_the_broadcast_side(spark, tmp_dir, fields):
     assert "BuildRight" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
     ids = range(1, 20, 2) if "search" in fields else range(20)
     assert sorted((r.query, r.id) for r in hits.collect()) == [("a", i) for i in ids] + [("b", i) for i in ids if i > 10]
+
+
+def test_json_and_logfmt_steps_are_not_copied(spark):
+    """The staged steps give what the single expressions give, and stay one of each in the plan."""
+    from logloom.functions.jsonattrs import json_entries
+    from logloom.functions.logfmt import logfmt_fields
+    from logloom.functions.severity import severity_from_fields
+    from logloom.operators.parse import with_json_entries, with_logfmt_fields
+
+    bodies = ['{"level":"warn","a":{"b":1,"b":2},"n":1.50}', '{"lvl":"x"} y', "level=info k= level=error", "plain", "", None, "{", 'a="b\\"c" a=2']
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "id int, body string").repartition(2)
+    rows = with_logfmt_fields(with_json_entries(df, "body", "entries"), "body", "pairs")
+    severity = severity_from_fields(F.map_from_entries("pairs"))
+    got = rows.withColumn("severity", severity)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") <= 4     # three groups, the keys tested once
+    want = df.withColumn("entries", json_entries(F.col("body"))).withColumn(
+        "pairs", F.when(~F.col("body").startswith("{"), logfmt_fields(F.col("body")))).withColumn("severity", severity)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
