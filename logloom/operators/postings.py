@@ -34,13 +34,43 @@ def build_postings(logs: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ blocks
 
+_RANGE = floor_div(F.col("id"), IDS_PER_BLOCK)
+_POS_BITS = 48  # an id's place in its range and a position are one number, in their order
+
+
+def _packed(place: Column, pos: Column) -> Column:
+    return F.shiftleft(F.coalesce(place, F.lit(0)).cast("bigint"), _POS_BITS) + pos
+
+
+def _blocks(held: DataFrame) -> DataFrame:
+    """Packed occurrences ``at``, in any order, of every range -> blocks."""
+    def at_id(e: Column) -> Column:
+        return F.shiftright(e, _POS_BITS)
+
+    ends = held.withColumn("at", F.sort_array("at")).withColumns({
+        "low": at_id(F.element_at("at", 1)), "high": at_id(F.element_at("at", -1)), "base": F.col("range") * F.lit(IDS_PER_BLOCK)})
+    return ends.select("term", (F.col("base") + F.col("low")).alias("min_id"), (F.col("base") + F.col("high")).alias("max_id"),
+                       F.transform("at", lambda e: (at_id(e) - F.col("low")).cast("int")).alias("offs"),
+                       F.transform("at", lambda e: e.bitwiseAND(F.lit((1 << _POS_BITS) - 1))).alias("pos"), "log_date")
+
+
 def to_blocks(found: DataFrame) -> DataFrame:
     """Occurrences (term, id, pos, log_date) -> blocks (BLOCK_SCHEMA)."""
-    key = ["log_date", "term", floor_div(F.col("id"), IDS_PER_BLOCK).alias("range")]
-    held = found.groupBy(*key).agg(F.min("id").alias("min_id"), F.max("id").alias("max_id"),
-                                   F.sort_array(F.collect_list(F.struct("id", "pos"))).alias("at"))
-    offs = F.transform("at", lambda e: (e["id"] - F.col("min_id")).cast("int"))
-    return held.select("term", "min_id", "max_id", offs.alias("offs"), F.col("at.pos").alias("pos"), "log_date")
+    place = F.col("id") - _RANGE * F.lit(IDS_PER_BLOCK)
+    packed = found.select("log_date", "term", _RANGE.alias("range"), _packed(place, F.col("pos")).alias("at"))
+    return _blocks(packed.groupBy("log_date", "term", "range").agg(F.collect_list("at").alias("at")))
+
+
+def merged_blocks(blocks: DataFrame) -> DataFrame:
+    """Blocks of one range (several appends') as one, as they are stored: no
+    block is expanded to rows, and one shuffle both groups and orders them."""
+    where = floor_div(F.col("min_id"), IDS_PER_BLOCK)
+    first = F.col("min_id") - where * F.lit(IDS_PER_BLOCK)
+    at = F.zip_with("offs", "pos", lambda o, p: _packed(first + o, p))
+    each = blocks.select("log_date", "term", where.alias("range"), at.alias("at"))
+    key = ["log_date", "term", "range"]
+    held = each.repartitionByRange(*key).groupBy(*key).agg(F.flatten(F.collect_list("at")).alias("at"))
+    return _blocks(held).sortWithinPartitions("log_date", "term", "min_id")
 
 
 def occurrences(blocks: DataFrame, first_id: int | None = None, last_id: int | None = None) -> DataFrame:

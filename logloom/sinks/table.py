@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from logloom.functions.stem import terms
-from logloom.operators.postings import BLOCK_SCHEMA, build_postings, occurrences, sorted_blocks, to_blocks
+from logloom.operators.postings import BLOCK_SCHEMA, build_postings, merged_blocks, sorted_blocks, to_blocks
 from logloom.session import checkpoint_root, scratch_path
 from logloom.sinks import fs, swap
 from logloom.sinks.appends import high_water, record_append
@@ -180,6 +180,6 @@ def merge_postings(spark: SparkSession, table_path: str, path: str, stage_root:
     if not found:
         return 0
     blocks = spark.read.option("basePath", root).schema(BLOCK_SCHEMA).parquet(*found)
-    merged = sorted_blocks(to_blocks(occurrences(blocks)))
+    merged = merged_blocks(blocks)
     steps = swap.replacement_of_days(spark, merged, root, days, f"{stage}/blocks", f"merged-{uuid.uuid4().hex[:8]}")
     return swap.commit(spark, stage, steps, len(found))

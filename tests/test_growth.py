@@ -63,3 +63,21 @@ def test_json_and_logfmt_steps_are_not_copied(spark):
     want = df.withColumn("entries", json_entries(F.col("body"))).withColumn(
         "pairs", F.when(~F.col("body").startswith("{"), logfmt_fields(F.col("body")))).withColumn("severity", severity)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_blocks_merge_without_their_rows(spark):
+    """Several appends' blocks of a range become one, sorted, in one shuffle and with no row per occurrence."""
+    from logloom.operators.postings import IDS_PER_BLOCK, merged_blocks, occurrences, to_blocks
+
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 2).cast("int"))
+    found = spark.range(-3 * IDS_PER_BLOCK, 3 * IDS_PER_BLOCK, 7).select(
+        F.concat(F.lit("t"), (F.col("id") % 3 + 3).cast("string")).alias("term"), "id", F.explode(F.sequence(F.lit(0), F.col("id") % 2 + 2)).alias("pos"), day.alias("log_date"))
+    appends = [to_blocks(found.where(F.pmod(F.floor(F.col("id") / 21), F.lit(3)) == k)) for k in range(3)]
+    blocks = appends[0].unionByName(appends[1]).unionByName(appends[2]).localCheckpoint()
+    merged = merged_blocks(blocks)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan
+    got = sorted(map(str, merged.collect()))
+    assert got == sorted(map(str, to_blocks(found).collect())) and len(got) < blocks.count()
+    cols = ["term", "id", "pos", "log_date"]
+    assert sorted(map(str, occurrences(merged).select(cols).collect())) == sorted(map(str, found.select(cols).collect()))
