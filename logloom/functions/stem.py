@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
@@ -24,14 +26,12 @@ def _stems(tokens: np.ndarray) -> np.ndarray:
     return stems[codes]  # a null's code is -1: the last entry
 
 
-def _stem_arrays(tokens: pd.Series) -> pd.Series:
-    sizes = np.array([0 if t is None else len(t) for t in tokens], np.int64)
-    flat = [t for t in tokens if t is not None and len(t)]
-    if not flat:
-        return tokens
-    stems = _stems(np.concatenate(flat))
-    ends = np.cumsum(sizes)
-    return pd.Series([None if t is None else stems[e - n:e] for t, n, e in zip(tokens, sizes, ends)], dtype=object)
+def _stem_arrays(tokens: pa.Array) -> pa.Array:
+    """Arrow to Arrow: only the distinct tokens of a batch become Python objects."""
+    codes = tokens.flatten().dictionary_encode()
+    stems = pa.array([stem(w) for w in codes.dictionary.to_pylist()], pa.string()).take(codes.indices)
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+    return pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), stems, mask=pc.is_null(tokens))
 
 
 def _stem_tokens(tokens: pd.Series) -> pd.Series:
@@ -41,7 +41,7 @@ def _stem_tokens(tokens: pd.Series) -> pd.Series:
 # Declared non-deterministic only to pin them in the plan: Catalyst would
 # otherwise push a search filter (and with it the UDF) below a repartition
 # that exists to spread this very work over all cores.
-stem_array = F.pandas_udf(_stem_arrays, T.ArrayType(T.StringType())).asNondeterministic()
+stem_array = F.arrow_udf(_stem_arrays, T.ArrayType(T.StringType())).asNondeterministic()
 stem_token = F.pandas_udf(_stem_tokens, T.StringType()).asNondeterministic()
 
 

@@ -81,3 +81,18 @@ def test_blocks_merge_without_their_rows(spark):
     assert got == sorted(map(str, to_blocks(found).collect())) and len(got) < blocks.count()
     cols = ["term", "id", "pos", "log_date"]
     assert sorted(map(str, occurrences(merged).select(cols).collect())) == sorted(map(str, found.select(cols).collect()))
+
+
+def test_stems_stay_in_arrow():
+    """Null and empty rows, null tokens and slices of a batch; tokens are not taken to Python one by one."""
+    import pyarrow as pa
+
+    from logloom.functions.stem import _stem_arrays
+
+    rows = [["x"], ["running", "cache"], None, [], ["running", None], ["Zahl"]]
+    whole = pa.array(rows, pa.list_(pa.string()))
+    want = [["x"], ["run", "cach"], None, [], ["run", None], ["Zahl"]]
+    got = _stem_arrays(whole)
+    assert got.type == pa.list_(pa.string()) and got.to_pylist() == want
+    assert _stem_arrays(whole.slice(1, 4)).to_pylist() == want[1:5]
+    assert _stem_arrays(whole.slice(2, 2)).to_pylist() == want[2:4] and _stem_arrays(whole.slice(0, 0)).to_pylist() == []
