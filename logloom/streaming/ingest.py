@@ -50,6 +50,12 @@ def _entries(batch: DataFrame) -> DataFrame:
     return parsed.select(*cols).unionByName(ready.select(*cols))
 
 
+def _spread(batch: DataFrame) -> DataFrame:
+    """Lines dealt over as many tasks as shuffles have: a batch of few files is
+    few tasks, however many lines they hold, and parsing is the work."""
+    return batch.repartition(int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _raw_columns(batch: DataFrame) -> list[str]:
     return [f.name for f in RAW_STREAM_SCHEMA if f.name in batch.columns]
 
@@ -105,7 +111,7 @@ def ingest_stream(spark: SparkSession, raw: DataFrame, table_path: str, checkpoi
 
     def write_batch(batch: DataFrame, epoch: int) -> None:
         batch = with_arrival(batch) if "at" in batch.columns else batch
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        batch = _spread(batch).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             counted = batch.agg(F.count("*").alias("lines"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"),
                                 F.count_if(~passed).alias("gated"),

@@ -96,3 +96,23 @@ def test_stems_stay_in_arrow():
     assert got.type == pa.list_(pa.string()) and got.to_pylist() == want
     assert _stem_arrays(whole.slice(1, 4)).to_pylist() == want[1:5]
     assert _stem_arrays(whole.slice(2, 2)).to_pylist() == want[2:4] and _stem_arrays(whole.slice(0, 0)).to_pylist() == []
+
+
+def test_a_batch_of_one_file_is_many_tasks(spark, tmp_dir):
+    """The lines of one file are parsed by as many tasks as shuffles have."""
+    from pyspark.sql import SparkSession
+
+    from logloom.sources.logs import read_logs
+    from logloom.streaming import ingest
+
+    src, table = os.path.join(tmp_dir, "raw"), os.path.join(tmp_dir, "logs")
+    spark.createDataFrame([(i, "ns", "p", "u", "c", f"2024-01-15T10:30:00Z level=info msg=m{i}", 0) for i in range(400)],
+                          ingest.RAW_STREAM_SCHEMA).coalesce(1).write.parquet(src)
+    seen, parse = [], ingest._entries
+    ingest._entries = lambda batch: seen.append(batch.rdd.getNumPartitions()) or parse(batch)
+    try:
+        ingest.ingest_stream(spark, ingest.stream_raw_lines(spark, src), table, os.path.join(tmp_dir, "ck"), trigger=NOW).awaitTermination()
+    finally:
+        ingest._entries = parse
+    assert seen == [int(SparkSession.getActiveSession().conf.get("spark.sql.shuffle.partitions"))]
+    assert [(r.id, r.message) for r in read_logs(spark, table).orderBy("id").collect()] == [(i + 1, f"m{i}") for i in range(400)]
