@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
 import pandas as pd
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -97,9 +98,10 @@ def _step(keep: int, forget_ms: int):
             history = History()
         new = {}
         for rows in batches:
-            for seq, kind, running, cid in zip(rows["seq"], rows["kind"], rows["running"], rows["container_id"]):
-                snap = (kind == "deleted", None if pd.isna(running) else bool(running), None if pd.isna(cid) else cid)
-                seq = int(seq)
+            # plain lists: a group has few rows, and a call of pandas costs more than they do
+            for seq, kind, running, cid in zip(*(rows[c].tolist() for c in ("seq", "kind", "running", "container_id"))):
+                snap = (kind == "deleted", None if running is None or running != running else bool(running),
+                        None if cid is None or cid != cid else cid)
                 new[seq] = min(new[seq], snap, key=repr) if seq in new else snap
         decided = history.add(new)
         history.trim(keep)
@@ -108,9 +110,8 @@ def _step(keep: int, forget_ms: int):
             state.setTimeoutDuration(forget_ms)
         if decided:
             seqs, events, late = zip(*decided)
-            out = pd.DataFrame({**{n: [k] * len(seqs) for n, k in zip(CONTAINER_KEY, key)}, "seq": seqs, "event": events, "late": late})
-            out["event"] = out["event"].astype(object)
-            yield out
+            yield pd.DataFrame({**{n: [k] * len(seqs) for n, k in zip(CONTAINER_KEY, key)}, "seq": seqs,
+                                "event": np.array(events, object), "late": late})
     return step
 
 
