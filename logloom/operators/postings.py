@@ -34,7 +34,6 @@ def build_postings(logs: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ blocks
 
-_RANGE = floor_div(F.col("id"), IDS_PER_BLOCK)
 _POS_BITS = 48  # an id's place in its range and a position are one number, in their order
 
 
@@ -56,8 +55,9 @@ def _blocks(held: DataFrame) -> DataFrame:
 
 def to_blocks(found: DataFrame) -> DataFrame:
     """Occurrences (term, id, pos, log_date) -> blocks (BLOCK_SCHEMA)."""
-    place = F.col("id") - _RANGE * F.lit(IDS_PER_BLOCK)
-    packed = found.select("log_date", "term", _RANGE.alias("range"), _packed(place, F.col("pos")).alias("at"))
+    where = floor_div(F.col("id"), IDS_PER_BLOCK)
+    place = F.col("id") - where * F.lit(IDS_PER_BLOCK)
+    packed = found.select("log_date", "term", where.alias("range"), _packed(place, F.col("pos")).alias("at"))
     return _blocks(packed.groupBy("log_date", "term", "range").agg(F.collect_list("at").alias("at")))
 
 
