@@ -150,7 +150,8 @@ def _blocks(items: DataFrame, threshold: float, shingle: int, block_items: int,
     total = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
     parts = max(1, -(-total.n // block_items), -(-total.size // block_bytes))
     ids, texts, held = [], [], 0
-    for r in items.repartition(parts, "item_id", "text").distinct().toLocalIterator():
+    # an iterator runs a job per partition: no more of them than blocks, however many the session makes
+    for r in items.repartition(parts, "item_id", "text").distinct().coalesce(parts).toLocalIterator():
         size = len(r.text.encode("utf-8", "replace"))
         if ids and (len(ids) >= block_items or held + size > block_bytes):
             yield Block(ids, texts, threshold, shingle)

@@ -5,6 +5,7 @@ curve through out-of-fold margins."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from logloom.llm.common import arrow_map, sample_by_hash
 from logloom.llm.features import indicators
+from logloom.session import ship_package
 
 BITS = 18
 
@@ -128,9 +130,27 @@ def fit(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS, c: float = 1.0,
     return Model(weights, ratios, bias, slope, shift, bits)
 
 
-#: Labelled rows that a model is fitted on at most.  The driver holds their
-#: distinct features, at most 2**bits numbers a row.
+#: Labelled rows that a model is fitted on at most.  The task that fits holds
+#: their distinct features, at most 2**bits numbers a row; the driver holds the
+#: model only.
 TRAIN_ROWS = 4000
+_MODEL = "weights binary, ratios binary, bias double, slope double, shift double"
+
+
+def _fitted(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """The model of all rows (doc_id, label, found) of a task, as one row."""
+    ids, y, rows = [], [], []
+    for batch in batches:
+        ids.append(batch.column(0).to_numpy())
+        y.append(batch.column(1).to_numpy())
+        flat, off = batch.column(2).flatten().to_numpy(), batch.column(2).offsets.to_numpy()
+        rows += [flat[a - off[0]:b - off[0]] for a, b in zip(off[:-1], off[1:])]
+    order = np.argsort(np.concatenate(ids), kind="stable") if rows else []
+    y = np.concatenate(y)[order] if rows else np.zeros(0, np.int64)
+    m = fit([rows[i] for i in order], np.where(y > 0, 1, -1), bits)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.ratios.tobytes()], pa.binary()),
+         *[pa.array([float(x)]) for x in (m.bias, m.slope, m.shift)]], ["weights", "ratios", "bias", "slope", "shift"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = TRAIN_ROWS, bits: int = BITS) -> Model:
@@ -151,12 +171,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = TRAIN_
         found = pa.array(indicators(batch.column(2), bits), pa.list_(pa.int32()))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["doc_id", "label", "found"])
 
-    got = arrow_map(texts, run, "doc_id bigint, label int, found array<int>").toArrow().sort_by("doc_id")
-    rows = []
-    for chunk in got.column("found").chunks:
-        flat, off = chunk.flatten().to_numpy(), chunk.offsets.to_numpy()
-        rows += [flat[x - off[0]:y - off[0]] for x, y in zip(off[:-1], off[1:])]
-    return fit(rows, np.where(got.column("label").to_numpy() > 0, 1, -1), bits)
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _fitted(batches, bits)
+
+    found = arrow_map(texts, run, "doc_id bigint, label int, found array<int>")
+    ship_package(docs.sparkSession)
+    got = found.repartition(1).mapInArrow(one, _MODEL).toArrow()  # at most max_rows rows meet
+    if not got.num_rows:  # no partition, no task
+        return fit([], np.zeros(0, np.int64), bits)
+    weights, ratios = (np.frombuffer(got.column(k)[0].as_py(), np.float64) for k in (0, 1))
+    return Model(weights, ratios, *(got.column(k)[0].as_py() for k in (2, 3, 4)), bits)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

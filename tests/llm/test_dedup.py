@@ -257,6 +257,19 @@ def test_containment_blocks_are_built_one_at_a_time(spark, docs, monkeypatch):
     assert set(most) == {1}
 
 
+def test_containment_items_come_in_few_jobs(spark, monkeypatch):
+    """One job per block, also where the session deals rows to more partitions."""
+    items = spark.createDataFrame([(i, f"w{i} b c d e f") for i in range(300)], "item_id bigint, text string")
+    deal = type(items).repartition
+    monkeypatch.setattr(type(items), "repartition", lambda df, n, *cols: deal(df, max(n, 80) if cols else n, *cols))
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    for block_items, blocks in ((300, 1), (100, 3)):
+        before = jobs()
+        found = [b.ids for b in containment._blocks(items, 0.8, 5, block_items, 1 << 20)]
+        assert sorted(i for ids in found for i in ids) == list(range(300)) and len(found) >= blocks
+        assert jobs() - before < 20
+
+
 def test_containment_scattered_and_partial(spark):
     words = [f"q{k}" for k in range(40)]
     filler = ["z%d" % k for k in range(5000)]

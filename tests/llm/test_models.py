@@ -54,6 +54,24 @@ def test_quality_without_rows_of_both_classes(empty, docs, labels):
     assert nbsvm.train(empty, labels, "quality").scores([np.zeros(0, int)])[0] == pytest.approx(0.5)
 
 
+def test_quality_is_fitted_outside_the_driver(docs, labels, monkeypatch):
+    marked = {r.doc_id: r.label for r in labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.min("quality").alias("label")).collect()}
+    texts = {}
+    for r in docs.where(F.col("doc_id").isin(list(marked))).collect():
+        texts.setdefault(r.doc_id, []).append(r.text)
+    ids = sorted(texts)
+    least = pa.array([min((t for t in texts[i] if t is not None), default=None) for i in ids], pa.string())
+    plain = nbsvm.fit(indicators(least), np.array([1 if marked[i] else -1 for i in ids]))
+    came = []
+    bring = type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda df: came.append(bring(df)) or came[-1])
+    model = nbsvm.train(docs, labels, "quality")
+    assert np.allclose(model.weights, plain.weights) and np.allclose(model.ratios, plain.ratios)
+    assert np.allclose([model.bias, model.slope, model.shift], [plain.bias, plain.slope, plain.shift])
+    assert len(ids) > 50 and sum(t.num_rows for t in came) == 1  # the model, not the rows it is fitted on
+
+
 def test_hinge_dual_reaches_the_optimum():
     rng = np.random.default_rng(3)
     rows = [np.sort(rng.choice(30, rng.integers(1, 8), replace=False)) for _ in range(60)]
